@@ -24,54 +24,39 @@ def table_profile(
 ) -> DataFrame:
     """Per column: rows, nulls, zeros (numbers only), distinct values, newest date and its age.
 
-    The table is read once. Each row becomes one (column, value) pair per column; equal pairs
-    are counted on the map side before they are shuffled, so a value that fills a third of a
-    column moves as one row per task. An empty table gives a row of zeros per column.
+    One aggregation over one read of the chosen columns. Distinct values are folded on the
+    map side before they are shuffled, so a value that fills a third of a column moves as one
+    row per task. An empty table gives zeros.
     """
     fields = [f for f in table.schema.fields if columns is None or f.name in columns]
-    pairs = table.select(
-        F.explode(F.array(*[_pair(field) for field in fields])).alias("pair")
-    ).select("pair.*")
-    values = pairs.groupBy("column", "value").agg(
-        F.count("*").alias("n"), F.max("zero").alias("zero"), F.max("date").alias("date")
-    )
-    known = F.col("value").isNotNull()
-    facts = values.groupBy("column").agg(
-        F.sum("n").alias("rows"),
-        F.sum(F.when(~known, F.col("n")).otherwise(0)).alias("nulls"),
-        F.sum(F.when(F.col("zero"), F.col("n")).otherwise(0)).alias("zeros"),
-        F.count("value").alias("distinct_values"),
-        F.max("date").alias("max_date"),
-    )
-    # One row per column of the table, so the broadcast has a fixed size.
-    names = table.sparkSession.createDataFrame(
-        [(i, f.name, isinstance(f.dataType, T.NumericType)) for i, f in enumerate(fields)],
-        "position int, column string, numeric boolean",
-    )
+    facts: list[Column] = [F.count(F.lit(1)).alias("rows")]
+    for i, field in enumerate(fields):
+        column = F.col(f"`{field.name}`")
+        facts.append(F.count(column).alias(f"known_{i}"))
+        facts.append(F.count_distinct(column).alias(f"distinct_{i}"))
+        if isinstance(field.dataType, T.NumericType):
+            facts.append(F.count_if(column == 0).alias(f"zeros_{i}"))
+        if isinstance(field.dataType, _DATES):
+            facts.append(F.max(column).cast("date").alias(f"newest_{i}"))
+    report = table.agg(*facts)
     return (
-        names.join(F.broadcast(facts), "column", "left")
-        .orderBy("position")
-        .select(
-            "column",
-            F.coalesce("rows", F.lit(0)).alias("rows"),
-            F.coalesce("nulls", F.lit(0)).alias("nulls"),
-            F.when(F.col("numeric"), F.coalesce("zeros", F.lit(0))).alias("zeros"),
-            F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"),
-            "max_date",
-            days_between(F.col("max_date"), as_of_date(as_of)).alias("days_since_max"),
-        )
+        report.select(F.inline(F.array(*[_line(i, f, report) for i, f in enumerate(fields)])))
+        .withColumn("days_since_max", days_between(F.col("max_date"), as_of_date(as_of)))
     )
 
 
-def _pair(field: T.StructField) -> Column:
-    column = F.col(f"`{field.name}`")
-    is_number = isinstance(field.dataType, T.NumericType)
-    is_date = isinstance(field.dataType, T.DateType | T.TimestampType | T.TimestampNTZType)
-    # Minus zero and zero are one value.
-    value = F.when(column == 0, F.lit(0)).otherwise(column) if is_number else column
+_DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _line(i: int, field: T.StructField, report: DataFrame) -> Column:
+    def fact(name: str, otherwise: str) -> Column:
+        return F.col(name) if name in report.columns else F.lit(None).cast(otherwise)
+
     return F.struct(
         F.lit(field.name).alias("column"),
-        value.cast("string").alias("value"),
-        (column == 0 if is_number else F.lit(False)).alias("zero"),
-        (F.to_date(column) if is_date else F.lit(None).cast("date")).alias("date"),
+        F.col("rows"),
+        (F.col("rows") - F.col(f"known_{i}")).alias("nulls"),
+        fact(f"zeros_{i}", "bigint").alias("zeros"),
+        F.col(f"distinct_{i}").alias("distinct_values"),
+        fact(f"newest_{i}", "date").alias("max_date"),
     )

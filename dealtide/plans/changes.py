@@ -40,28 +40,45 @@ def change_days_per_deal(history: DataFrame, field: str) -> DataFrame:
     )
 
 
+def _in_day_order(code: Column) -> Column:
+    """One long that orders the changes of a day by time, then by ``code`` (0 to 31).
+
+    Its max or min picks the last or first change together with its code. Being a plain
+    number it is folded in a hash aggregation before the shuffle, without sorting the
+    history, and is all that is shuffled. Changes at the same moment are told apart by code
+    only, so the pick never depends on the order of rows.
+    """
+    at = F.col("created_date")
+    minutes = (F.hour(at) * 60 + F.minute(at)).cast("bigint")
+    micros = (F.extract(F.lit("SECOND"), at) * 1_000_000).cast("bigint")
+    return (minutes * 60_000_000 + micros) * 32 + code
+
+
+def _code(in_day_order: Column) -> Column:
+    return (in_day_order % 32).cast("int")
+
+
 def stage_changes_per_deal(history: DataFrame) -> DataFrame:
     """Stage changes of each deal, counting only the latest one of a day.
 
     Columns: opportunity_id, changes, and for each stage s: s_changes, s_day_sum (sum of the
     change days as days since 1970), from which the days left to any close date follow.
+    Of changes at the same moment the one furthest down the list of stages counts.
     """
-    day = F.to_date("created_date")
-    latest = F.max_by(
-        F.lower("new_value"), F.struct("created_date", "old_value", "new_value")
-    )
+    stage = F.lower("new_value")
+    # One bit per stage pattern that the new value matches.
+    bits = [F.when(stage.like(pattern), 2**i).otherwise(0) for i, (_, pattern) in enumerate(STAGES)]
     daily = (
         of_field(history, STAGE_FIELD)
-        .groupBy("opportunity_id", day.alias("change_day"))
-        .agg(latest.alias("stage"))
+        .groupBy("opportunity_id", F.to_date("created_date").alias("change_day"))
+        .agg(_code(F.max(_in_day_order(sum(bits, F.lit(0))))).alias("stages"))
     )
+    day = F.unix_date("change_day")
     measures: list[Column] = [F.count("*").alias("changes")]
-    for name, pattern in STAGES:
-        hit = F.col("stage").like(pattern)
+    for i, (name, _) in enumerate(STAGES):
+        hit = F.col("stages").bitwiseAND(2**i) != 0
         measures.append(F.count_if(hit).alias(f"{name}_changes"))
-        measures.append(
-            F.sum(F.when(hit, F.unix_date("change_day"))).alias(f"{name}_day_sum")
-        )
+        measures.append(F.sum(F.when(hit, day)).alias(f"{name}_day_sum"))
     return daily.groupBy("opportunity_id").agg(*measures)
 
 
@@ -71,36 +88,35 @@ def close_date_moves_per_deal(history: DataFrame, cuts: tuple[int, int, int]) ->
     Columns: opportunity_id, change_days, and counts of change days by lead (days from the
     change to the old close date) and by shift (days the close date moved): lead_0..lead_3
     and shift_0..shift_3, cut at ``cuts`` with the upper end included. Text that is not a
-    date falls in no bucket.
+    date falls in no bucket. Of moves at the same moment the one with the least lead counts,
+    then the one with the least shift.
 
     Changes of other fields share one group per deal (no change day), so they shrink to a
     single row before the shuffle; they only prove that the deal has history.
     """
     is_move = F.lower("field") == CLOSE_DATE_FIELD
-    event = F.struct("created_date", "field", "old_value", "new_value")
+    day = F.to_date("created_date")
+    old_close = F.when(is_move, F.col("old_value").try_cast("date"))
+    new_close = F.when(is_move, F.col("new_value").try_cast("date"))
+    lead = _bucket(days_between(day, old_close), cuts)
+    shift = _bucket(days_between(old_close, new_close), cuts)
     daily = history.groupBy(
-        "opportunity_id", F.when(is_move, F.to_date("created_date")).alias("change_day")
-    ).agg(F.min(F.when(is_move, event)).alias("move"))
-    old_close = F.col("move.old_value").try_cast("date")
-    new_close = F.col("move.new_value").try_cast("date")
-    moves = daily.select(
-        "opportunity_id",
-        "change_day",
-        days_between(F.col("change_day"), old_close).alias("lead"),
-        days_between(old_close, new_close).alias("shift"),
-    )
-    measures = [F.count("change_day").alias("change_days")]
-    for name in ("lead", "shift"):
-        for i, test in enumerate(_buckets(F.col(name), cuts)):
-            measures.append(F.count_if(test).alias(f"{name}_{i}"))
-    return moves.groupBy("opportunity_id").agg(*measures)
+        "opportunity_id", F.when(is_move, day).alias("change_day")
+    ).agg(_code(F.min(F.when(is_move, _in_day_order(lead * 5 + shift)))).alias("move"))
+    measures = [F.count("move").alias("change_days")]
+    for i in range(4):
+        measures.append(F.count_if(F.floor(F.col("move") / 5) == i).alias(f"lead_{i}"))
+        measures.append(F.count_if(F.col("move") % 5 == i).alias(f"shift_{i}"))
+    return daily.groupBy("opportunity_id").agg(*measures)
 
 
-def _buckets(days: Column, cuts: tuple[int, int, int]) -> list[Column]:
+def _bucket(days: Column, cuts: tuple[int, int, int]) -> Column:
+    """0 to 3 by upper end, 4 when the days are unknown."""
     first, second, third = cuts
-    return [
-        days <= first,
-        (days > first) & (days <= second),
-        (days > second) & (days <= third),
-        days > third,
-    ]
+    return (
+        F.when(days <= first, 0)
+        .when(days <= second, 1)
+        .when(days <= third, 2)
+        .when(days > third, 3)
+        .otherwise(4)
+    )

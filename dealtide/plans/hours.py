@@ -23,10 +23,13 @@ def newest_batch_per_deal(wbs: DataFrame, counted: Column | None = None) -> Data
         .groupBy("opportunity_id", "created_date")
         .agg(F.sum(hours).alias("hours"), F.count(hours).alias("entries"))
     )
+    # A moment occurs once per deal here, so both picks come from the same batch.
     return (
         batches.groupBy("opportunity_id")
-        .agg(F.max_by(F.struct("hours", "entries"), "created_date").alias("newest"))
-        .select("opportunity_id", "newest.hours", "newest.entries")
+        .agg(
+            F.max_by("hours", "created_date").alias("hours"),
+            F.max_by("entries", "created_date").alias("entries"),
+        )
         .filter(F.col("entries") > 0)
     )
 

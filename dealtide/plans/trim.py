@@ -2,38 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def trim_outliers(histogram: DataFrame, value: str, weight: str, k: float = 3) -> DataFrame:
     """Keep the rows whose value lies within mean +- k sample standard deviations, ends included.
 
-    ``histogram`` has one row per group and distinct integer ``value``, counted by ``weight``.
-    Day counts take few distinct values, so it is small however many deals there are, and the
-    two passes over it share one aggregation of the input. Sums are exact integers, so the
-    cut does not depend on the order of partial sums. A single observation has no standard
-    deviation and is dropped, as is everything when the input is empty.
+    ``histogram`` has one row per group and distinct ``value``, a number of days, counted by
+    ``weight``. Its size is bounded by the calendar and the report groups (practice, year,
+    quarter), not by the number of deals, so the window over all of it may run in one task;
+    in return the deals and their history are read and shuffled only once, where a join with
+    a separate aggregate would do both twice.
+
+    Sums are exact integers, so the cut does not depend on the order of partial sums. A single
+    observation has no standard deviation and is dropped.
     """
+    everything = Window.partitionBy()
     v = F.col(value).cast("decimal(10,0)")
-    w = F.col(weight)
-    sums = histogram.agg(
-        F.sum(w).cast("decimal(20,0)").alias("n"),
-        F.sum(v * w).cast("decimal(38,0)").alias("s1"),
-        F.sum(v * v * w).cast("decimal(38,0)").alias("s2"),
-    )
-    n = F.col("n").cast("double")
-    spread = (F.col("n") * F.col("s2") - F.col("s1") * F.col("s1")).cast("double")
-    bounds = sums.select(
-        (F.col("s1").cast("double") / F.nullif(n, F.lit(0.0))).alias("mean"),
-        (F.lit(float(k)) * F.sqrt(spread / F.nullif(n * (n - 1), F.lit(0.0)))).alias("reach"),
-    ).select(
-        (F.col("mean") - F.col("reach")).alias("_low"),
-        (F.col("mean") + F.col("reach")).alias("_high"),
-    )
-    # One row by construction, so the broadcast has a fixed size.
-    return (
-        histogram.crossJoin(F.broadcast(bounds))
-        .filter(F.col(value).between(F.col("_low"), F.col("_high")))
-        .drop("_low", "_high")
+    w = F.col(weight).cast("decimal(18,0)")
+    n = F.sum(w).over(everything)
+    s1 = F.sum(v * w).over(everything)
+    s2 = F.sum(v * v * w).over(everything)
+    sums = histogram.withColumns(
+        {"_n": n.cast("decimal(20,0)"), "_s1": s1.cast("decimal(28,0)"), "_s2": s2}
     )
+    size = F.col("_n").cast("double")
+    mean = F.col("_s1").cast("double") / size
+    spread = (F.col("_n") * F.col("_s2") - F.col("_s1") * F.col("_s1")).cast("double")
+    reach = F.lit(float(k)) * F.sqrt(spread / F.nullif(size * (size - 1), F.lit(0.0)))
+    return sums.filter(F.col(value).between(mean - reach, mean + reach)).drop("_n", "_s1", "_s2")

@@ -5,8 +5,7 @@ Deterministic projections; see FIXTURES.md for the mapping and what it exercises
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from dealtide.sources.tables import Tables
 
@@ -45,183 +44,143 @@ def sample_tables(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(load)
 
 
-def _choose(names: tuple[str, ...], index: Column) -> Column:
-    return F.get(F.array(*[F.lit(name) for name in names]), index.cast("int"))
-
-
-def _text(name: str) -> Column:
-    return F.col(name).cast("string")
+def _choose(names: tuple[str, ...], index: str) -> str:
+    return f"get(array({', '.join(map(repr, names))}), cast({index} AS int))"
 
 
 def opportunity(orders: DataFrame) -> DataFrame:
-    key, customer, status = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus")
-    closed = status.isin("F", "O")
-    is_won = (status == "F") & (customer % 16 != 11)
-    days = F.when(key % 97 == 0, 3000).otherwise((customer * 7 + key * 13) % 400)
-    stage = (
-        F.when(key % 200 == 0, "Closed Duplicate")
-        .when(is_won, "Closed Won")
-        .when(closed & (key % 11 == 0), "Closed - Duplicate")
-        .when(closed, "Closed Lost")
-        .when(F.col("o_orderpriority") == "1-URGENT", "Commit")
-        .otherwise("Pipeline")
-    )
-    return orders.select(
-        _text("o_orderkey").alias("id"),
-        F.concat(F.lit("OPP-"), _text("o_orderkey")).alias("name"),
-        _choose(PRACTICES, customer % 16).alias("practice"),
-        _choose(PRACTICES, (customer + 1) % 16).alias("practice_2"),
-        F.col("o_orderdate").alias("created_date"),
-        F.date_add(F.to_date("o_orderdate"), days.cast("int")).alias("close_date"),
-        stage.alias("stage_name"),
-        is_won.alias("is_won"),
-        closed.alias("is_closed"),
-        (customer % 20).cast("string").alias("created_by_id"),
-        F.when(key % 3 == 0, "Price").alias("reason_code"),
-        F.concat(F.lit("J"), _text("o_orderkey")).alias("job_id"),
-        F.quarter("o_orderdate").alias("fiscal_quarter"),
-        F.year("o_orderdate").alias("fiscal_year"),
-        (customer % 5).cast("string").alias("territory"),
+    return orders.selectExpr(
+        "*",
+        "o_orderstatus IN ('F', 'O') AS is_closed",
+        "o_orderstatus = 'F' AND o_custkey % 16 <> 11 AS is_won",
+    ).selectExpr(
+        "cast(o_orderkey AS string) AS id",
+        "concat('OPP-', o_orderkey) AS name",
+        f"{_choose(PRACTICES, 'o_custkey % 16')} AS practice",
+        f"{_choose(PRACTICES, '(o_custkey + 1) % 16')} AS practice_2",
+        "o_orderdate AS created_date",
+        """date_add(cast(o_orderdate AS date),
+                    cast(if(o_orderkey % 97 = 0, 3000, (o_custkey * 7 + o_orderkey * 13) % 400) AS int))
+           AS close_date""",
+        """CASE WHEN o_orderkey % 200 = 0 THEN 'Closed Duplicate'
+                WHEN is_won THEN 'Closed Won'
+                WHEN is_closed AND o_orderkey % 11 = 0 THEN 'Closed - Duplicate'
+                WHEN is_closed THEN 'Closed Lost'
+                WHEN o_orderpriority = '1-URGENT' THEN 'Commit'
+                ELSE 'Pipeline' END AS stage_name""",
+        "is_won",
+        "is_closed",
+        "cast(o_custkey % 20 AS string) AS created_by_id",
+        "if(o_orderkey % 3 = 0, 'Price', NULL) AS reason_code",
+        "concat('J', o_orderkey) AS job_id",
+        "quarter(o_orderdate) AS fiscal_quarter",
+        "year(o_orderdate) AS fiscal_year",
+        "cast(o_custkey % 5 AS string) AS territory",
     )
 
 
 def opportunity_field_history(items: DataFrame) -> DataFrame:
-    flag = F.col("l_returnflag")
-    shipped = F.to_date("l_shipdate")
-    quantity = F.col("l_quantity").cast("int")
-    part = F.col("l_partkey").cast("int")
-    old_close = F.date_add(shipped, quantity - 5)
-    new_close = F.date_add(shipped, quantity - 5 + part % 60 - 10)
-    stage = F.coalesce(_choose(STAGES, F.col("l_linenumber") - 1), F.lit("Closed"))
-    return items.select(
-        _text("l_orderkey").alias("opportunity_id"),
-        (F.col("l_shipdate") + F.make_dt_interval(hours=part % 24)).alias("created_date"),
-        F.when(flag == "R", "StageName")
-        .when(flag == "A", "CloseDate")
-        .otherwise("Amount")
-        .alias("field"),
-        F.when(flag == "A", old_close.cast("string")).otherwise("x").alias("old_value"),
-        F.when(flag == "A", new_close.cast("string")).otherwise(stage).alias("new_value"),
+    return items.selectExpr(
+        "*",
+        "date_add(cast(l_shipdate AS date), cast(l_quantity AS int) - 5) AS old_close",
+        "cast(l_partkey % 60 - 10 AS int) AS shift",
+    ).selectExpr(
+        "cast(l_orderkey AS string) AS opportunity_id",
+        "l_shipdate + make_dt_interval(0, cast(l_partkey % 24 AS int)) AS created_date",
+        "CASE l_returnflag WHEN 'R' THEN 'StageName' WHEN 'A' THEN 'CloseDate' ELSE 'Amount' END AS field",
+        "if(l_returnflag = 'A', cast(old_close AS string), 'x') AS old_value",
+        f"""if(l_returnflag = 'A', cast(date_add(old_close, shift) AS string),
+               coalesce({_choose(STAGES, "l_linenumber - 1")}, 'Closed')) AS new_value""",
     )
 
 
 def wbs(items: DataFrame, parts: DataFrame) -> DataFrame:
-    kind = F.col("p_type")
-    role = (
-        F.when(kind == "PROMO", "Data Engineer")
-        .when(kind == "LARGE", "Senior Data Consultant")
-        .when(kind == "ECONOMY", "Data Contractor")
-        .when(kind == "SMALL", "Data Protection Consultant")
-        .otherwise("Cloud Consultant")
-    )
-    return items.join(
-        parts.select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey"
-    ).select(
-        _text("l_orderkey").alias("opportunity_id"),
-        F.date_trunc("year", "l_shipdate").cast("timestamp_ntz").alias("created_date"),
-        role.alias("role"),
-        (F.col("l_quantity") - 1).cast("decimal(12,2)").alias("hours"),
+    return items.join(parts, items.l_partkey == parts.p_partkey).selectExpr(
+        "cast(l_orderkey AS string) AS opportunity_id",
+        "cast(date_trunc('year', l_shipdate) AS timestamp_ntz) AS created_date",
+        """CASE p_type WHEN 'PROMO' THEN 'Data Engineer' WHEN 'LARGE' THEN 'Senior Data Consultant'
+                WHEN 'ECONOMY' THEN 'Data Contractor' WHEN 'SMALL' THEN 'Data Protection Consultant'
+                ELSE 'Cloud Consultant' END AS role""",
+        "cast(l_quantity - 1 AS decimal(12,2)) AS hours",
     )
 
 
 def resource_request(orders: DataFrame) -> DataFrame:
-    return orders.select(
-        _text("o_orderkey").alias("id"),
-        _text("o_orderkey").alias("opportunity_id"),
-        _text("o_custkey").alias("resource_id"),
-        _choose(PRACTICES, F.col("o_custkey") % 16).alias("practice"),
-        (F.col("o_orderkey") % 4).cast("string").alias("role"),
-        F.col("o_orderdate").alias("created_date"),
+    return orders.selectExpr(
+        "cast(o_orderkey AS string) AS id",
+        "cast(o_orderkey AS string) AS opportunity_id",
+        "cast(o_custkey AS string) AS resource_id",
+        f"{_choose(PRACTICES, 'o_custkey % 16')} AS practice",
+        "cast(o_orderkey % 4 AS string) AS role",
+        "o_orderdate AS created_date",
     )
 
 
 def resource_request_history(items: DataFrame) -> DataFrame:
-    flag = F.col("l_returnflag")
-    return items.filter(F.col("l_orderkey") % 9 != 0).select(
-        _text("l_orderkey").alias("parent_id"),
-        F.col("l_shipdate").alias("created_date"),
-        F.when(flag == "R", "pse__Resource_Held__c")
-        .when(flag == "A", "pse__Staffer_Resource__c")
-        .otherwise("pse__Status__c")
-        .alias("field"),
-        F.when(F.col("l_linestatus") == "O", "true").otherwise("false").alias("old_value"),
-        F.when(F.col("l_partkey") % 2 == 0, "Jane Doe").otherwise("a0X1").alias("new_value"),
+    return items.filter("l_orderkey % 9 <> 0").selectExpr(
+        "cast(l_orderkey AS string) AS parent_id",
+        "l_shipdate AS created_date",
+        """CASE l_returnflag WHEN 'R' THEN 'pse__Resource_Held__c'
+                WHEN 'A' THEN 'pse__Staffer_Resource__c' ELSE 'pse__Status__c' END AS field""",
+        "if(l_linestatus = 'O', 'true', 'false') AS old_value",
+        "if(l_partkey % 2 = 0, 'Jane Doe', 'a0X1') AS new_value",
     )
 
 
 def resource_actuals(customers: DataFrame) -> DataFrame:
-    tails = F.array(F.col("c_mktsegment"), F.lit("alt"))
     return (
-        customers.filter(F.col("c_custkey") % 10 != 0)
-        .withColumn("tail", F.explode(tails))
-        .select(
-            _text("c_custkey").alias("resource_id"),
-            F.concat("c_name", F.lit(" - "), "tail").alias("name"),
-        )
+        customers.filter("c_custkey % 10 <> 0")
+        .selectExpr("*", "explode(array(c_mktsegment, 'alt')) AS tail")
+        .selectExpr("cast(c_custkey AS string) AS resource_id", "concat(c_name, ' - ', tail) AS name")
     )
 
 
 def utilization_calculation(items: DataFrame) -> DataFrame:
-    y, m, k = F.col("y"), F.col("m"), F.col("k")
-    key = (y * 100 + m + k * 1_000_000).cast("string")
-    end = F.make_date(y, m, F.lit(28))
-    kind = F.when(k == 0, "ACS_Historical_Monthly").otherwise("ACS_Scheduled_Monthly")
     return (
-        items.select(F.year("l_shipdate").alias("y"), F.month("l_shipdate").alias("m"))
+        items.selectExpr("year(l_shipdate) AS y", "month(l_shipdate) AS m")
         .distinct()
-        .withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
-        .select(
-            key.alias("id"),
-            F.when((y + m) % 13 != 0, key).alias("time_period_id"),
-            F.concat_ws("_", kind, y.cast("string"), m.cast("string")).alias("name"),
-            F.lit("Month").alias("time_period_type"),
-            end.alias("sched_end"),
-            F.when((y + m) % 9 != 0, end).alias("hist_end"),
-            ((y * 12 + m) % 17 == 0).alias("is_deleted"),
+        .selectExpr("*", "explode(array('Historical', 'Scheduled')) AS kind")
+        .selectExpr(
+            "*",
+            "cast(y * 100 + m + if(kind = 'Scheduled', 1000000, 0) AS string) AS id",
+            "make_date(y, m, 28) AS end",
+        )
+        .selectExpr(
+            "id",
+            "if((y + m) % 13 <> 0, id, NULL) AS time_period_id",
+            "concat('ACS_', kind, '_Monthly_', y, '_', m) AS name",
+            "'Month' AS time_period_type",
+            "end AS sched_end",
+            "if((y + m) % 9 <> 0, end, NULL) AS hist_end",
+            "(y * 12 + m) % 17 = 0 AS is_deleted",
         )
     )
 
 
-def _calc_id() -> Column:
-    month = F.year("l_shipdate") * 100 + F.month("l_shipdate")
-    later = F.when(F.col("l_linenumber") == 7, 1_000_000).otherwise(0)
-    return (month + later).cast("string")
+_CALC_ID = """cast(year(l_shipdate) * 100 + month(l_shipdate) + if(l_linenumber = 7, 1000000, 0) AS string)
+              AS calc_id"""
 
 
 def utilization_detail(items: DataFrame, parts: DataFrame) -> DataFrame:
-    kind, size, line = F.col("p_type"), F.col("p_size"), F.col("l_linenumber")
-    role = (
-        F.when(kind == "PROMO", "Consultant: Data")
-        .when(kind == "LARGE", "Senior Consultant - Cloud")
-        .when(kind == "ECONOMY", "Managing Principle")
-        .when(kind == "SMALL", "Managing Principal")
-        .when(kind == "MEDIUM", "Engineer II")
-        .otherwise("Intern")
-    )
-    # Price per unit in whole cents, rounded in integers.
-    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-    quantity = F.col("l_quantity").cast("bigint")
-    price = F.call_function("div", 2 * cents + quantity, 2 * quantity)
-    hours = "decimal(12,2)"
-    return items.join(
-        parts.select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_size"), "l_partkey"
-    ).select(
-        _calc_id().alias("calc_id"),
-        _text("l_suppkey").alias("resource_id"),
-        role.alias("role"),
-        _choose(STAFF, F.col("l_suppkey") % 16).alias("practice"),
-        F.when(line == 6, 0).otherwise(size).cast(hours).alias("target"),
-        F.when(size % 10 == 0, 0).otherwise(size + 5).cast(hours).alias("adj_target"),
-        (price.cast("decimal(14,0)") / 100).cast(hours).alias("price"),
-        F.col("l_quantity").cast(hours).alias("billable_hours"),
-        F.when(F.col("l_tax") == 0, 0).otherwise(50).cast(hours).alias("calendar_hours"),
-        F.col("l_shipdate").alias("last_modified"),
-        F.when(line == 4, "Week").otherwise("Month").alias("time_period_type"),
-        (line == 5).alias("is_deleted"),
+    return items.join(parts, items.l_partkey == parts.p_partkey).selectExpr(
+        _CALC_ID,
+        "cast(l_suppkey AS string) AS resource_id",
+        """CASE p_type WHEN 'PROMO' THEN 'Consultant: Data' WHEN 'LARGE' THEN 'Senior Consultant - Cloud'
+                WHEN 'ECONOMY' THEN 'Managing Principle' WHEN 'SMALL' THEN 'Managing Principal'
+                WHEN 'MEDIUM' THEN 'Engineer II' ELSE 'Intern' END AS role""",
+        f"{_choose(STAFF, 'l_suppkey % 16')} AS practice",
+        "cast(if(l_linenumber = 6, 0, p_size) AS decimal(12,2)) AS target",
+        "cast(if(p_size % 10 = 0, 0, p_size + 5) AS decimal(12,2)) AS adj_target",
+        # Price per unit in whole cents, rounded in integers.
+        """cast(((2 * cast(round(l_extendedprice * 100) AS bigint) + cast(l_quantity AS bigint))
+                 div (2 * cast(l_quantity AS bigint))) * 0.01BD AS decimal(12,2)) AS price""",
+        "cast(l_quantity AS decimal(12,2)) AS billable_hours",
+        "cast(if(l_tax = 0, 0, 50) AS decimal(12,2)) AS calendar_hours",
+        "l_shipdate AS last_modified",
+        "if(l_linenumber = 4, 'Week', 'Month') AS time_period_type",
+        "l_linenumber = 5 AS is_deleted",
     )
 
 
 def utilization_summary(items: DataFrame) -> DataFrame:
-    return items.select(
-        _calc_id().alias("calc_id"), F.col("l_shipdate").alias("created_date")
-    ).distinct()
+    return items.selectExpr(_CALC_ID, "l_shipdate AS created_date").distinct()

@@ -257,11 +257,12 @@ def stage_days(where: str, key_sql: str, keys: str, extra: str = "") -> str:
         WHERE total BETWEEN mu - 3 * sd AND mu + 3 * sd GROUP BY {keys}""",
         staged=f"""
         SELECT id, close_date, ts, lower(new_value) AS stage,
-               close_date - created_date::DATE AS total, {key_sql}
+               close_date - created_date::DATE AS total, {key_sql},
+               greatest({", ".join(f"CASE WHEN {test} THEN {i + 1} ELSE 0 END" for i, test in enumerate(STAGE_TESTS.values()))}) AS furthest
         FROM change JOIN deal ON id = deal_id
         WHERE {WON} AND close_date - created_date::DATE > 1 AND lower(field) = 'stagename' AND {where}
         QUALIFY row_number() OVER (PARTITION BY id, ts::DATE
-            ORDER BY ts DESC NULLS LAST, old_value DESC NULLS LAST, new_value DESC NULLS LAST) = 1""",
+            ORDER BY ts DESC, furthest DESC) = 1""",
     )
 
 
@@ -385,10 +386,12 @@ def movement(where: str = "true") -> str:
         WHERE id NOT IN (SELECT id FROM staged WHERE field = 'closedate') GROUP BY y""",
         first_of_day="""
         SELECT id, y, d, try_cast(old_value AS DATE) - d AS lead,
-               try_cast(new_value AS DATE) - try_cast(old_value AS DATE) AS shift
+               try_cast(new_value AS DATE) - try_cast(old_value AS DATE) AS shift,
+               CASE WHEN lead <= 0 THEN 0 WHEN lead <= 7 THEN 1 WHEN lead <= 30 THEN 2 ELSE 3 END AS lead_bucket,
+               CASE WHEN shift <= 0 THEN 0 WHEN shift <= 7 THEN 1 WHEN shift <= 30 THEN 2 ELSE 3 END AS shift_bucket
         FROM staged WHERE field = 'closedate'
         QUALIFY row_number() OVER (PARTITION BY id, d
-            ORDER BY ts, old_value NULLS FIRST, new_value NULLS FIRST) = 1""",
+            ORDER BY ts, lead_bucket, shift_bucket) = 1""",
         moved="SELECT y, count(DISTINCT id) AS changed, "
         + ", ".join(
             [
