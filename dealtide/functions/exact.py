@@ -2,32 +2,30 @@
 
 ``round(a / b, n)`` on doubles depends on how ``a / b`` happens to be represented.
 Here the quotient is taken in integers: half away from zero, the same on every run
-and for every order of partial sums. Inputs must be integers or decimals.
+and for every order of partial sums. Arguments are SQL expressions, aggregates included,
+that give integers or decimals; the denominator must not be negative.
 """
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def rounded_units(numerator: Column, denominator: Column, places: int) -> Column:
-    """``numerator / denominator`` as a whole number of 10**-places; NULL for a zero denominator.
-
-    The denominator must not be negative.
-    """
-    twice = F.lit(Decimal(2 * 10**places))
-    divisor = F.nullif(denominator, F.lit(0)) * F.lit(Decimal(2))
-    units = F.call_function("div", F.abs(numerator) * twice + denominator, divisor)
-    return F.when(numerator < 0, -units).otherwise(units)
+def _units(numerator: str, denominator: str, places: int) -> str:
+    """The ratio as a whole number of 10**-places; NULL for a zero denominator."""
+    # BD literals keep the arithmetic in decimals, which do not overflow like longs.
+    size = (
+        f"((abs({numerator}) * {2 * 10**places}BD + {denominator})"
+        f" div (nullif({denominator}, 0) * 2BD))"
+    )
+    return f"if({numerator} < 0, -{size}, {size})"
 
 
-def rounded_ratio(numerator: Column, denominator: Column, places: int) -> Column:
-    return rounded_units(numerator, denominator, places).cast("double") / F.lit(float(10**places))
+def rounded_ratio(numerator: str, denominator: str, places: int) -> Column:
+    return F.expr(f"cast({_units(numerator, denominator, places)} AS double) / {10**places}D")
 
 
-def percent(part: Column, whole: Column) -> Column:
+def percent(part: str, whole: str) -> Column:
     """Percent with one decimal; NULL when there is no part at all."""
-    return rounded_units(F.nullif(part, F.lit(0)), whole, 3).cast("double") / F.lit(10.0)
+    return F.expr(f"cast({_units(f'nullif({part}, 0)', whole, 3)} AS double) / 10D")

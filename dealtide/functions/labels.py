@@ -76,16 +76,21 @@ def staff_practices(house_brand: str | None = None) -> Rules:
     return (*STAFF_PRACTICES[:after], own, *STAFF_PRACTICES[after:])
 
 
-def label_by_rules(column: Column, rules: Rules, default: Column) -> Column:
-    """Label of the first rule any of whose ILIKE patterns matches, else ``default``."""
-    label = None
-    for name, patterns in rules:
-        test = column.ilike(patterns[0])
-        for pattern in patterns[1:]:
-            test = test | column.ilike(pattern)
-        label = F.when(test, name) if label is None else label.when(test, name)
-    return default if label is None else label.otherwise(default)
-
-
-def deal_practice_label(column: Column, rules: Rules = DEAL_PRACTICES) -> Column:
-    return label_by_rules(column, rules, F.lit(NO_PRACTICE))
+def label_by_rules(column: str, rules: Rules, default: str = "NULL") -> Column:
+    """Label of the first rule any of whose ILIKE patterns matches the column, else ``default``.
+
+    ``default`` is a SQL expression, such as a quoted text or the column itself.
+    """
+
+    def quoted(text: str) -> str:
+        return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    arms = [
+        f"WHEN {column} ILIKE ANY ({', '.join(map(quoted, patterns))}) THEN {quoted(label)}"
+        for label, patterns in rules
+    ]
+    return F.expr(f"CASE {' '.join(arms)} ELSE {default} END")
+
+
+def deal_practice_label(rules: Rules = DEAL_PRACTICES) -> Column:
+    return label_by_rules("practice", rules, f"'{NO_PRACTICE}'").alias("practice")

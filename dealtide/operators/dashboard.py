@@ -23,7 +23,7 @@ _STAGE_AVERAGES = [f"{name}_avg_days_till_close" for name, _ in STAGES]
 
 def _close_keys(rules: Rules) -> list[Column]:
     return [
-        deal_practice_label(F.col("practice"), rules).alias("practice"),
+        deal_practice_label(rules),
         F.year("close_date").alias("year_opp_closed"),
         F.quarter("close_date").alias("quarter_opp_closed"),
     ]
@@ -114,7 +114,7 @@ def win_rate_by_practice_quarter(
         F.when(any_won, F.col("won")).alias("won_opps"),
         F.col("closed").alias("all_closed_opps"),
         F.when(any_won, F.col("closed") - F.col("won")).alias("lost_opps"),
-        percent(F.col("won"), F.col("closed")).alias("opp_win_percent"),
+        percent("won", "closed").alias("opp_win_percent"),
     ).orderBy(
         F.asc_nulls_last("practice"),
         F.asc_nulls_last("year_opp_closed"),
@@ -145,9 +145,7 @@ def days_to_close_by_practice_year(
         .agg(
             F.sum("n").alias("num_opps_won"),
             F.percentile("days", 0.5, F.col("n")).alias("median_days_to_close"),
-            rounded_ratio(F.sum(F.col("days") * F.col("n")), F.sum("n"), 1).alias(
-                "avg_days_to_close"
-            ),
+            rounded_ratio("sum(days * n)", "sum(n)", 1).alias("avg_days_to_close"),
         )
         .orderBy(F.asc_nulls_last("practice"), F.asc_nulls_last("year_opp_closed"))
     )

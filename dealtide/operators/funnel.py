@@ -89,9 +89,9 @@ def null_practice_share_by_creator(
             "opps_year_created",
             "num_opp_w_practice_null",
             "yearly_total_num_opp_w_practice_null",
-            percent(
-                F.col("num_opp_w_practice_null"), F.col("yearly_total_num_opp_w_practice_null")
-            ).alias("yearly_percent_share_of_nulls_created"),
+            percent("num_opp_w_practice_null", "yearly_total_num_opp_w_practice_null").alias(
+                "yearly_percent_share_of_nulls_created"
+            ),
         )
     )
 
@@ -162,7 +162,7 @@ def win_rate_by_year(
         .filter(F.col("closed") > 0)
         .select(
             "year_opp_created",
-            percent(F.col("won"), F.col("closed")).alias("opp_to_win_percent"),
+            percent("won", "closed").alias("opp_to_win_percent"),
         )
         .orderBy(F.asc_nulls_last("year_opp_created"))
     )
@@ -190,7 +190,7 @@ def days_to_close_stats(
     )
     return trim_outliers(days, "days", "n", k).agg(
         F.percentile("days", 0.5, F.col("n")).alias("median_days_to_close"),
-        rounded_ratio(F.sum(F.col("days") * F.col("n")), F.sum("n"), 1).alias("avg_days_to_close"),
+        rounded_ratio("sum(days * n)", "sum(n)", 1).alias("avg_days_to_close"),
     )
 
 
@@ -202,16 +202,15 @@ def stage_day_sums(deals: DataFrame, history: DataFrame, keys: Sequence[str], k:
     its days to close, so trimming works on one row per (keys, days).
     """
     rollup = stage_changes_per_deal(history).withColumnRenamed("opportunity_id", "id")
-    close = F.unix_date("close_date")
-    measures = [F.count("*").alias("num_opps"), F.sum("changes").alias("changes")]
+    measures = [F.expr("count(*) AS num_opps"), F.expr("sum(changes) AS changes")]
     for name, _ in STAGES:
-        n = F.col(f"{name}_changes")
-        left = F.coalesce(n * close - F.col(f"{name}_day_sum"), F.lit(0))
-        measures += [F.sum(n).alias(f"{name}_changes"), F.sum(left).alias(f"{name}_days")]
+        left = f"{name}_changes * unix_date(close_date) - {name}_day_sum"
+        measures.append(F.expr(f"sum({name}_changes) AS {name}_changes"))
+        measures.append(F.expr(f"sum(coalesce({left}, 0)) AS {name}_days"))
     histogram = deals.join(rollup, "id").groupBy(*keys, "days").agg(*measures)
     kept = trim_outliers(histogram, "days", "changes", k)
     averages = [
-        rounded_ratio(F.sum(f"{name}_days"), F.sum(f"{name}_changes"), 1).alias(
+        rounded_ratio(f"sum({name}_days)", f"sum({name}_changes)", 1).alias(
             f"{name}_avg_days_till_close"
         )
         for name, _ in STAGES
@@ -278,7 +277,7 @@ def loss_reason_rate(opps: DataFrame, *, min_year: int = 2020) -> DataFrame:
         opps.filter(lost() & from_year(F.col("created_date"), min_year))
         .groupBy(created_year().alias("year_opp_created"))
         .agg(
-            percent(F.count("reason_code"), F.count("*")).alias(
+            percent("count(reason_code)", "count(*)").alias(
                 "reason_for_opp_closing_provided_percent"
             )
         )

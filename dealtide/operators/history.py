@@ -45,9 +45,7 @@ def field_changes_per_opp(
         .groupBy("year_opp_created")
         .agg(F.sum("change_days").alias("change_days"), F.count("id").alias("deals"))
         .filter(F.col("change_days").isNotNull())
-        .select(
-            "year_opp_created", rounded_ratio(F.col("change_days"), F.col("deals"), 1).alias(name)
-        )
+        .select("year_opp_created", rounded_ratio("change_days", "deals", 1).alias(name))
         .orderBy(F.asc_nulls_last("year_opp_created"))
     )
 

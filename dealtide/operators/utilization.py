@@ -48,11 +48,11 @@ def master_utilization(
             "consultant_name",
             F.col("role").alias("resource_role"),
             F.col("price").alias("resource_price"),
-            label_by_rules(F.col("practice"), rules, F.col("practice")).alias("practice"),
+            label_by_rules("practice", rules, "practice").alias("practice"),
             "month",
             F.col("target").alias("util_target"),
             F.col("adj_target").alias("adjusted_util_target"),
-            rounded_ratio(F.col("billable_hours") * 100, F.col("calendar_hours"), 1).alias(
+            rounded_ratio("billable_hours * 100", "calendar_hours", 1).alias(
                 "effective_utilization"
             ),
         )
@@ -64,20 +64,12 @@ def master_utilization(
     )
 
 
-def _effective() -> Column:
-    """The utilization as an exact decimal; it has one place."""
-    return F.col("effective_utilization").cast("decimal(18,1)")
-
-
-def _target() -> Column:
-    return F.col("adjusted_util_target").cast("decimal(18,2)")
-
-
 def _averages() -> list[Column]:
-    reached, reached_n = F.sum(_effective()), F.count("effective_utilization")
-    target, target_n = F.sum(_target()), F.count("adjusted_util_target")
+    # Utilization has one decimal place; as a decimal it is exact again.
+    reached, reached_n = "sum(cast(effective_utilization AS decimal(18,1)))", "count(effective_utilization)"
+    target, target_n = "sum(cast(adjusted_util_target AS decimal(18,2)))", "count(adjusted_util_target)"
     return [
-        rounded_ratio(100 * reached * target_n, target * reached_n, 1).alias(
+        rounded_ratio(f"(100 * {reached} * {target_n})", f"({target} * {reached_n})", 1).alias(
             "percent_of_util_achieved"
         ),
         rounded_ratio(target, target_n, 1).alias("average_utilization_target"),
@@ -107,16 +99,14 @@ def utilization_by_practice_quarter(master: DataFrame) -> DataFrame:
 
 def utilization_by_role(master: DataFrame, *, rules: Rules = CONSULTANT_ROLES) -> DataFrame:
     """Mean price and utilization by role; roles without a rule are left out."""
-    role = label_by_rules(F.col("resource_role"), rules, F.lit(None).cast("string"))
-    price = F.col("resource_price").cast("decimal(18,2)")
+    role = label_by_rules("resource_role", rules)
+    price = "sum(cast(resource_price AS decimal(18,2)))"
     return (
         master.withColumn("resource_roles", role)
         .filter(F.col("resource_roles").isNotNull())
         .groupBy("resource_roles")
         .agg(
-            rounded_ratio(F.sum(price), F.count("resource_price"), 0).alias(
-                "average_resource_price_usd"
-            ),
+            rounded_ratio(price, "count(resource_price)", 0).alias("average_resource_price_usd"),
             *_averages(),
         )
         .orderBy(F.desc_nulls_last("percent_of_util_achieved"), "resource_roles")

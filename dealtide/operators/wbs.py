@@ -36,7 +36,7 @@ def _role_test(like: Sequence[str], not_like: Sequence[str]) -> Column:
 
 def mean_hours() -> Column:
     """Mean hours per entry (not per deal) over roll-ups of entries."""
-    return rounded_ratio(F.sum("hours"), F.sum("entries"), 1).alias("avg_hours_per_opp")
+    return rounded_ratio("sum(hours)", "sum(entries)", 1).alias("avg_hours_per_opp")
 
 
 def wbs_hours_by_practice(opps: DataFrame, wbs: DataFrame, *, min_year: int = 2021) -> DataFrame:

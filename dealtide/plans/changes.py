@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealtide.functions.dates import days_between
-
 # Lower-case names of the tracked fields.
 STAGE_FIELD = "stagename"
 CLOSE_DATE_FIELD = "closedate"
@@ -40,22 +38,20 @@ def change_days_per_deal(history: DataFrame, field: str) -> DataFrame:
     )
 
 
-def _in_day_order(code: Column) -> Column:
-    """One long that orders the changes of a day by time, then by ``code`` (0 to 31).
+# A day has 24 * 60 * 60 * 1e6 microseconds; times 32 codes this stays far below 2**63.
+_MICROS_OF_DAY = """((hour(created_date) * 60L + minute(created_date)) * 60000000L
+                     + cast(extract(SECOND FROM created_date) * 1000000 AS bigint))"""
 
-    Its max or min picks the last or first change together with its code. Being a plain
-    number it is folded in a hash aggregation before the shuffle, without sorting the
-    history, and is all that is shuffled. Changes at the same moment are told apart by code
-    only, so the pick never depends on the order of rows.
-    """
-    at = F.col("created_date")
-    minutes = (F.hour(at) * 60 + F.minute(at)).cast("bigint")
-    micros = (F.extract(F.lit("SECOND"), at) * 1_000_000).cast("bigint")
-    return (minutes * 60_000_000 + micros) * 32 + code
 
+def _pick_of_day(fold: str, code: str) -> Column:
+    """Code (0 to 31) of the last (``max``) or first (``min``) change of a day.
 
-def _code(in_day_order: Column) -> Column:
-    return (in_day_order % 32).cast("int")
+    Time of day and code share one long. Being a plain number it is folded in a hash
+    aggregation before the shuffle, without sorting the history, and is all that is
+    shuffled. Changes at the same moment are told apart by code only, so the pick never
+    depends on the order of rows. A NULL code is no candidate.
+    """
+    return F.expr(f"cast({fold}({_MICROS_OF_DAY} * 32 + ({code})) % 32 AS int)")
 
 
 def stage_changes_per_deal(history: DataFrame) -> DataFrame:
@@ -65,20 +61,21 @@ def stage_changes_per_deal(history: DataFrame) -> DataFrame:
     change days as days since 1970), from which the days left to any close date follow.
     Of changes at the same moment the one furthest down the list of stages counts.
     """
-    stage = F.lower("new_value")
     # One bit per stage pattern that the new value matches.
-    bits = [F.when(stage.like(pattern), 2**i).otherwise(0) for i, (_, pattern) in enumerate(STAGES)]
+    matched = " + ".join(
+        f"if(lower(new_value) LIKE '{pattern}', {2**i}, 0)"
+        for i, (_, pattern) in enumerate(STAGES)
+    )
     daily = (
         of_field(history, STAGE_FIELD)
         .groupBy("opportunity_id", F.to_date("created_date").alias("change_day"))
-        .agg(_code(F.max(_in_day_order(sum(bits, F.lit(0))))).alias("stages"))
+        .agg(_pick_of_day("max", matched).alias("stages"))
     )
-    day = F.unix_date("change_day")
-    measures: list[Column] = [F.count("*").alias("changes")]
+    measures = [F.expr("count(*) AS changes")]
     for i, (name, _) in enumerate(STAGES):
-        hit = F.col("stages").bitwiseAND(2**i) != 0
-        measures.append(F.count_if(hit).alias(f"{name}_changes"))
-        measures.append(F.sum(F.when(hit, day)).alias(f"{name}_day_sum"))
+        hit = f"stages & {2**i} != 0"
+        measures.append(F.expr(f"count_if({hit}) AS {name}_changes"))
+        measures.append(F.expr(f"sum(if({hit}, unix_date(change_day), NULL)) AS {name}_day_sum"))
     return daily.groupBy("opportunity_id").agg(*measures)
 
 
@@ -94,29 +91,25 @@ def close_date_moves_per_deal(history: DataFrame, cuts: tuple[int, int, int]) ->
     Changes of other fields share one group per deal (no change day), so they shrink to a
     single row before the shuffle; they only prove that the deal has history.
     """
-    is_move = F.lower("field") == CLOSE_DATE_FIELD
-    day = F.to_date("created_date")
-    old_close = F.when(is_move, F.col("old_value").try_cast("date"))
-    new_close = F.when(is_move, F.col("new_value").try_cast("date"))
-    lead = _bucket(days_between(day, old_close), cuts)
-    shift = _bucket(days_between(old_close, new_close), cuts)
+    is_move = f"lower(field) = '{CLOSE_DATE_FIELD}'"
+    day = "cast(created_date AS date)"
+    old_close, new_close = "try_cast(old_value AS date)", "try_cast(new_value AS date)"
+    lead = _bucket(f"datediff({old_close}, {day})", cuts)
+    shift = _bucket(f"datediff({new_close}, {old_close})", cuts)
     daily = history.groupBy(
-        "opportunity_id", F.when(is_move, day).alias("change_day")
-    ).agg(_code(F.min(F.when(is_move, _in_day_order(lead * 5 + shift)))).alias("move"))
-    measures = [F.count("move").alias("change_days")]
+        "opportunity_id", F.expr(f"if({is_move}, {day}, NULL) AS change_day")
+    ).agg(_pick_of_day("min", f"if({is_move}, {lead} * 5 + {shift}, NULL)").alias("move"))
+    measures = [F.expr("count(move) AS change_days")]
     for i in range(4):
-        measures.append(F.count_if(F.floor(F.col("move") / 5) == i).alias(f"lead_{i}"))
-        measures.append(F.count_if(F.col("move") % 5 == i).alias(f"shift_{i}"))
+        measures.append(F.expr(f"count_if(move div 5 = {i}) AS lead_{i}"))
+        measures.append(F.expr(f"count_if(move % 5 = {i}) AS shift_{i}"))
     return daily.groupBy("opportunity_id").agg(*measures)
 
 
-def _bucket(days: Column, cuts: tuple[int, int, int]) -> Column:
+def _bucket(days: str, cuts: tuple[int, int, int]) -> str:
     """0 to 3 by upper end, 4 when the days are unknown."""
     first, second, third = cuts
     return (
-        F.when(days <= first, 0)
-        .when(days <= second, 1)
-        .when(days <= third, 2)
-        .when(days > third, 3)
-        .otherwise(4)
+        f"CASE WHEN {days} <= {first} THEN 0 WHEN {days} <= {second} THEN 1"
+        f" WHEN {days} <= {third} THEN 2 WHEN {days} > {third} THEN 3 ELSE 4 END"
     )

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 
 def trim_outliers(histogram: DataFrame, value: str, weight: str, k: float = 3) -> DataFrame:
@@ -18,17 +17,14 @@ def trim_outliers(histogram: DataFrame, value: str, weight: str, k: float = 3) -
     Sums are exact integers, so the cut does not depend on the order of partial sums. A single
     observation has no standard deviation and is dropped.
     """
-    everything = Window.partitionBy()
-    v = F.col(value).cast("decimal(10,0)")
-    w = F.col(weight).cast("decimal(18,0)")
-    n = F.sum(w).over(everything)
-    s1 = F.sum(v * w).over(everything)
-    s2 = F.sum(v * v * w).over(everything)
-    sums = histogram.withColumns(
-        {"_n": n.cast("decimal(20,0)"), "_s1": s1.cast("decimal(28,0)"), "_s2": s2}
+    v, w = f"cast({value} AS decimal(10,0))", f"cast({weight} AS decimal(18,0))"
+    moments = histogram.selectExpr(
+        "*",
+        f"sum({w}) OVER () AS _n",
+        f"cast(sum({v} * {w}) OVER () AS decimal(28,0)) AS _s1",
+        f"sum({v} * {v} * {w}) OVER () AS _s2",
     )
-    size = F.col("_n").cast("double")
-    mean = F.col("_s1").cast("double") / size
-    spread = (F.col("_n") * F.col("_s2") - F.col("_s1") * F.col("_s1")).cast("double")
-    reach = F.lit(float(k)) * F.sqrt(spread / F.nullif(size * (size - 1), F.lit(0.0)))
-    return sums.filter(F.col(value).between(mean - reach, mean + reach)).drop("_n", "_s1", "_s2")
+    mean = "double(_s1) / double(_n)"
+    deviation = "sqrt(double(_n * _s2 - _s1 * _s1) / nullif(double(_n) * double(_n - 1), 0D))"
+    inside = f"{value} BETWEEN {mean} - {k} * {deviation} AND {mean} + {k} * {deviation}"
+    return moments.filter(inside).drop("_n", "_s1", "_s2")
