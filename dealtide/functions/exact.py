@@ -12,17 +12,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _units(numerator: str, denominator: str, places: int) -> str:
+def _units(numerator: str, denominator: str, places: int, literal: str = "BD") -> str:
     """The ratio as a whole number of 10**-places; NULL for a zero denominator."""
-    # BD literals keep the arithmetic in decimals, which do not overflow like longs.
     size = (
-        f"((abs({numerator}) * {2 * 10**places}BD + {denominator})"
-        f" div (nullif({denominator}, 0) * 2BD))"
+        f"((abs({numerator}) * {2 * 10**places}{literal} + {denominator})"
+        f" div (nullif({denominator}, 0) * 2{literal}))"
     )
     return f"if({numerator} < 0, -{size}, {size})"
 
 
+def rounded_units(numerator: str, denominator: str, places: int) -> Column:
+    """The ratio of two longs of one row as a long in units of 10**-places."""
+    return F.expr(_units(numerator, denominator, places, "L"))
+
+
 def rounded_ratio(numerator: str, denominator: str, places: int) -> Column:
+    """The ratio of two totals as a double; computed in decimals, which hold any total."""
     return F.expr(f"cast({_units(numerator, denominator, places)} AS double) / {10**places}D")
 
 

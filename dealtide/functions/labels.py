@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Rules = Sequence[tuple[str, Sequence[str]]]
@@ -76,21 +76,28 @@ def staff_practices(house_brand: str | None = None) -> Rules:
     return (*STAFF_PRACTICES[:after], own, *STAFF_PRACTICES[after:])
 
 
-def label_by_rules(column: str, rules: Rules, default: str = "NULL") -> Column:
-    """Label of the first rule any of whose ILIKE patterns matches the column, else ``default``.
+def label_by_rules(
+    df: DataFrame, column: str, rules: Rules, default: str = "NULL", name: str | None = None
+) -> DataFrame:
+    """``df`` with the label of the first rule that has a matching pattern, else ``default``.
 
-    ``default`` is a SQL expression, such as a quoted text or the column itself.
+    ``default`` is a SQL expression, such as a quoted text or the column itself. The label
+    goes to column ``name``, or replaces the column. Patterns are in lower case; the text is
+    lowered once per row, in a projection of its own, rather than in every test.
     """
 
     def quoted(text: str) -> str:
         return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
     arms = [
-        f"WHEN {column} ILIKE ANY ({', '.join(map(quoted, patterns))}) THEN {quoted(label)}"
+        f"WHEN _lower LIKE ANY ({', '.join(quoted(p.lower()) for p in patterns)})"
+        f" THEN {quoted(label)}"
         for label, patterns in rules
     ]
-    return F.expr(f"CASE {' '.join(arms)} ELSE {default} END")
+    label = F.expr(f"CASE {' '.join(arms)} ELSE {default} END")
+    return df.withColumn("_lower", F.lower(column)).withColumn(name or column, label).drop("_lower")
 
 
-def deal_practice_label(rules: Rules = DEAL_PRACTICES) -> Column:
-    return label_by_rules("practice", rules, f"'{NO_PRACTICE}'").alias("practice")
+def with_deal_practice(deals: DataFrame, rules: Rules = DEAL_PRACTICES) -> DataFrame:
+    """Replaces the practice of deals by its label."""
+    return label_by_rules(deals, "practice", rules, f"'{NO_PRACTICE}'")

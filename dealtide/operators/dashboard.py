@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from dealtide.functions.dates import within_quarters, within_years
 from dealtide.functions.deals import closed_once, days_to_close, won
 from dealtide.functions.exact import percent, rounded_ratio
-from dealtide.functions.labels import DEAL_PRACTICES, Rules, deal_practice_label
+from dealtide.functions.labels import DEAL_PRACTICES, Rules, with_deal_practice
 from dealtide.operators.funnel import stage_day_sums
 from dealtide.operators.wbs import mean_hours
 from dealtide.plans.changes import STAGES
@@ -21,12 +21,15 @@ from dealtide.plans.trim import trim_outliers
 _STAGE_AVERAGES = [f"{name}_avg_days_till_close" for name, _ in STAGES]
 
 
-def _close_keys(rules: Rules) -> list[Column]:
-    return [
-        deal_practice_label(rules),
-        F.year("close_date").alias("year_opp_closed"),
-        F.quarter("close_date").alias("quarter_opp_closed"),
-    ]
+def _closed_within(opps: DataFrame, test: Column, columns: Sequence[str], rules: Rules) -> DataFrame:
+    """The given columns of the deals that pass, with practice label, closing year and quarter."""
+    deals = opps.filter(test).selectExpr(
+        "practice",
+        "year(close_date) AS year_opp_closed",
+        "quarter(close_date) AS quarter_opp_closed",
+        *columns,
+    )
+    return with_deal_practice(deals, rules)
 
 
 def _stage_days(
@@ -38,12 +41,9 @@ def _stage_days(
     k: float,
     rules: Rules,
 ) -> DataFrame:
-    deals = (
-        opps.filter(won() & window)
-        .select("id", "close_date", days_to_close().alias("days"), *_close_keys(rules))
-        .filter(F.col("days") > min_days)
-        .select("id", "close_date", "days", *keys)
-    )
+    test = won() & window & (days_to_close() > min_days)
+    columns = ["id", "close_date", "datediff(close_date, created_date) AS days"]
+    deals = _closed_within(opps, test, columns, rules).select("id", "close_date", "days", *keys)
     return stage_day_sums(deals, history, keys, k)
 
 
@@ -100,8 +100,12 @@ def win_rate_by_practice_quarter(
     count, but its year, quarter, won, lost and percent are NULL.
     """
     counts = (
-        opps.filter(F.col("is_closed") & within_years(F.col("close_date"), as_of, years))
-        .select("is_closed", "is_won", "stage_name", *_close_keys(rules))
+        _closed_within(
+            opps,
+            F.col("is_closed") & within_years(F.col("close_date"), as_of, years),
+            ["is_closed", "is_won", "stage_name"],
+            rules,
+        )
         .groupBy("practice", "year_opp_closed", "quarter_opp_closed")
         .agg(F.count_if(won()).alias("won"), F.count_if(closed_once()).alias("closed"))
         .filter(F.col("closed") > 0)
@@ -133,11 +137,14 @@ def days_to_close_by_practice_year(
 ) -> DataFrame:
     """Median and mean days to close of won deals; outliers are judged over all practices."""
     histogram = (
-        opps.filter(won() & within_years(F.col("close_date"), as_of, years))
-        .select(days_to_close().alias("days"), *_close_keys(rules))
+        _closed_within(
+            opps,
+            won() & within_years(F.col("close_date"), as_of, years) & (days_to_close() > min_days),
+            ["datediff(close_date, created_date) AS days"],
+            rules,
+        )
         .groupBy("practice", "year_opp_closed", "days")
         .agg(F.count("*").alias("n"))
-        .filter(F.col("days") > min_days)
     )
     return (
         trim_outliers(histogram, "days", "n", k)
@@ -161,10 +168,9 @@ def wbs_hours_by_practice_quarter(
     rules: Rules = DEAL_PRACTICES,
 ) -> DataFrame:
     """Mean planned hours and deals with a plan, by practice and quarter of closing."""
-    deals = (
-        opps.filter(won() & within_years(F.col("close_date"), as_of, years))
-        .select(F.col("id").alias("opportunity_id"), *_close_keys(rules))
-        .filter(~F.lower("practice").isin([label.lower() for label in drop]))
+    test = won() & within_years(F.col("close_date"), as_of, years)
+    deals = _closed_within(opps, test, ["id AS opportunity_id"], rules).filter(
+        ~F.lower("practice").isin([label.lower() for label in drop])
     )
     return (
         deals.join(newest_batch_per_deal(wbs), "opportunity_id")

@@ -149,23 +149,27 @@ def resource_request_audit(
     Nothing is keyed by the request alone except one row per request and day: events are
     numbered within the day, and the days carry how many events came before.
     """
-    day = F.to_date("created_date")
-    by_request = Window.partitionBy("id")
-    earlier = by_request.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    marks = ["last_change", "first_hold", "last_hold", "final_change"]
-    pick = {"last_change": F.max, "first_hold": F.min, "last_hold": F.max, "final_change": F.max}
+    # Read and shuffled once: the numbering and the roll-up below use the same exchange.
+    events = (
+        history.withColumnRenamed("parent_id", "id")
+        .withColumn("day", F.to_date("created_date"))
+        .repartition("id", "day")
+    )
     # The names hold every real resource once, so this also drops requests for placeholders.
     lost_requests = (
         _lost_requests(requests, opps, min_year)
         .join(consultant_names(actuals), "resource_id")
         .withColumnRenamed("created_date", "requested")
     )
+    by_request = Window.partitionBy("id")
+    earlier = by_request.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    pick = {"last_change": F.max, "first_hold": F.min, "last_hold": F.max, "final_change": F.max}
     days = (
-        history.groupBy(F.col("parent_id").alias("id"), day.alias("day"))
+        events.groupBy("id", "day")
         .agg(F.count("*").alias("events"), *milestones())
         .join(lost_requests, "id")
         .withColumn("events_before", F.coalesce(F.sum("events").over(earlier), F.lit(0)))
-        .withColumns({mark: pick[mark](mark).over(by_request) for mark in marks})
+        .withColumns({mark: fold(mark).over(by_request) for mark, fold in pick.items()})
     )
     in_day = Window.partitionBy("id", "day").orderBy(
         "at",
@@ -173,14 +177,11 @@ def resource_request_audit(
         F.asc_nulls_last("old_value"),
         F.asc_nulls_last("new_value"),
     )
-    events = history.select(
-        F.col("parent_id").alias("id"),
-        day.alias("day"),
-        F.col("created_date").alias("at"),
-        "field",
-        "old_value",
-        "new_value",
-    ).join(days, ["id", "day"])
+    numbered = (
+        events.withColumnRenamed("created_date", "at")
+        .join(days, ["id", "day"])
+        .withColumn("order_of_events", F.col("events_before") + F.row_number().over(in_day))
+    )
 
     def known(mark: str):
         return F.when(F.col("at") >= F.col(mark), F.col(mark))
@@ -194,8 +195,7 @@ def resource_request_audit(
         (person_assigned() | hold_changed()) | (F.col("at") == F.col("final_change"))
     )
     return (
-        events.withColumn("order_of_events", F.col("events_before") + F.row_number().over(in_day))
-        .filter(shown)
+        numbered.filter(shown)
         .orderBy("close_date", "id", "order_of_events")
         .select(
             "practice",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealtide.functions.dates import in_year, quarter_label_of_month
-from dealtide.functions.exact import rounded_ratio
+from dealtide.functions.exact import rounded_ratio, rounded_units
 from dealtide.functions.labels import CONSULTANT_ROLES, STAFF_PRACTICES, Rules, label_by_rules
 from dealtide.operators.staffing import consultant_names
 
@@ -41,39 +41,43 @@ def master_utilization(
         & (F.col("target") > 0)
         & (F.col("adj_target") > 0)
     )
-    return (
+    # Hours in hundredths, so that the ratio of a row is computed in longs.
+    effective = rounded_units(
+        "cast(billable_hours * 100 AS bigint) * 100", "cast(calendar_hours * 100 AS bigint)", 1
+    )
+    rows = (
         worked.join(months, "calc_id")
         .join(consultant_names(actuals), "resource_id", "left")
         .select(
             "consultant_name",
             F.col("role").alias("resource_role"),
             F.col("price").alias("resource_price"),
-            label_by_rules("practice", rules, "practice").alias("practice"),
+            "practice",
             "month",
             F.col("target").alias("util_target"),
             F.col("adj_target").alias("adjusted_util_target"),
-            rounded_ratio("billable_hours * 100", "calendar_hours", 1).alias(
-                "effective_utilization"
-            ),
-        )
-        .orderBy(
-            F.asc_nulls_last("practice"),
-            F.asc_nulls_last("consultant_name"),
-            F.asc_nulls_last("month"),
+            (effective * F.expr("0.1BD")).cast("decimal(18,1)").alias("effective_utilization"),
         )
     )
+    return label_by_rules(rows, "practice", rules, "practice").orderBy(
+        F.asc_nulls_last("practice"),
+        F.asc_nulls_last("consultant_name"),
+        F.asc_nulls_last("month"),
+    )
 
 
 def _averages() -> list[Column]:
-    # Utilization has one decimal place; as a decimal it is exact again.
-    reached, reached_n = "sum(cast(effective_utilization AS decimal(18,1)))", "count(effective_utilization)"
-    target, target_n = "sum(cast(adjusted_util_target AS decimal(18,2)))", "count(adjusted_util_target)"
+    # Sums in whole tenths and hundredths.
+    reached, target = "sum(cast(round(effective_utilization * 10) AS bigint))", (
+        "sum(cast(round(adjusted_util_target * 100) AS bigint))"
+    )
+    reached_n, target_n = "count(effective_utilization)", "count(adjusted_util_target)"
     return [
-        rounded_ratio(f"(100 * {reached} * {target_n})", f"({target} * {reached_n})", 1).alias(
+        rounded_ratio(f"(1000BD * {reached} * {target_n})", f"(1BD * {target} * {reached_n})", 1).alias(
             "percent_of_util_achieved"
         ),
-        rounded_ratio(target, target_n, 1).alias("average_utilization_target"),
-        rounded_ratio(reached, reached_n, 1).alias("average_utilization"),
+        rounded_ratio(target, f"(100 * {target_n})", 1).alias("average_utilization_target"),
+        rounded_ratio(reached, f"(10 * {reached_n})", 1).alias("average_utilization"),
     ]
 
 
@@ -99,14 +103,15 @@ def utilization_by_practice_quarter(master: DataFrame) -> DataFrame:
 
 def utilization_by_role(master: DataFrame, *, rules: Rules = CONSULTANT_ROLES) -> DataFrame:
     """Mean price and utilization by role; roles without a rule are left out."""
-    role = label_by_rules("resource_role", rules)
-    price = "sum(cast(resource_price AS decimal(18,2)))"
+    cents = "sum(cast(round(resource_price * 100) AS bigint))"
     return (
-        master.withColumn("resource_roles", role)
+        label_by_rules(master, "resource_role", rules, name="resource_roles")
         .filter(F.col("resource_roles").isNotNull())
         .groupBy("resource_roles")
         .agg(
-            rounded_ratio(price, "count(resource_price)", 0).alias("average_resource_price_usd"),
+            rounded_ratio(cents, "(100 * count(resource_price))", 0).alias(
+                "average_resource_price_usd"
+            ),
             *_averages(),
         )
         .orderBy(F.desc_nulls_last("percent_of_util_achieved"), "resource_roles")

@@ -35,8 +35,8 @@ def _role_test(like: Sequence[str], not_like: Sequence[str]) -> Column:
 
 
 def mean_hours() -> Column:
-    """Mean hours per entry (not per deal) over roll-ups of entries."""
-    return rounded_ratio("sum(hours)", "sum(entries)", 1).alias("avg_hours_per_opp")
+    """Mean hours per entry (not per deal) over roll-ups of entries, which hold hundredths."""
+    return rounded_ratio("sum(hours)", "(100 * sum(entries))", 1).alias("avg_hours_per_opp")
 
 
 def wbs_hours_by_practice(opps: DataFrame, wbs: DataFrame, *, min_year: int = 2021) -> DataFrame:

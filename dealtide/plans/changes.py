@@ -63,11 +63,11 @@ def stage_changes_per_deal(history: DataFrame) -> DataFrame:
     """
     # One bit per stage pattern that the new value matches.
     matched = " + ".join(
-        f"if(lower(new_value) LIKE '{pattern}', {2**i}, 0)"
-        for i, (_, pattern) in enumerate(STAGES)
+        f"if(stage LIKE '{pattern}', {2**i}, 0)" for i, (_, pattern) in enumerate(STAGES)
     )
     daily = (
         of_field(history, STAGE_FIELD)
+        .select("opportunity_id", "created_date", F.lower("new_value").alias("stage"))
         .groupBy("opportunity_id", F.to_date("created_date").alias("change_day"))
         .agg(_pick_of_day("max", matched).alias("stages"))
     )
@@ -91,14 +91,22 @@ def close_date_moves_per_deal(history: DataFrame, cuts: tuple[int, int, int]) ->
     Changes of other fields share one group per deal (no change day), so they shrink to a
     single row before the shuffle; they only prove that the deal has history.
     """
-    is_move = f"lower(field) = '{CLOSE_DATE_FIELD}'"
-    day = "cast(created_date AS date)"
-    old_close, new_close = "try_cast(old_value AS date)", "try_cast(new_value AS date)"
-    lead = _bucket(f"datediff({old_close}, {day})", cuts)
-    shift = _bucket(f"datediff({new_close}, {old_close})", cuts)
-    daily = history.groupBy(
-        "opportunity_id", F.expr(f"if({is_move}, {day}, NULL) AS change_day")
-    ).agg(_pick_of_day("min", f"if({is_move}, {lead} * 5 + {shift}, NULL)").alias("move"))
+    day = F.when(F.lower("field") == CLOSE_DATE_FIELD, F.to_date("created_date"))
+    dated = history.select(
+        "opportunity_id",
+        "created_date",
+        day.alias("change_day"),
+        F.when(day.isNotNull(), F.col("old_value").try_cast("date")).alias("old_close"),
+        F.when(day.isNotNull(), F.col("new_value").try_cast("date")).alias("new_close"),
+    ).selectExpr(
+        "*",
+        "datediff(old_close, change_day) AS lead",
+        "datediff(new_close, old_close) AS shift",
+    )
+    buckets = f"{_bucket('lead', cuts)} * 5 + {_bucket('shift', cuts)}"
+    daily = dated.groupBy("opportunity_id", "change_day").agg(
+        _pick_of_day("min", f"if(change_day IS NULL, NULL, {buckets})").alias("move")
+    )
     measures = [F.expr("count(move) AS change_days")]
     for i in range(4):
         measures.append(F.expr(f"count_if(move div 5 = {i}) AS lead_{i}"))

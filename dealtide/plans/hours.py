@@ -11,13 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _hundredths() -> Column:
+    """Hours in whole hundredths: sums of longs are cheaper than sums of decimals."""
+    return (F.col("hours") * 100).cast("bigint")
+
+
 def newest_batch_per_deal(wbs: DataFrame, counted: Column | None = None) -> DataFrame:
-    """opportunity_id, hours, entries: totals over the counted rows of the newest batch.
+    """opportunity_id, hours (in hundredths), entries: totals of the counted rows of the newest batch.
 
     The batch is chosen among all rows with hours; ``counted`` only limits what is summed.
     Deals without a counted row in their newest batch are left out.
     """
-    hours = F.col("hours") if counted is None else F.when(counted, F.col("hours"))
+    hours = _hundredths() if counted is None else F.when(counted, _hundredths())
     batches = (
         wbs.filter(F.col("hours") != 0)
         .groupBy("opportunity_id", "created_date")
@@ -45,6 +50,6 @@ def newest_batch_per_deal_and_role(wbs: DataFrame, counted: Column) -> DataFrame
     per_role = (
         entered.filter(counted)
         .groupBy("opportunity_id", "created_date", "role")
-        .agg(F.sum("hours").alias("hours"), F.count("hours").alias("entries"))
+        .agg(F.sum(_hundredths()).alias("hours"), F.count("hours").alias("entries"))
     )
     return per_role.join(newest, ["opportunity_id", "created_date"], "left_semi").drop("created_date")

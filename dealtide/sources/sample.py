@@ -101,7 +101,7 @@ def wbs(items: DataFrame, parts: DataFrame) -> DataFrame:
         """CASE p_type WHEN 'PROMO' THEN 'Data Engineer' WHEN 'LARGE' THEN 'Senior Data Consultant'
                 WHEN 'ECONOMY' THEN 'Data Contractor' WHEN 'SMALL' THEN 'Data Protection Consultant'
                 ELSE 'Cloud Consultant' END AS role""",
-        "cast(l_quantity - 1 AS decimal(12,2)) AS hours",
+        "cast(cast(l_quantity AS int) - 1 AS decimal(12,2)) AS hours",
     )
 
 
@@ -174,7 +174,7 @@ def utilization_detail(items: DataFrame, parts: DataFrame) -> DataFrame:
         # Price per unit in whole cents, rounded in integers.
         """cast(((2 * cast(round(l_extendedprice * 100) AS bigint) + cast(l_quantity AS bigint))
                  div (2 * cast(l_quantity AS bigint))) * 0.01BD AS decimal(12,2)) AS price""",
-        "cast(l_quantity AS decimal(12,2)) AS billable_hours",
+        "cast(cast(l_quantity AS int) AS decimal(12,2)) AS billable_hours",
         "cast(if(l_tax = 0, 0, 50) AS decimal(12,2)) AS calendar_hours",
         "l_shipdate AS last_modified",
         "if(l_linenumber = 4, 'Week', 'Month') AS time_period_type",
