@@ -146,14 +146,17 @@ def resource_request_audit(
     Shows assignments of a person, changes of the hold flag, and everything at the final
     moment. A milestone is known from its own moment on, so the day counts are NULL before it.
 
-    Nothing is keyed by the request alone except one row per request and day: events are
-    numbered within the day, and the days carry how many events came before.
+    Nothing is keyed by the request alone except one row per request and hour: events are
+    numbered within the hour, and the hours carry how many events came before.
     """
     # Read and shuffled once: the numbering and the roll-up below use the same exchange.
     events = (
         history.withColumnRenamed("parent_id", "id")
-        .withColumn("day", F.to_date("created_date"))
-        .repartition("id", "day")
+        .withColumn(
+            "slot", F.unix_date(F.to_date("created_date")) * 24 + F.hour("created_date")
+        )
+        .filter(F.col("id").isNotNull() & F.col("slot").isNotNull())
+        .repartition("id", "slot")
     )
     # The names hold every real resource once, so this also drops requests for placeholders.
     lost_requests = (
@@ -162,16 +165,16 @@ def resource_request_audit(
         .withColumnRenamed("created_date", "requested")
     )
     by_request = Window.partitionBy("id")
-    earlier = by_request.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = by_request.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     pick = {"last_change": F.max, "first_hold": F.min, "last_hold": F.max, "final_change": F.max}
-    days = (
-        events.groupBy("id", "day")
+    slots = (
+        events.groupBy("id", "slot")
         .agg(F.count("*").alias("events"), *milestones())
         .join(lost_requests, "id")
         .withColumn("events_before", F.coalesce(F.sum("events").over(earlier), F.lit(0)))
         .withColumns({mark: fold(mark).over(by_request) for mark, fold in pick.items()})
     )
-    in_day = Window.partitionBy("id", "day").orderBy(
+    in_slot = Window.partitionBy("id", "slot").orderBy(
         "at",
         F.asc_nulls_last("field"),
         F.asc_nulls_last("old_value"),
@@ -179,8 +182,8 @@ def resource_request_audit(
     )
     numbered = (
         events.withColumnRenamed("created_date", "at")
-        .join(days, ["id", "day"])
-        .withColumn("order_of_events", F.col("events_before") + F.row_number().over(in_day))
+        .join(slots, ["id", "slot"])
+        .withColumn("order_of_events", F.col("events_before") + F.row_number().over(in_slot))
     )
 
     def known(mark: str):

@@ -59,10 +59,20 @@ def master_utilization(
             (effective * F.expr("0.1BD")).cast("decimal(18,1)").alias("effective_utilization"),
         )
     )
+    # The columns after the month fix the order of equal months; they also let the sort
+    # spread a consultant with very many rows over several partitions.
+    order = (
+        "practice",
+        "consultant_name",
+        "month",
+        "resource_role",
+        "effective_utilization",
+        "resource_price",
+        "adjusted_util_target",
+        "util_target",
+    )
     return label_by_rules(rows, "practice", rules, "practice").orderBy(
-        F.asc_nulls_last("practice"),
-        F.asc_nulls_last("consultant_name"),
-        F.asc_nulls_last("month"),
+        *[F.asc_nulls_last(name) for name in order]
     )
 
 
