@@ -63,8 +63,11 @@ def null_practice_share_by_creator(
     opps: DataFrame, *, min_year: int = 2020, min_count: int = 10, top: int = 10
 ) -> DataFrame:
     """Creators with the most deals without practice in a year, and their share of that year."""
+    # The join would demand a known year of one branch only; demanded here, both branches
+    # are alike and share one aggregation.
     per_creator = (
         _without_practice(opps, min_year)
+        .filter(created_year().isNotNull())
         .groupBy(
             F.col("created_by_id").alias("opps_created_by_id"),
             created_year().alias("opps_year_created"),
@@ -77,7 +80,7 @@ def null_practice_share_by_creator(
     )
     return (
         per_creator.filter(F.col("num_opp_w_practice_null") >= min_count)
-        .join(F.broadcast(per_year), "opps_year_created")
+        .join(F.broadcast(per_year), "opps_year_created", "left")
         .orderBy(
             F.desc("num_opp_w_practice_null"),
             F.asc_nulls_last("opps_created_by_id"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,39 +25,27 @@ def table_profile(
 ) -> DataFrame:
     """Per column: rows, nulls, zeros (numbers only), distinct values, newest date and its age.
 
-    One aggregation over one read of the chosen columns. Distinct values are folded on the
-    map side before they are shuffled, so a value that fills a third of a column moves as one
-    row per task. An empty table gives zeros.
+    Every column is counted by value on its own, so only that column is read (columnar files
+    are read once in total) and only its distinct values are shuffled. A value that fills a
+    third of a column moves as one row per task. An empty table gives zeros.
     """
     fields = [f for f in table.schema.fields if columns is None or f.name in columns]
-    facts: list[Column] = [F.count(F.lit(1)).alias("rows")]
-    for i, field in enumerate(fields):
-        column = F.col(f"`{field.name}`")
-        facts.append(F.count(column).alias(f"known_{i}"))
-        facts.append(F.count_distinct(column).alias(f"distinct_{i}"))
-        if isinstance(field.dataType, T.NumericType):
-            facts.append(F.count_if(column == 0).alias(f"zeros_{i}"))
-        if isinstance(field.dataType, _DATES):
-            facts.append(F.max(column).cast("date").alias(f"newest_{i}"))
-    report = table.agg(*facts)
-    return (
-        report.select(F.inline(F.array(*[_line(i, f, report) for i, f in enumerate(fields)])))
-        .withColumn("days_since_max", days_between(F.col("max_date"), as_of_date(as_of)))
-    )
-
-
-_DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
-
-
-def _line(i: int, field: T.StructField, report: DataFrame) -> Column:
-    def fact(name: str, otherwise: str) -> Column:
-        return F.col(name) if name in report.columns else F.lit(None).cast(otherwise)
-
-    return F.struct(
-        F.lit(field.name).alias("column"),
-        F.col("rows"),
-        (F.col("rows") - F.col(f"known_{i}")).alias("nulls"),
-        fact(f"zeros_{i}", "bigint").alias("zeros"),
-        F.col(f"distinct_{i}").alias("distinct_values"),
-        fact(f"newest_{i}", "date").alias("max_date"),
-    )
+    facts = reduce(DataFrame.union, [_column_facts(table, field) for field in fields])
+    return facts.withColumn("days_since_max", days_between(F.col("max_date"), as_of_date(as_of)))
+
+
+def _column_facts(table: DataFrame, field: T.StructField) -> DataFrame:
+    values = table.groupBy(F.col(f"`{field.name}`").alias("value")).agg(F.count("*").alias("n"))
+    is_number = isinstance(field.dataType, T.NumericType)
+    is_date = isinstance(field.dataType, T.DateType | T.TimestampType | T.TimestampNTZType)
+
+    def rows_where(test: str) -> str:
+        return f"coalesce(sum(if({test}, n, 0)), 0)"
+
+    return values.selectExpr(
+        "coalesce(sum(n), 0) AS rows",
+        f"{rows_where('value IS NULL')} AS nulls",
+        f"{rows_where('value = 0') if is_number else 'cast(NULL AS bigint)'} AS zeros",
+        "count(value) AS distinct_values",
+        f"{'cast(max(value) AS date)' if is_date else 'cast(NULL AS date)'} AS max_date",
+    ).select(F.lit(field.name).alias("column"), "*")
