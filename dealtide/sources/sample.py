@@ -97,7 +97,7 @@ def opportunity_field_history(items: DataFrame) -> DataFrame:
 def wbs(items: DataFrame, parts: DataFrame) -> DataFrame:
     return items.join(parts, items.l_partkey == parts.p_partkey).selectExpr(
         "cast(l_orderkey AS string) AS opportunity_id",
-        "cast(date_trunc('year', l_shipdate) AS timestamp_ntz) AS created_date",
+        "cast(trunc(l_shipdate, 'year') AS timestamp_ntz) AS created_date",
         """CASE p_type WHEN 'PROMO' THEN 'Data Engineer' WHEN 'LARGE' THEN 'Senior Data Consultant'
                 WHEN 'ECONOMY' THEN 'Data Contractor' WHEN 'SMALL' THEN 'Data Protection Consultant'
                 ELSE 'Cloud Consultant' END AS role""",
