@@ -3,7 +3,8 @@
 ``round(a / b, n)`` on doubles depends on how ``a / b`` happens to be represented.
 Here the quotient is taken in integers: half away from zero, the same on every run
 and for every order of partial sums. Arguments are SQL expressions, aggregates included,
-that give integers or decimals; the denominator must not be negative.
+that give integers or decimals; the denominator must not be negative. Totals may be of any
+size, the ratio itself must stay below 10**17.
 """
 
 from __future__ import annotations

@@ -134,3 +134,30 @@ def test_profile_does_not_depend_on_row_order(spark):
     one = table_profile(spark.createDataFrame(rows, "a int, b string").coalesce(1)).collect()
     many = table_profile(spark.createDataFrame(rows, "a int, b string").repartition(8)).collect()
     assert one == many
+
+
+def test_hot_resource_is_split_over_tasks(shuffled):
+    from dealtide.operators.staffing import real_resources
+
+    requests = shuffled.range(300_000).selectExpr(
+        "cast(id AS string) AS id", "if(id % 3 = 0, 'hot', cast(id AS string)) AS resource_id"
+    )
+    actuals = shuffled.range(0, 300_000, 2).selectExpr("cast(id AS string) AS resource_id")
+    actuals = actuals.union(shuffled.sql("SELECT 'hot'"))
+    real = real_resources(requests, actuals)
+    rows = real.collect()
+    assert len(rows) == 100_000 + 100_000  # every hot one, and the even ones of the others
+    assert "SortMergeJoin(skew=true)" in plan(real)
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata"])
+def test_results_do_not_depend_on_the_session_time_zone(spark, zone):
+    names = ["stage_days_to_close_by_year", "closedate_movement", "resource_request_audit"]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    for name in names:
+        usual = spark_rows(QUERIES[name](spark, "/root/testdata/sf0.001"))
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            assert spark_rows(QUERIES[name](spark, "/root/testdata/sf0.001")) == usual
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", before)
