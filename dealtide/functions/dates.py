@@ -24,9 +24,9 @@ def days_between(start: Column, end: Column) -> Column:
 
 
 def from_year(column: Column, min_year: int | None) -> Column:
-    """True from 1 January of ``min_year`` on; without a floor, for any known date."""
+    """True from 1 January of ``min_year`` on; without a floor, always."""
     if min_year is None:
-        return column.isNotNull()
+        return F.lit(True)
     return column >= F.lit(dt.date(min_year, 1, 1))
 
 

@@ -152,8 +152,10 @@ def win_rate_by_year(
 ) -> DataFrame:
     """Won deals as a percentage of closed deals by creation year.
 
-    Duplicates are left out of the closed deals only. A year without a win shows NULL.
+    Duplicates are left out of the closed deals only. A year without a win shows NULL, and so
+    do, without a year floor, the deals of an unknown year.
     """
+    known_year = F.col("year_opp_created").isNotNull()
     return (
         opps.filter(
             F.col("is_closed")
@@ -165,7 +167,7 @@ def win_rate_by_year(
         .filter(F.col("closed") > 0)
         .select(
             "year_opp_created",
-            percent("won", "closed").alias("opp_to_win_percent"),
+            F.when(known_year, percent("won", "closed")).alias("opp_to_win_percent"),
         )
         .orderBy(F.asc_nulls_last("year_opp_created"))
     )

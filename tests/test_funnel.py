@@ -39,8 +39,12 @@ def test_practice_filter_has_no_year_floor(spark):
         deal("a", "1999-01-05", "1999-02-01", practice="DATA (L2)"),
         deal("b", "1999-01-05", "1999-02-01", practice="Data Protection"),
         deal("c", "1999-01-05", "1999-02-01", practice=None),
+        deal("d", "1999-01-05", "1999-02-01", created_date=None),
     )
-    assert [tuple(r) for r in funnel.win_rate_by_year_for_practice(df).collect()] == [(1999, 100.0)]
+    assert [tuple(r) for r in funnel.win_rate_by_year_for_practice(df).collect()] == [
+        (1999, 100.0),
+        (None, None),  # an unknown year matches no year of wins
+    ]
 
 
 def test_not_in_rules_for_unknown_creators(spark):
