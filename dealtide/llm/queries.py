@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dealtide.llm import decontaminate
+from dealtide.llm import decontaminate, jaccard
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,8 +21,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
 }
 
 ORACLES: dict[str, str] = {}
