@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dealtide.llm import decontaminate, jaccard
+from dealtide.llm import decontaminate, jaccard, lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,9 +25,16 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that lose a line, with what is left of their texts."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.without_lines(documents, lines.repeated_lines(documents))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op8_line_dedup": op8_line_dedup,
 }
 
 ORACLES: dict[str, str] = {}

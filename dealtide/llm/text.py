@@ -13,8 +13,8 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-SLICE = 4 << 20
-_BLOCK = 4 << 20
+SLICE = 4_000_000
+_BLOCK = 4_000_000
 _BASE = 0x9E3779B97F4A7C15
 
 #: Bytes between words: space, and tab to carriage return.
@@ -35,6 +35,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: A fixed permutation of the bytes, for a second hash that is independent of the first.
+SCRAMBLED = np.argsort(mix(np.arange(256, dtype=np.uint64))).astype(np.uint8)
+
+
 @cache
 def _byte_values(lower: bool) -> np.ndarray:
     return mix(((LOWER if lower else _SAME).astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE))
