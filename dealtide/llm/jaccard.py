@@ -23,14 +23,35 @@ LOCAL_FREQUENT, FREQUENT, MOST_FREQUENT = 3, 50, 200_000
 TILE = 2048
 
 
-def _profiles(texts: DataFrame, size: int) -> DataFrame:
-    """A row per document: n and a hash of its set; and rows with key and n: frequent shingles of a slice."""
+def _band(n: np.ndarray, percent: int) -> np.ndarray:
+    """Sizes in one band or two neighbouring ones are all that can be similar enough."""
+    return np.floor(np.log(n) / np.log(100 / percent) + 1e-9).astype(np.int64)
+
+
+def _width(band: np.ndarray, percent: int) -> np.ndarray:
+    """64-bit words of a bitmap: about a bit for each shingle of the band, a power of two, 64 at most."""
+    n = (100 / percent) ** (band + 1)
+    return np.clip(2 ** np.ceil(np.log2(np.maximum(n / 64, 1))), 1, 64).astype(np.int64)
+
+
+def _bitmap(keys: np.ndarray, width: int) -> bytes:
+    bits = np.zeros(width * 64, np.uint8)
+    bits[(keys & np.uint64(width * 64 - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _profiles(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """A row per document: n, a hash of its set, its size band and bitmap; and rows with key and n: frequent
+    shingles of a slice."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, key = T.shingles(T.words(batch.column("text")), size)
         n = np.bincount(row, minlength=len(batch))
         cut = np.concatenate([[0], np.cumsum(n)])
-        whole = [T.hash_of(key[i:j]) for i, j in zip(cut, cut[1:], strict=False)]
+        sets = [key[i:j] for i, j in zip(cut, cut[1:], strict=False)]
+        whole = [T.hash_of(s) for s in sets]
+        band = _band(np.maximum(n, 1), percent)
+        bits = [_bitmap(s, w) for s, w in zip(sets, _width(band, percent).tolist(), strict=True)]
         keys, counts = np.unique(key, return_counts=True)
         keys, counts = keys[counts >= LOCAL_FREQUENT], counts[counts >= LOCAL_FREQUENT]
         none = pa.nulls(len(keys), pa.int64())
@@ -39,11 +60,14 @@ def _profiles(texts: DataFrame, size: int) -> DataFrame:
                 pa.concat_arrays([batch.column("doc_id"), none]),
                 pa.array(np.concatenate([n, counts])),
                 T.signed(np.concatenate([np.array(whole, np.uint64), keys])),
+                pa.concat_arrays([pa.array(band), none]),
+                pa.concat_arrays([pa.array(bits, pa.binary()), pa.nulls(len(keys), pa.binary())]),
             ],
-            ["doc_id", "n", "key"],
+            ["doc_id", "n", "key", "band", "bits"],
         )
 
-    return texts.mapInArrow(batches(run), "doc_id bigint, n bigint, key bigint")
+    schema = "doc_id bigint, n bigint, key bigint, band bigint, bits binary"
+    return texts.mapInArrow(batches(run), schema)
 
 
 def _prefixes(
@@ -78,47 +102,16 @@ def _prefixes(
     return texts.mapInArrow(batches(run), "key bigint, set_hash bigint")
 
 
-def _band(n: np.ndarray, percent: int) -> np.ndarray:
-    """Sizes in one band or two neighbouring ones are all that can be similar enough."""
-    return np.floor(np.log(n) / np.log(100 / percent) + 1e-9).astype(np.int64)
-
-
-def _width(band: np.ndarray, percent: int) -> np.ndarray:
-    """64-bit words of a bitmap: about a bit for each shingle of the band, a power of two, 64 at most."""
-    n = (100 / percent) ** (band + 1)
-    return np.clip(2 ** np.ceil(np.log2(np.maximum(n / 64, 1))), 1, 64).astype(np.int64)
-
-
-def _bitmap(keys: np.ndarray, width: int) -> bytes:
-    bits = np.zeros(width * 64, np.uint8)
-    bits[(keys & np.uint64(width * 64 - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
-def _sets(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, n, band, keys, bits): the sorted hashes of the set, and its bitmap."""
+def _sets(texts: DataFrame, size: int) -> DataFrame:
+    """(id, keys): the sorted hashes of the set."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, key = T.shingles(T.words(batch.column("text")), size)
-        n = np.bincount(row, minlength=len(batch))
-        cut = np.concatenate([[0], np.cumsum(n)])
-        band = _band(np.maximum(n, 1), percent)
-        keys = [key[i:j] for i, j in zip(cut, cut[1:], strict=False)]
-        bits = [_bitmap(k, w) for k, w in zip(keys, _width(band, percent).tolist(), strict=True)]
-        return pa.record_batch(
-            [
-                batch.column("doc_id"),
-                pa.array(n),
-                pa.array(band),
-                pa.array([k.tobytes() for k in keys], pa.binary()),
-                pa.array(bits, pa.binary()),
-            ],
-            ["id", "n", "band", "keys", "bits"],
-        )
+        cut = np.searchsorted(row, np.arange(len(batch) + 1))
+        keys = [key[i:j].tobytes() for i, j in zip(cut, cut[1:], strict=False)]
+        return pa.record_batch([batch.column("doc_id"), pa.array(keys, pa.binary())], ["id", "keys"])
 
-    return texts.mapInArrow(
-        batches(run), "id bigint, n bigint, band bigint, keys binary, bits binary"
-    )
+    return texts.mapInArrow(batches(run), "id bigint, keys binary")
 
 
 def _folded(bits: np.ndarray, width: int) -> np.ndarray:
@@ -145,9 +138,9 @@ def _matrix(column: pa.Array, rows: np.ndarray) -> np.ndarray:
     return np.frombuffer(data, np.uint64).reshape(len(rows), -1)
 
 
-def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _bounded(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that their bitmaps and sizes allow."""
-    of = lambda side: sets.select(
+    of = lambda side: bitmaps.select(
         F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")
     )
     joined = (
@@ -177,8 +170,11 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sorted sets intersect enough."""
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sorted sets intersect enough. Sets are built for the documents of pairs only."""
+    pairs = stored(pairs)
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = stored(_sets(texts.join(wanted, "doc_id", "left_semi"), size))
     of = lambda side: sets.select(F.col("id").alias(side), F.col("keys").alias(f"keys_{side}"))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +302,7 @@ def similar_documents(documents: DataFrame, size: int = 5, percent: int = 75) ->
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(
         "doc_id is not null"
     )
-    profiles = stored(_profiles(texts, size))
+    profiles = stored(_profiles(texts, size, percent))
     docs = profiles.where("doc_id is not null")
     frequent = (
         profiles.where("doc_id is null")
@@ -348,12 +344,14 @@ def similar_documents(documents: DataFrame, size: int = 5, percent: int = 75) ->
     )
     tiles = tiles.groupBy("members", "sign", "first").agg(F.min("key").alias("key"))
     members = stored(members.join(tiles, "key").select("key", "id", "n", "first", "members"))
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = stored(_sets(texts.join(wanted, "doc_id", "left_semi"), size, percent).dropDuplicates(["id"]))
+    bitmaps = stored(
+        docs.select("doc_id", "n", "band", "bits")
+        .join(members.select(F.col("id").alias("doc_id"), "n").distinct(), ["doc_id", "n"], "left_semi")
+        .withColumnRenamed("doc_id", "id")
+    )
 
     pairs = members.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    first = stored(_bounded(pairs.distinct(), sets, percent))
-    first = stored(_verified(first, sets, percent))
+    first = stored(_verified(_bounded(pairs.distinct(), bitmaps, percent), texts, size, percent))
     component = stored(components(first))
 
     spread = (
@@ -366,11 +364,10 @@ def similar_documents(documents: DataFrame, size: int = 5, percent: int = 75) ->
     )
     open_ = (
         spread.join(mixed.where("low < high").select("key"), "key")
-        .join(sets.select("id", "n", "band", "bits"), "id")
+        .join(bitmaps, "id")
         .withColumn("blocks", F.ceil(F.col("members") / TILE))
     )
-    second = stored(_tiles(open_, percent))
-    second = stored(_verified(second, sets, percent))
+    second = stored(_verified(_tiles(open_, percent), texts, size, percent))
     component = components(first.union(second))
     return (
         docs.withColumnRenamed("n", "n_shingles")
