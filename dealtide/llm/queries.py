@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dealtide.llm import decontaminate, jaccard, lines
+from dealtide.llm import bpe, decontaminate, jaccard, lines
+
+#: File of the tokenizer that the queries use.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +26,16 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode_decode(_table(spark, sf_dir, "documents"), TOKENIZER)
+    return encoded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(_table(spark, sf_dir, "documents"))
 
@@ -33,6 +48,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
+    "op4_bpe": op4_bpe,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op8_line_dedup": op8_line_dedup,
 }
