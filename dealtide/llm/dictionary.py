@@ -24,18 +24,22 @@ _CODEC = "zstd"
 CODED = "chunk bigint, bucket int, doc_id bigint, codes binary, words binary, counts binary"
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Integers of 32 bits, compressed byte plane by byte plane."""
-    planes = np.ascontiguousarray(values, np.uint32).view(np.uint8).reshape(-1, 4).T
+def pack(values: np.ndarray, width: int = 4) -> bytes:
+    """Unsigned integers of `width` bytes, compressed byte plane by byte plane."""
+    planes = np.ascontiguousarray(values, f"u{width}").view(np.uint8).reshape(-1, width).T
     return struct.pack("<q", len(values)) + pa.compress(
         np.ascontiguousarray(planes).tobytes(), _CODEC, asbytes=True
     )
 
 
-def unpack(blob: bytes) -> np.ndarray:
+def unpack(blob: bytes, width: int = 4) -> np.ndarray:
     n = struct.unpack_from("<q", blob)[0]
-    planes = pa.decompress(blob[8:], 4 * n, _CODEC, asbytes=True) if n else b""
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view(np.uint32)[:, 0] if n else np.empty(0, np.uint32)
+    if not n:
+        return np.empty(0, f"u{width}")
+    planes = np.frombuffer(
+        pa.decompress(blob[8:], width * n, _CODEC, asbytes=True), np.uint8
+    ).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(f"u{width}")[:, 0]
 
 
 def pack_words(words: list[bytes]) -> bytes:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealtide.llm import bpe, decontaminate, jaccard, lines
+from dealtide.llm import bpe, decontaminate, jaccard, lines, lm
 
 #: File of the tokenizer that the queries use.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -46,11 +46,16 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.without_lines(documents, lines.repeated_lines(documents))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op4_bpe": op4_bpe,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op8_line_dedup": op8_line_dedup,
+    "op9_lm_scores": op9_lm_scores,
 }
 
 ORACLES: dict[str, str] = {}
