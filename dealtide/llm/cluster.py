@@ -12,6 +12,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -48,6 +49,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sent(df: DataFrame, rows: int = 1 << 18) -> DataFrame:
+    """Marked for broadcast if it has at most so many rows, which are counted; beyond, the join shuffles.
+
+    For stored frames of a few numbers a row.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 @contextmanager
 def releasing(spark: SparkSession) -> Iterator[None]:
     """Frames made inside drop their shuffle files when their action ends, so phases don't pile up on disk."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealtide.llm import text as T
-from dealtide.llm.cluster import batches, phased, stored
+from dealtide.llm.cluster import batches, phased, sent, stored
 
 _NEWLINE = 10
 
@@ -230,7 +230,7 @@ def _near(texts: DataFrame, firsts: DataFrame, edits: int, least: int) -> DataFr
         )
     )
     wanted = both.select("kept.doc_id", "kept.no").union(both.select("late.doc_id", "late.no"))
-    wanted = wanted.groupBy("doc_id").agg(F.collect_set("no").alias("wanted"))
+    wanted = stored(wanted.groupBy("doc_id").agg(F.collect_set("no").alias("wanted")))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -243,7 +243,7 @@ def _near(texts: DataFrame, firsts: DataFrame, edits: int, least: int) -> DataFr
 
     lines = stored(
         texts.where("text is not null")
-        .join(wanted, "doc_id")
+        .join(sent(wanted), "doc_id")
         .mapInArrow(batches(cut), "doc_id bigint, no bigint, line binary")
     )
     line = lambda side: lines.select(
