@@ -54,7 +54,7 @@ def sent(df: DataFrame, rows: int = 1 << 18) -> DataFrame:
 
     For stored frames of a few numbers a row.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 @contextmanager

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dealtide.llm import text as T
-from dealtide.llm.cluster import batches, phased, stored
+from dealtide.llm.cluster import batches, phased, sent, stored
 from dealtide.llm.components import components
 
 #: A shingle counts as frequent where a slice of texts holds it in so many of its documents, and all slices together in
@@ -174,7 +174,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     """The pairs (a, b) whose sorted sets intersect enough. Sets are built for the documents of pairs only."""
     pairs = stored(pairs)
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = stored(_sets(texts.join(wanted, "doc_id", "left_semi"), size))
+    wanted = stored(wanted)
+    sets = stored(_sets(texts.join(sent(wanted), "doc_id", "left_semi"), size))
     of = lambda side: sets.select(F.col("id").alias(side), F.col("keys").alias(f"keys_{side}"))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,3 +380,11 @@ def similar_documents(documents: DataFrame, size: int = 5, percent: int = 75) ->
             F.coalesce("component", "id", "doc_id").alias("component_id"),
         )
     )
+
+
+@phased
+def without_similar(documents: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """The documents, whole rows, of which no smaller doc_id is reachable by links. Rows without id stay."""
+    found = similar_documents(documents, size, percent).where("component_id <> doc_id")
+    gone = found.select(F.col("doc_id").alias("_gone")).distinct()
+    return documents.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")

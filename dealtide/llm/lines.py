@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from dealtide.llm import text as T
 from dealtide.llm.cluster import batches, phased, sent, stored
 
 _NEWLINE = 10
+WORD = re.compile("[^\x20\x09-\x0d]")
 
 
 def _lines(column: pa.Array) -> tuple[np.ndarray, ...]:
@@ -311,28 +313,59 @@ def repeated_lines(documents: DataFrame, edits: int = 2, least: int = 30) -> Dat
     )
 
 
+def _numbered(removed: DataFrame) -> DataFrame:
+    return removed.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("no").alias("_gone"))
+
+
+def _cut(text: str, gone: list[int]) -> tuple[str, int, int]:
+    """The text without those lines, its number of lines, and how many went."""
+    lines, drop = text.split("\n"), set(gone)
+    kept = [x for i, x in enumerate(lines) if i not in drop]
+    return "\n".join(kept), len(lines), len(lines) - len(kept)
+
+
 @phased
-def without_lines(documents: DataFrame, removed: DataFrame) -> DataFrame:
-    """The documents that lose a line, whole rows with the new text, and n_lines and n_removed."""
-    numbers = removed.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("no").alias("_gone"))
-    names = documents.columns
-    joined = documents.join(numbers, F.col("doc_id").cast("bigint") == F.col("_id")).drop("_id")
+def changed_documents(documents: DataFrame, removed: DataFrame) -> DataFrame:
+    """(doc_id, text, n_lines, n_removed) of the documents that lose a line; removed: as of `repeated_lines`."""
+    joined = _texts(documents).join(_numbered(removed), F.col("doc_id") == F.col("_id"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out, counts, gone_counts = [], [], []
-        for text, gone in zip(batch.column("text").to_pylist(), batch.column("_gone").to_pylist(), strict=True):
-            lines = (text or "").split("\n")
-            drop = set(gone)
-            kept = [x for i, x in enumerate(lines) if i not in drop]
-            counts.append(len(lines))
-            gone_counts.append(len(lines) - len(kept))
-            out.append("\n".join(kept))
-        at = batch.schema.get_field_index("text")
-        batch = batch.set_column(at, "text", pa.array(out, pa.string()))
+        rows = zip(batch.column("text").to_pylist(), batch.column("_gone").to_pylist(), strict=True)
+        text, n, gone = zip(*(_cut(t or "", g) for t, g in rows), strict=True)
         return pa.record_batch(
-            [*(batch.column(c) for c in names), pa.array(counts), pa.array(gone_counts)],
-            [*names, "n_lines", "n_removed"],
+            [batch.column("doc_id"), pa.array(text), pa.array(n), pa.array(gone)],
+            ["doc_id", "text", "n_lines", "n_removed"],
         )
 
-    schema = documents.withColumns({"n_lines": F.lit(0).cast("bigint"), "n_removed": F.lit(0).cast("bigint")}).schema
-    return joined.mapInArrow(batches(run), schema)
+    return joined.select("doc_id", "text", "_gone").mapInArrow(
+        batches(run), "doc_id bigint, text string, n_lines bigint, n_removed bigint"
+    )
+
+
+@phased
+def without_repeated_lines(documents: DataFrame, **parameters) -> DataFrame:
+    """The documents, whole rows, without the lines that `repeated_lines` finds; n_chars, if there, follows the text.
+
+    A document that is left without a word goes, if it had one. Rows without id stay as they are.
+    """
+    gone = _numbered(repeated_lines(documents, **parameters))
+    joined = documents.join(gone, F.col("doc_id").cast("bigint") == F.col("_id"), "left").drop("_id")
+    names = documents.columns
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column("_gone").to_pylist()
+        columns = {c: batch.column(c) for c in names}
+        if any(lists):
+            texts = columns["text"].to_pylist()
+            left = [_cut(t, g)[0] if g and t else t for t, g in zip(texts, lists, strict=True)]
+            columns["text"] = pa.array(left, columns["text"].type)
+            if "n_chars" in columns:
+                n = columns["n_chars"]
+                size = [len(t) if g else k for t, g, k in zip(left, lists, n.to_pylist(), strict=True)]
+                columns["n_chars"] = pa.array(size, n.type)
+            stays = [not g or bool(WORD.search(t or "")) for t, g in zip(left, lists, strict=True)]
+            batch = pa.record_batch(list(columns.values()), names)
+            return batch.filter(pa.array(stays))
+        return pa.record_batch(list(columns.values()), names)
+
+    return joined.mapInArrow(batches(run), documents.schema)

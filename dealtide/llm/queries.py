@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealtide.llm import bpe, decontaminate, jaccard, lines, lm
+from dealtide.llm import bpe, classifier, decontaminate, jaccard, lines, lm
 
 #: File of the tokenizer that the queries use.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -40,10 +40,14 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classified(_table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that lose a line, with what is left of their texts."""
-    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.without_lines(documents, lines.repeated_lines(documents))
+    documents = _table(spark, sf_dir, "documents")
+    return lines.changed_documents(documents, lines.repeated_lines(documents))
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op4_bpe": op4_bpe,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_line_dedup": op8_line_dedup,
     "op9_lm_scores": op9_lm_scores,
 }
