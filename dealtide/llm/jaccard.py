@@ -29,9 +29,9 @@ def _band(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _width(band: np.ndarray, percent: int) -> np.ndarray:
-    """64-bit words of a bitmap: about a bit for each shingle of the band, a power of two, 64 at most."""
-    n = (100 / percent) ** (band + 1)
-    return np.clip(2 ** np.ceil(np.log2(np.maximum(n / 64, 1))), 1, 64).astype(np.int64)
+    """64-bit words of a bitmap: four bits or more for each shingle of the band, a power of two, 1024 at most."""
+    n = 4 * (100 / percent) ** (band + 1)
+    return np.clip(2 ** np.ceil(np.log2(np.maximum(n / 64, 1))), 1, 1024).astype(np.int64)
 
 
 def _bitmap(keys: np.ndarray, width: int) -> bytes:
