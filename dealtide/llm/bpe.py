@@ -6,7 +6,7 @@ import json
 import os
 from collections.abc import Iterator
 from functools import cache
-from itertools import pairwise
+from itertools import batched, pairwise
 from pathlib import Path
 
 import numpy as np
@@ -83,7 +83,7 @@ def _encoded(words: DataFrame, definition: str) -> DataFrame:
                     ["chunk", "kind", "codes", "values", "words"],
                 )
 
-    return words.mapInArrow(run, "chunk bigint, kind int, codes binary, values binary, words binary")
+    return words.mapInArrow(run, D.REPLY)
 
 
 def _pieces(encoded: DataFrame, vocabulary: dict[int, str]) -> DataFrame:
@@ -115,6 +115,27 @@ def _pieces(encoded: DataFrame, vocabulary: dict[int, str]) -> DataFrame:
     )
 
 
+def _placed(
+    docs: tuple[tuple[int | None, np.ndarray], ...], ids: dict[int, bytes], decoded: dict[int, bytes]
+) -> pa.RecordBatch:
+    numbers, joined, texts = [], [], []
+    for doc_id, codes in docs:
+        listed = codes.tolist()
+        numbers.append(doc_id)
+        joined.append(b"".join([ids[c] for c in listed]))
+        # A word of white space beyond ASCII has no ids.
+        texts.append(b" ".join([d for c in listed if (d := decoded[c])]).decode())
+    return pa.record_batch(
+        [
+            pa.array(numbers, pa.int64()),
+            pa.array([len(x) // 4 for x in joined], pa.int64()),
+            pa.array(joined, pa.binary()),
+            pa.array(texts, pa.string()),
+        ],
+        ["doc_id", "n_tokens", "ids", "decoded"],
+    )
+
+
 @phased
 def encode_decode(documents: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded): every text as the tokenizer encodes it, and its ids decoded again.
@@ -153,43 +174,27 @@ def encode_decode(documents: DataFrame, tokenizer_path: str) -> DataFrame:
                     ["chunk", "kind", "codes", "values", "words"],
                 )
 
-    pieces = pieces.mapInArrow(
-        listed, "chunk bigint, kind int, codes binary, values binary, words binary"
-    )
+    pieces = pieces.mapInArrow(listed, D.REPLY)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, piece, ids, decoded = None, {}, {}, {}
         for batch in batches:
-            out = []
             for row in batch.to_pylist():
                 if row["chunk"] != chunk:
                     chunk, piece, ids, decoded = row["chunk"], {}, {}, {}
-                codes = D.unpack(row["codes"]).tolist()
                 if row["kind"] == 0:
-                    piece = dict(zip(codes, D.unpack_words(row["words"]), strict=True))
+                    piece = dict(zip(D.unpack(row["codes"]).tolist(), D.unpack_words(row["words"]), strict=True))
                 elif row["kind"] == 1:
                     values = D.unpack(row["values"])
                     cut = [0, *np.cumsum(D.unpack(row["words"])).tolist()]
                     raw, listed = values.tobytes(), values.tolist()
+                    codes = D.unpack_rising(row["codes"]).tolist()
                     for c, (i, j) in zip(codes, pairwise(cut), strict=True):
                         ids[c] = raw[4 * i : 4 * j]
                         decoded[c] = b" ".join([piece[k] for k in listed[i:j]])
                 else:
-                    joined = b"".join([ids[c] for c in codes])
-                    out.append(
-                        (
-                            row["doc_id"],
-                            len(joined) // 4,
-                            joined,
-                            b" ".join([d for c in codes if (d := decoded[c])]).decode(),
-                        )
-                    )
-            if out:
-                names = ["doc_id", "n_tokens", "ids", "decoded"]
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.string()]
-                yield pa.record_batch(
-                    [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names
-                )
+                    for some in batched(D.documents(row), 1000):
+                        yield _placed(some, ids, decoded)
 
     return D.meet(table, encoded.union(pieces), buckets).mapInArrow(
         place, "doc_id bigint, n_tokens bigint, ids binary, decoded string"

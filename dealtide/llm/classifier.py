@@ -30,7 +30,7 @@ def _classes(data: np.ndarray, members: np.ndarray | list[int]) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(mark[data])])
 
 
-def _shapes(w: T.Words, h: np.ndarray) -> np.ndarray:
+def word_shapes(w: T.Words, h: np.ndarray) -> np.ndarray:
     """A row per word, a column per shape."""
     upper = _classes(w.data, range(65, 91))
     letters = upper + _classes(w.data, range(97, 123))
@@ -173,7 +173,7 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Classifier:
 
     def vote(batch: pa.RecordBatch) -> pa.RecordBatch:
         w = T.words(batch.column("text"))
-        code = _code(votes(_shares(w, _shapes(w, w.hashes(True))), w.count))
+        code = _code(votes(_shares(w, word_shapes(w, w.hashes(True))), w.count))
         keys, n = np.unique(code, return_counts=True)
         return pa.record_batch([pa.array(keys), pa.array(n)], ["code", "n"])
 
@@ -188,7 +188,7 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Classifier:
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
         w = T.words(batch.column("text"))
         h = w.hashes(True)
-        shares = _shares(w, _shapes(w, h))
+        shares = _shares(w, word_shapes(w, h))
         row, key = w.row, _buckets(h)
         pair, n = np.unique(row * BUCKETS + key, return_counts=True)
         cut = np.searchsorted(pair, np.arange(len(batch) + 1) * BUCKETS)
@@ -228,7 +228,7 @@ def _scorer(
     def score(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         w = T.words(texts)
         h = w.hashes(True)
-        shares = _shares(w, _shapes(w, h))
+        shares = _shares(w, word_shapes(w, h))
         code = _code(votes(shares, w.count)).tolist()
         z = np.bincount(w.row, model.words[_buckets(h)], len(texts)) / np.maximum(w.count, 1)
         z += shares @ model.shapes + model.bias

@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 from dealtide.llm import text as T
 from dealtide.llm.cluster import stored
 
-CHUNK = 16_000_000
+CHUNK = 32_000_000
 _CODEC = "zstd"
-CODED = "chunk bigint, bucket int, doc_id bigint, codes binary, words binary, counts binary"
+CODED = (
+    "chunk bigint, bucket int, doc_ids array<bigint>, lengths binary, codes binary, words binary, "
+    "counts binary"
+)
 
 
 def pack(values: np.ndarray, width: int = 4) -> bytes:
@@ -42,6 +45,15 @@ def unpack(blob: bytes, width: int = 4) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"u{width}")[:, 0]
 
 
+def pack_rising(values: np.ndarray) -> bytes:
+    """Rising integers of 32 bits, by their differences."""
+    return pack(np.diff(values, prepend=0))
+
+
+def unpack_rising(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(blob), dtype=np.int64)
+
+
 def pack_words(words: list[bytes]) -> bytes:
     """Words without a newline."""
     raw = b"\n".join(words)
@@ -60,7 +72,8 @@ def coded(
     lower: bool = False,
     counted: Callable[[pa.Array], np.ndarray] | None = None,
 ) -> DataFrame:
-    """Stored rows: per document its chunk and codes, and per chunk and bucket its words, their codes and counts.
+    """Stored rows: per chunk its documents, their numbers of words and the codes of all these words in order; and per chunk and bucket its
+    words, their codes (rising, the frequent words first) and counts.
 
     texts: doc_id, text. Counts are over the documents that `counted` picks by their ids, if given. Words are told
     apart by 64-bit hashes within a chunk.
@@ -68,82 +81,83 @@ def coded(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
-        known: dict[int, int] = {}
-        words: list[bytes] = []
-        counts: list[np.ndarray] = []
+        parts = []
         size = 0
-
-        def table() -> pa.RecordBatch:
-            seen = np.zeros(len(words), np.uint32)
-            for codes, n in counts:
-                seen[codes] += n
-            bucket = (np.fromiter(known, np.uint64, len(known)) >> np.uint64(20)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            used = np.flatnonzero(np.diff(cut))
-            parts = [order[cut[b] : cut[b + 1]] for b in used]
-            return _rows(
-                len(used),
-                chunk=np.full(len(used), chunk),
-                bucket=used,
-                codes=[pack(p) for p in parts],
-                words=[pack_words([words[i] for i in p.tolist()]) for p in parts],
-                counts=[pack(seen[p]) for p in parts],
-            )
-
         for batch in batches:
             for part in T.slices(batch, "text"):
-                w = split(part.column("text"))
-                h = w.hashes(lower)
-                keys, at, inverse, n = np.unique(
-                    h, return_index=True, return_inverse=True, return_counts=True
-                )
-                code = np.empty(len(keys), np.uint32)
-                data = (T.LOWER[w.data] if lower else w.data).tobytes()
-                for k, (key, i) in enumerate(zip(keys.tolist(), at.tolist(), strict=True)):
-                    c = known.get(key)
-                    if c is None:
-                        c = known[key] = len(words)
-                        words.append(data[w.start[i] : w.end[i]])
-                    code[k] = c
-                codes = code[inverse]
-                if counted is not None:
-                    some = counted(part.column("doc_id"))[w.row]
-                    n = np.bincount(inverse[some], minlength=len(keys))
-                counts.append((code, n.astype(np.uint32)))
-                ends = w.first.tolist()
-                yield _rows(
-                    len(part),
-                    chunk=np.full(len(part), chunk),
-                    doc_id=part.column("doc_id"),
-                    codes=[pack(codes[i:j]) for i, j in zip(ends, ends[1:], strict=False)],
-                )
+                parts.append(_part(part, split, lower, counted))
                 size += part.column("text").nbytes
                 if size >= CHUNK:
-                    yield table()
-                    chunk, size = chunk + 1, 0
-                    known, words, counts = {}, [], []
-        if words:
-            yield table()
+                    yield from _chunk(chunk, parts, buckets)
+                    chunk, parts, size = chunk + 1, [], 0
+        if parts:
+            yield from _chunk(chunk, parts, buckets)
 
     return stored(texts.select("doc_id", "text").mapInArrow(run, CODED))
 
 
+def _part(part: pa.RecordBatch, split, lower: bool, counted) -> tuple:
+    """Of a slice: ids, words of each document, codes, and by code the hash, the word, its count and the counted ones."""
+    w = split(part.column("text"))
+    keys, at, inverse, n = np.unique(
+        w.hashes(lower), return_index=True, return_inverse=True, return_counts=True
+    )
+    data = (T.LOWER[w.data] if lower else w.data).tobytes()
+    words = [data[i:j] for i, j in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]
+    some = n
+    if counted is not None:
+        chosen = counted(part.column("doc_id"))[w.row]
+        some = np.bincount(inverse[chosen], minlength=len(keys))
+    return part.column("doc_id"), w.count, inverse.astype(np.uint32), keys, words, n, some
+
+
+def _chunk(chunk: int, parts: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
+    ids, lengths, codes, keys, words, n, some = zip(*parts, strict=True)
+    all_keys = np.concatenate(keys)
+    distinct, at, inverse = np.unique(all_keys, return_index=True, return_inverse=True)
+    total = np.bincount(inverse, np.concatenate(n), len(distinct))
+    seen = np.bincount(inverse, np.concatenate(some), len(distinct)).astype(np.int64)
+    order = np.argsort(-total, kind="stable")
+    code = np.empty(len(distinct), np.uint32)
+    code[order] = np.arange(len(order))
+    cut = np.cumsum([0, *map(len, keys)])
+    renamed = [code[inverse[i:j]][c] for i, j, c in zip(cut, cut[1:], codes, strict=False)]
+    yield _rows(
+        1,
+        chunk=[chunk],
+        doc_ids=[pa.concat_arrays(ids).to_pylist()],
+        lengths=[pack(np.concatenate(lengths))],
+        codes=[pack(np.concatenate(renamed))],
+    )
+    listed = [x for part in words for x in part]
+    bucket = ((distinct >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)[order]
+    dealt = np.argsort(bucket, kind="stable")  # codes rise within a bucket
+    cut = np.searchsorted(bucket[dealt], np.arange(buckets + 1))
+    used = np.flatnonzero(np.diff(cut))
+    groups = [dealt[cut[b] : cut[b + 1]] for b in used]
+    if len(used):
+        yield _rows(
+            len(used),
+            chunk=np.full(len(used), chunk),
+            bucket=used,
+            codes=[pack_rising(g) for g in groups],
+            words=[pack_words([listed[i] for i in at[order[g]].tolist()]) for g in groups],
+            counts=[pack(seen[order[g]]) for g in groups],
+        )
+
+
 def _rows(n: int, **columns) -> pa.RecordBatch:
     kinds = [
         ("chunk", pa.int64()),
         ("bucket", pa.int32()),
-        ("doc_id", pa.int64()),
+        ("doc_ids", pa.list_(pa.int64())),
+        ("lengths", pa.binary()),
         ("codes", pa.binary()),
         ("words", pa.binary()),
         ("counts", pa.binary()),
     ]
     arrays = [
-        pa.nulls(n, kind)
-        if columns.get(name) is None
-        else columns[name]
-        if isinstance(columns[name], pa.Array)
-        else pa.array(columns[name], kind)
+        pa.array(columns[name], kind) if name in columns else pa.nulls(n, kind)
         for name, kind in kinds
     ]
     return pa.record_batch(arrays, [name for name, _ in kinds])
@@ -159,15 +173,27 @@ def by_bucket(table: DataFrame, buckets: int) -> DataFrame:
     )
 
 
+REPLY = "chunk bigint, kind int, codes binary, values binary, words binary"
+
+
 def meet(table: DataFrame, replies: DataFrame, partitions: int) -> DataFrame:
-    """Documents after the replies to their chunk; replies: chunk, kind (below 9), codes, values, words."""
+    """Documents after the replies to their chunk; replies: as REPLY, kind below 9."""
     none = F.lit(None).cast("binary")
     docs = table.where("bucket is null").select(
-        "chunk", F.lit(9).alias("kind"), "codes", none.alias("values"), none.alias("words"), "doc_id"
+        "chunk", F.lit(9).alias("kind"), "codes", none.alias("values"), none.alias("words"), "doc_ids", "lengths"
     )
     return (
-        replies.select("chunk", "kind", "codes", "values", "words", F.lit(None).cast("bigint").alias("doc_id"))
-        .union(docs)
+        replies.select("chunk", "kind", "codes", "values", "words")
+        .unionByName(docs, allowMissingColumns=True)
         .repartition(partitions, "chunk")
         .sortWithinPartitions("chunk", "kind")
     )
+
+
+def documents(row: dict) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(doc_id, codes) of a row that holds a chunk's documents."""
+    codes = unpack(row["codes"])
+    at = 0
+    for doc_id, n in zip(row["doc_ids"], unpack(row["lengths"]).tolist(), strict=True):
+        yield doc_id, codes[at : at + n]
+        at += n

@@ -17,7 +17,7 @@ _NEWLINE = 10
 WORD = re.compile("[^\x20\x09-\x0d]")
 
 
-def _lines(column: pa.Array) -> tuple[np.ndarray, ...]:
+def spans(column: pa.Array) -> tuple[np.ndarray, ...]:
     """Of lines parted by \\n: the bytes, the spans, the row, the number in its row, and whether it has a word."""
     data, offsets = T.strings(column)
     cut = np.flatnonzero(data == _NEWLINE)
@@ -37,7 +37,7 @@ def _lines(column: pa.Array) -> tuple[np.ndarray, ...]:
     return data, start, end, row, number, seen[end] > seen[start]
 
 
-def _identity(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def identity(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit hashes."""
     return T.span_hashes(data, start, end), T.span_hashes(T.SCRAMBLED[data], start, end)
 
@@ -46,8 +46,8 @@ def _occurrences(texts: DataFrame) -> DataFrame:
     """(h, g, size, doc_id, no, again): every line with a word; again: an equal one is above it in the text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, start, end, row, no, full = _lines(batch.column("text"))
-        h, g = _identity(data, start, end)
+        data, start, end, row, no, full = spans(batch.column("text"))
+        h, g = identity(data, start, end)
         order = np.lexsort((no, g, h, row))
         again = np.zeros(len(row), bool)
         a, b = order[1:], order[:-1]
@@ -98,7 +98,7 @@ def _segments(texts: DataFrame, edits: int, least: int) -> DataFrame:
     parts = edits + 1
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, start, end, _, _, _ = _lines(batch.column("text"))
+        data, start, end, _, _, _ = spans(batch.column("text"))
         h, sign = T.span_hashes(data, start, end), _histograms(data, start)
         _, once = np.unique(h, return_index=True)
         once = once[(end - start)[once] >= least]

@@ -179,7 +179,7 @@ def _totals(words: DataFrame, top: int) -> DataFrame:
 
     return words.mapInArrow(
         run,
-        "chunk bigint, kind int, codes binary, values binary, words binary, total bigint, distinct bigint",
+        f"{D.REPLY}, total bigint, distinct bigint",
     )
 
 
@@ -192,7 +192,7 @@ def _classes(words: DataFrame, known: dict[bytes, int]) -> DataFrame:
             for blob, c in zip(batch.column("words").to_pylist(), batch.column("codes").to_pylist(), strict=True):
                 found = [known.get(w, 0) for w in D.unpack_words(blob)]
                 found = np.array(found, np.uint32)
-                codes.append(D.pack(D.unpack(c)[found > 0]))
+                codes.append(D.pack_rising(D.unpack_rising(c)[found > 0]))
                 values.append(D.pack(found[found > 0]))
             yield pa.record_batch(
                 [
@@ -205,9 +205,7 @@ def _classes(words: DataFrame, known: dict[bytes, int]) -> DataFrame:
                 ["chunk", "kind", "codes", "values", "words"],
             )
 
-    return words.select("chunk", "codes", "words").mapInArrow(
-        run, "chunk bigint, kind int, codes binary, values binary, words binary"
-    )
+    return words.select("chunk", "codes", "words").mapInArrow(run, D.REPLY)
 
 
 class _Table:
@@ -240,13 +238,13 @@ def _documents(batches: Iterator[pa.RecordBatch], other: int) -> Iterator[tuple]
         for row in batch.to_pylist():
             if row["chunk"] != chunk:
                 chunk, classes, counts = row["chunk"], _Table(other), _Table(0)
-            codes = D.unpack(row["codes"])
             if row["kind"] == 0:
-                classes.put(codes, D.unpack(row["values"]))
+                classes.put(D.unpack_rising(row["codes"]), D.unpack(row["values"]))
             elif row["kind"] == 1:
-                counts.put(codes, D.unpack(row["values"], 8).astype(np.int64))
+                counts.put(D.unpack_rising(row["codes"]), D.unpack(row["values"], 8).astype(np.int64))
             else:
-                yield row["doc_id"], classes[codes], counts[codes]
+                for doc_id, codes in D.documents(row):
+                    yield doc_id, classes[codes], counts[codes]
 
 
 def _contexts(classes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -279,7 +277,7 @@ def score_documents(
     totals = stored(_totals(D.by_bucket(table, buckets), classes))
     summary = totals.where("kind = 2")
     trained = "crc32(cast(cast(doc_id as string) as binary)) % 10 <> 0"
-    ends = table.where("bucket is null").where(trained).count()
+    ends = texts.where(trained).count()
     words, distinct = summary.agg(F.sum("total"), F.sum("distinct")).first()
     words, distinct = words or 0, distinct or 0
 

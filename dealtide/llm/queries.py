@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealtide.llm import bpe, classifier, decontaminate, jaccard, lines, lm
+from dealtide.llm import bpe, chat, classifier, decontaminate, jaccard, lines, lm, quality_rules
 
 #: File of the tokenizer that the queries use.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -36,6 +36,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    )
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(_table(spark, sf_dir, "documents"))
 
@@ -54,13 +60,46 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of conversations and one more, logged as events, folded, formatted and read back."""
+    columns = ["conv_id", "turn", "role", "text"]
+    rows = _table(spark, sf_dir, "conversations").select(*columns)
+    control = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame(
+        [(-7, 0, "user", control), (-7, 1, "assistant", control)],
+        "conv_id bigint, turn bigint, role string, text string",
+    )
+    events = chat.logged(rows.unionByName(more))
+    return chat.digests(chat.formatted(chat.folded(events)))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op4_bpe": op4_bpe,
+    "op5_quality_rules": op5_quality_rules,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_line_dedup": op8_line_dedup,
     "op9_lm_scores": op9_lm_scores,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_chat_formatting": r"""
+WITH rows AS (
+    SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), escaped AS (
+    SELECT *, replace(replace(replace(replace(replace(replace(text, '\', '\\'), ']', '\]'),
+        '<s>', '\<s>'), '</s>', '\</s>'), '[INST\]', '\[INST\]'), '[/INST\]', '\[/INST\]') AS body
+    FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(length(body) + length(role) + 11)::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id
+""".replace("\\\\", "\\"),
+}

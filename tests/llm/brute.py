@@ -51,3 +51,38 @@ def similar(docs: list[tuple[int, str | None]], percent: int = 75) -> dict[int,
     ]
     part = closed(links, list(sets))
     return {i: (len(s), part[i]) for i, s in sets.items()}
+
+
+def base_counts(text: str | None) -> tuple[int, int, int, int, int, bool]:
+    text = text or ""
+    words = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    windows = defaultdict(list)
+    for i in range(len(words) - 4):
+        windows[tuple(words[i : i + 5])].append(i)
+    repeated = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(5)}
+    return (
+        len(words),
+        sum(map(len, words)),
+        sum(c in "#*$%&|<>" for c in text),
+        len(lines) - len(set(lines)),
+        len(repeated),
+        len(words) < 10 or 100 * len(repeated) > 20 * len(words),
+    )
+
+
+def conversations(rows: list[tuple]) -> dict[int, tuple[int, str, int, str]]:
+    """rows: conv_id, turn, role, text."""
+    import hashlib
+
+    out = {}
+    held = defaultdict(list)
+    for conv_id, turn, role, text in rows:
+        held[conv_id].append((turn, role, text or ""))
+    for conv_id, turns in held.items():
+        turns.sort()
+        whole = "".join(f"{r}\n{t}\n" for _, r, t in turns)
+        loss = "".join(t for _, r, t in turns if r == "assistant")
+        digest = [hashlib.sha256(x.encode()).hexdigest() for x in (whole, loss)]
+        out[conv_id] = (len(turns), digest[0], len(loss), digest[1])
+    return out
