@@ -70,6 +70,13 @@ def between(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def rolling(total: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all spans of one size, by the running sums of the bytes; as of `between`."""
+    n = max(len(total) - size, 0)
+    h = (total[size:] - total[:n]) * powers(max(n, 1), True)[:n]
+    return mix(h + np.uint64(size) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def span_hashes(
     data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False
 ) -> np.ndarray:

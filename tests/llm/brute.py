@@ -86,3 +86,24 @@ def conversations(rows: list[tuple]) -> dict[int, tuple[int, str, int, str]]:
         digest = [hashlib.sha256(x.encode()).hexdigest() for x in (whole, loss)]
         out[conv_id] = (len(turns), digest[0], len(loss), digest[1])
     return out
+
+
+def without_repeats(docs: list[tuple[int, str | None]], size: int = 50) -> dict[int, tuple[int, int, int, str]]:
+    import hashlib
+
+    texts = {i: (t or "").encode() for i, t in docs}
+    first: dict[bytes, int] = {}
+    for i in sorted(texts):
+        t = texts[i]
+        for k in range(len(t) - size + 1):
+            first.setdefault(t[k : k + size], i)
+    out = {}
+    for i, t in texts.items():
+        gone = bytearray(len(t))
+        for k in range(len(t) - size + 1):
+            if first[t[k : k + size]] < i:
+                gone[k : k + size] = b"\1" * size
+        kept = bytes(c for c, g in zip(t, gone, strict=True) if not g)
+        spans = sum(1 for k, g in enumerate(gone) if g and (k == 0 or not gone[k - 1]))
+        out[i] = (len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    return out
