@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealtide.llm import bpe, chat, classifier, decontaminate, jaccard, lines, lm, quality_rules, substrings
+from dealtide.llm import bpe, chat, classifier, decontaminate, jaccard, licenses, lines, lm, quality_rules, substrings
 
 #: File of the tokenizer that the queries use.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -30,6 +30,13 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    found = licenses.license_scan(licenses.documents_as_files(documents))
+    doc_id = F.regexp_extract("path", "([0-9]+)[^/0-9]*$", 1).cast("bigint")
+    return found.select(doc_id.alias("doc_id"), "*")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode_decode(_table(spark, sf_dir, "documents"), TOKENIZER)
     return encoded.select(
@@ -80,6 +87,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op3_license_scan": op3_license_scan,
     "op4_bpe": op4_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op6_ngram_jaccard": op6_ngram_jaccard,
