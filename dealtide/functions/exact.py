@@ -9,8 +9,14 @@ size, the ratio itself must stay below 10**17.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Wider decimals are averaged as doubles, so that totals of the others fit 38 digits.
+MAX_PRECISION = 28
 
 
 def _units(numerator: str, denominator: str, places: int, literal: str = "BD") -> str:
@@ -32,6 +38,52 @@ def rounded_ratio(numerator: str, denominator: str, places: int) -> Column:
     return F.expr(f"cast({_units(numerator, denominator, places)} AS double) / {10**places}D")
 
 
+@dataclass(frozen=True)
+class Number:
+    """A numeric column for exact sums: whole units of 10**-scale, or the number as it is if scale is None."""
+
+    name: str
+    units: str
+    scale: int | None
+
+    def rounded(self, total: str, count: str, places: int) -> Column:
+        """total / count as a double, rounded once; total: SQL of a sum of `units`."""
+        if self.scale is None:
+            return F.expr(f"round({total} / {count}, {places})")
+        return rounded_ratio(f"({total})", f"({10**self.scale}BD * {count})", places)
+
+    def mean(self, places: int) -> Column:
+        """The mean of the column, as an aggregate."""
+        return self.rounded(f"sum({self.units})", f"count({self.name})", places)
+
+
+def number(df: DataFrame, name: str) -> Number:
+    """How to sum a column by its type: decimals and whole numbers exactly in their own scale, others as doubles."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.IntegralType):
+        return Number(name, f"cast({name} AS bigint)", 0)
+    if isinstance(kind, T.DecimalType) and kind.precision <= MAX_PRECISION:
+        whole = "bigint" if kind.precision <= 18 else "decimal(38,0)"
+        return Number(name, f"cast({name} * {10**kind.scale}BD AS {whole})", kind.scale)
+    return Number(name, f"cast({name} AS double)", None)
+
+
+def ratio_of_row(a: Number, b: Number, factor: int, places: int) -> Column:
+    """factor * a / b of one row, rounded: a decimal(28, places), or a double where either is one; NULL for b = 0."""
+    if a.scale is None or b.scale is None:
+        return F.expr(
+            f"round({factor} * cast({a.name} AS double) / nullif(cast({b.name} AS double), 0), {places})"
+        )
+    units = _units(
+        f"({a.units} * {factor * 10**b.scale}BD)", f"({b.units} * {10**a.scale}BD)", places
+    )
+    return F.expr(f"cast({units} * {_power(places)}BD AS decimal(28,{places}))")
+
+
+def _power(places: int) -> str:
+    return "1" if not places else f"0.{'0' * (places - 1)}1"
+
+
 def percent(part: str, whole: str) -> Column:
     """Percent with one decimal; NULL when there is no part at all."""
     return F.expr(f"cast({_units(f'nullif({part}, 0)', whole, 3)} AS double) / 10D")

@@ -175,7 +175,7 @@ def wbs_hours_by_practice_quarter(
     return (
         deals.join(newest_batch_per_deal(wbs), "opportunity_id")
         .groupBy("year_opp_closed", "quarter_opp_closed", "practice")
-        .agg(mean_hours(), F.count("*").alias("num_opps_w_wbs"))
+        .agg(mean_hours(wbs), F.count("*").alias("num_opps_w_wbs"))
         .orderBy(
             F.asc_nulls_last("practice"),
             F.asc_nulls_last("year_opp_closed"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,27 +24,70 @@ def table_profile(
 ) -> DataFrame:
     """Per column: rows, nulls, zeros (numbers only), distinct values, newest date and its age.
 
-    Every column is counted by value on its own, so only that column is read (columnar files
-    are read once in total) and only its distinct values are shuffled. A value that fills a
-    third of a column moves as one row per task. An empty table gives zeros.
+    One scan whatever the number of columns: every row becomes (column number, value) pairs, which are folded
+    before they are shuffled, so a value that fills a third of a column moves as one row per task. Counts are exact; values are told
+    apart by their text, 0.0 and -0.0 being one. An empty table gives zeros, no columns an empty frame.
     """
     fields = [f for f in table.schema.fields if columns is None or f.name in columns]
-    facts = reduce(DataFrame.union, [_column_facts(table, field) for field in fields])
-    return facts.withColumn("days_since_max", days_between(F.col("max_date"), as_of_date(as_of)))
+    names = table.sparkSession.createDataFrame(
+        [(i, f.name, _is_number(f)) for i, f in enumerate(fields)],
+        "at int, column string, number boolean",
+    )
+    if fields:
+        pairs = F.array(*[_pair(i, field) for i, field in enumerate(fields)])
+        facts = (
+            table.select(F.explode(pairs).alias("pair"))
+            .groupBy("pair.at", "pair.value")
+            .agg(
+                F.count("*").alias("n"),
+                F.max("pair.zero").alias("zero"),
+                F.max("pair.day").alias("day"),
+            )
+            .groupBy("at")
+            .agg(
+                F.sum("n").alias("rows"),
+                F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"),
+                F.sum(F.when(F.col("zero"), F.col("n")).otherwise(0)).alias("zeros"),
+                F.count("value").alias("distinct_values"),
+                F.max("day").alias("max_date"),
+            )
+        )
+    else:
+        facts = names.selectExpr(
+            "at", "0L as rows", "0L as nulls", "0L as zeros", "0L as distinct_values", "cast(null as date) as max_date"
+        )
+    none = F.lit(0).cast("bigint")
+    return (
+        names.join(facts, "at", "left")
+        .orderBy("at")
+        .select(
+            "column",
+            F.coalesce("rows", none).alias("rows"),
+            F.coalesce("nulls", none).alias("nulls"),
+            F.when(F.col("number"), F.coalesce("zeros", none)).alias("zeros"),
+            F.coalesce("distinct_values", none).alias("distinct_values"),
+            "max_date",
+            days_between(F.col("max_date"), as_of_date(as_of)).alias("days_since_max"),
+        )
+    )
 
 
-def _column_facts(table: DataFrame, field: T.StructField) -> DataFrame:
-    values = table.groupBy(F.col(f"`{field.name}`").alias("value")).agg(F.count("*").alias("n"))
-    is_number = isinstance(field.dataType, T.NumericType)
-    is_date = isinstance(field.dataType, T.DateType | T.TimestampType | T.TimestampNTZType)
+def _is_number(field: T.StructField) -> bool:
+    return isinstance(field.dataType, T.NumericType)
 
-    def rows_where(test: str) -> str:
-        return f"coalesce(sum(if({test}, n, 0)), 0)"
 
-    return values.selectExpr(
-        "coalesce(sum(n), 0) AS rows",
-        f"{rows_where('value IS NULL')} AS nulls",
-        f"{rows_where('value = 0') if is_number else 'cast(NULL AS bigint)'} AS zeros",
-        "count(value) AS distinct_values",
-        f"{'cast(max(value) AS date)' if is_date else 'cast(NULL AS date)'} AS max_date",
-    ).select(F.lit(field.name).alias("column"), "*")
+def _pair(at: int, field: T.StructField) -> Column:
+    """A column's value as text, whether it is zero, and its day if it is a time."""
+    value = F.col(f"`{field.name}`")
+    zero = value == 0 if _is_number(field) else F.lit(None).cast("boolean")
+    is_time = isinstance(field.dataType, T.DateType | T.TimestampType | T.TimestampNTZType)
+    if isinstance(field.dataType, T.BinaryType):
+        text = F.hex(value)
+    elif isinstance(field.dataType, T.ArrayType | T.MapType | T.StructType):
+        text = F.to_json(value)
+    else:
+        text = F.when(zero, F.lit("0")).otherwise(value.cast("string"))
+    day = value.cast("date") if is_time else F.lit(None).cast("date")
+    return F.struct(
+        F.lit(at).alias("at"), text.alias("value"), zero.alias("zero"), day.alias("day")
+    )

@@ -6,23 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealtide.functions.dates import in_year, quarter_label_of_month
-from dealtide.functions.exact import rounded_ratio, rounded_units
+from dealtide.functions.exact import number, ratio_of_row, rounded_ratio
 from dealtide.functions.labels import CONSULTANT_ROLES, STAFF_PRACTICES, Rules, label_by_rules
 from dealtide.operators.staffing import consultant_names
 
 # Fixed value: calculations of past months; an underscore stands for any one character.
 HISTORICAL_MONTHLY = "ACS_Historical_Monthly%"
+_WIDE = "decimal(38,0)"
 
 
-def master_utilization(
-    calculation: DataFrame,
-    detail: DataFrame,
-    actuals: DataFrame,
-    *,
-    year: int,
-    rules: Rules = STAFF_PRACTICES,
-) -> DataFrame:
-    """One row per consultant and month of the details last modified in ``year``."""
+def _rows(calculation: DataFrame, detail: DataFrame, year: int) -> DataFrame:
+    """Details of the historical months, with the resource, unlabelled."""
     months = calculation.filter(
         ~F.col("is_deleted")
         & F.col("time_period_id").isNotNull()
@@ -41,22 +35,54 @@ def master_utilization(
         & (F.col("target") > 0)
         & (F.col("adj_target") > 0)
     )
-    # Hours in hundredths, so that the ratio of a row is computed in longs.
-    effective = rounded_units(
-        "cast(billable_hours * 100 AS bigint) * 100", "cast(calendar_hours * 100 AS bigint)", 1
+    effective = ratio_of_row(
+        number(detail, "billable_hours"), number(detail, "calendar_hours"), 100, 1
     )
+    return worked.join(months, "calc_id").select(
+        "resource_id",
+        F.col("role").alias("resource_role"),
+        F.col("price").alias("resource_price"),
+        "practice",
+        "month",
+        F.col("target").alias("util_target"),
+        F.col("adj_target").alias("adjusted_util_target"),
+        effective.alias("effective_utilization"),
+    )
+
+
+def utilization_rows(
+    calculation: DataFrame,
+    detail: DataFrame,
+    *,
+    year: int,
+    rules: Rules = STAFF_PRACTICES,
+) -> DataFrame:
+    """The rows of the master view without names and order, for the roll-ups; `staff_practice` is the practice unlabelled."""
+    rows = _rows(calculation, detail, year).withColumn("staff_practice", F.col("practice"))
+    return label_by_rules(rows, "practice", rules, "practice")
+
+
+def master_utilization(
+    calculation: DataFrame,
+    detail: DataFrame,
+    actuals: DataFrame,
+    *,
+    year: int,
+    rules: Rules = STAFF_PRACTICES,
+) -> DataFrame:
+    """One row per consultant and month of the details last modified in ``year``."""
     rows = (
-        worked.join(months, "calc_id")
+        _rows(calculation, detail, year)
         .join(consultant_names(actuals), "resource_id", "left")
         .select(
             "consultant_name",
-            F.col("role").alias("resource_role"),
-            F.col("price").alias("resource_price"),
+            "resource_role",
+            "resource_price",
             "practice",
             "month",
-            F.col("target").alias("util_target"),
-            F.col("adj_target").alias("adjusted_util_target"),
-            (effective * F.expr("0.1BD")).cast("decimal(18,1)").alias("effective_utilization"),
+            "util_target",
+            "adjusted_util_target",
+            "effective_utilization",
         )
     )
     # The columns after the month fix the order of equal months; they also let the sort
@@ -76,53 +102,64 @@ def master_utilization(
     )
 
 
-def _averages() -> list[Column]:
-    # Sums in whole tenths and hundredths.
-    reached, target = "sum(cast(round(effective_utilization * 10) AS bigint))", (
-        "sum(cast(round(adjusted_util_target * 100) AS bigint))"
-    )
-    reached_n, target_n = "count(effective_utilization)", "count(adjusted_util_target)"
+def _averages(rows: DataFrame) -> list[Column]:
+    reached, target = number(rows, "effective_utilization"), number(rows, "adjusted_util_target")
+    if reached.scale is None or target.scale is None:
+        percent = F.expr(
+            f"round(100 * avg(cast({reached.name} AS double))"
+            f" / nullif(avg(cast({target.name} AS double)), 0), 1)"
+        )
+    else:
+        percent = rounded_ratio(
+            f"({100 * 10**target.scale}BD * sum({reached.units}) * count({target.name}))",
+            f"({10**reached.scale}BD * sum({target.units}) * count({reached.name}))",
+            1,
+        )
     return [
-        rounded_ratio(f"(1000BD * {reached} * {target_n})", f"(1BD * {target} * {reached_n})", 1).alias(
-            "percent_of_util_achieved"
-        ),
-        rounded_ratio(target, f"(100 * {target_n})", 1).alias("average_utilization_target"),
-        rounded_ratio(reached, f"(10 * {reached_n})", 1).alias("average_utilization"),
+        percent.alias("percent_of_util_achieved"),
+        target.mean(1).alias("average_utilization_target"),
+        reached.mean(1).alias("average_utilization"),
     ]
 
 
-def utilization_by_practice(master: DataFrame) -> DataFrame:
-    """Mean utilization against target by practice; practices without hours are left out."""
+def _with_practice(rows: DataFrame) -> DataFrame:
+    """A label is NULL only if the practice is, so the plain column is tested where it is there."""
+    name = "staff_practice" if "staff_practice" in rows.columns else "practice"
+    return rows.filter(F.col(name).isNotNull())
+
+
+def utilization_by_practice(rows: DataFrame) -> DataFrame:
+    """Mean utilization against target by practice; practices without hours are left out.
+
+    rows, here and below: `utilization_rows`, or the master view, which costs the names.
+    """
     return (
-        master.filter(F.col("practice").isNotNull())
+        _with_practice(rows)
         .groupBy("practice")
-        .agg(*_averages())
+        .agg(*_averages(rows))
         .filter(F.col("average_utilization").isNotNull())
         .orderBy(F.desc_nulls_last("percent_of_util_achieved"), "practice")
     )
 
 
-def utilization_by_practice_quarter(master: DataFrame) -> DataFrame:
+def utilization_by_practice_quarter(rows: DataFrame) -> DataFrame:
     return (
-        master.filter(F.col("practice").isNotNull())
+        _with_practice(rows)
         .groupBy("practice", quarter_label_of_month(F.col("month")).alias("quarter"))
-        .agg(*_averages())
+        .agg(*_averages(rows))
         .orderBy("practice", F.asc_nulls_last("quarter"))
     )
 
 
-def utilization_by_role(master: DataFrame, *, rules: Rules = CONSULTANT_ROLES) -> DataFrame:
+def utilization_by_role(rows: DataFrame, *, rules: Rules = CONSULTANT_ROLES) -> DataFrame:
     """Mean price and utilization by role; roles without a rule are left out."""
-    cents = "sum(cast(round(resource_price * 100) AS bigint))"
     return (
-        label_by_rules(master, "resource_role", rules, name="resource_roles")
+        label_by_rules(rows, "resource_role", rules, name="resource_roles")
         .filter(F.col("resource_roles").isNotNull())
         .groupBy("resource_roles")
         .agg(
-            rounded_ratio(cents, "(100 * count(resource_price))", 0).alias(
-                "average_resource_price_usd"
-            ),
-            *_averages(),
+            number(rows, "resource_price").mean(0).alias("average_resource_price_usd"),
+            *_averages(rows),
         )
         .orderBy(F.desc_nulls_last("percent_of_util_achieved"), "resource_roles")
     )
@@ -145,7 +182,8 @@ def utilization_fact_join(
         .groupBy("calc_id")
         .agg(
             F.sum("details").alias("num_detail"),
-            F.sum(F.col("details") * F.col("copies")).alias("named"),
+            # A fan-out passes the range of a long.
+            F.sum(F.col("details").cast(_WIDE) * F.col("copies")).cast(_WIDE).alias("named"),
         )
     )
     summaries = summary.groupBy("calc_id").agg(F.count("*").alias("num_summary"))
@@ -157,7 +195,7 @@ def utilization_fact_join(
             F.col("calc_id").alias("util_calc_id"),
             "num_detail",
             "num_summary",
-            (F.col("named") * F.col("num_summary")).alias("num_fanout"),
+            (F.col("named") * F.col("num_summary")).cast(_WIDE).alias("num_fanout"),
         )
     )
 
@@ -168,16 +206,22 @@ def utilization_fact_rows(
     summary: DataFrame,
     actuals: DataFrame,
     *,
-    limit: int = 500_000,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Any ``limit`` rows of that join, for a look at the columns side by side."""
-    return (
-        calculation.select(F.col("id").alias("calc_id"), "name", "hist_end", "sched_end")
-        .join(detail.drop("is_deleted", "time_period_type"), "calc_id")
+    """The rows of that join, or any ``limit`` of them, for a look at the columns side by side."""
+    rows = (
+        calculation.select(
+            F.col("id").alias("calc_id"),
+            "name",
+            "hist_end",
+            "sched_end",
+            *[c for c in ("calc_hist_util", "calc_sched_util") if c in calculation.columns],
+        )
+        .join(detail, "calc_id")
         .join(summary.select("calc_id", F.col("created_date").alias("summary_date")), "calc_id")
         .join(
             actuals.select("resource_id", F.col("name").alias("resource_name")), "resource_id"
         )
         .withColumnRenamed("calc_id", "util_calc_id")
-        .limit(limit)
     )
+    return rows if limit is None else rows.limit(limit)

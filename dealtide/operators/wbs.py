@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dealtide.functions.dates import from_year
 from dealtide.functions.deals import DATA_PRACTICES, created_year, in_practices, won
-from dealtide.functions.exact import rounded_ratio
+from dealtide.functions.exact import number
 from dealtide.plans.hours import newest_batch_per_deal, newest_batch_per_deal_and_role
 
 # Which roles belong to the data practice.
@@ -34,9 +34,10 @@ def _role_test(like: Sequence[str], not_like: Sequence[str]) -> Column:
     return test
 
 
-def mean_hours() -> Column:
-    """Mean hours per entry (not per deal) over roll-ups of entries, which hold hundredths."""
-    return rounded_ratio("sum(hours)", "(100 * sum(entries))", 1).alias("avg_hours_per_opp")
+def mean_hours(wbs: DataFrame) -> Column:
+    """Mean hours per entry (not per deal) over roll-ups of entries of that plan."""
+    mean = number(wbs, "hours").rounded("sum(hours)", "sum(entries)", 1)
+    return mean.alias("avg_hours_per_opp")
 
 
 def wbs_hours_by_practice(opps: DataFrame, wbs: DataFrame, *, min_year: int = 2021) -> DataFrame:
@@ -44,7 +45,7 @@ def wbs_hours_by_practice(opps: DataFrame, wbs: DataFrame, *, min_year: int = 20
         _won_deals(opps, min_year, None)
         .join(newest_batch_per_deal(wbs), "opportunity_id")
         .groupBy("year_opp_created", "practice")
-        .agg(mean_hours(), F.count("*").alias("num_opps"))
+        .agg(mean_hours(wbs), F.count("*").alias("num_opps"))
         .orderBy(F.asc_nulls_last("year_opp_created"), F.asc_nulls_last("practice"))
     )
 
@@ -64,7 +65,7 @@ def wbs_hours_for_practice(
         _won_deals(opps, min_year, practices)
         .join(newest, "opportunity_id")
         .groupBy("year_opp_created")
-        .agg(mean_hours(), F.count("*").alias("num_opps"))
+        .agg(mean_hours(wbs), F.count("*").alias("num_opps"))
         .orderBy(F.asc_nulls_last("year_opp_created"))
     )
 
@@ -83,7 +84,7 @@ def wbs_hours_by_role(
         _won_deals(opps, min_year, practices)
         .join(newest, "opportunity_id")
         .groupBy("year_opp_created", F.col("role").alias("consultant_type"))
-        .agg(mean_hours())
+        .agg(mean_hours(wbs))
         .orderBy(
             F.asc_nulls_last("year_opp_created"),
             F.desc_nulls_last("avg_hours_per_opp"),

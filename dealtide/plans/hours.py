@@ -10,19 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _hundredths() -> Column:
-    """Hours in whole hundredths: sums of longs are cheaper than sums of decimals."""
-    return (F.col("hours") * 100).cast("bigint")
+from dealtide.functions.exact import number
 
 
 def newest_batch_per_deal(wbs: DataFrame, counted: Column | None = None) -> DataFrame:
-    """opportunity_id, hours (in hundredths), entries: totals of the counted rows of the newest batch.
+    """opportunity_id, hours (in the units of `number`), entries: totals of the counted rows of the newest batch.
 
     The batch is chosen among all rows with hours; ``counted`` only limits what is summed.
     Deals without a counted row in their newest batch are left out.
     """
-    hours = _hundredths() if counted is None else F.when(counted, _hundredths())
+    hours = F.expr(number(wbs, "hours").units)
+    hours = hours if counted is None else F.when(counted, hours)
     batches = (
         wbs.filter(F.col("hours") != 0)
         .groupBy("opportunity_id", "created_date")
@@ -42,14 +40,18 @@ def newest_batch_per_deal(wbs: DataFrame, counted: Column | None = None) -> Data
 def newest_batch_per_deal_and_role(wbs: DataFrame, counted: Column) -> DataFrame:
     """opportunity_id, role, hours, entries: as above, one row per counted role.
 
-    The rows of a deal cannot be folded into one here, so the newest moment is joined back
+    The plan is folded once, to (deal, batch, role). A deal's newest batch is found on that fold and joined back
     on (deal, moment), which spreads a large deal over its batches.
     """
-    entered = wbs.filter(F.col("hours") != 0)
-    newest = entered.groupBy("opportunity_id").agg(F.max("created_date").alias("created_date"))
+    hours = F.when(counted, F.expr(number(wbs, "hours").units))
     per_role = (
-        entered.filter(counted)
+        wbs.filter(F.col("hours") != 0)
         .groupBy("opportunity_id", "created_date", "role")
-        .agg(F.sum(_hundredths()).alias("hours"), F.count("hours").alias("entries"))
+        .agg(F.sum(hours).alias("hours"), F.count(hours).alias("entries"))
+    )
+    newest = per_role.groupBy("opportunity_id").agg(F.max("created_date").alias("created_date"))
+    return (
+        per_role.filter(F.col("entries") > 0)
+        .join(newest, ["opportunity_id", "created_date"], "left_semi")
+        .drop("created_date")
     )
-    return per_role.join(newest, ["opportunity_id", "created_date"], "left_semi").drop("created_date")

@@ -18,6 +18,8 @@ STAFF = (
     "Data", "Next Gen Data Center", "Digital Solutions", "Public Cloud", "AppDev", "Mod Infra",
     "Advisory", "EMA", "ESM", "MS - Security", "DevOps", "Network", "Security", "TSA", "Other Team",
 )
+# Four decimals.
+_FRACTION = "cast(l_discount AS decimal(4,2)) * cast(l_tax AS decimal(4,2))"
 STAGES = ("Prospecting/Lead", "Pipeline", "Upside", "Strong Upside", "Commit")
 
 
@@ -101,7 +103,7 @@ def wbs(items: DataFrame, parts: DataFrame) -> DataFrame:
         """CASE p_type WHEN 'PROMO' THEN 'Data Engineer' WHEN 'LARGE' THEN 'Senior Data Consultant'
                 WHEN 'ECONOMY' THEN 'Data Contractor' WHEN 'SMALL' THEN 'Data Protection Consultant'
                 ELSE 'Cloud Consultant' END AS role""",
-        "cast(cast(l_quantity AS int) - 1 AS decimal(12,2)) AS hours",
+        f"cast(cast(l_quantity AS int) - 1 + {_FRACTION} AS decimal(14,4)) AS hours",
     )
 
 
@@ -117,8 +119,8 @@ def resource_request(orders: DataFrame) -> DataFrame:
 
 
 def resource_request_history(items: DataFrame) -> DataFrame:
-    return items.filter("l_orderkey % 9 <> 0").selectExpr(
-        "cast(l_orderkey AS string) AS parent_id",
+    return items.selectExpr(
+        "concat(if(l_orderkey % 9 = 0, 'none-', ''), l_orderkey) AS parent_id",
         "l_shipdate AS created_date",
         """CASE l_returnflag WHEN 'R' THEN 'pse__Resource_Held__c'
                 WHEN 'A' THEN 'pse__Staffer_Resource__c' ELSE 'pse__Status__c' END AS field""",
@@ -129,9 +131,10 @@ def resource_request_history(items: DataFrame) -> DataFrame:
 
 def resource_actuals(customers: DataFrame) -> DataFrame:
     return (
-        customers.filter("c_custkey % 10 <> 0")
-        .selectExpr("*", "explode(array(c_mktsegment, 'alt')) AS tail")
-        .selectExpr("cast(c_custkey AS string) AS resource_id", "concat(c_name, ' - ', tail) AS name")
+        customers.selectExpr("*", "explode(array(c_mktsegment, 'alt')) AS tail").selectExpr(
+            "concat(if(c_custkey % 10 = 0, 'none-', ''), c_custkey) AS resource_id",
+            "concat(c_name, ' - ', tail) AS name",
+        )
     )
 
 
@@ -152,6 +155,8 @@ def utilization_calculation(items: DataFrame) -> DataFrame:
             "'Month' AS time_period_type",
             "end AS sched_end",
             "if((y + m) % 9 <> 0, end, NULL) AS hist_end",
+            "kind = 'Historical' AS calc_hist_util",
+            "kind = 'Scheduled' AS calc_sched_util",
             "(y * 12 + m) % 17 = 0 AS is_deleted",
         )
     )
@@ -169,13 +174,13 @@ def utilization_detail(items: DataFrame, parts: DataFrame) -> DataFrame:
                 WHEN 'ECONOMY' THEN 'Managing Principle' WHEN 'SMALL' THEN 'Managing Principal'
                 WHEN 'MEDIUM' THEN 'Engineer II' ELSE 'Intern' END AS role""",
         f"{_choose(STAFF, 'l_suppkey % 16')} AS practice",
-        "cast(if(l_linenumber = 6, 0, p_size) AS decimal(12,2)) AS target",
-        "cast(if(p_size % 10 = 0, 0, p_size + 5) AS decimal(12,2)) AS adj_target",
-        # Price per unit in whole cents, rounded in integers.
-        """cast(((2 * cast(round(l_extendedprice * 100) AS bigint) + cast(l_quantity AS bigint))
-                 div (2 * cast(l_quantity AS bigint))) * 0.01BD AS decimal(12,2)) AS price""",
-        "cast(cast(l_quantity AS int) AS decimal(12,2)) AS billable_hours",
-        "cast(if(l_tax = 0, 0, 50) AS decimal(12,2)) AS calendar_hours",
+        f"cast(if(l_linenumber = 6, 0, p_size + {_FRACTION}) AS decimal(14,4)) AS target",
+        f"cast(if(p_size % 10 = 0, 0, p_size + 5 + {_FRACTION}) AS decimal(14,4)) AS adj_target",
+        # Price per unit in ten-thousandths, rounded in integers.
+        """cast(((200 * cast(round(l_extendedprice * 100) AS bigint) + cast(l_quantity AS bigint))
+                 div (2 * cast(l_quantity AS bigint))) * 0.0001BD AS decimal(14,4)) AS price""",
+        f"cast(cast(l_quantity AS int) + {_FRACTION} AS decimal(14,4)) AS billable_hours",
+        "cast(if(l_tax = 0, 0, 50 + cast(l_discount AS decimal(4,2))) AS decimal(14,4)) AS calendar_hours",
         "l_shipdate AS last_modified",
         "if(l_linenumber = 4, 'Week', 'Month') AS time_period_type",
         "l_linenumber = 5 AS is_deleted",

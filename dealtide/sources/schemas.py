@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_HOURS = T.DecimalType(12, 2)
+#: Stands for any numeric type: numbers keep the type of their source.
+_NUMBER = T.DecimalType(14, 4)
 
 
 def _schema(**columns: T.DataType) -> T.StructType:
@@ -47,7 +48,7 @@ WBS = _schema(
     opportunity_id=T.StringType(),
     created_date=T.TimestampNTZType(),
     role=T.StringType(),
-    hours=_HOURS,
+    hours=_NUMBER,
 )
 RESOURCE_REQUEST = _schema(
     id=T.StringType(),
@@ -72,6 +73,8 @@ UTILIZATION_CALCULATION = _schema(
     time_period_type=T.StringType(),
     sched_end=T.DateType(),
     hist_end=T.DateType(),
+    calc_hist_util=T.BooleanType(),
+    calc_sched_util=T.BooleanType(),
     is_deleted=T.BooleanType(),
 )
 UTILIZATION_DETAIL = _schema(
@@ -79,11 +82,11 @@ UTILIZATION_DETAIL = _schema(
     resource_id=T.StringType(),
     role=T.StringType(),
     practice=T.StringType(),
-    target=_HOURS,
-    adj_target=_HOURS,
-    price=_HOURS,
-    billable_hours=_HOURS,
-    calendar_hours=_HOURS,
+    target=_NUMBER,
+    adj_target=_NUMBER,
+    price=_NUMBER,
+    billable_hours=_NUMBER,
+    calendar_hours=_NUMBER,
     last_modified=T.TimestampNTZType(),
     time_period_type=T.StringType(),
     is_deleted=T.BooleanType(),
@@ -139,6 +142,8 @@ def crm_columns(org: str) -> dict[str, dict[str, str]]:
             "time_period_type": "pse_time_period_types_c",
             "sched_end": "pse_scheduled_utilization_end_date_c",
             "hist_end": "pse_historical_utilization_end_date_c",
+            "calc_hist_util": "pse_calculate_historical_utilization_c",
+            "calc_sched_util": "pse_calculate_scheduled_utilization_c",
         },
         "utilization_detail": {
             "calc_id": "pse_utilization_calculation_c",
@@ -157,17 +162,31 @@ def crm_columns(org: str) -> dict[str, dict[str, str]]:
     }
 
 
+#: Columns that a source may lack; they are NULL then.
+OPTIONAL = ("calc_hist_util", "calc_sched_util")
+
+
 def conform(
     df: DataFrame, schema: T.StructType, names: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """``df`` with exactly the columns of ``schema``; columns already of the type stay uncast."""
+    """``df`` with exactly the columns of ``schema``; columns already of the type stay uncast.
+
+    Numbers keep the type and precision they have; numbers given as text become doubles.
+    """
     names = names or {}
     have = {field.name.lower(): field.dataType for field in df.schema.fields}
     columns = []
     for field in schema.fields:
         source = names.get(field.name, field.name)
+        if field.name in OPTIONAL and source.lower() not in have:
+            columns.append(F.lit(None).cast(field.dataType).alias(field.name))
+            continue
         column = F.col(source)
-        if have[source.lower()] != field.dataType:
+        kind = have[source.lower()]
+        if field.dataType == _NUMBER:
+            if not isinstance(kind, T.NumericType):
+                column = column.try_cast(T.DoubleType())
+        elif kind != field.dataType:
             column = column.try_cast(field.dataType)
         columns.append(column.alias(field.name))
     return df.select(*columns)

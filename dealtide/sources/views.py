@@ -1,4 +1,4 @@
-"""The dashboard views as session views, so that SQL and BI tools can query them by name."""
+"""The dashboard views by name: as session views, or written as tables that outlast the session."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 
-from dealtide.functions.labels import STAFF_PRACTICES, Rules
+from dealtide.functions.labels import Rules, staff_practices
 from dealtide.operators import dashboard, staffing, utilization
 from dealtide.sources.tables import Tables
 
@@ -18,10 +18,16 @@ def dashboard_views(
     as_of: dt.date | None = None,
     years: Iterable[int] = (2021, 2022, 2023),
     held_since: int = 2021,
-    staff_rules: Rules = STAFF_PRACTICES,
+    org: str | None = None,
+    staff_rules: Rules | None = None,
 ) -> dict[str, DataFrame]:
-    """Every dashboard view by name. Nothing is computed until a view is read."""
+    """Every dashboard view by name. Nothing is computed until a view is read.
+
+    ``org``, the house's own brand, labels its own practice in the utilization views; ``staff_rules`` replaces
+    the rules altogether.
+    """
     t = tables
+    rules = staff_practices(org) if staff_rules is None else staff_rules
     hours = dashboard.wbs_hours_by_practice_quarter(t.opportunity, t.wbs, as_of=as_of)
     wins = dashboard.win_rate_by_practice_quarter(t.opportunity, as_of=as_of)
     views = {
@@ -52,16 +58,19 @@ def dashboard_views(
             t.utilization_detail,
             t.resource_actuals,
             year=year,
-            rules=staff_rules,
+            rules=rules,
+        )
+        rows = utilization.utilization_rows(
+            t.utilization_calculation, t.utilization_detail, year=year, rules=rules
         )
         views[f"master_utilization_{year}"] = master
         views[f"average_utilization_per_practice_{year}"] = utilization.utilization_by_practice(
-            master
+            rows
         )
         views[f"average_utilization_per_practice_per_quarter_{year}"] = (
-            utilization.utilization_by_practice_quarter(master)
+            utilization.utilization_by_practice_quarter(rows)
         )
-        views[f"average_utilization_per_resource_{year}"] = utilization.utilization_by_role(master)
+        views[f"average_utilization_per_resource_{year}"] = utilization.utilization_by_role(rows)
     return views
 
 
@@ -69,3 +78,15 @@ def publish(views: dict[str, DataFrame]) -> None:
     """Create or replace a session view for each; a later read sees the tables of that time."""
     for name, df in views.items():
         df.createOrReplaceTempView(name)
+
+
+def write_views(
+    views: dict[str, DataFrame], namespace: str, *, file_format: str = "parquet"
+) -> None:
+    """Write each view as a table ``<namespace>.<name>`` of the catalog, in place of what is there.
+
+    The tables outlast the session, so BI tools read them by name. Their columns are in the order of the view;
+    they hold the rows of the time of writing.
+    """
+    for name, df in views.items():
+        df.write.mode("overwrite").format(file_format).saveAsTable(f"{namespace}.{name}")

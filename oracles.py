@@ -25,6 +25,9 @@ _STAFF = (
 
 # ---------------------------------------------------------------- base tables
 
+# Numbers with four decimals are held in ten-thousandths.
+FRACTION = "round(l_discount * 100)::BIGINT * round(l_tax * 100)::BIGINT"
+
 BASE = {
     "deal": f"""
         SELECT o_orderkey::VARCHAR AS id,
@@ -61,13 +64,13 @@ BASE = {
                     ELSE coalesce(['Prospecting/Lead','Pipeline','Upside','Strong Upside','Commit'][l_linenumber],
                                   'Closed') END AS new_value
         FROM lineitem""",
-    "plan": """
+    "plan": f"""
         SELECT l_orderkey::VARCHAR AS deal_id,
                date_trunc('year', l_shipdate)::TIMESTAMP AS ts,
                CASE p_type WHEN 'PROMO' THEN 'Data Engineer' WHEN 'LARGE' THEN 'Senior Data Consultant'
                     WHEN 'ECONOMY' THEN 'Data Contractor' WHEN 'SMALL' THEN 'Data Protection Consultant'
                     ELSE 'Cloud Consultant' END AS role,
-               (l_quantity - 1)::INTEGER AS hours
+               (l_quantity - 1)::BIGINT * 10000 + {FRACTION} AS units
         FROM lineitem JOIN part ON p_partkey = l_partkey""",
     "request": f"""
         SELECT o_orderkey::VARCHAR AS id, o_orderkey::VARCHAR AS deal_id, o_custkey::VARCHAR AS resource_id,
@@ -75,17 +78,16 @@ BASE = {
                o_orderdate AS requested
         FROM orders""",
     "request_change": """
-        SELECT l_orderkey::VARCHAR AS request_id, l_shipdate AS ts,
+        SELECT CASE WHEN l_orderkey % 9 = 0 THEN 'none-' ELSE '' END || l_orderkey AS request_id, l_shipdate AS ts,
                CASE l_returnflag WHEN 'R' THEN 'pse__Resource_Held__c' WHEN 'A' THEN 'pse__Staffer_Resource__c'
                     ELSE 'pse__Status__c' END AS field,
                CASE WHEN l_linestatus = 'O' THEN 'true' ELSE 'false' END AS old_value,
                CASE WHEN l_partkey % 2 = 0 THEN 'Jane Doe' ELSE 'a0X1' END AS new_value
-        FROM lineitem WHERE l_orderkey % 9 <> 0""",
+        FROM lineitem""",
     "person": """
-        SELECT c_custkey::VARCHAR AS resource_id, c_name || ' - ' || tail AS name
+        SELECT CASE WHEN c_custkey % 10 = 0 THEN 'none-' ELSE '' END || c_custkey AS resource_id, c_name || ' - ' || tail AS name
         FROM customer, (VALUES (1), (2)) AS copies(copy),
-             LATERAL (SELECT CASE copy WHEN 1 THEN c_mktsegment ELSE 'alt' END AS tail)
-        WHERE c_custkey % 10 <> 0""",
+             LATERAL (SELECT CASE copy WHEN 1 THEN c_mktsegment ELSE 'alt' END AS tail)""",
     "calc": """
         SELECT (y * 100 + m + k * 1000000)::VARCHAR AS id,
                CASE WHEN (y + m) % 13 <> 0 THEN y * 100 + m + k * 1000000 END AS period_id,
@@ -103,11 +105,11 @@ BASE = {
                     WHEN 'ECONOMY' THEN 'Managing Principle' WHEN 'SMALL' THEN 'Managing Principal'
                     WHEN 'MEDIUM' THEN 'Engineer II' ELSE 'Intern' END AS role,
                {_STAFF}[l_suppkey % 16 + 1] AS practice,
-               CASE WHEN l_linenumber = 6 THEN 0 ELSE p_size END AS target,
-               CASE WHEN p_size % 10 = 0 THEN 0 ELSE p_size + 5 END AS adj_target,
-               (2 * round(l_extendedprice * 100)::BIGINT + l_quantity::BIGINT) // (2 * l_quantity::BIGINT) AS price_cents,
-               l_quantity::BIGINT AS billable,
-               CASE WHEN l_tax = 0 THEN 0 ELSE 50 END AS calendar,
+               CASE WHEN l_linenumber = 6 THEN 0 ELSE p_size * 10000 + {FRACTION} END AS target,
+               CASE WHEN p_size % 10 = 0 THEN 0 ELSE (p_size + 5) * 10000 + {FRACTION} END AS adj_target,
+               (200 * round(l_extendedprice * 100)::BIGINT + l_quantity::BIGINT) // (2 * l_quantity::BIGINT) AS price,
+               l_quantity::BIGINT * 10000 + {FRACTION} AS billable,
+               CASE WHEN l_tax = 0 THEN 0 ELSE 500000 + 100 * round(l_discount * 100)::BIGINT END AS calendar,
                l_shipdate AS last_modified,
                l_linenumber = 4 AS weekly,
                l_linenumber = 5 AS is_deleted
@@ -138,7 +140,7 @@ def cases(column: str, rules: list[tuple[str, str]], otherwise: str) -> str:
     return f"CASE {arms} ELSE {otherwise} END"
 
 
-# Label rules in order of precedence.
+# Label rules in order of precedence; below, stage tests, field names and bucket names.
 DEAL_LABEL = cases(
     "practice",
     [
@@ -430,8 +432,8 @@ def planned(where: str, select: str, roles: str = "true") -> str:
         "deal plan",
         select,
         entered=f"""
-        SELECT deal_id, ts, role, hours, practice, {CREATED} AS y, close_date
-        FROM deal JOIN plan ON deal_id = id WHERE {WON} AND hours <> 0 AND {where}""",
+        SELECT deal_id, ts, role, units, practice, {CREATED} AS y, close_date
+        FROM deal JOIN plan ON deal_id = id WHERE {WON} AND units <> 0 AND {where}""",
         newest=f"""
         SELECT entered.* FROM entered
         JOIN (SELECT deal_id, max(ts) AS ts FROM entered GROUP BY deal_id) AS latest
@@ -440,7 +442,7 @@ def planned(where: str, select: str, roles: str = "true") -> str:
     )
 
 
-MEAN_HOURS = half_away("sum(hours)", "count(hours)", 1) + " AS avg_hours_per_opp"
+MEAN_HOURS = half_away("sum(units)", "10000 * count(units)", 1) + " AS avg_hours_per_opp"
 DATA_ROLES = "role ILIKE '%data%' AND role NOT ILIKE '%contractor%' AND role NOT ILIKE '%protection%'"
 
 WBS = {
@@ -630,9 +632,9 @@ STAFFING = {
 # --------------------------------------------------------------- F. utilization
 
 MASTER = f"""
-    SELECT consultant_name, role AS resource_role, price_cents / 100.0::DOUBLE AS resource_price, price_cents,
+    SELECT consultant_name, role AS resource_role, price / 10000.0::DOUBLE AS resource_price, price,
            {STAFF_LABEL} AS practice, split_part(calc.name, '_', 5) AS month,
-           target::DOUBLE AS util_target, adj_target::DOUBLE AS adjusted_util_target, adj_target,
+           target / 10000.0::DOUBLE AS util_target, adj_target / 10000.0::DOUBLE AS adjusted_util_target, adj_target,
            {half_away("100 * billable", "calendar", 1)} AS effective_utilization,
            (2000 * billable + calendar) // (2 * nullif(calendar, 0)) AS tenths
     FROM detail LEFT JOIN calc ON calc.id = detail.calc_id
@@ -643,9 +645,9 @@ MASTER = f"""
       AND target > 0 AND adj_target > 0 AND calc.name ILIKE 'ACS_Historical_Monthly%'"""
 UTILIZATION_AVERAGES = ", ".join(
     [
-        half_away("10 * sum(tenths) * count(adj_target)", "sum(adj_target) * count(tenths)", 1)
+        half_away("100000 * sum(tenths) * count(adj_target)", "sum(adj_target) * count(tenths)", 1)
         + " AS percent_of_util_achieved",
-        half_away("sum(adj_target)", "count(adj_target)", 1) + " AS average_utilization_target",
+        half_away("sum(adj_target)", "10000 * count(adj_target)", 1) + " AS average_utilization_target",
         half_away("sum(tenths)", "10 * count(tenths)", 1) + " AS average_utilization",
     ]
 )
@@ -656,7 +658,7 @@ def utilization(body: str) -> str:
 
 
 UTILIZATION = {
-    "master_utilization": utilization("SELECT * EXCLUDE (price_cents, adj_target, tenths) FROM master"),
+    "master_utilization": utilization("SELECT * EXCLUDE (price, adj_target, tenths) FROM master"),
     "utilization_by_practice": utilization(
         f"""
         SELECT practice, {UTILIZATION_AVERAGES} FROM master WHERE practice IS NOT NULL
@@ -671,7 +673,7 @@ UTILIZATION = {
     ),
     "utilization_by_role": utilization(
         f"""
-        SELECT resource_roles, {half_away("sum(price_cents)", "100 * count(price_cents)", 0)}
+        SELECT resource_roles, {half_away("sum(price)", "10000 * count(price)", 0)}
                    AS average_resource_price_usd,
                {UTILIZATION_AVERAGES}
         FROM (SELECT *, {ROLE_LABEL} AS resource_roles FROM master) WHERE resource_roles IS NOT NULL

@@ -64,3 +64,38 @@ def test_every_dashboard_view_can_be_queried(spark, tables):
         rows = spark.table(name)
         assert rows.columns == df.columns
         assert rows.count() > 0, name
+
+
+def test_numbers_keep_their_precision(spark):
+    raw = spark.createDataFrame([("a", "99999999999.0"), ("b", "0.004"), ("c", "x")], "id string, h string")
+    for kind, want in (("string", float), ("double", float), ("decimal(18,6)", None)):
+        df = raw.selectExpr("id AS opportunity_id", "cast(NULL AS timestamp_ntz) AS created_date",
+                            "'r' AS role", f"try_cast(h AS {kind}) AS hours")
+        got = [r.hours for r in schemas.conform(df, schemas.WBS).collect()]
+        assert [None if x is None else float(x) for x in got] == [99999999999.0, 0.004, None], (kind, want)
+
+
+def test_views_written_to_the_catalog(spark, tables, tmp_path):
+    spark.sql(f"CREATE DATABASE views_test LOCATION '{tmp_path}/views'")
+    try:
+        found = views.dashboard_views(tables, as_of=dt.date(2001, 6, 30), years=(), org="data")
+        some = {"opp_win_percentage_by_practice": found["opp_win_percentage_by_practice"]}
+        views.write_views(some, "views_test")
+        views.write_views(some, "views_test")
+        read = spark.table("views_test.opp_win_percentage_by_practice")
+        assert read.columns == some["opp_win_percentage_by_practice"].columns
+        assert read.count() == some["opp_win_percentage_by_practice"].count()
+    finally:
+        spark.sql("DROP DATABASE views_test CASCADE")
+
+
+def test_adapters_keep_every_row(spark, tables):
+    items = spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count()
+    people = spark.read.parquet(f"{SF_DIR}/customer.parquet").count()
+    assert tables.resource_request_history.count() == items
+    assert tables.resource_actuals.count() == 2 * people
+    requests = tables.resource_request
+    known = requests.join(tables.resource_actuals, "resource_id", "left_semi").count()
+    history = tables.resource_request_history.withColumnRenamed("parent_id", "id")
+    assert 0 < known < requests.count()  # placeholders occur
+    assert requests.join(history, "id", "left_anti").count() > 0  # and requests without history

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from dealtide.functions.labels import staff_practices
 from dealtide.operators import profiling, utilization
@@ -163,3 +164,62 @@ def test_preview(spark):
     table = spark.range(20)
     assert [r.id for r in profiling.table_preview(table, order_by=["id"]).collect()] == [0, 1, 2, 3, 4]
     assert profiling.table_preview(table, n=3).count() == 3
+
+
+@pytest.mark.parametrize("kind", ["double", "decimal(18,6)"])
+def test_fractions_are_rounded_once(spark, actuals, kind):
+    def numbers(table, rows, *names):
+        rows = frame(spark, table, rows)
+        return rows.withColumns({n: rows[n].cast(kind) for n in names})
+
+    names = ("target", "adj_target", "price", "billable_hours", "calendar_hours")
+
+    def rolled(*rows):
+        details = numbers("utilization_detail", [detail("c1", **r) for r in rows], *names)
+        calculations = frame(spark, "utilization_calculation", CALCULATIONS)
+        master = utilization.master_utilization(calculations, details, actuals, year=2023)
+        by = utilization.utilization_by_practice(
+            utilization.utilization_rows(calculations, details, year=2023)
+        )
+        return float(master.first().effective_utilization), tuple(by.first())[1:]
+
+    small = {"billable_hours": 0.0040, "calendar_hours": 0.0080}
+    assert rolled(small)[0] == 50.0
+    held = {"billable_hours": 75, "calendar_hours": 100}
+    assert rolled(held | {"adj_target": 0.7249})[1] == (10346.3, 0.7, 75.0)
+    assert rolled(held | {"adj_target": 0.0030})[1] == (2500000.0, 0.0, 75.0)
+
+
+def test_fan_out_is_a_wide_number(spark):
+    calculations = frame(spark, "utilization_calculation", [calculation("c1")])
+    details = frame(spark, "utilization_detail", [detail("c1")])
+    summaries = frame(spark, "utilization_summary", [{"calc_id": "c1"}])
+    people = frame(spark, "resource_actuals", [{"resource_id": "r1", "name": "Zoe - x"}])
+    sizes = utilization.utilization_fact_join(calculations, details, summaries, people)
+    assert dict(sizes.dtypes)["num_fanout"] == "decimal(38,0)"
+
+
+def test_rollups_read_no_names_and_push_no_label(spark, tmp_path):
+    calculations = frame(spark, "utilization_calculation", CALCULATIONS)
+    frame(spark, "utilization_detail", [detail("c1")]).write.parquet(f"{tmp_path}/detail")
+    rows = utilization.utilization_rows(
+        calculations, spark.read.parquet(f"{tmp_path}/detail"), year=2023
+    )
+    for df in (
+        utilization.utilization_by_practice(rows),
+        utilization.utilization_by_practice_quarter(rows),
+    ):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        pushed = next(line for line in plan.splitlines() if "FileScan" in line)
+        assert "name" not in pushed.split("ReadSchema")[1]
+        assert "IsNotNull(practice)" in pushed
+        assert plan.count("Join") <= 2
+
+
+def test_wide_profile_scans_once(spark, tmp_path):
+    wide = spark.range(10).select(*[(F.col("id") % (k + 1)).alias(f"c{k}") for k in range(60)])
+    wide.write.parquet(f"{tmp_path}/wide")
+    profile = profiling.table_profile(spark.read.parquet(f"{tmp_path}/wide"))
+    assert profile._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert [r.distinct_values for r in profile.collect()] == [min(k + 1, 10) for k in range(60)]
+    assert profiling.table_profile(wide, columns=[]).collect() == []
