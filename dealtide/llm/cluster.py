@@ -49,6 +49,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def sent(df: DataFrame, rows: int = 1 << 18) -> DataFrame:
     """Marked for broadcast if it has at most so many rows, which are counted; beyond, the join shuffles.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealtide.llm import text as T
-from dealtide.llm.cluster import batches, phased, stored
+from dealtide.llm.cluster import batches, fresh, phased, stored
 
 #: Up to so many distinct seeds (8 bytes each) are sent to the tasks; beyond, seeds are joined by a shuffle.
 SENT_SEEDS = 1 << 20
@@ -225,8 +225,6 @@ def contaminations(
 def decontaminated(documents: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """The documents, whole rows, without those that `contaminations` finds. Rows without id stay."""
     found = contaminations(documents, benchmark, **parameters)
-    return documents.join(
-        found.select(F.col("doc_id").alias("_found")).distinct(),
-        F.col("doc_id").cast("bigint") == F.col("_found"),
-        "left_anti",
-    )
+    name = fresh(documents, "found")
+    found = found.select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(found, documents["doc_id"].cast("bigint") == found[name], "left_anti")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dealtide.llm import text as T
-from dealtide.llm.cluster import batches, phased, sent, stored
+from dealtide.llm.cluster import batches, fresh, phased, sent, stored
 from dealtide.llm.components import components
 
 #: A shingle counts as frequent where a slice of texts holds it in so many of its documents, and all slices together in
@@ -386,5 +386,6 @@ def similar_documents(documents: DataFrame, size: int = 5, percent: int = 75) ->
 def without_similar(documents: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """The documents, whole rows, of which no smaller doc_id is reachable by links. Rows without id stay."""
     found = similar_documents(documents, size, percent).where("component_id <> doc_id")
-    gone = found.select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
+    name = fresh(documents, "gone")
+    gone = found.select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(gone, documents["doc_id"].cast("bigint") == gone[name], "left_anti")

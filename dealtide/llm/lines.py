@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealtide.llm import text as T
-from dealtide.llm.cluster import batches, phased, sent, stored
+from dealtide.llm.cluster import batches, fresh, phased, sent, stored
 
 _NEWLINE = 10
 WORD = re.compile("[^\x20\x09-\x0d]")
@@ -348,12 +348,13 @@ def without_repeated_lines(documents: DataFrame, **parameters) -> DataFrame:
 
     A document that is left without a word goes, if it had one. Rows without id stay as they are.
     """
-    gone = _numbered(repeated_lines(documents, **parameters))
-    joined = documents.join(gone, F.col("doc_id").cast("bigint") == F.col("_id"), "left").drop("_id")
     names = documents.columns
+    key, listed = fresh(documents, "gone_id"), fresh(documents, "gone_lines")
+    gone = _numbered(repeated_lines(documents, **parameters)).toDF(key, listed)
+    joined = documents.join(gone, documents["doc_id"].cast("bigint") == gone[key], "left").drop(key)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists = batch.column("_gone").to_pylist()
+        lists = batch.column(listed).to_pylist()
         columns = {c: batch.column(c) for c in names}
         if any(lists):
             texts = columns["text"].to_pylist()
