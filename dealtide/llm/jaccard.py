@@ -15,10 +15,10 @@ from dealtide.llm import text as T
 from dealtide.llm.cluster import batches, fresh, phased, sent, stored
 from dealtide.llm.components import components
 
-#: A shingle counts as frequent where a slice of texts holds it in so many of its documents, and all slices together in
+#: A shingle counts as frequent where a slice of texts holds it in so many different sets, and all slices together in
 #: so many. At most so many frequent shingles (16 bytes each) go to the tasks. They only order the prefixes:
 #: the links are the same for any choice.
-LOCAL_FREQUENT, FREQUENT, MOST_FREQUENT = 3, 50, 200_000
+LOCAL_FREQUENT, FREQUENT, MOST_FREQUENT = 2, 8, 500_000
 #: Members of a tile above which it is cut into blocks.
 TILE = 2048
 
@@ -52,7 +52,9 @@ def _profiles(texts: DataFrame, size: int, percent: int) -> DataFrame:
         whole = [T.hash_of(s) for s in sets]
         band = _band(np.maximum(n, 1), percent)
         bits = [_bitmap(s, w) for s, w in zip(sets, _width(band, percent).tolist(), strict=True)]
-        keys, counts = np.unique(key, return_counts=True)
+        once = np.zeros(len(batch), bool)
+        once[np.unique(np.array(whole, np.uint64), return_index=True)[1]] = True
+        keys, counts = np.unique(key[once[row]], return_counts=True)
         keys, counts = keys[counts >= LOCAL_FREQUENT], counts[counts >= LOCAL_FREQUENT]
         none = pa.nulls(len(keys), pa.int64())
         return pa.record_batch(
@@ -291,8 +293,8 @@ def similar_documents(documents: DataFrame, size: int = 5, percent: int = 75) ->
     component_id is the least doc_id reachable by links. Sets are held as 64-bit hashes.
 
     1. Equal sets form a class, represented by its least doc_id; only classes are compared.
-    2. A class is dealt to tiles by the shingles of its prefix, rare ones first, and by its size band. Keys shared by the same
-       classes are one tile.
+    2. A class is dealt to tiles by the shingles of its prefix, rare ones first, and by its size band. Shingles with the same
+       least holder are one tile.
     3. Each class is compared with the first of its tiles. Then all pairs of a tile that aren't connected yet are compared.
        Bitmaps bound the intersection from above; what passes is intersected exactly.
 
@@ -337,14 +339,9 @@ def similar_documents(documents: DataFrame, size: int = 5, percent: int = 75) ->
             classes.select(F.col("key").alias("set_hash"), "id", "n"), "set_hash"
         ).select("key", "id", "n")
     )
-    # Keys with the same members are one tile.
-    tiles = members.groupBy("key").agg(
-        F.count("*").alias("members"),
-        F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sign"),
-        F.min("id").alias("first"),
-    )
-    tiles = tiles.groupBy("members", "sign", "first").agg(F.min("key").alias("key"))
-    members = stored(members.join(tiles, "key").select("key", "id", "n", "first", "members"))
+    # Keys with the same least member are one tile.
+    least = members.groupBy("key").agg(F.min("id").alias("first"))
+    members = stored(members.join(least, "key").select("first", "id", "n").distinct())
     bitmaps = stored(
         docs.select("doc_id", "n", "band", "bits")
         .join(members.select(F.col("id").alias("doc_id"), "n").distinct(), ["doc_id", "n"], "left_semi")
@@ -356,17 +353,19 @@ def similar_documents(documents: DataFrame, size: int = 5, percent: int = 75) ->
     component = stored(components(first))
 
     spread = (
-        members.select("key", "id", "members")
+        members.select("first", "id")
         .join(component, F.col("id") == F.col("node"), "left")
-        .select("key", "id", "members", F.coalesce("component", "id").alias("component"))
+        .select("first", "id", F.coalesce("component", "id").alias("component"))
     )
-    mixed = spread.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")
+    mixed = spread.groupBy("first").agg(
+        F.min("component").alias("low"),
+        F.max("component").alias("high"),
+        F.ceil(F.count("*") / TILE).alias("blocks"),
     )
     open_ = (
-        spread.join(mixed.where("low < high").select("key"), "key")
+        spread.join(mixed.where("low < high").select("first", "blocks"), "first")
         .join(bitmaps, "id")
-        .withColumn("blocks", F.ceil(F.col("members") / TILE))
+        .withColumnRenamed("first", "key")
     )
     second = stored(_verified(_tiles(open_, percent), texts, size, percent))
     component = components(first.union(second))
