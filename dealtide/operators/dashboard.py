@@ -40,11 +40,12 @@ def _stage_days(
     min_days: int,
     k: float,
     rules: Rules,
+    few: bool = False,
 ) -> DataFrame:
     test = won() & window & (days_to_close() > min_days)
     columns = ["id", "close_date", "datediff(close_date, created_date) AS days"]
     deals = _closed_within(opps, test, columns, rules).select("id", "close_date", "days", *keys)
-    return stage_day_sums(deals, history, keys, k)
+    return stage_day_sums(deals, history, keys, k, few=few)
 
 
 def stage_days_by_practice_quarter(
@@ -61,7 +62,7 @@ def stage_days_by_practice_quarter(
     window = within_quarters(F.col("close_date"), as_of, quarters)
     keys = ["practice", "year_opp_closed", "quarter_opp_closed"]
     return (
-        _stage_days(opps, history, window, keys, min_days, k, rules)
+        _stage_days(opps, history, window, keys, min_days, k, rules, few=True)
         .select(*keys, "num_opps", *_STAGE_AVERAGES)
         .orderBy(*[F.asc_nulls_last(key) for key in keys])
     )

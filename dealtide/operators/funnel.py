@@ -18,7 +18,7 @@ from dealtide.functions.deals import (
     won,
 )
 from dealtide.functions.exact import percent, rounded_ratio
-from dealtide.plans.changes import STAGES, stage_changes_per_deal
+from dealtide.plans.changes import STAGES, of_deals, stage_changes_per_deal
 from dealtide.plans.trim import trim_outliers
 
 
@@ -199,13 +199,19 @@ def days_to_close_stats(
     )
 
 
-def stage_day_sums(deals: DataFrame, history: DataFrame, keys: Sequence[str], k: float) -> DataFrame:
+def stage_day_sums(
+    deals: DataFrame, history: DataFrame, keys: Sequence[str], k: float, *, few: bool = False
+) -> DataFrame:
     """Stage measures per ``keys`` after trimming deals by their days to close.
 
+    ``few``: the deals are a small part of all, so the history is limited to them before it is folded.
+
     ``deals``: id, close_date, days (to close) and the keys; one row per deal. The standard
     deviation is taken over change days, not over deals, and all change days of a deal share
     its days to close, so trimming works on one row per (keys, days).
     """
+    if few:
+        history = of_deals(history, deals)
     rollup = stage_changes_per_deal(history).withColumnRenamed("opportunity_id", "id")
     measures = [F.expr("count(*) AS num_opps"), F.expr("sum(changes) AS changes")]
     for name, _ in STAGES:
@@ -244,7 +250,7 @@ def stage_days_to_close_by_year(
         .filter(F.col("days") > min_days)
     )
     return (
-        stage_day_sums(deals, history, ["year_opp_created"], k)
+        stage_day_sums(deals, history, ["year_opp_created"], k, few=practices is not None)
         .drop("num_opps")
         .orderBy(F.asc_nulls_last("year_opp_created"))
     )

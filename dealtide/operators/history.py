@@ -15,6 +15,7 @@ from dealtide.plans.changes import (
     STAGE_FIELD,
     change_days_per_deal,
     close_date_moves_per_deal,
+    of_deals,
 )
 
 
@@ -38,10 +39,12 @@ def field_changes_per_opp(
     Deals that never changed count in the denominator; years without any change are left out.
     """
     name = name or f"avg_{field}_changes_per_opp"
+    deals = _won_deals(opps, min_year, practices)
+    if practices is not None:
+        history = of_deals(history, deals)
     changes = change_days_per_deal(history, field).withColumnRenamed("opportunity_id", "id")
     return (
-        _won_deals(opps, min_year, practices)
-        .join(changes, "id", "left")
+        deals.join(changes, "id", "left")
         .groupBy("year_opp_created")
         .agg(F.sum("change_days").alias("change_days"), F.count("id").alias("deals"))
         .filter(F.col("change_days").isNotNull())
@@ -91,7 +94,7 @@ def stage_changes_per_opp_for_practice(
     )
 
 
-# Output names of the lead and shift buckets, in order.
+# Output names of the lead and shift buckets, in order.
 LEAD_NAMES = (
     "num_opps_closedate_changed_on_or_after_close",
     "num_opps_closedate_changed_within_oneweek_from_close",
@@ -119,12 +122,14 @@ def closedate_movement(
     Looks at won deals with any history. The buckets count change days (one change per deal
     and day). Only years that have both moved and unmoved deals are shown.
     """
+    deals = _won_deals(opps, min_year, practices)
+    if practices is not None:
+        history = of_deals(history, deals)
     moves = close_date_moves_per_deal(history, cuts).withColumnRenamed("opportunity_id", "id")
     buckets = [f"{kind}_{i}" for kind in ("lead", "shift") for i in range(4)]
     moved = F.col("change_days") > 0
     per_year = (
-        _won_deals(opps, min_year, practices)
-        .join(moves, "id")
+        deals.join(moves, "id")
         .groupBy("year_opp_created")
         .agg(
             F.count_if(moved).alias("moved"),

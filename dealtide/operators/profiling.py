@@ -91,3 +91,16 @@ def _pair(at: int, field: T.StructField) -> Column:
     return F.struct(
         F.lit(at).alias("at"), text.alias("value"), zero.alias("zero"), day.alias("day")
     )
+
+
+def duplicate_ids(table: DataFrame, *, id: str = "id") -> DataFrame:
+    """Ids that occur more than once, with their number of rows.
+
+    Reports count deals, requests and calculations by rows, on the condition that this is empty.
+    """
+    return (
+        table.filter(F.col(id).isNotNull())
+        .groupBy(F.col(id).alias("id"))
+        .agg(F.count("*").alias("num_rows"))
+        .filter(F.col("num_rows") > 1)
+    )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dealtide.functions.dates import as_of_date, from_year, quarter_label
 from dealtide.functions.deals import lost
+from dealtide.plans.changes import of_deals
 from dealtide.plans.holds import (
     days_held_since_change,
     days_held_since_request,
@@ -19,6 +20,10 @@ from dealtide.plans.holds import (
 )
 
 
+#: The hour of changes without a time: after all others.
+_NO_TIME = 1 << 40
+
+
 def real_resources(requests: DataFrame, actuals: DataFrame) -> DataFrame:
     """Requests whose resource is a known person, not a placeholder."""
     return requests.join(actuals.select("resource_id"), "resource_id", "left_semi").select(
@@ -48,10 +53,12 @@ def _held_requests(
     as_of: dt.date | None,
     min_year: int,
     min_held_days: int,
+    few: bool = False,
 ) -> DataFrame:
     """Lost requests whose person was held for at least ``min_held_days``, one row each.
 
-    A request without history was never held.
+    A request without history was never held. ``few``: the requests are a small part of all, so the history is
+    limited to them before it is folded.
     """
     opps = opps.filter(F.col("close_date") <= as_of_date(as_of))
     held_days = F.when(
@@ -60,9 +67,11 @@ def _held_requests(
     ).otherwise(
         days_held_since_request(F.col("created_date"), F.col("first_hold"), F.col("final_change"))
     )
+    chosen = real_resources(_lost_requests(requests, opps, min_year), actuals)
+    if few:
+        history = of_deals(history, chosen, key="parent_id")
     return (
-        real_resources(_lost_requests(requests, opps, min_year), actuals)
-        .join(milestones_per_request(history), "id")
+        chosen.join(milestones_per_request(history), "id")
         .filter(held_days >= min_held_days)
         .select(
             "opportunity_id",
@@ -128,7 +137,9 @@ def held_for_lost_by_role(
 ) -> DataFrame:
     """Requests held and deals lost of one practice (exactly, in lower case), by role."""
     requests = requests.filter(F.lower("practice") == practice)
-    held = _held_requests(requests, opps, history, actuals, as_of, min_year, min_held_days)
+    held = _held_requests(
+        requests, opps, history, actuals, as_of, min_year, min_held_days, few=True
+    )
     return _count_held(held, "resource_role")
 
 
@@ -140,30 +151,37 @@ def resource_request_audit(
     *,
     min_year: int = 2021,
     min_held_days: int = 10,
+    ordered: bool = True,
 ) -> DataFrame:
     """The history of lost requests with the hold arithmetic at each step.
 
     Shows assignments of a person, changes of the hold flag, and everything at the final
     moment. A milestone is known from its own moment on, so the day counts are NULL before it.
+    Changes without a time come last within their request. ``ordered``: sort the result, a shuffle of its rows.
 
     Nothing is keyed by the request alone except one row per request and hour: events are
     numbered within the hour, and the hours carry how many events came before.
     """
-    # Read and shuffled once: the numbering and the roll-up below use the same exchange.
-    events = (
-        history.withColumnRenamed("parent_id", "id")
-        .withColumn(
-            "slot", F.unix_date(F.to_date("created_date")) * 24 + F.hour("created_date")
-        )
-        .filter(F.col("id").isNotNull() & F.col("slot").isNotNull())
-        .repartition("id", "slot")
-    )
     # The names hold every real resource once, so this also drops requests for placeholders.
     lost_requests = (
         _lost_requests(requests, opps, min_year)
         .join(consultant_names(actuals), "resource_id")
         .withColumnRenamed("created_date", "requested")
     )
+    # Most history belongs to other requests; it goes before anything is shuffled by hour. What is left is
+    # shuffled once: the numbering and the roll-up below use the same exchange.
+    events = (
+        of_deals(history, lost_requests, key="parent_id")
+        .withColumnRenamed("parent_id", "id")
+        .withColumn(
+            "slot",
+            F.coalesce(
+                (F.unix_date(F.to_date("created_date")) * 24 + F.hour("created_date")).cast("bigint"),
+                F.lit(_NO_TIME),
+            ),
+        )
+        .repartition("id", "slot")
+    )
     by_request = Window.partitionBy("id")
     earlier = by_request.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     pick = {"last_change": F.max, "first_hold": F.min, "last_hold": F.max, "final_change": F.max}
@@ -175,7 +193,7 @@ def resource_request_audit(
         .withColumns({mark: fold(mark).over(by_request) for mark, fold in pick.items()})
     )
     in_slot = Window.partitionBy("id", "slot").orderBy(
-        "at",
+        F.asc_nulls_last("at"),
         F.asc_nulls_last("field"),
         F.asc_nulls_last("old_value"),
         F.asc_nulls_last("new_value"),
@@ -197,9 +215,9 @@ def resource_request_audit(
     shown = (
         (person_assigned() | hold_changed()) | (F.col("at") == F.col("final_change"))
     )
+    found = numbered.filter(shown)
     return (
-        numbered.filter(shown)
-        .orderBy("close_date", "id", "order_of_events")
+        (found.orderBy("close_date", "id", "order_of_events") if ordered else found)
         .select(
             "practice",
             "job_id",

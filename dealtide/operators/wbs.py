@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dealtide.functions.dates import from_year
 from dealtide.functions.deals import DATA_PRACTICES, created_year, in_practices, won
 from dealtide.functions.exact import number
+from dealtide.plans.changes import of_deals
 from dealtide.plans.hours import newest_batch_per_deal, newest_batch_per_deal_and_role
 
 # Which roles belong to the data practice.
@@ -60,10 +61,11 @@ def wbs_hours_for_practice(
     role_not_like: Sequence[str] = DATA_ROLE_NOT_LIKE,
 ) -> DataFrame:
     """Hours of one practice; entries of foreign roles are dropped after the newest batch is found."""
-    newest = newest_batch_per_deal(wbs, _role_test(role_like, role_not_like))
+    deals = _won_deals(opps, min_year, practices)
+    plans = of_deals(wbs, deals, id="opportunity_id")
+    newest = newest_batch_per_deal(plans, _role_test(role_like, role_not_like))
     return (
-        _won_deals(opps, min_year, practices)
-        .join(newest, "opportunity_id")
+        deals.join(newest, "opportunity_id")
         .groupBy("year_opp_created")
         .agg(mean_hours(wbs), F.count("*").alias("num_opps"))
         .orderBy(F.asc_nulls_last("year_opp_created"))
@@ -79,10 +81,11 @@ def wbs_hours_by_role(
     role_like: Sequence[str] = DATA_ROLE_LIKE,
     role_not_like: Sequence[str] = DATA_ROLE_NOT_LIKE,
 ) -> DataFrame:
-    newest = newest_batch_per_deal_and_role(wbs, _role_test(role_like, role_not_like))
+    deals = _won_deals(opps, min_year, practices)
+    plans = of_deals(wbs, deals, id="opportunity_id")
+    newest = newest_batch_per_deal_and_role(plans, _role_test(role_like, role_not_like))
     return (
-        _won_deals(opps, min_year, practices)
-        .join(newest, "opportunity_id")
+        deals.join(newest, "opportunity_id")
         .groupBy("year_opp_created", F.col("role").alias("consultant_type"))
         .agg(mean_hours(wbs))
         .orderBy(

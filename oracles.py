@@ -389,8 +389,8 @@ def movement(where: str = "true") -> str:
         first_of_day="""
         SELECT id, y, d, try_cast(old_value AS DATE) - d AS lead,
                try_cast(new_value AS DATE) - try_cast(old_value AS DATE) AS shift,
-               CASE WHEN lead <= 0 THEN 0 WHEN lead <= 7 THEN 1 WHEN lead <= 30 THEN 2 ELSE 3 END AS lead_bucket,
-               CASE WHEN shift <= 0 THEN 0 WHEN shift <= 7 THEN 1 WHEN shift <= 30 THEN 2 ELSE 3 END AS shift_bucket
+               CASE WHEN lead <= 0 THEN 0 WHEN lead <= 7 THEN 1 WHEN lead <= 30 THEN 2 WHEN lead > 30 THEN 3 ELSE 4 END AS lead_bucket,
+               CASE WHEN shift <= 0 THEN 0 WHEN shift <= 7 THEN 1 WHEN shift <= 30 THEN 2 WHEN shift > 30 THEN 3 ELSE 4 END AS shift_bucket
         FROM staged WHERE field = 'closedate'
         QUALIFY row_number() OVER (PARTITION BY id, d
             ORDER BY ts, lead_bucket, shift_bucket) = 1""",

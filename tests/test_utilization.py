@@ -223,3 +223,8 @@ def test_wide_profile_scans_once(spark, tmp_path):
     assert profile._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
     assert [r.distinct_values for r in profile.collect()] == [min(k + 1, 10) for k in range(60)]
     assert profiling.table_profile(wide, columns=[]).collect() == []
+
+
+def test_duplicate_ids(spark):
+    table = spark.createDataFrame([("a",), ("b",), ("a",), (None,), (None,)], "id string")
+    assert [tuple(r) for r in profiling.duplicate_ids(table).collect()] == [("a", 2)]
