@@ -281,13 +281,36 @@ def score_documents(
     words, distinct = summary.agg(F.sum("total"), F.sum("distinct")).first()
     words, distinct = words or 0, distinct or 0
 
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = np.uint64(1) << np.arange(63, dtype=np.uint64)
+        for batch in batches:
+            for n in batch.column("values").to_pylist():
+                # A bucket's counts fall.
+                above = np.searchsorted(-D.unpack(n, 8).astype(np.int64), -powers.astype(np.int64), "right")
+                at = np.flatnonzero(above)
+                yield pa.record_batch([pa.array(at), pa.array(above[at])], ["level", "n"])
+
+    # Only words above the power of two that leaves enough of them are listed.
+    level = (
+        summary.select("values")
+        .mapInArrow(levels, "level bigint, n bigint")
+        .groupBy("level")
+        .agg(F.sum("n").alias("n"))
+        .where(F.col("n") >= classes)
+        .agg(F.max("level"))
+        .first()[0]
+    )
+    least = 1 << (level or 0)
+
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w, n in zip(batch.column("words").to_pylist(), batch.column("values").to_pylist(), strict=True):
                 counts = D.unpack(n, 8).astype(np.int64)
-                if len(counts):
+                enough = int((counts >= least).sum())
+                if enough:
                     yield pa.record_batch(
-                        [pa.array(D.unpack_words(w), pa.binary()), pa.array(counts)], ["word", "n"]
+                        [pa.array(D.unpack_words(w)[:enough], pa.binary()), pa.array(counts[:enough])],
+                        ["word", "n"],
                     )
 
     best = (
