@@ -159,3 +159,21 @@ def test_real_resources_drops_placeholders_once(tables):
     out = staffing.real_resources(requests, actuals)
     assert out.columns == requests.columns
     assert sorted(r.id for r in out.collect()) == sorted(CASES)
+
+
+def test_audit_shows_changes_without_a_time_last(spark, tables):
+    requests, opps, history, actuals = tables
+    name = next(iter(CASES))
+    untimed = frame(
+        spark,
+        "resource_request_history",
+        [released(name, "2021-03-02T00:00:00") | {"parent_id": name, "created_date": None}],
+    )
+    before = staffing.resource_request_audit(*tables).filter(f"resource_req_id = '{name}'")
+    after = staffing.resource_request_audit(
+        requests, opps, history.unionByName(untimed), actuals, ordered=False
+    ).filter(f"resource_req_id = '{name}'")
+    assert after.count() == before.count() + 1
+    last = after.filter("resource_req_change_date IS NULL").first()
+    total = history.filter(f"parent_id = '{name}'").count()
+    assert last.order_of_events == total + 1
