@@ -1,4 +1,4 @@
-"""A corpus made ready for training: five stages over `documents`, each written and read again by the next one."""
+"""A corpus made ready for training: five stages over `documents`, each written and reread."""
 
 from __future__ import annotations
 

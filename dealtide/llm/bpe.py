@@ -28,8 +28,9 @@ _CLOSING[[ord(c) for c in ".,;:!?*&%$#()"]] = True
 def _split(column: pa.Array) -> T.Words:
     """Words between ASCII white space, and cut where such punctuation follows an ASCII letter.
 
-    The tokenizer's pattern never crosses these places, its normaliser works on either side alone, and no special
-    token holds one, so words are encoded one by one with the result of the whole text.
+    The tokenizer's pattern never crosses these places, its normaliser works on either side alone,
+    and no special token holds one, so words are encoded one by one with the result of the whole
+    text.
     """
     w = T.words(column)
     cut = np.zeros(len(w.data) + 1, bool)
@@ -54,7 +55,9 @@ def _tokenizer(definition: str):
 
 
 def _encoded(words: DataFrame, definition: str) -> DataFrame:
-    """(chunk, kind 1, codes, values: the ids, words: the number of ids of each word); each distinct word of a bucket is encoded once."""
+    """(chunk, kind 1, codes, values: the ids, words: the number of ids of each word); each distinct
+    word of a bucket is encoded once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(definition)
@@ -86,37 +89,29 @@ def _encoded(words: DataFrame, definition: str) -> DataFrame:
     return words.mapInArrow(run, D.REPLY)
 
 
-def _pieces(encoded: DataFrame, vocabulary: dict[int, str]) -> DataFrame:
-    """(chunk, kind 0, codes: the ids of the chunk, words: their pieces): ids joined with the table of pieces.
-
-    The table has a row per id of the vocabulary, a fixed size.
-    """
-    spark = encoded.sparkSession
-    table = spark.createDataFrame(
+def _pieces(encoded: DataFrame, vocabulary: dict[int, str]) -> list[bytes]:
+    """Pieces by id: the ids in use, joined with the table of pieces; a row per id of the vocabulary at most."""
+    table = encoded.sparkSession.createDataFrame(
         list(vocabulary.items()), "id bigint, piece string"
     )
+    size = max(vocabulary, default=-1) + 1
 
     def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(size, bool)
         for batch in batches:
-            ids = [np.unique(D.unpack(v)).astype(np.int64) for v in batch.column("values").to_pylist()]
-            yield pa.record_batch(
-                [batch.column("chunk"), pa.array(ids, pa.list_(pa.int64()))], ["chunk", "ids"]
-            )
-
-    ids = (
-        encoded.select("chunk", "values")
-        .mapInArrow(used, "chunk bigint, ids array<bigint>")
-        .select("chunk", F.explode("ids").alias("id"))
-        .distinct()
-    )
-    joined = ids.join(F.broadcast(table), "id")
-    return joined.groupBy("chunk").agg(F.collect_list(F.struct("id", "piece")).alias("pairs")).select(
-        "chunk", "pairs"
-    )
+            for values in batch.column("values").to_pylist():
+                seen[D.unpack(values)] = True
+        yield pa.record_batch([pa.array(np.flatnonzero(seen))], ["id"])
+
+    ids = encoded.select("values").mapInArrow(used, "id bigint").distinct()
+    pieces = [b""] * size
+    for row in ids.join(F.broadcast(table), "id").collect():
+        pieces[row.id] = row.piece.encode()
+    return pieces
 
 
 def _placed(
-    docs: tuple[tuple[int | None, np.ndarray], ...], ids: dict[int, bytes], decoded: dict[int, bytes]
+    docs: tuple[tuple[int | None, np.ndarray], ...], ids: list[bytes], decoded: list[bytes]
 ) -> pa.RecordBatch:
     numbers, joined, texts = [], [], []
     for doc_id, codes in docs:
@@ -138,15 +133,18 @@ def _placed(
 
 @phased
 def encode_decode(documents: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded): every text as the tokenizer encodes it, and its ids decoded again.
-
-    ids: little-endian unsigned 32-bit integers; decoded: the pieces of the ids joined by a space, as the library
-    does for a tokenizer without decoder. The tokenizer is a file of the tokenizers library whose pattern
-    cuts at white space, with no special tokens added; those found in a text count. Null texts are empty and have no ids; rows without
-    doc_id and rows sharing one are rows like others; other columns are ignored.
-
-    Texts are split to words, and each distinct word is encoded once. Ids go back to the chunks of documents that hold the word and
-    are put in the places of its occurrences. The ids of a chunk are joined with the table of pieces.
+    """(doc_id, n_tokens, ids, decoded): every text as the tokenizer encodes it, and its ids decoded
+    again.
+
+    ids: little-endian unsigned 32-bit integers; decoded: the pieces of the ids joined by a space,
+    as the library does for a tokenizer without decoder. The tokenizer is a file of the tokenizers
+    library whose pattern cuts at white space, with no special tokens added; those found in a text
+    count. Null texts are empty and have no ids; rows without doc_id and rows sharing one are rows
+    like others; other columns are ignored.
+
+    Texts are split to words, and each distinct word is encoded once. Ids go back to the chunks of
+    documents that hold the word and are put in the places of its occurrences. The ids of a chunk
+    are joined with the table of pieces.
     """
     definition = Path(tokenizer_path).read_text()
     tokenizer = _tokenizer(definition)
@@ -160,42 +158,27 @@ def encode_decode(documents: DataFrame, tokenizer_path: str) -> DataFrame:
     encoded = stored(_encoded(D.by_bucket(table, buckets), definition))
     pieces = _pieces(encoded, vocabulary)
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, pairs in zip(*(batch.column(c).to_pylist() for c in ("chunk", "pairs")), strict=True):
-                yield pa.record_batch(
-                    [
-                        pa.array([chunk]),
-                        pa.array([0], pa.int32()),
-                        pa.array([D.pack(np.array([p["id"] for p in pairs]))]),
-                        pa.array([None], pa.binary()),
-                        pa.array([D.pack_words([p["piece"].encode() for p in pairs])]),
-                    ],
-                    ["chunk", "kind", "codes", "values", "words"],
-                )
-
-    pieces = pieces.mapInArrow(listed, D.REPLY)
-
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, piece, ids, decoded = None, {}, {}, {}
+        chunk, ids, decoded = None, [], []
         for batch in batches:
             for row in batch.to_pylist():
                 if row["chunk"] != chunk:
-                    chunk, piece, ids, decoded = row["chunk"], {}, {}, {}
-                if row["kind"] == 0:
-                    piece = dict(zip(D.unpack(row["codes"]).tolist(), D.unpack_words(row["words"]), strict=True))
-                elif row["kind"] == 1:
+                    chunk, ids, decoded = row["chunk"], [], []
+                if row["kind"] == 1:
                     values = D.unpack(row["values"])
                     cut = [0, *np.cumsum(D.unpack(row["words"])).tolist()]
-                    raw, listed = values.tobytes(), values.tolist()
+                    raw, listed = values.astype("<u4").tobytes(), values.tolist()
                     codes = D.unpack_rising(row["codes"]).tolist()
+                    more = [b""] * (codes[-1] + 1 - len(ids))
+                    ids += more
+                    decoded += more
                     for c, (i, j) in zip(codes, pairwise(cut), strict=True):
                         ids[c] = raw[4 * i : 4 * j]
-                        decoded[c] = b" ".join([piece[k] for k in listed[i:j]])
+                        decoded[c] = b" ".join([pieces[k] for k in listed[i:j]])
                 else:
                     for some in batched(D.documents(row), 1000):
                         yield _placed(some, ids, decoded)
 
-    return D.meet(table, encoded.union(pieces), buckets).mapInArrow(
+    return D.meet(table, encoded, buckets).mapInArrow(
         place, "doc_id bigint, n_tokens bigint, ids binary, decoded string"
     )

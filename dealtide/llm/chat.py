@@ -1,4 +1,5 @@
-"""Chat formatting: logs of events folded to messages, messages rendered by a template that can be read back.
+"""Chat formatting: logs of events folded to messages, messages rendered by a template that can be read
+back.
 
 Events of a conversation, by their sequence number:
 
@@ -25,8 +26,9 @@ from dealtide.llm.cluster import phased
 
 START, DELTA, EDIT, REGENERATE = "start", "delta", "edit", "regenerate"
 
-#: The template: a turn is OPEN role CLOSE text END. Inside roles and texts the mark ESC stands before every control string's
-#: first character and before itself, so no control string occurs there.
+#: The template: a turn is OPEN role CLOSE text END. Inside roles and texts the mark ESC stands
+#: before every control string's first character and before itself, so no control string occurs
+#: there.
 OPEN, CLOSE, END = "<s>[", "]\n", "</s>\n"
 ESC = "\\"
 _ESCAPE = re.compile(r"\\|\]|<(?=/?s>)|\[(?=/?INST\])")
@@ -64,12 +66,15 @@ def parsed(formatted: str) -> list[tuple[str, str]]:
 
 @phased
 def folded(events: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text): the final messages of logs with conv_id, seq, kind, message, turn, role, text.
-
-    Messages are folded one by one, so a conversation that holds a third of all events is spread over its messages. A message's text is
-    what its last edit or regeneration (or its start) left, and the deltas after it, in order of (seq, kind, text). Its turn and role are those of the first
-    start; a message without one has the least seq as turn and no role. Null texts are empty. Events without conv_id or message
-    are left out; repeated events count as often as they come; other columns are ignored.
+    """(conv_id, turn, role, text): the final messages of logs with conv_id, seq, kind, message, turn,
+    role, text.
+
+    Messages are folded one by one, so a conversation that holds a third of all events is spread
+    over its messages. A message's text is what its last edit or regeneration (or its start) left,
+    and the deltas after it, in order of (seq, kind, text). Its turn and role are those of the first
+    start; a message without one has the least seq as turn and no role. Null texts are empty. Events
+    without conv_id or message are left out; repeated events count as often as they come; other
+    columns are ignored.
     """
     order = "struct(seq, kind, coalesce(text, '') as text)"
     key = ["conv_id", "message"]
@@ -114,10 +119,12 @@ def folded(events: DataFrame) -> DataFrame:
 
 @phased
 def formatted(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, message, formatted, loss_from, loss_to): every message rendered; the loss mask is the text of assistant turns.
+    """(conv_id, turn, message, formatted, loss_from, loss_to): every message rendered; the loss mask
+    is the text of assistant turns.
 
-    Positions are code points within the turn. The formatted conversation is its turns, joined in order of (turn,
-    message, formatted). Null roles and texts are empty; messages without conv_id are left out.
+    Positions are code points within the turn. The formatted conversation is its turns, joined in
+    order of (turn, message, formatted). Null roles and texts are empty; messages without conv_id
+    are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,10 +159,12 @@ def formatted(messages: DataFrame) -> DataFrame:
 
 @phased
 def digests(turns: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from formatted turns.
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from
+    formatted turns.
 
-    turns_sha256: of role, newline, text, newline of each turn; loss_*: of the text under the loss mask, unescaped. The
-    turns of a conversation stream in order through one task, which holds one turn and the running digests only.
+    turns_sha256: of role, newline, text, newline of each turn; loss_*: of the text under the loss
+    mask, unescaped. The turns of a conversation stream in order through one task, which holds one
+    turn and the running digests only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,11 +207,12 @@ def digests(turns: DataFrame) -> DataFrame:
 
 
 def logged(conversations: DataFrame, piece: int = 64) -> DataFrame:
-    """Events that a chat service would log for the rows of `conversations`, with seq in order of the turns.
+    """Events that a chat service would log for the rows of `conversations`, with seq in order of the
+    turns.
 
-    A message's text streams in deltas of `piece` code points. Every third turn streams a text that is edited to the final one, and
-    every fifth assistant turn one that is thrown away by a regeneration. Rows of one turn are told apart by their number among
-    equal turns.
+    A message's text streams in deltas of `piece` code points. Every third turn streams a text that
+    is edited to the final one, and every fifth assistant turn one that is thrown away by a
+    regeneration. Rows of one turn are told apart by their number among equal turns.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = conversations.select(

@@ -1,5 +1,6 @@
-"""Quality classifier without labels: overlapping heuristic labellers, their accuracies by expectation-maximisation, and a hashed
-linear scorer trained on the posterior labels."""
+"""Quality classifier without labels: overlapping heuristic labellers, their accuracies by
+expectation-maximisation, and a hashed linear scorer trained on the posterior labels.
+"""
 
 from __future__ import annotations
 
@@ -89,10 +90,11 @@ def votes(shares: np.ndarray, n_words: np.ndarray) -> np.ndarray:
 
 
 def posterior(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """P(good) of each pattern of votes, and P(vote | class) as (class, labeller, vote); class 0 is bad.
+    """P(good) of each pattern of votes, and P(vote | class) as (class, labeller, vote); class 0 is
+    bad.
 
-    Expectation-maximisation of a mixture of two classes in which labellers err independently, started from: bad, if anyone
-    says so.
+    Expectation-maximisation of a mixture of two classes in which labellers err independently,
+    started from: bad, if anyone says so.
     """
     good = np.where((patterns == BAD).any(1), 0.1, 0.9)
     chance = np.zeros((2, patterns.shape[1], 3))
@@ -111,7 +113,9 @@ def posterior(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tup
 
 @dataclass
 class Classifier:
-    """label: P(good) by pattern code; chance: P(vote | class); weights of hashed words, of shapes, and the bias."""
+    """label: P(good) by pattern code; chance: P(vote | class); weights of hashed words, of shapes, and
+    the bias.
+    """
 
     label: dict[int, float]
     chance: np.ndarray
@@ -165,7 +169,8 @@ def _trained(sample: list, label: dict[int, float]) -> tuple[np.ndarray, np.ndar
 
 @phased
 def fit(documents: DataFrame, sample: int = SAMPLE) -> Classifier:
-    """Labellers vote on all documents; their accuracies come from the counts of all patterns of votes (3 ** 8 at most).
+    """Labellers vote on all documents; their accuracies come from the counts of all patterns of votes
+    (3 ** 8 at most).
 
     The linear scorer is trained on about `sample` documents, chosen by a hash of their id.
     """
@@ -242,9 +247,9 @@ def _scorer(
 def classified(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, n_words, weak_label, score, kept) of every document with an id.
 
-    weak_label: P(good) by the labellers; score: P(good) by the linear scorer over hashed words and word shapes;
-    kept: score >= 0.5. Null texts and texts without words aren't kept. Rows sharing an id are rows like others; other
-    columns are ignored. Without any document the result is empty.
+    weak_label: P(good) by the labellers; score: P(good) by the linear scorer over hashed words and
+    word shapes; kept: score >= 0.5. Null texts and texts without words aren't kept. Rows sharing an
+    id are rows like others; other columns are ignored. Without any document the result is empty.
     """
     score = _scorer(fit(documents, sample))
 
@@ -263,7 +268,9 @@ def classified(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 @phased
 def accepted(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The documents, whole rows, that `classified` keeps, filtered where they are read. Rows without id are judged like others."""
+    """The documents, whole rows, that `classified` keeps, filtered where they are read. Rows without
+    id are judged like others.
+    """
     score = _scorer(fit(documents, sample))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -1,4 +1,6 @@
-"""Work that outlives executors: written intermediate tables, and shuffle files dropped once they are used."""
+"""Work that outlives executors: written intermediate tables, and shuffle files dropped once they are
+used.
+"""
 
 from __future__ import annotations
 
@@ -58,7 +60,8 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def sent(df: DataFrame, rows: int = 1 << 18) -> DataFrame:
-    """Marked for broadcast if it has at most so many rows, which are counted; beyond, the join shuffles.
+    """Marked for broadcast if it has at most so many rows, which are counted; beyond, the join
+    shuffles.
 
     For stored frames of a few numbers a row.
     """
@@ -67,7 +70,9 @@ def sent(df: DataFrame, rows: int = 1 << 18) -> DataFrame:
 
 @contextmanager
 def releasing(spark: SparkSession) -> Iterator[None]:
-    """Frames made inside drop their shuffle files when their action ends, so phases don't pile up on disk."""
+    """Frames made inside drop their shuffle files when their action ends, so phases don't pile up on
+    disk.
+    """
     before = spark.conf.get(_RELEASE, "false")
     spark.conf.set(_RELEASE, "true")
     try:

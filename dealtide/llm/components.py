@@ -17,9 +17,10 @@ def _least(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the least node reachable, for every node of the links (a bigint, b bigint).
 
-    Alternates large-star and small-star steps until the edges form stars: a logarithmic number of rounds, each a few
-    aggregations and joins. A step keeps no more edges than it got. Nodes with many neighbours are folded to one
-    minimum before they are joined, so no group is gathered. Links with a null or to oneself are ignored.
+    Alternates large-star and small-star steps until the edges form stars: a logarithmic number of
+    rounds, each a few aggregations and joins. A step keeps no more edges than it got. Nodes with
+    many neighbours are folded to one minimum before they are joined, so no group is gathered. Links
+    with a null or to oneself are ignored.
     """
     edges = stored(
         links.where("a <> b")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from dealtide.llm import text as T
 from dealtide.llm.cluster import batches, fresh, phased, stored
 
-#: Up to so many distinct seeds (8 bytes each) are sent to the tasks; beyond, seeds are joined by a shuffle.
+#: Up to so many distinct seeds (8 bytes each) are sent to the tasks; beyond, seeds are joined by a
+#: shuffle.
 SENT_SEEDS = 1 << 20
 
 
@@ -30,11 +31,13 @@ def _free(marked: np.ndarray, size: int) -> np.ndarray:
 
 
 def tiles(doc: np.ndarray, item: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (place in doc, place in item, length) of matches that don't overlap, longest first.
+    """Greedy string tiling: (place in doc, place in item, length) of matches that don't overlap,
+    longest first.
 
-    The greatest length with a common unmarked run is found by bisection, each step comparing the rolling
-    Karp-Rabin hashes of all unmarked windows of one length. All such runs are marked in order of their places,
-    and the search goes on below that length until no run of `min_match` words is left.
+    The greatest length with a common unmarked run is found by bisection, each step comparing the
+    rolling Karp-Rabin hashes of all unmarked windows of one length. All such runs are marked in
+    order of their places, and the search goes on below that length until no run of `min_match`
+    words is left.
     """
     of_doc, of_item = _sums(doc), _sums(item)
     in_doc, in_item = np.zeros(len(doc), bool), np.zeros(len(item), bool)
@@ -70,7 +73,9 @@ def tiles(doc: np.ndarray, item: np.ndarray, min_match: int) -> list[tuple[int,
 
 
 def _word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of runs of letters, digits and non-ASCII bytes, A-Z lower-cased: hashes, rows, first of each row."""
+    """Of runs of letters, digits and non-ASCII bytes, A-Z lower-cased: hashes, rows, first of each
+    row.
+    """
     w = T.words(column, T.NOT_ALNUM)
     return w.hashes(lower=True), w.row, w.first
 
@@ -168,14 +173,15 @@ def contaminations(
 ) -> DataFrame:
     """Documents that hold a benchmark item, in whole or in parts and in any order.
 
-    Returns doc_id, item_id (string), n_tiles, covered, item_words (bigint), coverage (double): one row per pair
-    whose tiles of at least `min_match` words cover `threshold` of the item's words or more. Words are runs of
-    letters, digits and non-ASCII bytes, A-Z lower-cased, so case and punctuation don't hide a passage.
+    Returns doc_id, item_id (string), n_tiles, covered, item_words (bigint), coverage (double): one
+    row per pair whose tiles of at least `min_match` words cover `threshold` of the item's words or
+    more. Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased, so case and
+    punctuation don't hide a passage.
 
-    Pairs that share a seed (a window of `min_match` words) are tiled, each pair a row of its own, so an item
-    found in a third of all documents needs no group. Null texts are empty, rows without id are left out; items of fewer than
-    `min_match` words match nothing; rows sharing an id count as one document with several texts, each tiled alone.
-    Other columns are ignored.
+    Pairs that share a seed (a window of `min_match` words) are tiled, each pair a row of its own,
+    so an item found in a third of all documents needs no group. Null texts are empty, rows without
+    id are left out; items of fewer than `min_match` words match nothing; rows sharing an id count
+    as one document with several texts, each tiled alone. Other columns are ignored.
     """
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(
         "doc_id is not null"

@@ -1,14 +1,16 @@
-"""Texts as codes into word tables of their chunk, so that a fact about a word is looked up once a chunk, not once an
-occurrence, and only facts and codes move.
+"""Texts as codes into word tables of their chunk, so that a fact about a word is looked up once a
+chunk, not once an occurrence, and only facts and codes move.
 
-A chunk is a run of rows with a bounded size of text. Its distinct words are dealt to buckets by hash; a task that has a bucket has
-all that the corpus says of its words, and replies to each chunk. Chunks and replies then meet by chunk.
+A chunk is a run of rows with a bounded size of text. Its distinct words are dealt to buckets by
+hash; a task that has a bucket has all that the corpus says of its words, and replies to each chunk.
+Chunks and replies then meet by chunk.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,50 +21,68 @@ from pyspark.sql import functions as F
 from dealtide.llm import text as T
 from dealtide.llm.cluster import stored
 
-CHUNK = 32_000_000
-_CODEC = "zstd"
+CHUNK = 24_000_000
 CODED = (
     "chunk bigint, bucket int, doc_ids array<bigint>, lengths binary, codes binary, words binary, "
     "counts binary"
 )
 
 
-def pack(values: np.ndarray, width: int = 4) -> bytes:
-    """Unsigned integers of `width` bytes, compressed byte plane by byte plane."""
-    planes = np.ascontiguousarray(values, f"u{width}").view(np.uint8).reshape(-1, width).T
-    return struct.pack("<q", len(values)) + pa.compress(
-        np.ascontiguousarray(planes).tobytes(), _CODEC, asbytes=True
-    )
+def _compressed(raw: bytes) -> bytes:
+    return struct.pack("<q", len(raw)) + _codec().compress(raw, asbytes=True)
 
 
-def unpack(blob: bytes, width: int = 4) -> np.ndarray:
+def _plain(blob: bytes) -> bytes:
     n = struct.unpack_from("<q", blob)[0]
-    if not n:
-        return np.empty(0, f"u{width}")
-    planes = np.frombuffer(
-        pa.decompress(blob[8:], width * n, _CODEC, asbytes=True), np.uint8
-    ).reshape(width, n)
-    return np.ascontiguousarray(planes.T).view(f"u{width}")[:, 0]
+    return _codec().decompress(blob[8:], n, asbytes=True) if n else b""
+
+
+@cache
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=9)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Unsigned integers, 7 bits a byte, small ones in few bytes, compressed."""
+    v = np.asarray(values, np.uint64)
+    width = max(1, -(-int(v.max()).bit_length() // 7)) if len(v) else 1
+    raw = np.empty((len(v), width), np.uint8)
+    used = np.ones((len(v), width), bool)
+    for k in range(width):
+        raw[:, k] = (v & np.uint64(127)).astype(np.uint8)
+        used[:, k] = (v > 0) | (k == 0)
+        v = v >> np.uint64(7)
+        raw[:, k] |= (v > 0).astype(np.uint8) << 7
+    return _compressed(raw[used].tobytes())
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(_plain(blob), np.uint8)
+    end = np.flatnonzero(raw < 128)
+    start = np.concatenate([[0], end[:-1] + 1])[: len(end)]
+    out = (raw[start] & 127).astype(np.int64)
+    for k in range(1, int((end - start).max(initial=0)) + 1):
+        more = np.flatnonzero(start + k <= end)
+        out[more] |= (raw[start[more] + k] & 127).astype(np.int64) << (7 * k)
+    return out
 
 
 def pack_rising(values: np.ndarray) -> bytes:
-    """Rising integers of 32 bits, by their differences."""
+    """Rising integers, by their differences."""
     return pack(np.diff(values, prepend=0))
 
 
 def unpack_rising(blob: bytes) -> np.ndarray:
-    return np.cumsum(unpack(blob), dtype=np.int64)
+    return np.cumsum(unpack(blob))
 
 
 def pack_words(words: list[bytes]) -> bytes:
     """Words without a newline."""
-    raw = b"\n".join(words)
-    return struct.pack("<q", len(raw)) + pa.compress(raw, _CODEC, asbytes=True)
+    return _compressed(b"\n".join(words))
 
 
 def unpack_words(blob: bytes) -> list[bytes]:
-    n = struct.unpack_from("<q", blob)[0]
-    return pa.decompress(blob[8:], n, _CODEC, asbytes=True).split(b"\n") if n else [b""]
+    return _plain(blob).split(b"\n")
 
 
 def coded(
@@ -72,11 +92,12 @@ def coded(
     lower: bool = False,
     counted: Callable[[pa.Array], np.ndarray] | None = None,
 ) -> DataFrame:
-    """Stored rows: per chunk its documents, their numbers of words and the codes of all these words in order; and per chunk and bucket its
-    words, their codes (rising, the frequent words first) and counts.
+    """Stored rows: per chunk its documents, their numbers of words and the codes of all these words in
+    order; and per chunk and bucket its words, their codes (rising, the frequent words first) and
+    counts.
 
-    texts: doc_id, text. Counts are over the documents that `counted` picks by their ids, if given. Words are told
-    apart by 64-bit hashes within a chunk.
+    texts: doc_id, text. Counts are over the documents that `counted` picks by their ids, if given.
+    Words are told apart by 64-bit hashes within a chunk.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,16 +109,18 @@ def coded(
                 parts.append(_part(part, split, lower, counted))
                 size += part.column("text").nbytes
                 if size >= CHUNK:
-                    yield from _chunk(chunk, parts, buckets)
+                    yield from _chunk(chunk, parts, buckets, counted is not None)
                     chunk, parts, size = chunk + 1, [], 0
         if parts:
-            yield from _chunk(chunk, parts, buckets)
+            yield from _chunk(chunk, parts, buckets, counted is not None)
 
     return stored(texts.select("doc_id", "text").mapInArrow(run, CODED))
 
 
 def _part(part: pa.RecordBatch, split, lower: bool, counted) -> tuple:
-    """Of a slice: ids, words of each document, codes, and by code the hash, the word, its count and the counted ones."""
+    """Of a slice: ids, words of each document, codes, and by code the hash, the word, its count and
+    the counted ones.
+    """
     w = split(part.column("text"))
     keys, at, inverse, n = np.unique(
         w.hashes(lower), return_index=True, return_inverse=True, return_counts=True
@@ -111,7 +134,7 @@ def _part(part: pa.RecordBatch, split, lower: bool, counted) -> tuple:
     return part.column("doc_id"), w.count, inverse.astype(np.uint32), keys, words, n, some
 
 
-def _chunk(chunk: int, parts: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
+def _chunk(chunk: int, parts: list[tuple], buckets: int, counted: bool) -> Iterator[pa.RecordBatch]:
     ids, lengths, codes, keys, words, n, some = zip(*parts, strict=True)
     all_keys = np.concatenate(keys)
     distinct, at, inverse = np.unique(all_keys, return_index=True, return_inverse=True)
@@ -142,7 +165,7 @@ def _chunk(chunk: int, parts: list[tuple], buckets: int) -> Iterator[pa.RecordBa
             bucket=used,
             codes=[pack_rising(g) for g in groups],
             words=[pack_words([listed[i] for i in at[order[g]].tolist()]) for g in groups],
-            counts=[pack(seen[order[g]]) for g in groups],
+            **({"counts": [pack(seen[order[g]]) for g in groups]} if counted else {}),
         )
 
 

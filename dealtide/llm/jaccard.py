@@ -1,4 +1,6 @@
-"""Similarity join of documents on sets of word windows: size-banded tiles, bitmap bounds, exact intersection."""
+"""Similarity join of documents on sets of word windows: size-banded tiles, bitmap bounds, exact
+intersection.
+"""
 
 from __future__ import annotations
 
@@ -15,9 +17,9 @@ from dealtide.llm import text as T
 from dealtide.llm.cluster import batches, fresh, phased, sent, stored
 from dealtide.llm.components import components
 
-#: A shingle counts as frequent where a slice of texts holds it in so many different sets, and all slices together in
-#: so many. At most so many frequent shingles (16 bytes each) go to the tasks. They only order the prefixes:
-#: the links are the same for any choice.
+#: A shingle counts as frequent where a slice of texts holds it in so many different sets, and all
+#: slices together in so many. At most so many frequent shingles (16 bytes each) go to the tasks.
+#: They only order the prefixes: the links are the same for any choice.
 LOCAL_FREQUENT, FREQUENT, MOST_FREQUENT = 2, 8, 500_000
 #: Members of a tile above which it is cut into blocks.
 TILE = 2048
@@ -29,7 +31,9 @@ def _band(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _width(band: np.ndarray, percent: int) -> np.ndarray:
-    """64-bit words of a bitmap: four bits or more for each shingle of the band, a power of two, 1024 at most."""
+    """64-bit words of a bitmap: four bits or more for each shingle of the band, a power of two, 1024
+    at most.
+    """
     n = 4 * (100 / percent) ** (band + 1)
     return np.clip(2 ** np.ceil(np.log2(np.maximum(n / 64, 1))), 1, 1024).astype(np.int64)
 
@@ -41,8 +45,9 @@ def _bitmap(keys: np.ndarray, width: int) -> bytes:
 
 
 def _profiles(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """A row per document: n, a hash of its set, its size band and bitmap; and rows with key and n: frequent
-    shingles of a slice."""
+    """A row per document: n, a hash of its set, its size band and bitmap; and rows with key and n:
+    frequent shingles of a slice.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, key = T.shingles(T.words(batch.column("text")), size)
@@ -75,7 +80,8 @@ def _profiles(texts: DataFrame, size: int, percent: int) -> DataFrame:
 def _prefixes(
     texts: DataFrame, size: int, percent: int, frequent: np.ndarray, counts: np.ndarray
 ) -> DataFrame:
-    """(key, set_hash): the shingles of each set's prefix, the rare ones first, each set once per slice.
+    """(key, set_hash): the shingles of each set's prefix, the rare ones first, each set once per
+    slice.
 
     Two sets with enough in common share a shingle of both prefixes, if all are ordered alike.
     """
@@ -173,7 +179,9 @@ def _bounded(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sorted sets intersect enough. Sets are built for the documents of pairs only."""
+    """The pairs (a, b) whose sorted sets intersect enough. Sets are built for the documents of pairs
+    only.
+    """
     pairs = stored(pairs)
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     wanted = stored(wanted)
@@ -197,9 +205,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 def _tiles(members: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of different components in a tile that bitmaps allow.
 
-    members: key, id, component, n, band, bits, blocks. A tile is a key with a band and the next larger one, and in
-    large ones a block of either side. Its rows arrive sorted by size; each is compared with those after it until
-    they are too large.
+    members: key, id, component, n, band, bits, blocks. A tile is a key with a band and the next
+    larger one, and in large ones a block of either side. Its rows arrive sorted by size; each is
+    compared with those after it until they are too large.
     """
     cells = (
         members.selectExpr(
@@ -250,7 +258,8 @@ def _tiles(members: DataFrame, percent: int) -> DataFrame:
                 live, x, y = live[on], x[on], y[on]
                 if not len(live):
                     break
-                # A pair of two lower rows belongs to the cell of their blocks; of two upper rows to the next tile.
+                # A pair of two lower rows belongs to the cell of their blocks; of two upper rows to
+                # the next tile.
                 ok = (own["component"][x] != own["component"][y]) & (own["low"][x] | own["low"][y])
                 ok &= (own["i"][x] == own["j"][x]) | (own["own"][x] != own["own"][y])
                 x, y = x[ok], y[ok]
@@ -286,21 +295,24 @@ def _tiles(members: DataFrame, percent: int) -> DataFrame:
 
 @phased
 def similar_documents(documents: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id): documents joined where 100 * |intersection| >= percent * |union|.
+    """(doc_id, n_shingles, component_id): documents joined where 100 * |intersection| >= percent *
+    |union|.
 
-    A document's set: its distinct windows of `size` words (A-Z lower-cased, parted by ASCII white space); with fewer words, the
-    whole sequence; without words or with a null text, the empty set, which links with nothing.
-    component_id is the least doc_id reachable by links. Sets are held as 64-bit hashes.
+    A document's set: its distinct windows of `size` words (A-Z lower-cased, parted by ASCII white
+    space); with fewer words, the whole sequence; without words or with a null text, the empty set,
+    which links with nothing. component_id is the least doc_id reachable by links. Sets are held as
+    64-bit hashes.
 
     1. Equal sets form a class, represented by its least doc_id; only classes are compared.
-    2. A class is dealt to tiles by the shingles of its prefix, rare ones first, and by its size band. Shingles with the same
-       least holder are one tile.
-    3. Each class is compared with the first of its tiles. Then all pairs of a tile that aren't connected yet are compared.
-       Bitmaps bound the intersection from above; what passes is intersected exactly.
-
-    So groups of near copies cost a comparison per member, not per pair, and no link between components is lost.
-    Rows without doc_id are left out; rows sharing one get a row each, and link with what either links with. Other
-    columns are ignored.
+    2. A class is dealt to tiles by the shingles of its prefix, rare ones first, and by its size
+       band. Shingles with the same least holder are one tile.
+    3. Each class is compared with the first of its tiles. Then all pairs of a tile that aren't
+       connected yet are compared. Bitmaps bound the intersection from above; what passes is
+       intersected exactly.
+
+    So groups of near copies cost a comparison per member, not per pair, and no link between
+    components is lost. Rows without doc_id are left out; rows sharing one get a row each, and link
+    with what either links with. Other columns are ignored.
     """
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(
         "doc_id is not null"
@@ -383,7 +395,9 @@ def similar_documents(documents: DataFrame, size: int = 5, percent: int = 75) ->
 
 @phased
 def without_similar(documents: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """The documents, whole rows, of which no smaller doc_id is reachable by links. Rows without id stay."""
+    """The documents, whole rows, of which no smaller doc_id is reachable by links. Rows without id
+    stay.
+    """
     found = similar_documents(documents, size, percent).where("component_id <> doc_id")
     name = fresh(documents, "gone")
     gone = found.select(F.col("doc_id").alias(name)).distinct()

@@ -1,4 +1,6 @@
-"""License scans: TF-IDF cosine of lines and whole files to templates, and inheritance from the nearest directory above."""
+"""License scans: TF-IDF cosine of lines and whole files to templates, and inheritance from the nearest
+directory above.
+"""
 
 from __future__ import annotations
 
@@ -97,7 +99,14 @@ def _frequencies(texts: DataFrame, vocabulary: _Vocabulary) -> tuple[int, np.nda
 
 
 def _cosines(
-    unit: np.ndarray, n: int, at: np.ndarray, known: np.ndarray, weight: np.ndarray, rare: float, norms: np.ndarray, templates: np.ndarray
+    unit: np.ndarray,
+    n: int,
+    at: np.ndarray,
+    known: np.ndarray,
+    weight: np.ndarray,
+    rare: float,
+    norms: np.ndarray,
+    templates: np.ndarray,
 ) -> tuple[np.ndarray, np.ndarray]:
     """The best template of each unit (a line or a text) and its cosine; unit: of each word."""
     pairs, count = np.unique(unit[known] * len(weight) + at[known], return_counts=True)
@@ -121,14 +130,16 @@ def license_scan(
 ) -> DataFrame:
     """(path, license, cosine, origin, directory): the license of every file; files: path, text.
 
-    A file's own license is that of the template with the greatest cosine, of `threshold` at least, to one of its lines or to its
-    whole text: origin 'own'. Other files take that of the nearest directory at or above them with a licence file (LICENSE, LICENCE,
-    COPYING, whatever the case and extension) that has one: origin 'inherited' and that directory; else 'none'.
+    A file's own license is that of the template with the greatest cosine, of `threshold` at least,
+    to one of its lines or to its whole text: origin 'own'. Other files take that of the nearest
+    directory at or above them with a licence file (LICENSE, LICENCE, COPYING, whatever the case and
+    extension) that has one: origin 'inherited' and that directory; else 'none'.
 
-    Weights are tf * idf over lines of all files, idf = ln((1 + lines) / (1 + lines with the word)). A word outside the templates
-    weighs like one that no line has, each occurrence by itself. Words: runs of letters, digits and non-ASCII bytes, A-Z lower-cased.
-    Of several licence files in a directory the greatest cosine, then the least license, counts. Null texts are
-    empty; a null path inherits nothing; repeated paths are rows like others. Other columns are ignored.
+    Weights are tf * idf over lines of all files, idf = ln((1 + lines) / (1 + lines with the word)).
+    A word outside the templates weighs like one that no line has, each occurrence by itself. Words:
+    runs of letters, digits and non-ASCII bytes, A-Z lower-cased. Of several licence files in a
+    directory the greatest cosine, then the least license, counts. Null texts are empty; a null path
+    inherits nothing; repeated paths are rows like others. Other columns are ignored.
     """
     templates = templates or TEMPLATES
     names = [name for name, _ in templates]
@@ -192,8 +203,9 @@ def license_scan(
 
 
 def documents_as_files(documents: DataFrame) -> DataFrame:
-    """Documents as files of a tree: source / block of 400 / block of 20 / name. Every fifth is a LICENSE, of its block of 400 if
-    divisible by 100, else of its block of 20."""
+    """Documents as files of a tree: source / block of 400 / block of 20 / name. Every fifth is a
+    LICENSE, of its block of 400 if divisible by 100, else of its block of 20.
+    """
     number = "cast(doc_id as bigint)"
     return documents.selectExpr(
         f"concat_ws('/', coalesce(source, 'unknown'), {number} div 400, "

@@ -18,7 +18,9 @@ WORD = re.compile("[^\x20\x09-\x0d]")
 
 
 def spans(column: pa.Array) -> tuple[np.ndarray, ...]:
-    """Of lines parted by \\n: the bytes, the spans, the row, the number in its row, and whether it has a word."""
+    """Of lines parted by \\n: the bytes, the spans, the row, the number in its row, and whether it has
+    a word.
+    """
     data, offsets = T.strings(column)
     cut = np.flatnonzero(data == _NEWLINE)
     start = np.concatenate([offsets[:-1], cut + 1])
@@ -43,7 +45,9 @@ def identity(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
 
 
 def _occurrences(texts: DataFrame) -> DataFrame:
-    """(h, g, size, doc_id, no, again): every line with a word; again: an equal one is above it in the text."""
+    """(h, g, size, doc_id, no, again): every line with a word; again: an equal one is above it in the
+    text.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, start, end, row, no, full = spans(batch.column("text"))
@@ -89,11 +93,11 @@ def _segment(size: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _segments(texts: DataFrame, edits: int, least: int) -> DataFrame:
-    """(h, sign, own, probes): of each distinct line of `least` bytes or more, the keys of its segments and of the substrings
-    that may equal segments of lines as long or up to `edits` bytes shorter.
+    """(h, sign, own, probes): of each distinct line of `least` bytes or more, the keys of its segments
+    and of the substrings that may equal segments of lines as long or up to `edits` bytes shorter.
 
-    A line that differs by at most `edits` holds one of the edits + 1 segments of the shorter one unchanged, moved
-    by no more than the edits on either side of it.
+    A line that differs by at most `edits` holds one of the edits + 1 segments of the shorter one
+    unchanged, moved by no more than the edits on either side of it.
     """
     parts = edits + 1
 
@@ -155,9 +159,10 @@ def within(
 ) -> np.ndarray:
     """Edit distances of pairs over bytes, or edits + 1 where they are more.
 
-    All pairs advance together, a byte of b at a time. For e = 0..edits a word of 2 * edits + 1 bits holds the diagonals of the
-    band that are reached with at most e edits; a match keeps a bit, a substitution takes it from e - 1, an insertion
-    and a deletion from the neighbouring diagonals of e - 1.
+    All pairs advance together, a byte of b at a time. For e = 0..edits a word of 2 * edits + 1 bits
+    holds the diagonals of the band that are reached with at most e edits; a match keeps a bit, a
+    substitution takes it from e - 1, an insertion and a deletion from the neighbouring diagonals of
+    e - 1.
     """
     n_a = np.array([len(x) for x in a], np.int64)
     n_b = np.array([len(x) for x in b], np.int64)
@@ -284,15 +289,17 @@ def _texts(documents: DataFrame) -> DataFrame:
 def repeated_lines(documents: DataFrame, edits: int = 2, least: int = 30) -> DataFrame:
     """(doc_id, no): the lines to remove; `no` counts the lines of the text, parted by \\n, from 0.
 
-    In the order of (doc_id, no), a line is removed if an equal one comes before it, or if it has `least` bytes or more and a
-    line of as many bytes at most `edits` edits of bytes away first occurs before its own first occurrence. Lines
-    are judged on the input, whatever becomes of the earlier one. Lines without a word stay.
-
-    Each distinct line is cut into edits + 1 segments; any line near it holds one of them, so segments are joined with
-    the substrings that may equal them by position and length. Histograms of bytes in the join's condition keep
-    families of similar lines from forming all pairs. What passes is verified by banded bit-parallel edit distance. Rows
-    without doc_id are left out; null texts have no lines; rows sharing a doc_id are one document whose line numbers are those of either
-    text. Other columns are ignored.
+    In the order of (doc_id, no), a line is removed if an equal one comes before it, or if it has
+    `least` bytes or more and a line of as many bytes at most `edits` edits of bytes away first
+    occurs before its own first occurrence. Lines are judged on the input, whatever becomes of the
+    earlier one. Lines without a word stay.
+
+    Each distinct line is cut into edits + 1 segments; any line near it holds one of them, so
+    segments are joined with the substrings that may equal them by position and length. Histograms
+    of bytes in the join's condition keep families of similar lines from forming all pairs. What
+    passes is verified by banded bit-parallel edit distance. Rows without doc_id are left out; null
+    texts have no lines; rows sharing a doc_id are one document whose line numbers are those of
+    either text. Other columns are ignored.
     """
     texts = _texts(documents)
     occurrences = stored(_occurrences(texts))
@@ -326,7 +333,9 @@ def _cut(text: str, gone: list[int]) -> tuple[str, int, int]:
 
 @phased
 def changed_documents(documents: DataFrame, removed: DataFrame) -> DataFrame:
-    """(doc_id, text, n_lines, n_removed) of the documents that lose a line; removed: as of `repeated_lines`."""
+    """(doc_id, text, n_lines, n_removed) of the documents that lose a line; removed: as of
+    `repeated_lines`.
+    """
     joined = _texts(documents).join(_numbered(removed), F.col("doc_id") == F.col("_id"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -344,7 +353,8 @@ def changed_documents(documents: DataFrame, removed: DataFrame) -> DataFrame:
 
 @phased
 def without_repeated_lines(documents: DataFrame, **parameters) -> DataFrame:
-    """The documents, whole rows, without the lines that `repeated_lines` finds; n_chars, if there, follows the text.
+    """The documents, whole rows, without the lines that `repeated_lines` finds; n_chars, if there,
+    follows the text.
 
     A document that is left without a word goes, if it had one. Rows without id stay as they are.
     """

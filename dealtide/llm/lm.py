@@ -1,4 +1,6 @@
-"""Language-model scores: a log-bilinear model trained with noise-contrastive estimation, and a unigram base."""
+"""Language-model scores: a log-bilinear model trained with noise-contrastive estimation, and a unigram
+base.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +16,8 @@ from pyspark.sql import functions as F
 from dealtide.llm import dictionary as D
 from dealtide.llm.cluster import phased, stored
 
-#: Words with a class of their own, the most frequent ones; the size of their vectors; noise samples and tokens of a step.
+#: Words with a class of their own, the most frequent ones; the size of their vectors; noise samples
+#: and tokens of a step.
 CLASSES, SIZE, NOISE, STEP = 2000, 16, 32, 8192
 RATE = 0.1
 _SMOOTH = 0.1
@@ -27,10 +30,12 @@ def held_out(ids: np.ndarray | list) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Classes: 0 the end of a text, 1..n the frequent words, n + 1 any other word; n + 2, as context only, the start.
+    """Classes: 0 the end of a text, 1..n the frequent words, n + 1 any other word; n + 2, as context
+    only, the start.
 
-    The score of a class after the words a, b is (first * vectors[b] + second * vectors[a]) . targets[class]
-    + bias[class]; probabilities are normalised over all classes. A word of class n + 1 has its smoothed share among such words.
+    The score of a class after the words a, b is (first * vectors[b] + second * vectors[a]) .
+    targets[class] + bias[class]; probabilities are normalised over all classes. A word of class n +
+    1 has its smoothed share among such words.
     """
 
     vectors: np.ndarray
@@ -113,7 +118,9 @@ class Trainer:
 
 
 class Scorer:
-    """Normalised log10 probabilities; the sum over all classes is worked out once a context, in batches."""
+    """Normalised log10 probabilities; the sum over all classes is worked out once a context, in
+    batches.
+    """
 
     def __init__(self, model: Model):
         self.model = model
@@ -136,8 +143,9 @@ class Scorer:
 
 
 def _totals(words: DataFrame, top: int) -> DataFrame:
-    """Replies (kind 1) with each word's count over all chunks; and, kind 2, a bucket's most frequent words, its sum and
-    its number of words."""
+    """Replies (kind 1) with each word's count over all chunks; and, kind 2, a bucket's most frequent
+    words, its sum and its number of words.
+    """
 
     def flush(rows: list[dict]) -> Iterator[tuple]:
         total: dict[bytes, int] = {}
@@ -150,14 +158,14 @@ def _totals(words: DataFrame, top: int) -> DataFrame:
             None,
             2,
             None,
-            D.pack(np.array([n for _, n in best], np.uint64), 8),
+            D.pack(np.array([n for _, n in best], np.uint64)),
             D.pack_words([w for w, _ in best]),
             sum(seen.values()),
             len(seen),
         )
         for row in rows:
             values = np.array([total[w] for w in D.unpack_words(row["words"])], np.uint64)
-            yield row["chunk"], 1, row["codes"], D.pack(values, 8), None, None, None
+            yield row["chunk"], 1, row["codes"], D.pack(values), None, None, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
@@ -241,7 +249,7 @@ def _documents(batches: Iterator[pa.RecordBatch], other: int) -> Iterator[tuple]
             if row["kind"] == 0:
                 classes.put(D.unpack_rising(row["codes"]), D.unpack(row["values"]))
             elif row["kind"] == 1:
-                counts.put(D.unpack_rising(row["codes"]), D.unpack(row["values"], 8).astype(np.int64))
+                counts.put(D.unpack_rising(row["codes"]), D.unpack(row["values"]))
             else:
                 for doc_id, codes in D.documents(row):
                     yield doc_id, classes[codes], counts[codes]
@@ -259,14 +267,17 @@ def score_documents(
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text.
 
-    Tokens: words between ASCII white space, A-Z lower-cased, then one end. Trained on the texts whose id's crc32 (of the id
-    as text) isn't divisible by 10; the others are held out. base_score: sum of log10((c + 0.1) / (N + 0.1 (V + 1)))
-    with the training counts. score: log10 probability of the text by the model.
-
-    Counts are exact, over all training texts, summed by buckets of words. The model's classes are the most frequent
-    `classes` words; every partition trains on all its training tokens from the same start, and the parameters are averaged by tokens, so
-    one pass covers the corpus and only averages (a fixed number of parameters) reach the driver. Null texts are
-    empty: one token, the end. Rows without doc_id are left out, rows sharing one are rows like others. Other columns are ignored.
+    Tokens: words between ASCII white space, A-Z lower-cased, then one end. Trained on the texts
+    whose id's crc32 (of the id as text) isn't divisible by 10; the others are held out. base_score:
+    sum of log10((c + 0.1) / (N + 0.1 (V + 1))) with the training counts. score: log10 probability
+    of the text by the model.
+
+    Counts are exact, over all training texts, summed by buckets of words. The model's classes are
+    the most frequent `classes` words; every partition trains on all its training tokens from the
+    same start, and the parameters are averaged by tokens, so one pass covers the corpus and only
+    averages (a fixed number of parameters) reach the driver. Null texts are empty: one token, the
+    end. Rows without doc_id are left out, rows sharing one are rows like others. Other columns are
+    ignored.
     """
     spark = documents.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -286,7 +297,7 @@ def score_documents(
         for batch in batches:
             for n in batch.column("values").to_pylist():
                 # A bucket's counts fall.
-                above = np.searchsorted(-D.unpack(n, 8).astype(np.int64), -powers.astype(np.int64), "right")
+                above = np.searchsorted(-D.unpack(n), -powers.astype(np.int64), "right")
                 at = np.flatnonzero(above)
                 yield pa.record_batch([pa.array(at), pa.array(above[at])], ["level", "n"])
 
@@ -305,7 +316,7 @@ def score_documents(
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w, n in zip(batch.column("words").to_pylist(), batch.column("values").to_pylist(), strict=True):
-                counts = D.unpack(n, 8).astype(np.int64)
+                counts = D.unpack(n)
                 enough = int((counts >= least).sum())
                 if enough:
                     yield pa.record_batch(
@@ -377,7 +388,15 @@ def score_documents(
             base = np.log10((seen + _SMOOTH) / divisor).sum()
             rare = np.log10((seen[target == other] + _SMOOTH) / other_divisor).sum()
             out.append(
-                (doc_id, bool(held_out([doc_id])[0]), len(target), int((seen > 0).sum()), tokens, float(base), float(log.sum() + rare))
+                (
+                    doc_id,
+                    bool(held_out([doc_id])[0]),
+                    len(target),
+                    int((seen > 0).sum()),
+                    tokens,
+                    float(base),
+                    float(log.sum() + rare),
+                )
             )
             if len(out) >= 4096:
                 yield rows(out)

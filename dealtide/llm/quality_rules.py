@@ -1,4 +1,6 @@
-"""Quality rules: counts over words and lines, and a linear-chain conditional random field that tells content from boilerplate."""
+"""Quality rules: counts over words and lines, and a linear-chain conditional random field that tells
+content from boilerplate.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +16,8 @@ from dealtide.llm.classifier import word_shapes
 from dealtide.llm.cluster import batches, phased
 from dealtide.llm.lines import identity, spans
 
-#: Labelled documents that the field is trained on, chosen by a hash of their id, and the most lines of such a document.
+#: Labelled documents that the field is trained on, chosen by a hash of their id, and the most lines
+#: of such a document.
 SAMPLE, SAMPLE_LINES = 1500, 500
 WINDOW = 5
 BOILERPLATE, CONTENT = 0, 1
@@ -39,7 +42,15 @@ class Lines:
     first: np.ndarray
 
 
-def _line_features(w: T.Words, h: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray, again: np.ndarray, repeated: np.ndarray) -> Lines:
+def _line_features(
+    w: T.Words,
+    h: np.ndarray,
+    start: np.ndarray,
+    end: np.ndarray,
+    row: np.ndarray,
+    again: np.ndarray,
+    repeated: np.ndarray,
+) -> Lines:
     line = np.searchsorted(start, w.start, "right") - 1
     n = np.bincount(line, minlength=len(start))
     shapes = np.concatenate([word_shapes(w, h), repeated[:, None]], axis=1)
@@ -104,7 +115,9 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def train(documents: list[tuple[np.ndarray, np.ndarray]], rounds: int = 12) -> Field:
-    """Conditional likelihood of the states of (features, states), by Adagrad over documents with forward-backward sums."""
+    """Conditional likelihood of the states of (features, states), by Adagrad over documents with
+    forward-backward sums.
+    """
     width = documents[0][0].shape[1] if documents else 0
     field = Field(np.zeros((width, 2)), np.zeros((2, 2)), np.zeros(2))
     squares = [np.full_like(x, 1e-4) for x in (field.features, field.steps, field.first)]
@@ -142,7 +155,9 @@ def train(documents: list[tuple[np.ndarray, np.ndarray]], rounds: int = 12) -> F
 
 
 def viterbi(field: Field, lines: Lines) -> np.ndarray:
-    """The best states of all lines; the documents of a slice advance together, a line at a time. Ties are content."""
+    """The best states of all lines; the documents of a slice advance together, a line at a time. Ties
+    are content.
+    """
     emit = lines.features @ field.features if len(field.features) else np.zeros((len(lines.words), 2))
     count = np.diff(lines.first)
     order = np.argsort(-count, kind="stable")
@@ -172,9 +187,11 @@ def viterbi(field: Field, lines: Lines) -> np.ndarray:
 
 @phased
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    """A field trained on lines of labelled documents: those of a good one are content, those of a bad one boilerplate.
+    """A field trained on lines of labelled documents: those of a good one are content, those of a bad
+    one boilerplate.
 
-    About `sample` documents are taken, by a hash of the id, of up to SAMPLE_LINES lines. Without labels, all is content.
+    About `sample` documents are taken, by a hash of the id, of up to SAMPLE_LINES lines. Without
+    labels, all is content.
     """
     marks = labels.where("doc_id is not null and quality is not null").select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")
@@ -223,13 +240,16 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
 def judged(
     documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, content: float = 0.5
 ) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, content_share, kept) of every text.
-
-    Words: runs of other bytes than ASCII white space. word_chars: their code points; n_symbols: characters of #*$%&|<>; n_dup_lines:
-    lines (parted by \\n) with a word that equal an earlier one; n_repeat_words: words in windows of 5 words found twice or
-    more. base_failed: under 10 words, or more than 20 % repeated. content_share: the share of words on lines that
-    Viterbi decoding marks as content; kept: not base_failed, and at least `content` of them. Null texts have no words. Rows without doc_id are left
-    out, rows sharing one are rows like others; other columns are ignored.
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    content_share, kept) of every text.
+
+    Words: runs of other bytes than ASCII white space. word_chars: their code points; n_symbols:
+    characters of #*$%&|<>; n_dup_lines: lines (parted by \\n) with a word that equal an earlier
+    one; n_repeat_words: words in windows of 5 words found twice or more. base_failed: under 10
+    words, or more than 20 % repeated. content_share: the share of words on lines that Viterbi
+    decoding marks as content; kept: not base_failed, and at least `content` of them. Null texts
+    have no words. Rows without doc_id are left out, rows sharing one are rows like others; other
+    columns are ignored.
     """
     field = fit(documents, labels, sample)
 

@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealtide.llm import bpe, chat, classifier, decontaminate, jaccard, licenses, lines, lm, quality_rules, substrings
+from dealtide.llm import (
+    bpe,
+    chat,
+    classifier,
+    decontaminate,
+    jaccard,
+    licenses,
+    lines,
+    lm,
+    quality_rules,
+    substrings,
+)
 
 #: File of the tokenizer that the queries use.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -98,6 +109,57 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_suffix_array_dedup": """
+WITH d AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), piece AS (
+    SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s
+    FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM d WHERE n >= 50)
+), hit AS (
+    SELECT doc_id, p FROM piece JOIN (SELECT s, min(doc_id) AS f FROM piece GROUP BY s) USING (s) WHERE f < doc_id
+), broken AS (
+    SELECT *, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 1 ELSE 0 END AS new FROM hit
+), run AS (
+    SELECT doc_id, min(p) AS a, max(p) + 50 AS b
+    FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM broken) GROUP BY doc_id, g
+), gap AS (
+    SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM run
+), left_over AS (
+    SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans,
+        string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+    FROM gap JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id::BIGINT AS doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN left_over USING (doc_id)
+""",
+    "op6_ngram_jaccard": r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents
+), shingle AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)
+), size AS (
+    SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), shared AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
+    FROM shingle AS a JOIN shingle AS b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), link AS (
+    SELECT x, y FROM shared JOIN size AS p ON p.doc_id = x JOIN size AS q ON q.doc_id = y
+    WHERE 100 * common >= 75 * (p.n + q.n - common)
+), reach AS (
+    SELECT doc_id AS node, doc_id AS other FROM documents
+    UNION
+    SELECT node, y FROM reach JOIN link ON x = other
+)
+SELECT documents.doc_id::BIGINT AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles,
+    min(other)::BIGINT AS component_id
+FROM documents JOIN reach ON node = documents.doc_id LEFT JOIN size ON size.doc_id = documents.doc_id
+GROUP BY documents.doc_id
+""",
     "op10_chat_formatting": r"""
 WITH rows AS (
     SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, role, coalesce(text, '') AS text FROM conversations
@@ -114,5 +176,5 @@ SELECT conv_id, count(*) AS n_turns,
     sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
     sum(length(body) + length(role) + 11)::BIGINT AS formatted_chars
 FROM escaped GROUP BY conv_id
-""".replace("\\\\", "\\"),
+""",
 }

@@ -1,11 +1,14 @@
 """Removal of repeated strings by a depth-limited radix sort of suffixes.
 
-Suffixes are told apart only through WINDOW bytes, in passes from a coarse digit to the whole window; after each pass a group within one document
-leaves, and only the others are looked at more closely.
-
-1. The first digit of a suffix is the least GRAM-byte string in its window by hash. Neighbouring suffixes share it, so a tenth as many digits as
-   suffixes are dealt out, and one digit stands for a stretch of suffixes.
-2. The second digit is the whole stretch, as far as its windows reach. Documents with an earlier equal stretch are settled.
+Suffixes are told apart only through WINDOW bytes, in passes from a coarse digit to the whole
+window; after each pass a group within one document leaves, and only the others are looked at more
+closely.
+
+1. The first digit of a suffix is the least GRAM-byte string in its window by hash. Neighbouring
+   suffixes share it, so a tenth as many digits as suffixes are dealt out, and one digit stands for
+   a stretch of suffixes.
+2. The second digit is the whole stretch, as far as its windows reach. Documents with an earlier
+   equal stretch are settled.
 3. What is left, where one first digit has several stretches, is split to its single windows.
 """
 
@@ -25,13 +28,15 @@ from dealtide.llm.cluster import batches, phased, stored
 WINDOW, GRAM = 50, 24
 _BLOCK = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
-#: Rows of a slice: the only document of its group there; settled within the slice; a sign that a settled group is there.
+#: Rows of a slice: the only document of its group there; settled within the slice; a sign that a
+#: settled group is there.
 OPEN, SETTLED, WITNESS = 0, 1, 2
 
 
 def _stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of each stretch of windows with one least gram: its hash, the hash of all its bytes, row, first window, number
-    of windows."""
+    """Of each stretch of windows with one least gram: its hash, the hash of all its bytes, row, first
+    window, number of windows.
+    """
     row_of = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     found = []
     for a in range(0, len(data) - WINDOW + 1, _BLOCK):
@@ -77,7 +82,9 @@ def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _digits(texts: DataFrame) -> DataFrame:
-    """(key, doc_id, kind): first digits by document; those in several documents of a slice are settled at once."""
+    """(key, doc_id, kind): first digits by document; those in several documents of a slice are settled
+    at once.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         key, _, row, _, _ = _stretches(*T.strings(batch.column("text")))
@@ -151,7 +158,9 @@ def _settle(keys: tuple[np.ndarray, ...], doc: np.ndarray) -> np.ndarray:
 
 
 def _second(texts: DataFrame, shared: DataFrame) -> DataFrame:
-    """(key, sign, doc_id, start, count, removed): stretches of shared digits; removed: a smaller document has an equal one."""
+    """(key, sign, doc_id, start, count, removed): stretches of shared digits; removed: a smaller
+    document has an equal one.
+    """
     keys = shared.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -240,11 +249,12 @@ def _third(texts: DataFrame, second: DataFrame) -> DataFrame:
 
 @phased
 def repeated_windows(documents: DataFrame) -> DataFrame:
-    """(doc_id, start, count): `count` windows of WINDOW bytes from byte `start` on, each of which a document with a smaller
-    doc_id holds.
+    """(doc_id, start, count): `count` windows of WINDOW bytes from byte `start` on, each of which a
+    document with a smaller doc_id holds.
 
-    Null texts are empty; rows without id are left out. Rows sharing an id are one document: windows found in either
-    text are removed from both. Digits are 64-bit hashes; a window is removed only on 128 bits of agreement.
+    Null texts are empty; rows without id are left out. Rows sharing an id are one document: windows
+    found in either text are removed from both. Digits are 64-bit hashes; a window is removed only
+    on 128 bits of agreement.
     """
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(
         "doc_id is not null and text is not null"
@@ -257,11 +267,11 @@ def repeated_windows(documents: DataFrame) -> DataFrame:
 
 @phased
 def without_repeats(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256) of every document, without each byte of a WINDOW-byte string that also
-    starts in a document with a smaller doc_id.
+    """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256) of every document, without each byte of
+    a WINDOW-byte string that also starts in a document with a smaller doc_id.
 
-    kept (binary): the remaining bytes; n_spans: the maximal removed runs. Rows without id lose nothing. Other columns
-    are ignored.
+    kept (binary): the remaining bytes; n_spans: the maximal removed runs. Rows without id lose
+    nothing. Other columns are ignored.
     """
     spans = (
         repeated_windows(documents)

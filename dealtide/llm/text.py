@@ -1,7 +1,8 @@
 """Texts of an Arrow batch as one array of bytes: words, hashes of spans, windows of words.
 
-Everything is vectorised over a slice of rows, and hashing goes in blocks, so memory is bounded by the slice and
-by the longest single text. Hashes have 64 bits: polynomial over the bytes, modulo 2**64, then mixed.
+Everything is vectorised over a slice of rows, and hashing goes in blocks, so memory is bounded by
+the slice and by the longest single text. Hashes have 64 bits: polynomial over the bytes, modulo
+2**64, then mixed.
 """
 
 from __future__ import annotations
@@ -117,7 +118,9 @@ def slices(batch: pa.RecordBatch, column: str, size: int = SLICE) -> Iterator[pa
 
 @dataclass
 class Words:
-    """Words of a slice: their spans in `data`, the row of each, and `first`: where each row's words begin."""
+    """Words of a slice: their spans in `data`, the row of each, and `first`: where each row's words
+    begin.
+    """
 
     data: np.ndarray
     offsets: np.ndarray
