@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealtide.functions.dates import as_of_date, from_year, quarter_label
@@ -14,14 +14,10 @@ from dealtide.plans.holds import (
     days_held_since_change,
     days_held_since_request,
     hold_changed,
-    milestones,
     milestones_per_request,
     person_assigned,
 )
-
-
-#: The hour of changes without a time: after all others.
-_NO_TIME = 1 << 40
+from dealtide.plans.numbering import numbered
 
 
 def real_resources(requests: DataFrame, actuals: DataFrame) -> DataFrame:
@@ -159,8 +155,8 @@ def resource_request_audit(
     moment. A milestone is known from its own moment on, so the day counts are NULL before it.
     Changes without a time come last within their request. ``ordered``: sort the result, a shuffle of its rows.
 
-    Nothing is keyed by the request alone except one row per request and hour: events are
-    numbered within the hour, and the hours carry how many events came before.
+    Events are numbered over ranges (see `numbered`), so a request with a third of the history, in one hour or at
+    one moment, is spread over many tasks. Numbering runs at once, the rest when the result is read.
     """
     # The names hold every real resource once, so this also drops requests for placeholders.
     lost_requests = (
@@ -168,41 +164,24 @@ def resource_request_audit(
         .join(consultant_names(actuals), "resource_id")
         .withColumnRenamed("created_date", "requested")
     )
-    # Most history belongs to other requests; it goes before anything is shuffled by hour. What is left is
-    # shuffled once: the numbering and the roll-up below use the same exchange.
-    events = (
-        of_deals(history, lost_requests, key="parent_id")
-        .withColumnRenamed("parent_id", "id")
-        .withColumn(
-            "slot",
-            F.coalesce(
-                (F.unix_date(F.to_date("created_date")) * 24 + F.hour("created_date")).cast("bigint"),
-                F.lit(_NO_TIME),
-            ),
-        )
-        .repartition("id", "slot")
-    )
-    by_request = Window.partitionBy("id")
-    earlier = by_request.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    pick = {"last_change": F.max, "first_hold": F.min, "last_hold": F.max, "final_change": F.max}
-    slots = (
-        events.groupBy("id", "slot")
-        .agg(F.count("*").alias("events"), *milestones())
-        .join(lost_requests, "id")
-        .withColumn("events_before", F.coalesce(F.sum("events").over(earlier), F.lit(0)))
-        .withColumns({mark: fold(mark).over(by_request) for mark, fold in pick.items()})
-    )
-    in_slot = Window.partitionBy("id", "slot").orderBy(
-        F.asc_nulls_last("at"),
-        F.asc_nulls_last("field"),
-        F.asc_nulls_last("old_value"),
-        F.asc_nulls_last("new_value"),
+    # Most history belongs to other requests; it goes before the rest is numbered.
+    events = of_deals(history, lost_requests, key="parent_id")
+    numbers = numbered(
+        events.withColumnRenamed("parent_id", "id").withColumnRenamed("created_date", "at"),
+        "id",
+        [F.asc_nulls_last(name) for name in ("at", "field", "old_value", "new_value")],
+        "order_of_events",
     )
-    numbered = (
-        events.withColumnRenamed("created_date", "at")
-        .join(slots, ["id", "slot"])
-        .withColumn("order_of_events", F.col("events_before") + F.row_number().over(in_slot))
+    marks = milestones_per_request(
+        numbers.select(
+            F.col("id").alias("parent_id"),
+            F.col("at").alias("created_date"),
+            "field",
+            "old_value",
+            "new_value",
+        )
     )
+    known_events = numbers.join(lost_requests.join(marks, "id"), "id")
 
     def known(mark: str):
         return F.when(F.col("at") >= F.col(mark), F.col(mark))
@@ -215,7 +194,7 @@ def resource_request_audit(
     shown = (
         (person_assigned() | hold_changed()) | (F.col("at") == F.col("final_change"))
     )
-    found = numbered.filter(shown)
+    found = known_events.filter(shown)
     return (
         (found.orderBy("close_date", "id", "order_of_events") if ordered else found)
         .select(

@@ -119,7 +119,6 @@ def test_no_query_runs_python_or_multiplies_rows(spark):
         "wbs_hours_by_role",
         "stage_days_by_practice_quarter",
         "held_for_lost_by_role",
-        "resource_request_audit",
     ],
 )
 def test_narrow_reports_limit_the_history_before_they_fold_it(spark, name):
@@ -180,3 +179,32 @@ def test_results_do_not_depend_on_the_session_time_zone(spark, zone):
             assert spark_rows(QUERIES[name](spark, "/root/testdata/sf0.001")) == usual
         finally:
             spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_numbers_of_a_hot_moment_are_dealt_evenly(spark):
+    from dealtide.plans.numbering import numbered
+
+    rows = spark.range(60_000).selectExpr(
+        "if(id % 3 = 0, 'hot', cast(id % 50 as string)) as id",
+        "timestamp '2024-01-01 10:00:00' as at",
+        "cast(id % 2 as string) as v",
+    )
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = numbered(rows, "id", [F.col("at"), F.col("v")], "n").cache()
+        sizes = [
+            len(p)
+            for p in rows.withColumn("_row", F.monotonically_increasing_id())
+            .repartitionByRange("id", "at", "v", "_row")
+            .rdd.glom()
+            .collect()
+        ]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert max(sizes) < 2 * 60_000 / len(sizes)
+    per_id = out.groupBy("id").agg(F.count("*").alias("c"), F.max("n").alias("m"), F.count_distinct("n").alias("d"))
+    assert all(r.c == r.m == r.d for r in per_id.collect())
+    # In order: all zeros of the hot one come before its ones.
+    hot = out.filter("id = 'hot'").groupBy("v").agg(F.min("n").alias("a"), F.max("n").alias("b"))
+    assert {(r.v, r.a, r.b) for r in hot.collect()} == {("0", 1, 10_000), ("1", 10_001, 20_000)}
