@@ -9,7 +9,9 @@ closely.
    a stretch of suffixes.
 2. The second digit is the whole stretch, as far as its windows reach. Documents with an earlier
    equal stretch are settled.
-3. What is left, where one first digit has several stretches, is split to its single windows.
+3. What is left, where one first digit has several stretches, is told apart by a longer digit: the gram with the SIDE
+   bytes before it, or after it. A window holds one of the two.
+4. Windows of stretches that still share a digit are compared as a whole.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from dealtide.llm import text as T
 from dealtide.llm.cluster import batches, phased, stored
 
 WINDOW, GRAM = 50, 24
+#: A window without SIDE bytes before the gram has as many after it.
+SIDE = (WINDOW - GRAM) // 2
 _BLOCK = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 #: Rows of a slice: the only document of its group there; settled within the slice; a sign that a
@@ -35,7 +39,7 @@ OPEN, SETTLED, WITNESS = 0, 1, 2
 
 def _stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of each stretch of windows with one least gram: its hash, the hash of all its bytes, row, first
-    window, number of windows.
+    window, number of windows, place of the gram.
     """
     row_of = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     found = []
@@ -65,10 +69,10 @@ def _stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
             T.between(total, first, last + WINDOW)
             + T.mix((owner - first).astype(np.uint64) * np.uint64(64) + count.astype(np.uint64))
         )
-        found.append((grams[owner], sign, row[begin], first + a, count))
+        found.append((grams[owner], sign, row[begin], first + a, count, owner + a))
     if not found:
         none = np.empty(0, np.int64)
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none.astype(np.uint64), none, none, none, none
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -87,7 +91,7 @@ def _digits(texts: DataFrame) -> DataFrame:
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        key, _, row, _, _ = _stretches(*T.strings(batch.column("text")))
+        key, _, row, *_ = _stretches(*T.strings(batch.column("text")))
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
         doc = ids[row]
         order, new = _grouped(key, doc)
@@ -157,6 +161,9 @@ def _settle(keys: tuple[np.ndarray, ...], doc: np.ndarray) -> np.ndarray:
     return out
 
 
+_STRETCH = ["key", "sign", "doc_id", "start", "count", "gram", "before", "after"]
+
+
 def _second(texts: DataFrame, shared: DataFrame) -> DataFrame:
     """(key, sign, doc_id, start, count, removed): stretches of shared digits; removed: a smaller
     document has an equal one.
@@ -165,11 +172,21 @@ def _second(texts: DataFrame, shared: DataFrame) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = T.strings(batch.column("text"))
-        key, sign, row, start, count = _stretches(data, offsets)
+        key, sign, row, start, count, gram = _stretches(data, offsets)
         held = np.isin(_tagged(row, key), _marked(batch, "keys"))
-        key, sign, row, start, count = (x[held] for x in (key, sign, row, start, count))
+        key, sign, row, start, count, gram = (
+            x[held] for x in (key, sign, row, start, count, gram)
+        )
         doc = batch.column("doc_id").to_numpy()[row]
         settled = _settle((key, sign), doc)
+        total = T.sums(data)
+
+        def side(begin: np.ndarray, any_window: np.ndarray) -> pa.Array:
+            ok = any_window & ~settled
+            out = np.zeros(len(gram), np.uint64)
+            out[ok] = T.between(total, begin[ok], begin[ok] + GRAM + SIDE)
+            return pa.array(out.view(np.int64), mask=~ok)
+
         return pa.record_batch(
             [
                 T.signed(key),
@@ -177,25 +194,25 @@ def _second(texts: DataFrame, shared: DataFrame) -> DataFrame:
                 pa.array(doc),
                 pa.array(start - offsets[row]),
                 pa.array(count.astype(np.int32)),
+                pa.array((gram - start).astype(np.int32)),
+                side(gram - SIDE, start <= gram - SIDE),
+                side(gram, start + count - 1 > gram - SIDE),
                 pa.array((settled * SETTLED).astype(np.int32)),
             ],
-            ["key", "sign", "doc_id", "start", "count", "kind"],
+            [*_STRETCH, "kind"],
         )
 
     rows = texts.join(keys, "doc_id").mapInArrow(
         batches(run),
-        "key bigint, sign bigint, doc_id bigint, start bigint, count int, kind int",
+        "key bigint, sign bigint, doc_id bigint, start bigint, count int, gram int, "
+        "before bigint, after bigint, kind int",
     )
     group = Window.partitionBy("dealt", "key", "sign")
     return (
         rows.withColumn("dealt", _dealt("sign"))
         .withColumn("least", F.min("doc_id").over(group))
         .select(
-            "key",
-            "sign",
-            "doc_id",
-            "start",
-            "count",
+            *_STRETCH,
             ((F.col("kind") == SETTLED) | (F.col("doc_id") > F.col("least"))).alias("removed"),
         )
     )
@@ -203,10 +220,21 @@ def _second(texts: DataFrame, shared: DataFrame) -> DataFrame:
 
 def _third(texts: DataFrame, second: DataFrame) -> DataFrame:
     """(doc_id, start, count 1): single windows of unsettled stretches that a smaller document has."""
-    left = second.where("not removed").select("key", "sign", "doc_id", "start", "count")
-    mixed = left.groupBy("key").agg(F.min("sign").alias("low"), F.max("sign").alias("high"))
-    open_ = left.join(mixed.where("low < high").select("key"), "key")
-    spans = stored(open_.groupBy("doc_id").agg(F.collect_list(F.col("start") * 64 + F.col("count")).alias("spans")))
+    left = second.where("not removed")
+
+    def live(digit: str, first: str, last: str) -> DataFrame:
+        """Windows from `first` to `last` of stretches whose digit another stretch has."""
+        rows = left.where(F.col(digit).isNotNull())
+        mixed = rows.groupBy(digit).agg(F.min("sign").alias("low"), F.max("sign").alias("high"))
+        return rows.join(mixed.where("low < high").select(digit), digit, "left_semi").selectExpr(
+            "doc_id", f"{first} * 64 + {last} - {first} + 1 as span"
+        )
+
+    end = "(start + count - 1)"
+    spans = live("before", "start", f"least({end}, start + gram - {SIDE})").union(
+        live("after", f"greatest(start, start + gram - {SIDE - 1})", end)
+    )
+    spans = stored(spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans")))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = T.strings(batch.column("text"))
