@@ -202,25 +202,38 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _tiles(members: DataFrame, percent: int) -> DataFrame:
+def _tiles(members: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of different components in a tile that bitmaps allow.
 
-    members: key, id, component, n, band, bits, blocks. A tile is a key with a band and the next
-    larger one, and in large ones a block of either side. Its rows arrive sorted by size; each is
-    compared with those after it until they are too large.
+    members: key, id, component, n, band. A tile is a key with a band and the next larger one, and
+    in large ones a block of either side. Its rows arrive sorted by size; each is compared with
+    those after it until they are too large. Bitmaps travel to tiles that hold a pair only.
     """
-    cells = (
-        members.selectExpr(
-            "*",
-            "pmod(xxhash64(id), blocks) as own",
-            "inline(array(struct(band as tile, true as low), struct(band - 1 as tile, false as low)))",
+    both = members.selectExpr(
+        "*",
+        "inline(array(struct(band as tile, true as low), struct(band - 1 as tile, false as low)))",
+    ).drop("band")
+    useful = (
+        both.groupBy("key", "tile")
+        .agg(
+            F.count_if("low").alias("lows"),
+            F.count("*").alias("rows"),
+            F.min("component").alias("least"),
+            F.max("component").alias("most"),
         )
+        .where("lows > 0 and least < most")
+        .select("key", "tile", F.ceil(F.col("rows") / TILE).alias("blocks"))
+    )
+    cells = (
+        both.join(useful, ["key", "tile"])
+        .selectExpr("*", "pmod(xxhash64(id), blocks) as own")
         .selectExpr("*", "explode(sequence(0, cast(blocks as int) - 1)) as other")
         # The cell (i, j), i <= j, holds the rows of blocks i and j of both bands.
         .selectExpr(
             "key", "tile", "least(own, other) as i", "greatest(own, other) as j",
-            "id", "component", "n", "bits", "low", "own",
+            "id", "component", "n", "low", "own",
         )
+        .join(bitmaps.select("id", "bits"), "id")
     )
     dealt = cells.repartition("key", "tile", "i", "j").sortWithinPartitions(
         "key", "tile", "i", "j", "n", "id"
@@ -369,17 +382,8 @@ def similar_documents(documents: DataFrame, size: int = 5, percent: int = 75) ->
         .join(component, F.col("id") == F.col("node"), "left")
         .select("first", "id", F.coalesce("component", "id").alias("component"))
     )
-    mixed = spread.groupBy("first").agg(
-        F.min("component").alias("low"),
-        F.max("component").alias("high"),
-        F.ceil(F.count("*") / TILE).alias("blocks"),
-    )
-    open_ = (
-        spread.join(mixed.where("low < high").select("first", "blocks"), "first")
-        .join(bitmaps, "id")
-        .withColumnRenamed("first", "key")
-    )
-    second = stored(_verified(_tiles(open_, percent), texts, size, percent))
+    open_ = spread.join(bitmaps.select("id", "n", "band"), "id").withColumnRenamed("first", "key")
+    second = stored(_verified(_tiles(open_, bitmaps, percent), texts, size, percent))
     component = components(first.union(second))
     return (
         docs.withColumnRenamed("n", "n_shingles")
