@@ -183,14 +183,17 @@ def _second(texts: DataFrame, shared: DataFrame) -> DataFrame:
 
         def side(begin: np.ndarray, any_window: np.ndarray) -> pa.Array:
             ok = any_window & ~settled
-            out = np.zeros(len(gram), np.uint64)
-            out[ok] = T.between(total, begin[ok], begin[ok] + GRAM + SIDE)
-            return pa.array(out.view(np.int64), mask=~ok)
+            out = np.zeros(len(gram), np.int32)
+            h = T.between(total, begin[ok], begin[ok] + GRAM + SIDE)
+            # Half a hash will do beside the key: it only chooses what is looked at more closely.
+            out[ok] = (h >> np.uint64(33)).astype(np.int32)
+            return pa.array(out, mask=~ok)
 
         return pa.record_batch(
             [
-                T.signed(key),
-                T.signed(sign),
+                # Settled rows meet no others.
+                pa.array(key.view(np.int64), mask=settled),
+                pa.array(sign.view(np.int64), mask=settled),
                 pa.array(doc),
                 pa.array(start - offsets[row]),
                 pa.array(count.astype(np.int32)),
@@ -205,7 +208,7 @@ def _second(texts: DataFrame, shared: DataFrame) -> DataFrame:
     rows = texts.join(keys, "doc_id").mapInArrow(
         batches(run),
         "key bigint, sign bigint, doc_id bigint, start bigint, count int, gram int, "
-        "before bigint, after bigint, kind int",
+        "before int, after int, kind int",
     )
     group = Window.partitionBy("dealt", "key", "sign")
     return (
@@ -225,8 +228,9 @@ def _third(texts: DataFrame, second: DataFrame) -> DataFrame:
     def live(digit: str, first: str, last: str) -> DataFrame:
         """Windows from `first` to `last` of stretches whose digit another stretch has."""
         rows = left.where(F.col(digit).isNotNull())
-        mixed = rows.groupBy(digit).agg(F.min("sign").alias("low"), F.max("sign").alias("high"))
-        return rows.join(mixed.where("low < high").select(digit), digit, "left_semi").selectExpr(
+        group = ["key", digit]
+        mixed = rows.groupBy(*group).agg(F.min("sign").alias("low"), F.max("sign").alias("high"))
+        return rows.join(mixed.where("low < high").select(*group), group, "left_semi").selectExpr(
             "doc_id", f"{first} * 64 + {last} - {first} + 1 as span"
         )
 
