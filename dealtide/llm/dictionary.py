@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from dealtide.llm import text as T
 from dealtide.llm.cluster import stored
 
-CHUNK = 24_000_000
+CHUNK = 16_000_000
 CODED = (
     "chunk bigint, bucket int, doc_ids array<bigint>, lengths binary, codes binary, words binary, "
     "counts binary"
@@ -60,10 +60,13 @@ def unpack(blob: bytes) -> np.ndarray:
     raw = np.frombuffer(_plain(blob), np.uint8)
     end = np.flatnonzero(raw < 128)
     start = np.concatenate([[0], end[:-1] + 1])[: len(end)]
-    out = (raw[start] & 127).astype(np.int64)
-    for k in range(1, int((end - start).max(initial=0)) + 1):
-        more = np.flatnonzero(start + k <= end)
-        out[more] |= (raw[start[more] + k] & 127).astype(np.int64) << (7 * k)
+    size = (end - start).astype(np.int8)
+    del end
+    most = int(size.max(initial=0))
+    out = (raw[start] & 127).astype(np.int64 if most > 3 else np.int32)
+    for k in range(1, most + 1):
+        more = np.flatnonzero(size >= k)
+        out[more] |= (raw[start[more] + k] & 127).astype(out.dtype) << (7 * k)
     return out
 
 
@@ -73,7 +76,7 @@ def pack_rising(values: np.ndarray) -> bytes:
 
 
 def unpack_rising(blob: bytes) -> np.ndarray:
-    return np.cumsum(unpack(blob))
+    return np.cumsum(unpack(blob), dtype=np.int64)
 
 
 def pack_words(words: list[bytes]) -> bytes:

@@ -316,7 +316,7 @@ def score_documents(
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w, n in zip(batch.column("words").to_pylist(), batch.column("values").to_pylist(), strict=True):
-                counts = D.unpack(n)
+                counts = D.unpack(n).astype(np.int64)
                 enough = int((counts >= least).sum())
                 if enough:
                     yield pa.record_batch(

@@ -14,8 +14,8 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-SLICE = 4_000_000
-_BLOCK = 4_000_000
+SLICE = 2_000_000
+_BLOCK = 2_000_000
 _BASE = 0x9E3779B97F4A7C15
 
 #: Bytes between words: space, and tab to carriage return.
