@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dealtide.llm.cluster import phased
+from dealtide.llm.cluster import phased, stored
 
 START, DELTA, EDIT, REGENERATE = "start", "delta", "edit", "regenerate"
 
@@ -72,7 +72,7 @@ def folded(events: DataFrame) -> DataFrame:
     Messages are folded one by one, so a conversation that holds a third of all events is spread
     over its messages. A message's text is what its last edit or regeneration (or its start) left,
     and the deltas after it, in order of (seq, kind, text). Its turn and role are those of the first
-    start; a message without one has the least seq as turn and no role. Null texts are empty. Events
+    start, be they null; a message without one has the least seq as turn and no role. Null texts are empty. Events
     without conv_id or message are left out; repeated events count as often as they come; other
     columns are ignored.
     """
@@ -109,7 +109,7 @@ def folded(events: DataFrame) -> DataFrame:
         .join(heads.select(*key, "opened", "least"), key)
         .select(
             "conv_id",
-            F.coalesce("opened.turn", "least").alias("turn"),
+            F.when(F.col("opened").isNull(), F.col("least")).otherwise(F.col("opened.turn")).alias("turn"),
             F.col("opened.role").alias("role"),
             "text",
             "message",
@@ -123,7 +123,7 @@ def formatted(messages: DataFrame) -> DataFrame:
     is the text of assistant turns.
 
     Positions are code points within the turn. The formatted conversation is its turns, joined in
-    order of (turn, message, formatted). Null roles and texts are empty; messages without conv_id
+    order of (turn, message, formatted), null turns last. Null roles and texts are empty; messages without conv_id
     are left out.
     """
 
@@ -197,7 +197,7 @@ def digests(turns: DataFrame) -> DataFrame:
 
     return (
         turns.repartition("conv_id")
-        .sortWithinPartitions("conv_id", "turn", "message", "formatted")
+        .sortWithinPartitions("conv_id", F.asc_nulls_last("turn"), "message", "formatted")
         .mapInArrow(
             run,
             "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, "
@@ -206,13 +206,43 @@ def digests(turns: DataFrame) -> DataFrame:
     )
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows with `message`, their number within the conversation, from 0, in order of turn (null ones
+    last), role and text.
+
+    As in plans/numbering.py, rows are dealt out in ranges, so that no window holds a conversation.
+    """
+    keys = ["conv_id", F.asc_nulls_last("turn"), "role", "text", "_row"]
+    dealt = stored(
+        rows.withColumn("_row", F.monotonically_increasing_id())
+        .repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        # The range in the upper bits, the place in it below.
+        .withColumn("_place", F.monotonically_increasing_id())
+        .withColumn("_range", F.shiftright("_place", 33))
+        .drop("_row")
+    )
+    earlier = Window.partitionBy("conv_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (
+        dealt.groupBy("conv_id", "_range")
+        .agg(F.min("_place").alias("_first"), F.count("*").alias("_rows"))
+        .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    )
+    return dealt.join(ranges, ["conv_id", "_range"]).selectExpr(
+        "conv_id", "turn", "role", "text", "_before + _place - _first as message"
+    )
+
+
+@phased
 def logged(conversations: DataFrame, piece: int = 64) -> DataFrame:
     """Events that a chat service would log for the rows of `conversations`, with seq in order of the
     turns.
 
     A message's text streams in deltas of `piece` code points. Every third turn streams a text that
     is edited to the final one, and every fifth assistant turn one that is thrown away by a
-    regeneration. Rows of one turn are told apart by their number among equal turns.
+    regeneration. Every row is a message, numbered over its whole conversation, so a turn may have
+    any number of rows; rows without turn come last and stream plainly. Rows without conv_id are
+    left out.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = conversations.select(
@@ -221,8 +251,7 @@ def logged(conversations: DataFrame, piece: int = 64) -> DataFrame:
         "role",
         text.alias("text"),
     )
-    equal = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    rows = rows.withColumn("message", F.col("turn") * (1 << 20) + F.row_number().over(equal) - 1)
+    rows = _numbered(rows.where("conv_id is not null"))
     pieces = (
         f"transform(sequence(0, cast(ceil(length(text) / {piece}) as int)), "
         f"i -> substring(text, i * {piece} + 1, {piece}))"
@@ -237,7 +266,7 @@ def logged(conversations: DataFrame, piece: int = 64) -> DataFrame:
     )
     return rows.selectExpr("conv_id", "turn", "message", "role", f"posexplode({listed}) as (at, event)").selectExpr(
         "conv_id",
-        "turn * 1000000 + at as seq",
+        "message * 2147483648 + at as seq",
         "event.kind as kind",
         "message",
         "turn",

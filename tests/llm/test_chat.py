@@ -49,3 +49,22 @@ def test_folding_of_edits_and_regenerations(spark):
     )
     got = {(r.conv_id, r.turn, r.role, r.text) for r in chat.folded(frame).collect()}
     assert got == {(1, 0, "user", "bye!"), (1, 1, "assistant", "right"), (2, 5, None, "no start")}
+
+
+def test_null_turns_come_last(spark):
+    # Long enough for several deltas, whose order must hold.
+    rows = [(1, None, "user", "no turn, abcdefgh"), (1, None, "assistant", "nor here"), (2, None, "user", "alone")]
+    rows += [(1, 0, "user", "first"), (1, 1, "assistant", "second"), (1, 2, "user", "third")]
+    frame = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    got = chat.digests(chat.formatted(chat.folded(chat.logged(frame, piece=3)))).collect()
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got}
+    # The same rows with turns past the others.
+    assert got == brute.conversations([(c, 7 if t is None else t, r, x) for c, t, r, x in rows])
+
+
+def test_a_turn_of_more_than_a_million_rows(spark):
+    n = (1 << 20) + 5
+    frame = spark.range(n).selectExpr("1 as conv_id", "0 as turn", "'user' as role", "'a' as text")
+    frame = frame.union(spark.createDataFrame([(1, 1, "user", "b"), (1, 1, "user", "c")], frame.schema))
+    starts = chat.logged(frame).where("kind = 'start'")
+    assert starts.select("conv_id", "message").distinct().count() == starts.count() == n + 2
