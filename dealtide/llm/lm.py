@@ -16,11 +16,15 @@ from pyspark.sql import functions as F
 from dealtide.llm import dictionary as D
 from dealtide.llm.cluster import phased, stored
 
-#: Words with a class of their own, the most frequent ones; the size of their vectors; noise samples
-#: and tokens of a step.
-CLASSES, SIZE, NOISE, STEP = 2000, 16, 32, 8192
+#: Words with a unit of their own, the most frequent ones; the size of vectors; noise classes of a
+#: step, noise units of a token, and tokens of a step.
+CLASSES, SIZE, NOISE, WORD_NOISE, STEP = 2000, 16, 32, 4, 8192
+#: Units of the other words, times the square root of the number of distinct words.
+SLOTS = 64
 RATE = 0.1
 _SMOOTH = 0.1
+#: Tokens scored together; units whose averages move together.
+_SCORED, _BLOCK = 1 << 16, 512
 
 
 def held_out(ids: np.ndarray | list) -> np.ndarray:
@@ -30,121 +34,233 @@ def held_out(ids: np.ndarray | list) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Classes: 0 the end of a text, 1..n the frequent words, n + 1 any other word; n + 2, as context
-    only, the start.
+    """Units: 0 the end of a text, then words or groups of words from frequent to rare; n, as context
+    only, the start. Runs of units of about equal share of the square roots of the counts, about
+    sqrt(n) of them, are classes; `first` has the first unit of each, and n.
 
-    The score of a class after the words a, b is (first * vectors[b] + second * vectors[a]) .
-    targets[class] + bias[class]; probabilities are normalised over all classes. A word of class n +
-    1 has its smoothed share among such words.
+    After the words a, b the context is h = mixing[0] * vectors[b] + mixing[1] * vectors[a]. A class
+    scores h . heads[class] + head_bias[class], normalised over all classes; a unit h .
+    targets[unit] + bias[unit], normalised over the units of its class.
     """
 
     vectors: np.ndarray
     targets: np.ndarray
     bias: np.ndarray
+    heads: np.ndarray
+    head_bias: np.ndarray
     mixing: np.ndarray
+    first: np.ndarray
 
     @staticmethod
     def start(counts: np.ndarray) -> Model:
         n = len(counts)
         random = np.random.default_rng(0)
+        share = np.cumsum(np.sqrt(np.maximum(counts, _SMOOTH)))
+        cls = np.floor(share / share[-1] * np.ceil(np.sqrt(n)) * (1 - 1e-9))
+        first = np.append(np.flatnonzero(np.diff(cls, prepend=-1)), n)
         p = (counts + _SMOOTH) / (counts.sum() + _SMOOTH * n)
+        of_class = np.add.reduceat(p, first[:-1])
         return Model(
             random.normal(0, 0.1, (n + 1, SIZE)).astype(np.float32),
             random.normal(0, 0.1, (n, SIZE)).astype(np.float32),
-            np.log(p).astype(np.float32),
+            np.log(p / np.repeat(of_class, np.diff(first))).astype(np.float32),
+            random.normal(0, 0.1, (len(of_class), SIZE)).astype(np.float32),
+            np.log(of_class).astype(np.float32),
             np.ones((2, SIZE), np.float32),
+            first,
         )
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.vectors, self.targets, self.bias, self.mixing)])
+    def copy(self) -> Model:
+        return Model(*(x.copy() for x in vars(self).values()))
 
-    def like(self, flat: np.ndarray) -> Model:
-        out = []
-        for x in (self.vectors, self.targets, self.bias, self.mixing):
-            out.append(flat[: x.size].reshape(x.shape).astype(np.float32))
-            flat = flat[x.size :]
-        return Model(*out)
+    def class_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.heads)), np.diff(self.first))
 
     def context(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
         return self.vectors[last] * self.mixing[0] + self.vectors[before] * self.mixing[1]
 
 
-def _scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the values by row."""
-    return np.stack(
-        [np.bincount(rows, values[:, k], n) for k in range(values.shape[1])], axis=1
-    ).astype(np.float32)
+def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and the sums of the values by row."""
+    found, at = np.unique(rows, return_inverse=True)
+    sums = [np.bincount(at, values[:, k], len(found)) for k in range(values.shape[1])]
+    return found, np.stack(sums, axis=1).astype(np.float32)
+
+
+def _pull(real: np.ndarray) -> np.ndarray:
+    """1 - sigmoid"""
+    return (1 / (1 + np.exp(np.clip(real, -30, 30)))).astype(np.float32)
 
 
 class Trainer:
-    """Noise-contrastive estimation with Adagrad; a step's tokens share their noise samples."""
+    """Noise-contrastive estimation of classes, and of units within the class, with Adagrad; a step's
+    tokens share their noise classes. Gradients are sums over the tokens of a step, so that rare
+    units learn as well.
+    """
 
     def __init__(self, model: Model, noise: np.ndarray, seed: int):
-        self.model = model.like(model.flat())
-        self.noise = noise
-        self.log_noise = np.log(NOISE * noise).astype(np.float32)
+        self.model = model.copy()
+        first = model.first
+        self.class_of = model.class_of()
+        self.class_noise = np.add.reduceat(noise, first[:-1])
+        self.log_class_noise = np.log(NOISE * self.class_noise).astype(np.float32)
+        self.log_noise = np.log(WORD_NOISE * noise / self.class_noise[self.class_of]).astype(np.float32)
+        self.reach = np.append(0, np.cumsum(noise))
         self.random = np.random.default_rng(seed)
-        self.squares = model.like(np.full(model.flat().size, 1e-3))
+        self.squares = {k: np.ones_like(x) for k, x in vars(model).items() if k != "first"}
+        n = len(model.bias)
+        # Of each unit, as context and as target.
+        self.events = np.zeros((2, n + 1), np.int64)
         self.tokens = 0
 
+    def _move(self, name: str, rows: np.ndarray | slice, g: np.ndarray) -> None:
+        squares = self.squares[name]
+        squares[rows] += g * g
+        getattr(self.model, name)[rows] += RATE * g / np.sqrt(squares[rows])
+
     def step(self, last: np.ndarray, before: np.ndarray, target: np.ndarray) -> None:
         m, n = self.model, len(target)
-        classes = len(m.bias)
         h = m.context(last, before)
-        drawn = self.random.choice(classes, NOISE, p=self.noise)
-        q = m.targets[target]
-        real = (h * q).sum(1) + m.bias[target] - self.log_noise[target]
-        false = h @ m.targets[drawn].T + (m.bias[drawn] - self.log_noise[drawn])
-        up = (1 / (1 + np.exp(np.clip(real, -30, 30)))).astype(np.float32)
-        down = (-1 / (1 + np.exp(np.clip(-false, -30, 30)))).astype(np.float32)
-        g_h = up[:, None] * q + down @ m.targets[drawn]
-        g_targets = _scatter(target, up[:, None] * h, classes)
-        np.add.at(g_targets, drawn, down.T @ h)
-        g_bias = np.bincount(target, up, classes) + np.bincount(drawn, down.sum(0), classes)
-        g_vectors = _scatter(last, g_h * m.mixing[0], classes + 1)
-        g_vectors += _scatter(before, g_h * m.mixing[1], classes + 1)
+        cls, classes = self.class_of[target], len(m.heads)
+        # The class.
+        drawn = self.random.choice(classes, NOISE, p=self.class_noise / self.class_noise.sum())
+        q, noise = m.heads[cls], m.heads[drawn]
+        up = _pull((h * q).sum(1) + m.head_bias[cls] - self.log_class_noise[cls])
+        down = -_pull(-(h @ noise.T + (m.head_bias[drawn] - self.log_class_noise[drawn])))
+        g_h = up[:, None] * q + down @ noise
+        class_rows, g_heads = _sums(
+            np.append(cls, drawn),
+            np.concatenate([np.c_[up[:, None] * h, up], np.c_[down.T @ h, down.sum(0)]]),
+        )
+        # The unit, where its class has others.
+        some = np.flatnonzero(np.diff(m.first)[cls] > 1)
+        rows = np.empty(0, np.int64)
+        if len(some):
+            t, c, hs = target[some], cls[some], h[some]
+            low, high = self.reach[m.first[c]], self.reach[m.first[c + 1]]
+            u = low[:, None] + self.random.random((len(some), WORD_NOISE)) * (high - low)[:, None]
+            drawn = np.searchsorted(self.reach, u, "right") - 1
+            drawn = np.clip(drawn, m.first[c][:, None], m.first[c + 1][:, None] - 1)
+            q, noise = m.targets[t], m.targets[drawn]
+            up = _pull((hs * q).sum(1) + m.bias[t] - self.log_noise[t])
+            scores = np.einsum("ik,ijk->ij", hs, noise) + m.bias[drawn] - self.log_noise[drawn]
+            down = -_pull(-scores)
+            g_h[some] += up[:, None] * q + np.einsum("ij,ijk->ik", down, noise)
+            pull = np.concatenate([up[:, None], down], axis=1)
+            values = pull[:, :, None] * np.concatenate([hs, np.ones((len(some), 1), np.float32)], axis=1)[:, None]
+            rows, g_units = _sums(
+                np.concatenate([t[:, None], drawn], axis=1).ravel(), values.reshape(-1, SIZE + 1)
+            )
+        contexts, g_vectors = _sums(
+            np.concatenate([last, before]), np.concatenate([g_h * m.mixing[0], g_h * m.mixing[1]])
+        )
         g_mixing = np.stack([(g_h * m.vectors[last]).sum(0), (g_h * m.vectors[before]).sum(0)])
-        for name, g in (
-            ("vectors", g_vectors),
-            ("targets", g_targets),
-            ("bias", g_bias),
-            ("mixing", g_mixing),
-        ):
-            g = (g / n).astype(np.float32)
-            squares = getattr(self.squares, name)
-            squares += g * g
-            getattr(m, name)[...] += RATE * g / np.sqrt(squares)
+        self._move("heads", class_rows, g_heads[:, :SIZE])
+        self._move("head_bias", class_rows, g_heads[:, SIZE])
+        if len(rows):
+            self._move("targets", rows, g_units[:, :SIZE])
+            self._move("bias", rows, g_units[:, SIZE])
+        self._move("vectors", contexts, g_vectors)
+        self._move("mixing", slice(None), g_mixing)
+        size = self.events.shape[1]
+        self.events[0] += np.bincount(last, minlength=size) + np.bincount(before, minlength=size)
+        self.events[1] += np.bincount(target, minlength=size)
         self.tokens += n
 
 
 class Scorer:
-    """Normalised log10 probabilities; the sum over all classes is worked out once a context, in
-    batches.
+    """Normalised log10 probabilities: of the class, summed over all classes once a context, times that
+    of the unit, summed over all units of its class.
     """
 
     def __init__(self, model: Model):
         self.model = model
-        n = len(model.bias) + 1
-        self.total = np.full((n, n), np.nan, np.float32)
+        self.class_of = model.class_of()
 
     def __call__(self, last: np.ndarray, before: np.ndarray, target: np.ndarray) -> np.ndarray:
         m = self.model
-        new = np.flatnonzero(np.isnan(self.total[last, before]))
-        if len(new):
-            n = len(self.total)
-            pairs = np.unique(last[new] * n + before[new])
-            for i in range(0, len(pairs), 1024):
-                a, b = np.divmod(pairs[i : i + 1024], n)
-                scores = m.context(a, b) @ m.targets.T + m.bias
-                top = scores.max(1)
-                self.total[a, b] = top + np.log(np.exp(scores - top[:, None]).sum(1))
-        score = (m.context(last, before) * m.targets[target]).sum(1) + m.bias[target]
-        return (score - self.total[last, before]).astype(np.float64) / np.log(10)
+        h, cls = m.context(last, before), self.class_of[target]
+        _, at, back = np.unique(last * (len(m.bias) + 1) + before, return_index=True, return_inverse=True)
+        totals = _log_total(h[at], m.heads, m.head_bias)
+        out = (h * m.heads[cls]).sum(1) + m.head_bias[cls] - totals[back]
+        order = np.argsort(cls, kind="stable")
+        ends = np.searchsorted(cls[order], np.arange(len(m.heads) + 1))
+        for c in np.flatnonzero(np.diff(ends)):
+            i, j = m.first[c], m.first[c + 1]
+            if j - i > 1:
+                own = order[ends[c] : ends[c + 1]]
+                score = (h[own] * m.targets[target[own]]).sum(1) + m.bias[target[own]]
+                out[own] += score - _log_total(h[own], m.targets[i:j], m.bias[i:j])
+        return out.astype(np.float64) / np.log(10)
+
+
+def _log_total(h: np.ndarray, targets: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Of each context, the logarithm of the sum of exp(score) over the targets."""
+    out = np.empty(len(h), np.float32)
+    size = max(1, (1 << 20) // len(targets))
+    for i in range(0, len(h), size):
+        scores = h[i : i + size] @ targets.T
+        scores += bias
+        top = scores.max(1)
+        scores -= top[:, None]
+        np.exp(scores, out=scores)
+        out[i : i + size] = top + np.log(scores.sum(1))
+    return out
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+
+
+def _level(counts: np.ndarray) -> np.ndarray:
+    """The power of two at or below each count; 0 for unseen words."""
+    return np.frexp(np.maximum(counts, 1).astype(np.float64))[1] - 1
+
+
+@dataclass
+class Units:
+    """The unit of each word by its hash and training count: `best` (sorted hash and count in one number) have units
+    `place`; the others of a level share its `size[level]` units by hash, from `offset[level]` on.
+    """
+
+    best: np.ndarray
+    place: np.ndarray
+    offset: np.ndarray
+    size: np.ndarray
+
+    @staticmethod
+    def start(best: list[tuple[bytes, int]], n: np.ndarray, total: np.ndarray) -> Units:
+        """n, total: the number of words of each level, and the sum of their counts."""
+        keys = _hashes([w for w, _ in best]) + (np.array([c for _, c in best], np.int64) << 32)
+        keys, place = np.unique(keys, return_index=True)
+        counts = np.array([c for _, c in best], np.int64)
+        n = n - np.bincount(_level(counts), minlength=64)
+        total = total - np.bincount(_level(counts), counts, 64)
+        weight = np.sqrt(np.maximum(n * total, 0.0))
+        share = SLOTS * np.sqrt(n.sum()) * weight / max(weight.sum(), 1)
+        size = np.minimum(n, np.ceil(share)).astype(np.int64)
+        size[0] = max(size[0], 1)  # unseen words are of level 0
+        # The frequent levels come first.
+        offset = 1 + len(best) + size[::-1].cumsum()[::-1] - size
+        return Units(keys, place + 1, offset, size)
+
+    def __len__(self) -> int:
+        return int(self.offset[0] + self.size[0])
+
+    def __call__(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        level = _level(counts)
+        unit = self.offset[level] + hashes % np.maximum(self.size[level], 1)
+        if len(self.best):
+            key = hashes + (counts.astype(np.int64) << 32)
+            at = np.minimum(np.searchsorted(self.best, key), len(self.best) - 1)
+            unit = np.where(self.best[at] == key, self.place[at], unit)
+        return unit
 
 
 def _totals(words: DataFrame, top: int) -> DataFrame:
-    """Replies (kind 1) with each word's count over all chunks; and, kind 2, a bucket's most frequent
-    words, its sum and its number of words.
+    """Replies (kind 1) with each word's count over all chunks, and its hash as `words`; and, kind 2, a
+    bucket's most frequent words, its sum, its number of words, and the hashes and counts of all of
+    them.
     """
 
     def flush(rows: list[dict]) -> Iterator[tuple]:
@@ -154,6 +270,8 @@ def _totals(words: DataFrame, top: int) -> DataFrame:
                 total[w] = total.get(w, 0) + n
         seen = {w: n for w, n in total.items() if n}
         best = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:top]
+        hashes = _hashes(list(seen))
+        order = np.argsort(hashes)
         yield (
             None,
             2,
@@ -162,14 +280,18 @@ def _totals(words: DataFrame, top: int) -> DataFrame:
             D.pack_words([w for w, _ in best]),
             sum(seen.values()),
             len(seen),
+            D.pack_rising(hashes[order]),
+            D.pack(np.fromiter(seen.values(), np.int64, len(seen))[order]),
         )
         for row in rows:
-            values = np.array([total[w] for w in D.unpack_words(row["words"])], np.uint64)
-            yield row["chunk"], 1, row["codes"], D.pack(values), None, None, None
+            words = D.unpack_words(row["words"])
+            values = np.array([total[w] for w in words], np.uint64)
+            own = _hashes(words).astype(np.uint32).tobytes()
+            yield row["chunk"], 1, row["codes"], D.pack(values), own, None, None, None, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-        names = ["chunk", "kind", "codes", "values", "words", "total", "distinct"]
+        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 3, pa.int64(), pa.int64(), *[pa.binary()] * 2]
+        names = ["chunk", "kind", "codes", "values", "words", "total", "distinct", "hashes", "counts"]
 
         def out(rows: list[dict]) -> pa.RecordBatch:
             columns = zip(*flush(rows), strict=True)
@@ -187,35 +309,10 @@ def _totals(words: DataFrame, top: int) -> DataFrame:
 
     return words.mapInArrow(
         run,
-        f"{D.REPLY}, total bigint, distinct bigint",
+        f"{D.REPLY}, total bigint, distinct bigint, hashes binary, counts binary",
     )
 
 
-def _classes(words: DataFrame, known: dict[bytes, int]) -> DataFrame:
-    """Replies (kind 0): the codes of the chunk's words that have a class, and the classes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes, values = [], []
-            for blob, c in zip(batch.column("words").to_pylist(), batch.column("codes").to_pylist(), strict=True):
-                found = [known.get(w, 0) for w in D.unpack_words(blob)]
-                found = np.array(found, np.uint32)
-                codes.append(D.pack_rising(D.unpack_rising(c)[found > 0]))
-                values.append(D.pack(found[found > 0]))
-            yield pa.record_batch(
-                [
-                    batch.column("chunk"),
-                    pa.array(np.zeros(len(batch), np.int32)),
-                    pa.array(codes, pa.binary()),
-                    pa.array(values, pa.binary()),
-                    pa.nulls(len(batch), pa.binary()),
-                ],
-                ["chunk", "kind", "codes", "values", "words"],
-            )
-
-    return words.select("chunk", "codes", "words").mapInArrow(run, D.REPLY)
-
-
 class _Table:
     """Values by the codes of a chunk, from its replies."""
 
@@ -239,20 +336,20 @@ class _Table:
         return self.values[codes]
 
 
-def _documents(batches: Iterator[pa.RecordBatch], other: int) -> Iterator[tuple]:
-    """(doc_id, classes, counts) of the documents that `meet` brings after the replies to their chunk."""
-    chunk, classes, counts = None, _Table(other), _Table(0)
+def _documents(batches: Iterator[pa.RecordBatch], units: Units) -> Iterator[tuple]:
+    """(doc_id, units, counts) of the documents that `meet` brings after the replies to their chunk."""
+    chunk, place, counts = None, _Table(0), _Table(0)
     for batch in batches:
         for row in batch.to_pylist():
             if row["chunk"] != chunk:
-                chunk, classes, counts = row["chunk"], _Table(other), _Table(0)
-            if row["kind"] == 0:
-                classes.put(D.unpack_rising(row["codes"]), D.unpack(row["values"]))
-            elif row["kind"] == 1:
-                counts.put(D.unpack_rising(row["codes"]), D.unpack(row["values"]))
+                chunk, place, counts = row["chunk"], _Table(0), _Table(0)
+            if row["kind"] == 1:
+                codes, values = D.unpack_rising(row["codes"]), D.unpack(row["values"])
+                counts.put(codes, values)
+                place.put(codes, units(np.frombuffer(row["words"], np.uint32).astype(np.int64), values))
             else:
                 for doc_id, codes in D.documents(row):
-                    yield doc_id, classes[codes], counts[codes]
+                    yield doc_id, place[codes], counts[codes]
 
 
 def _contexts(classes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -272,10 +369,13 @@ def score_documents(
     sum of log10((c + 0.1) / (N + 0.1 (V + 1))) with the training counts. score: log10 probability
     of the text by the model.
 
-    Counts are exact, over all training texts, summed by buckets of words. The model's classes are
-    the most frequent `classes` words; every partition trains on all its training tokens from the
-    same start, and the parameters are averaged by tokens, so one pass covers the corpus and only
-    averages (a fixed number of parameters) reach the driver. Null texts are empty: one token, the
+    Counts are exact, over all training texts, summed by buckets of words. Every word has a vector as
+    context and as target: the most frequent `classes` words their own, the others, by their count's
+    power of two and a hash, one of SLOTS * sqrt(distinct words) that share it, so the model grows
+    with the vocabulary. A word's probability is that of its class, times that of its unit within
+    the class, times its smoothed share of the unit. Every partition trains on all its training
+    tokens from the same start, and each unit is averaged by its occurrences, block by block of units;
+    the averages reach the driver. Null texts are empty: one token, the
     end. Rows without doc_id are left out, rows sharing one are rows like others. Other columns are
     ignored.
     """
@@ -331,87 +431,202 @@ def score_documents(
         .limit(classes)
         .collect()
     )
-    known = {bytes(r.word): i + 1 for i, r in enumerate(best)}
-    n_other, v_other = words - sum(r.n for r in best), distinct - len(best)
     tokens, kinds = words + ends, distinct + (ends > 0)
-    counts = np.array([ends, *(r.n for r in best), n_other], np.float64)
-    other, start = len(best) + 1, len(best) + 2
-    model = Model.start(counts)
+
+    def by_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column("counts").to_pylist():
+                counts = D.unpack(blob).astype(np.int64)
+                level = _level(counts)
+                yield pa.record_batch(
+                    [
+                        pa.array(np.arange(64)),
+                        pa.array(np.bincount(level, minlength=64)),
+                        pa.array(np.bincount(level, counts, 64).astype(np.int64)),
+                    ],
+                    ["level", "n", "total"],
+                )
+
+    sizes = summary.select("counts").mapInArrow(by_level, "level bigint, n bigint, total bigint")
+    n, total = np.zeros((2, 64), np.int64)
+    for r in sizes.groupBy("level").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect():
+        n[r.level], total[r.level] = r.n, r.total
+    units = Units.start([(bytes(r.word), r.n) for r in best], n, total)
+    size = len(units)
+
+    def by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, c in zip(batch.column("hashes").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                counts = D.unpack(c).astype(np.int64)
+                found, at = np.unique(units(D.unpack_rising(h), counts), return_inverse=True)
+                yield pa.record_batch(
+                    [
+                        pa.array(found),
+                        pa.array(np.bincount(at, counts, len(found)).astype(np.int64)),
+                        pa.array(np.bincount(at, minlength=len(found))),
+                    ],
+                    ["unit", "total", "n"],
+                )
+
+    shares = summary.select("hashes", "counts").mapInArrow(by_unit, "unit bigint, total bigint, n bigint")
+    shares = shares.groupBy("unit").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).toPandas()
+    counts, members = np.zeros((2, size))
+    counts[0], members[0] = ends, 1
+    counts[shares["unit"].to_numpy(np.int64)] = shares["total"].to_numpy()
+    members[shares["unit"].to_numpy(np.int64)] = shares["n"].to_numpy()
+    # A unit of level 0 also has one unseen word.
+    members[units.offset[0] :] += 1
     noise = np.maximum(counts, _SMOOTH) / np.maximum(counts, _SMOOTH).sum()
+    model = Model.start(counts)
+    replies = totals.where("kind = 1").select("chunk", "kind", "codes", "values", "words")
+    met = D.meet(table, replies, buckets)
+    model = _averaged(met, model, units, noise, buckets)
+    divisor, unit_divisor = tokens + _SMOOTH * (kinds + 1), counts + _SMOOTH * members
+    sent = spark.sparkContext.broadcast((model, unit_divisor))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, unit_divisor = sent.value
+        scorer = Scorer(model)
+        held: list[tuple] = []
+        many = 0
+        for doc_id, own, seen in _documents(batches, units):
+            held.append((doc_id, own, np.append(seen, ends)))
+            many += len(own) + 1
+            if many >= _SCORED:
+                yield rows(scorer, unit_divisor, held)
+                held, many = [], 0
+        if held:
+            yield rows(scorer, unit_divisor, held)
+
+    def rows(scorer: Scorer, unit_divisor: np.ndarray, held: list[tuple]) -> pa.RecordBatch:
+        last, before, target = (
+            np.concatenate(x) for x in zip(*(_contexts(own, size) for _, own, _ in held), strict=True)
+        )
+        seen = np.concatenate([x for *_, x in held])
+        first = np.cumsum([0, *(len(x) for *_, x in held)])[:-1]
+        log = scorer(last, before, target) + np.log10((seen + _SMOOTH) / unit_divisor[target])
+        ids = [i for i, *_ in held]
+        return pa.record_batch(
+            [
+                pa.array(ids, pa.int64()),
+                pa.array(held_out(ids)),
+                pa.array([len(x) for *_, x in held], pa.int64()),
+                pa.array(np.add.reduceat((seen > 0).astype(np.int64), first)),
+                pa.array(np.full(len(ids), tokens)),
+                pa.array(np.add.reduceat(np.log10((seen + _SMOOTH) / divisor), first)),
+                pa.array(np.add.reduceat(log, first)),
+            ],
+            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
+    return met.mapInArrow(
+        score,
+        "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
+        "base_score double, score double",
+    )
 
-    grouped = stored(_classes(table.where("bucket is not null"), known))
+
+def _averaged(met: DataFrame, model: Model, units: Units, noise: np.ndarray, buckets: int) -> Model:
+    """The model after every partition of `met` trained from it: each vector and bias averaged by its
+    unit's occurrences, the rest by tokens.
+    """
+    spark = met.sparkSession
+    sent = spark.sparkContext.broadcast((model, noise))
+    size = len(model.bias)
+    shared = ("heads", "head_bias", "mixing")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer(model, noise, 1)
+        model, noise = sent.value
+        trainer = None
         held: list[tuple] = []
-        size = 0
-        for doc_id, kinds_, _ in _documents(batches, other):
+        many = 0
+        for doc_id, own, _ in _documents(batches, units):
             if held_out([doc_id])[0]:
                 continue
-            held.append(_contexts(kinds_, start))
-            size += len(kinds_) + 1
-            if size >= STEP:
+            held.append(_contexts(own, size))
+            many += len(own) + 1
+            if many >= STEP:
+                trainer = trainer or Trainer(model, noise, 1)
                 joined = [np.concatenate(x) for x in zip(*held, strict=True)]
-                for i in range(0, size, STEP):
+                for i in range(0, many, STEP):
                     trainer.step(*(x[i : i + STEP] for x in joined))
-                held, size = [], 0
-        if size:
+                held, many = [], 0
+        if many:
+            trainer = trainer or Trainer(model, noise, 1)
             trainer.step(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        flat = trainer.model.flat().astype(np.float64) * trainer.tokens
-        if trainer.tokens:
-            yield pa.record_batch(
-                [
-                    pa.array(np.arange(len(flat))),
-                    pa.array(flat),
-                    pa.array(np.full(len(flat), trainer.tokens)),
-                ],
-                ["at", "value", "tokens"],
-            )
+        if trainer is None:
+            return
+        new = trainer.model
+        out = [(-1, trainer.tokens, None, None, np.concatenate([getattr(new, k).ravel() for k in shared]))]
+        for kind, delta in enumerate(
+            (new.vectors - model.vectors, np.c_[new.targets - model.targets, new.bias - model.bias])
+        ):
+            weight = trainer.events[kind]
+            for i in range(0, len(delta), _BLOCK):
+                at = np.flatnonzero(weight[i : min(i + _BLOCK, len(delta))])
+                if len(at):
+                    moved = delta[i + at].astype(np.float16)
+                    out.append((2 * i + kind, None, D.pack_rising(at), D.pack(weight[i + at]), moved))
+        block, tokens, places, weights, moved = zip(*out, strict=True)
+        yield pa.record_batch(
+            [
+                pa.array(block, pa.int64()),
+                pa.array(tokens, pa.int64()),
+                pa.array(places, pa.binary()),
+                pa.array(weights, pa.binary()),
+                pa.array([x.tobytes() for x in moved], pa.binary()),
+            ],
+            ["block", "tokens", "places", "weights", "moved"],
+        )
 
-    parts = D.meet(table, grouped, buckets).mapInArrow(
-        train, "at bigint, value double, tokens bigint"
-    )
-    averages = parts.groupBy("at").agg((F.sum("value") / F.sum("tokens")).alias("value")).toPandas()
-    if len(averages):
-        flat = model.flat().astype(np.float64)
-        flat[averages["at"].to_numpy()] = averages["value"].to_numpy()
-        model = model.like(flat)
-    divisor, other_divisor = tokens + _SMOOTH * (kinds + 1), n_other + _SMOOTH * (v_other + 1)
+    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total, sums = None, None, None
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
-        out: list[tuple] = []
-        for doc_id, classes_, seen in _documents(batches, other):
-            last, before, target = _contexts(classes_, start)
-            log = scorer(last, before, target)
-            seen = np.append(seen, ends)
-            base = np.log10((seen + _SMOOTH) / divisor).sum()
-            rare = np.log10((seen[target == other] + _SMOOTH) / other_divisor).sum()
-            out.append(
-                (
-                    doc_id,
-                    bool(held_out([doc_id])[0]),
-                    len(target),
-                    int((seen > 0).sum()),
-                    tokens,
-                    float(base),
-                    float(log.sum() + rare),
-                )
+        def done() -> pa.RecordBatch:
+            at = np.flatnonzero(total)
+            values = (sums[at] / total[at][:, None]).astype(np.float32)
+            return pa.record_batch(
+                [pa.array([now]), pa.array([at.tolist()], pa.list_(pa.int64())), pa.array([values.tobytes()])],
+                ["block", "places", "values"],
             )
-            if len(out) >= 4096:
-                yield rows(out)
-                out = []
-        if out:
-            yield rows(out)
-
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    def rows(out: list[tuple]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(c) for c in zip(*out, strict=True)], names)
-
-    replies = grouped.union(totals.where("kind = 1").select("chunk", "kind", "codes", "values", "words"))
-    return D.meet(table, replies, buckets).mapInArrow(
-        score,
-        "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
-        "base_score double, score double",
-    )
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["block"] != now:
+                    if now is not None:
+                        yield done()
+                    now, total, sums = row["block"], np.zeros(_BLOCK), None
+                if now < 0:
+                    at, weight = np.zeros(1, np.int64), np.array([row["tokens"]])
+                    moved = np.frombuffer(row["moved"], np.float32)
+                else:
+                    at, weight = D.unpack_rising(row["places"]), D.unpack(row["weights"])
+                    moved = np.frombuffer(row["moved"], np.float16)
+                moved = moved.reshape(len(at), -1).astype(np.float64)
+                if sums is None:
+                    sums = np.zeros((_BLOCK, moved.shape[1]))
+                total[at] += weight
+                sums[at] += moved * weight[:, None]
+        if now is not None:
+            yield done()
+
+    moves = met.mapInArrow(train, "block bigint, tokens bigint, places binary, weights binary, moved binary")
+    averages = moves.repartition(buckets, "block").sortWithinPartitions("block")
+    averages = averages.mapInArrow(average, "block bigint, places array<bigint>, values binary")
+    out = model.copy()
+    for r in averages.toLocalIterator():
+        values = np.frombuffer(r["values"], np.float32).reshape(len(r.places), -1)
+        if r.block < 0:
+            flat = values[0]
+            for k in shared:
+                x = getattr(out, k)
+                x[...] = flat[: x.size].reshape(x.shape)
+                flat = flat[x.size :]
+            continue
+        at = r.block // 2 + np.array(r.places)
+        if r.block % 2:
+            out.targets[at] += values[:, :SIZE]
+            out.bias[at] += values[:, SIZE]
+        else:
+            out.vectors[at] += values
+    return out
