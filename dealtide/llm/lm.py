@@ -82,8 +82,12 @@ class Model:
 
 def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct rows, and the sums of the values by row."""
-    found, at = np.unique(rows, return_inverse=True)
-    sums = [np.bincount(at, values[:, k], len(found)) for k in range(values.shape[1])]
+    place = np.zeros(int(rows.max()) + 1, np.int32)
+    place[rows] = 1
+    found = np.flatnonzero(place)
+    place[found] = np.arange(len(found))
+    at = place[rows]
+    sums = [np.bincount(at, x, len(found)) for x in np.ascontiguousarray(values.T)]
     return found, np.stack(sums, axis=1).astype(np.float32)
 
 
@@ -614,7 +618,7 @@ def _averaged(met: DataFrame, model: Model, units: Units, noise: np.ndarray, buc
     averages = moves.repartition(buckets, "block").sortWithinPartitions("block")
     averages = averages.mapInArrow(average, "block bigint, places array<bigint>, values binary")
     out = model.copy()
-    for r in averages.toLocalIterator():
+    for r in averages.collect():  # toLocalIterator would train once more
         values = np.frombuffer(r["values"], np.float32).reshape(len(r.places), -1)
         if r.block < 0:
             flat = values[0]
