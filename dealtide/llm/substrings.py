@@ -1,6 +1,7 @@
-"""Removal of repeated strings by a depth-limited radix sort of suffixes.
+"""Removal of repeated strings by grouping of minimizers, in place of a radix sort of suffixes: no
+suffix is ordered.
 
-Suffixes are told apart only through WINDOW bytes, in passes from a coarse digit to the whole
+Windows of WINDOW bytes are told apart by equal hashes, in passes from a coarse digit to the whole
 window; after each pass a group within one document leaves, and only the others are looked at more
 closely.
 
