@@ -17,7 +17,10 @@ from dealtide.llm import (
     licenses,
     lines,
     lm,
+    mixing,
     quality_rules,
+    ranked,
+    spelling,
     substrings,
 )
 
@@ -95,6 +98,18 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(chat.folded(events)))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_table(spark, sf_dir, "documents")).drop("source")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -106,6 +121,9 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_lm_scores": op9_lm_scores,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_source_mixing": op12_source_mixing,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -176,5 +194,64 @@ SELECT conv_id, count(*) AS n_turns,
     sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
     sum(length(body) + length(role) + 11)::BIGINT AS formatted_chars
 FROM escaped GROUP BY conv_id
+""",
+    "op12_source_mixing": r"""
+WITH sized AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+        ('0x' || substr(md5(concat_ws(':', '0', doc_id)), 1, 15))::BIGINT AS key
+    FROM documents
+), weighed AS (
+    SELECT source, sum(size)::BIGINT AS s, 1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS w
+    FROM sized GROUP BY source
+), ranked AS (
+    SELECT *, coalesce(sum(3 * s) OVER earlier, 0) AS spent, coalesce(sum(w) OVER earlier, 0) AS passed,
+        sum(s) OVER () AS total, sum(w) OVER () AS weights
+    FROM weighed
+    WINDOW earlier AS (ORDER BY (3 * s)::DOUBLE / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), judged AS (
+    SELECT *, (total - spent) * w > 3 * s * (weights - passed) AS is_full FROM ranked
+), level AS (
+    SELECT max(total - spent) AS rest, max(weights - passed) AS among FROM judged WHERE NOT is_full
+), planned AS (
+    SELECT source, s, CASE WHEN is_full THEN (3 * s)::DOUBLE ELSE (rest * w)::DOUBLE / among::DOUBLE END AS target
+    FROM judged, level
+), placed AS (
+    SELECT doc_id, size, s, target, floor(target)::BIGINT AS budget,
+        coalesce(sum(size) OVER (PARTITION BY sized.source ORDER BY key, doc_id, size
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+    FROM sized JOIN planned ON sized.source IS NOT DISTINCT FROM planned.source
+)
+SELECT doc_id, size, s AS source_size, target,
+    ((budget // greatest(s, 1)) * size
+        + least(greatest(budget - (budget // greatest(s, 1)) * s - before, 0), size))::BIGINT AS taken
+FROM placed
+""",
+    "op13_ranked_search": r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), whole AS (
+    SELECT count(*)::BIGINT AS docs, sum(len(terms))::BIGINT AS total FROM d WHERE len(terms) > 0
+), query AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+), tf AS (
+    SELECT r, doc_id, n, term, count(*)::BIGINT AS tf
+    FROM (SELECT r, doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d)
+    WHERE term IN (SELECT term FROM query) GROUP BY ALL
+), weight AS (
+    SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+    FROM tf, whole GROUP BY term
+), scored AS (
+    SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::BIGINT AS score
+    FROM query JOIN tf USING (term) JOIN weight USING (term), whole GROUP BY item_id, r, doc_id
+)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10
 """,
 }
