@@ -76,25 +76,31 @@ def staff_practices(house_brand: str | None = None) -> Rules:
     return (*STAFF_PRACTICES[:after], own, *STAFF_PRACTICES[after:])
 
 
-def label_by_rules(
-    df: DataFrame, column: str, rules: Rules, default: str = "NULL", name: str | None = None
-) -> DataFrame:
-    """``df`` with the label of the first rule that has a matching pattern, else ``default``.
-
-    ``default`` is a SQL expression, such as a quoted text or the column itself. The label
-    goes to column ``name``, or replaces the column. Patterns are in lower case; the text is
-    lowered once per row, in a projection of its own, rather than in every test.
-    """
+def case_sql(lowered: str, rules: Rules, default: str = "NULL") -> str:
+    """SQL of the label of the first rule with a pattern that a lower-case text matches, else ``default``."""
 
     def quoted(text: str) -> str:
         return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
     arms = [
-        f"WHEN _lower LIKE ANY ({', '.join(quoted(p.lower()) for p in patterns)})"
+        f"WHEN {lowered} LIKE ANY ({', '.join(quoted(p.lower()) for p in patterns)})"
         f" THEN {quoted(label)}"
         for label, patterns in rules
     ]
-    label = F.expr(f"CASE {' '.join(arms)} ELSE {default} END")
+    return f"CASE {' '.join(arms)} ELSE {default} END"
+
+
+def label_by_rules(
+    df: DataFrame, column: str, rules: Rules, default: str = "NULL", name: str | None = None
+) -> DataFrame:
+    """``df`` with the label of the first rule that has a matching pattern, else ``default``.
+
+    ``default`` is a SQL expression, such as a quoted text or the column itself. The label
+    goes to column ``name``, or replaces the column. Patterns are in lower case; the text is
+    lowered once per row, in a projection of its own, rather than in every test. Where rows are folded, label what is
+    left of them: the rules then run once for each value of a group.
+    """
+    label = F.expr(case_sql("_lower", rules, default))
     return df.withColumn("_lower", F.lower(column)).withColumn(name or column, label).drop("_lower")
 
 

@@ -13,7 +13,7 @@ from dealtide.functions.deals import closed_once, days_to_close, won
 from dealtide.functions.exact import percent, rounded_ratio
 from dealtide.functions.labels import DEAL_PRACTICES, Rules, with_deal_practice
 from dealtide.operators.funnel import stage_day_sums
-from dealtide.operators.wbs import mean_hours
+from dealtide.operators.wbs import mean_hours, num_deals
 from dealtide.plans.changes import STAGES
 from dealtide.plans.hours import newest_batch_per_deal
 from dealtide.plans.trim import trim_outliers
@@ -21,15 +21,18 @@ from dealtide.plans.trim import trim_outliers
 _STAGE_AVERAGES = [f"{name}_avg_days_till_close" for name, _ in STAGES]
 
 
-def _closed_within(opps: DataFrame, test: Column, columns: Sequence[str], rules: Rules) -> DataFrame:
-    """The given columns of the deals that pass, with practice label, closing year and quarter."""
-    deals = opps.filter(test).selectExpr(
+def _closed_within(opps: DataFrame, test: Column, columns: Sequence[str]) -> DataFrame:
+    """The given columns of the deals that pass, with practice, closing year and quarter.
+
+    The practice is as entered: reports fold by it first and label what is left, so that the rules run once for each
+    practice of a group.
+    """
+    return opps.filter(test).selectExpr(
         "practice",
         "year(close_date) AS year_opp_closed",
         "quarter(close_date) AS quarter_opp_closed",
         *columns,
     )
-    return with_deal_practice(deals, rules)
 
 
 def _stage_days(
@@ -44,8 +47,10 @@ def _stage_days(
 ) -> DataFrame:
     test = won() & window & (days_to_close() > min_days)
     columns = ["id", "close_date", "datediff(close_date, created_date) AS days"]
-    deals = _closed_within(opps, test, columns, rules).select("id", "close_date", "days", *keys)
-    return stage_day_sums(deals, history, keys, k, few=few)
+    deals = _closed_within(opps, test, columns).select("id", "close_date", "days", *keys)
+    return stage_day_sums(
+        deals, history, keys, k, few=few, label=lambda folded: with_deal_practice(folded, rules)
+    )
 
 
 def stage_days_by_practice_quarter(
@@ -100,15 +105,20 @@ def win_rate_by_practice_quarter(
     Duplicates are left out of the closed deals only. A group without a win keeps its closed
     count, but its year, quarter, won, lost and percent are NULL.
     """
-    counts = (
+    keys = ["practice", "year_opp_closed", "quarter_opp_closed"]
+    folded = (
         _closed_within(
             opps,
             F.col("is_closed") & within_years(F.col("close_date"), as_of, years),
             ["is_closed", "is_won", "stage_name"],
-            rules,
         )
-        .groupBy("practice", "year_opp_closed", "quarter_opp_closed")
+        .groupBy(*keys)
         .agg(F.count_if(won()).alias("won"), F.count_if(closed_once()).alias("closed"))
+    )
+    counts = (
+        with_deal_practice(folded, rules)
+        .groupBy(*keys)
+        .agg(F.sum("won").alias("won"), F.sum("closed").alias("closed"))
         .filter(F.col("closed") > 0)
     )
     any_won = F.col("won") > 0
@@ -142,13 +152,12 @@ def days_to_close_by_practice_year(
             opps,
             won() & within_years(F.col("close_date"), as_of, years) & (days_to_close() > min_days),
             ["datediff(close_date, created_date) AS days"],
-            rules,
         )
         .groupBy("practice", "year_opp_closed", "days")
         .agg(F.count("*").alias("n"))
     )
     return (
-        trim_outliers(histogram, "days", "n", k)
+        trim_outliers(with_deal_practice(histogram, rules), "days", "n", k)
         .groupBy("practice", "year_opp_closed")
         .agg(
             F.sum("n").alias("num_opps_won"),
@@ -170,13 +179,13 @@ def wbs_hours_by_practice_quarter(
 ) -> DataFrame:
     """Mean planned hours and deals with a plan, by practice and quarter of closing."""
     test = won() & within_years(F.col("close_date"), as_of, years)
-    deals = _closed_within(opps, test, ["id AS opportunity_id"], rules).filter(
+    deals = with_deal_practice(_closed_within(opps, test, ["id AS opportunity_id"]), rules).filter(
         ~F.lower("practice").isin([label.lower() for label in drop])
     )
     return (
         deals.join(newest_batch_per_deal(wbs), "opportunity_id")
         .groupBy("year_opp_closed", "quarter_opp_closed", "practice")
-        .agg(mean_hours(wbs), F.count("*").alias("num_opps_w_wbs"))
+        .agg(mean_hours(wbs), num_deals().alias("num_opps_w_wbs"))
         .orderBy(
             F.asc_nulls_last("practice"),
             F.asc_nulls_last("year_opp_closed"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from dealtide.functions.deals import (
     lost,
     won,
 )
-from dealtide.functions.exact import percent, rounded_ratio
+from dealtide.functions.exact import percent, ratio_sql, rounded_ratio
 from dealtide.plans.changes import STAGES, of_deals, stage_changes_per_deal
 from dealtide.plans.trim import trim_outliers
 
@@ -200,33 +200,49 @@ def days_to_close_stats(
 
 
 def stage_day_sums(
-    deals: DataFrame, history: DataFrame, keys: Sequence[str], k: float, *, few: bool = False
+    deals: DataFrame,
+    history: DataFrame,
+    keys: Sequence[str],
+    k: float,
+    *,
+    few: bool = False,
+    label: Callable[[DataFrame], DataFrame] = lambda folded: folded,
 ) -> DataFrame:
     """Stage measures per ``keys`` after trimming deals by their days to close.
 
     ``few``: the deals are a small part of all, so the history is limited to them before it is folded.
+    ``label``: puts labels for the values of keys, once the deals are folded by them.
 
-    ``deals``: id, close_date, days (to close) and the keys; one row per deal. The standard
+    ``deals``: id, close_date, days (to close) and the keys. The standard
     deviation is taken over change days, not over deals, and all change days of a deal share
     its days to close, so trimming works on one row per (keys, days).
     """
     if few:
         history = of_deals(history, deals)
+    # A change counts once, however often its deal is listed; of copies that differ the least one is taken.
+    others = [name for name in deals.columns if name != "id"]
+    deals = deals.groupBy("id").agg(F.min(F.struct(*others)).alias("deal")).select("id", "deal.*")
     rollup = stage_changes_per_deal(history).withColumnRenamed("opportunity_id", "id")
-    measures = [F.expr("count(*) AS num_opps"), F.expr("sum(changes) AS changes")]
+    histogram = deals.join(rollup, "id").groupBy(*keys, "days").agg(*map(F.expr, stage_totals_sql()))
+    kept = trim_outliers(label(histogram), "days", "changes", k)
+    return kept.groupBy(*keys).agg(F.sum("num_opps").alias("num_opps"), *map(F.expr, stage_means_sql()))
+
+
+def stage_totals_sql() -> list[str]:
+    """Over deals with their changes: deals, change days, and for each stage its changes and the days left to close."""
+    totals = ["count(*) AS num_opps", "sum(changes) AS changes"]
     for name, _ in STAGES:
         left = f"{name}_changes * unix_date(close_date) - {name}_day_sum"
-        measures.append(F.expr(f"sum({name}_changes) AS {name}_changes"))
-        measures.append(F.expr(f"sum(coalesce({left}, 0)) AS {name}_days"))
-    histogram = deals.join(rollup, "id").groupBy(*keys, "days").agg(*measures)
-    kept = trim_outliers(histogram, "days", "changes", k)
-    averages = [
-        rounded_ratio(f"sum({name}_days)", f"sum({name}_changes)", 1).alias(
-            f"{name}_avg_days_till_close"
-        )
+        totals.append(f"sum({name}_changes) AS {name}_changes")
+        totals.append(f"sum(coalesce({left}, 0)) AS {name}_days")
+    return totals
+
+
+def stage_means_sql() -> list[str]:
+    return [
+        f"{ratio_sql(f'sum({name}_days)', f'sum({name}_changes)', 1)} AS {name}_avg_days_till_close"
         for name, _ in STAGES
     ]
-    return kept.groupBy(*keys).agg(F.sum("num_opps").alias("num_opps"), *averages)
 
 
 def stage_days_to_close_by_year(

@@ -20,9 +20,12 @@ from dealtide.plans.changes import (
 
 
 def _won_deals(opps: DataFrame, min_year: int, practices: Sequence[str] | None) -> DataFrame:
-    return opps.filter(
-        won() & in_practices(practices) & from_year(F.col("created_date"), min_year)
-    ).select("id", created_year().alias("year_opp_created"))
+    """id, year_opp_created (of copies that differ, the earliest), copies: each deal once, however often it is listed."""
+    return (
+        opps.filter(won() & in_practices(practices) & from_year(F.col("created_date"), min_year))
+        .groupBy("id")
+        .agg(F.min(created_year()).alias("year_opp_created"), F.count("*").alias("copies"))
+    )
 
 
 def field_changes_per_opp(
@@ -36,7 +39,8 @@ def field_changes_per_opp(
 ) -> DataFrame:
     """Mean number of change days of a field per won deal, by creation year.
 
-    Deals that never changed count in the denominator; years without any change are left out.
+    Deals that never changed count in the denominator, and so do copies of a deal; years without any change are
+    left out.
     """
     name = name or f"avg_{field}_changes_per_opp"
     deals = _won_deals(opps, min_year, practices)
@@ -46,7 +50,10 @@ def field_changes_per_opp(
     return (
         deals.join(changes, "id", "left")
         .groupBy("year_opp_created")
-        .agg(F.sum("change_days").alias("change_days"), F.count("id").alias("deals"))
+        .agg(
+            F.sum("change_days").alias("change_days"),
+            F.sum(F.when(F.col("id").isNotNull(), F.col("copies"))).alias("deals"),
+        )
         .filter(F.col("change_days").isNotNull())
         .select("year_opp_created", rounded_ratio("change_days", "deals", 1).alias(name))
         .orderBy(F.asc_nulls_last("year_opp_created"))

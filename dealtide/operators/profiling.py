@@ -1,11 +1,12 @@
-"""A first look at a table: some rows, and the facts one notes about its columns."""
+"""A first look at tables: some rows, and the facts one notes about their columns."""
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,14 +20,61 @@ def table_preview(
     return (table.orderBy(*order_by) if order_by else table).limit(n)
 
 
+#: Kinds of values, each a field of the unpivoted rows: a long that is the value itself, or a value that is digested.
+_LONG, _DOUBLE, _TEXT, _DATE, _TIME, _LOCAL, _BYTES, _PAIR = (
+    "whole", "real", "words", "day", "instant", "local", "bytes", "pair",
+)
+_TYPES = {
+    _LONG: "bigint", _DOUBLE: "double", _TEXT: "string", _DATE: "date", _TIME: "timestamp",
+    _LOCAL: "timestamp_ntz", _BYTES: "binary", _PAIR: "struct<a: bigint, b: bigint, zero: boolean>",
+}
+
+
+def _unpivoted(value: Column, kind: T.DataType) -> tuple[str, Column]:
+    """The field that holds a column's values, and them as its type."""
+    if isinstance(kind, T.IntegralType | T.BooleanType):
+        return _LONG, value.cast("bigint")
+    if isinstance(kind, T.DecimalType) and kind.precision <= 18:
+        return _LONG, (value * F.expr(f"{10**kind.scale}BD")).cast("bigint")
+    if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        return _DOUBLE, value.cast("double")
+    plain = {T.DateType: _DATE, T.TimestampType: _TIME, T.TimestampNTZType: _LOCAL, T.BinaryType: _BYTES}
+    if type(kind) in plain:
+        return plain[type(kind)], value
+    if isinstance(kind, T.StringType):
+        return _TEXT, value.cast("string")
+    # Wide decimals and nested values are digested as they are; maps, which can't be, by their entries.
+    whole = value if not _holds_map(kind) else F.to_json(F.struct(value.alias("v")))
+    zero = value == 0 if isinstance(kind, T.NumericType) else F.lit(None).cast("boolean")
+    pair = F.struct(
+        F.xxhash64(whole).alias("a"), F.xxhash64(F.lit(1), whole).alias("b"), zero.alias("zero")
+    )
+    return _PAIR, F.when(value.isNotNull(), pair)
+
+
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _holds_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return not isinstance(kind, T.AtomicType)
+
+
+def _named(table: DataFrame, name: str) -> Column:
+    """A column by its exact name, whatever characters that has."""
+    return table["`" + name.replace("`", "``") + "`"]
+
+
 def table_profile(
     table: DataFrame, *, as_of: dt.date | None = None, columns: Sequence[str] | None = None
 ) -> DataFrame:
     """Per column: rows, nulls, zeros (numbers only), distinct values, newest date and its age.
 
-    One scan whatever the number of columns: every row becomes (column number, value) pairs, which are folded
-    before they are shuffled, so a value that fills a third of a column moves as one row per task. Counts are exact; values are told
-    apart by their text, 0.0 and -0.0 being one. An empty table gives zeros, no columns an empty frame.
+    One scan whatever the number of columns: every row becomes (column number, value) pairs with a field for each type of value,
+    so values are digested after that, by one expression for all columns. Integers, decimals of up to 18 digits and booleans are their own digest, others get 128
+    bits of hash. Pairs are folded on these three numbers, of fixed width, before they are shuffled, so a value that fills a third of a column moves as
+    one row per task, and no text is shuffled. Values are told apart as their type does: two instants of a repeated hour are two; 0.0
+    and -0.0 are one, and so are all NaN. An empty table gives zeros, no columns an empty frame.
     """
     fields = [f for f in table.schema.fields if columns is None or f.name in columns]
     names = table.sparkSession.createDataFrame(
@@ -34,24 +82,7 @@ def table_profile(
         "at int, column string, number boolean",
     )
     if fields:
-        pairs = F.array(*[_pair(i, field) for i, field in enumerate(fields)])
-        facts = (
-            table.select(F.explode(pairs).alias("pair"))
-            .groupBy("pair.at", "pair.value")
-            .agg(
-                F.count("*").alias("n"),
-                F.max("pair.zero").alias("zero"),
-                F.max("pair.day").alias("day"),
-            )
-            .groupBy("at")
-            .agg(
-                F.sum("n").alias("rows"),
-                F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"),
-                F.sum(F.when(F.col("zero"), F.col("n")).otherwise(0)).alias("zeros"),
-                F.count("value").alias("distinct_values"),
-                F.max("day").alias("max_date"),
-            )
-        )
+        facts = _facts(table, fields)
     else:
         facts = names.selectExpr(
             "at", "0L as rows", "0L as nulls", "0L as zeros", "0L as distinct_values", "cast(null as date) as max_date"
@@ -72,32 +103,184 @@ def table_profile(
     )
 
 
+def _facts(table: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
+    placed = [_unpivoted(_named(table, f.name), f.dataType) for f in fields]
+    kinds = list(dict.fromkeys(kind for kind, _ in placed))
+    pairs = [
+        F.struct(
+            F.lit(at).alias("at"),
+            *[(v if k == kind else F.lit(None).cast(_TYPES[k])).alias(k) for k in kinds],
+        )
+        for at, (kind, v) in enumerate(placed)
+    ]
+    values = table.select(F.inline(F.array(*pairs)))
+    digested = [k for k in kinds if k not in (_LONG, _PAIR)]
+    first, second, zero = [], [], []
+    if _LONG in kinds:
+        first.append(F.col(_LONG))
+        second.append(F.when(F.col(_LONG).isNotNull(), F.lit(0).cast("bigint")))
+        zero.append(F.col(_LONG) == 0)
+    if _PAIR in kinds:
+        first.append(F.col("pair.a"))
+        second.append(F.col("pair.b"))
+        zero.append(F.col("pair.zero"))
+    if _DOUBLE in kinds:
+        zero.append(F.col(_DOUBLE) == 0)
+    if digested:
+        # Only one of the fields has a value; a hash passes over the others.
+        some = reduce(Column.__or__, [F.col(k).isNotNull() for k in digested])
+        first.append(F.when(some, F.xxhash64(*digested)))
+        second.append(F.when(some, F.xxhash64(F.lit(1), *digested)))
+    days = [F.to_date(F.col(k)) for k in (_DATE, _TIME, _LOCAL) if k in kinds]
+    unknown = F.lit(None)
+    folded = (
+        values.select(
+            "at",
+            F.coalesce(*first).alias("first"),
+            F.coalesce(*second).alias("second"),
+            (F.coalesce(*zero) if zero else unknown.cast("boolean")).alias("zero"),
+            (F.unix_date(F.coalesce(*days)) if days else unknown.cast("int")).alias("since_1970"),
+        )
+        .groupBy("at", "first", "second")
+        .agg(F.count("*").alias("n"), F.max("zero").alias("zero"), F.max("since_1970").alias("since_1970"))
+    )
+    return folded.groupBy("at").agg(
+        F.sum("n").alias("rows"),
+        F.sum(F.when(F.col("first").isNull(), F.col("n")).otherwise(0)).alias("nulls"),
+        F.sum(F.when(F.col("zero"), F.col("n")).otherwise(0)).alias("zeros"),
+        F.count("first").alias("distinct_values"),
+        F.date_from_unix_date(F.max("since_1970")).alias("max_date"),
+    )
+
+
 def _is_number(field: T.StructField) -> bool:
     return isinstance(field.dataType, T.NumericType)
 
 
-def _pair(at: int, field: T.StructField) -> Column:
-    """A column's value as text, whether it is zero, and its day if it is a time."""
-    value = F.col(f"`{field.name}`")
-    zero = value == 0 if _is_number(field) else F.lit(None).cast("boolean")
-    is_time = isinstance(field.dataType, T.DateType | T.TimestampType | T.TimestampNTZType)
-    if isinstance(field.dataType, T.BinaryType):
-        text = F.hex(value)
-    elif isinstance(field.dataType, T.ArrayType | T.MapType | T.StructType):
-        text = F.to_json(value)
-    else:
-        text = F.when(zero, F.lit("0")).otherwise(value.cast("string"))
-    day = value.cast("date") if is_time else F.lit(None).cast("date")
-    return F.struct(
-        F.lit(at).alias("at"), text.alias("value"), zero.alias("zero"), day.alias("day")
-    )
+# ------------------------------------------------------------------ a whole catalog
 
+#: Types whose counts, or whose least and greatest values, the readers have from file footers.
+_COUNTED = (
+    T.BooleanType, T.IntegralType, T.FloatType, T.DoubleType, T.DateType, T.DecimalType, T.StringType,
+    T.BinaryType, T.TimestampType, T.TimestampNTZType,
+)
+_BOUNDED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DateType)
+_FOOTERS = {
+    "spark.sql.sources.useV1SourceList": "",
+    "spark.sql.parquet.aggregatePushdown": "true",
+    "spark.sql.orc.aggregatePushdown": "true",
+}
 
-def duplicate_ids(table: DataFrame, *, id: str = "id") -> DataFrame:
-    """Ids that occur more than once, with their number of rows.
 
-    Reports count deals, requests and calculations by rows, on the condition that this is empty.
+def tables_in(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Paths of the tables in a folder by name: its subfolders and files, with any ending like .parquet left off."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    found = {}
+    for status in listed:
+        name = status.getPath().getName()
+        if not name.startswith((".", "_")):
+            found[name.partition(".")[0]] = status.getPath().toString()
+    return dict(sorted(found.items()))
+
+
+def catalog_profile(
+    spark: SparkSession,
+    tables: Mapping[str, str] | str,
+    *,
+    file_format: str = "parquet",
+    as_of: dt.date | None = None,
+    stale_days: int = 365,
+) -> DataFrame:
+    """A line per column of many tables: table, column, type, rows, nulls, zeros_only, newest, days_since, verdict.
+
+    tables: paths by name, or a folder of tables. Rows, nulls, bounds and newest dates are read from file footers, which hold them
+    exactly; only what footers lack is scanned, and of that only the columns in question: newest times, and whether
+    decimals are zero throughout. The verdict is the first of "empty" (the table has no rows), "all null", "zeros only", "stale" (the newest
+    date of the whole table is over ``stale_days`` old), else "data". Nested columns have no null count here; `table_profile` has.
+
+    The frame belongs to a session of its own, whose readers take aggregates from footers.
     """
+    session = spark.newSession()
+    for key, value in _FOOTERS.items():
+        session.conf.set(key, value)
+    paths = tables_in(spark, tables) if isinstance(tables, str) else dict(tables)
+    parts = [
+        _column_facts(session.read.format(file_format).load(path), name) for name, path in paths.items()
+    ]
+    if not parts:
+        return session.createDataFrame([], _CATALOG)
+    newest = F.array_max(F.col("dates"))
+    known = reduce(DataFrame.unionByName, parts).withColumn("of_table", newest)
+    flat = known.select("table", "of_table", F.inline("columns"))
+    age = days_between(F.col("newest"), as_of_date(as_of))
+    table_age = days_between(F.col("of_table"), as_of_date(as_of))
+    verdict = (
+        F.when(F.col("rows") == 0, "empty")
+        .when(F.col("nulls") == F.col("rows"), "all null")
+        .when(F.col("zeros_only"), "zeros only")
+        .when(table_age > stale_days, "stale")
+        .otherwise("data")
+    )
+    return flat.select(
+        "table", "column", "type", "rows", "nulls", "zeros_only", "newest",
+        age.alias("days_since"), verdict.alias("verdict"),
+    )
+
+
+_CATALOG = (
+    "table string, column string, type string, rows bigint, nulls bigint, zeros_only boolean, newest date,"
+    " days_since int, verdict string"
+)
+
+
+def _column_facts(table: DataFrame, name: str) -> DataFrame:
+    """One row: the facts of each column, and the newest dates of all."""
+    counted = [f for f in table.schema.fields if isinstance(f.dataType, _COUNTED)]
+    footers = [F.count("*").alias("rows")]
+    scanned = []
+    for i, field in enumerate(table.schema.fields):
+        value = _named(table, field.name)
+        if field in counted:
+            footers.append(F.count(value).alias(f"n{i}"))
+        if isinstance(field.dataType, _BOUNDED):
+            footers += [F.min(value).alias(f"least{i}"), F.max(value).alias(f"most{i}")]
+        elif isinstance(field.dataType, T.TimestampType | T.TimestampNTZType):
+            scanned.append(F.max(value).alias(f"most{i}"))
+        elif isinstance(field.dataType, T.DecimalType):
+            scanned += [F.min(value).alias(f"least{i}"), F.max(value).alias(f"most{i}")]
+    facts = table.agg(*footers)
+    if scanned:
+        facts = facts.crossJoin(table.agg(*scanned))  # one row each
+    columns, dates = [], []
+    nothing = F.lit(None)
+    for i, field in enumerate(table.schema.fields):
+        kind = field.dataType
+        number = isinstance(kind, T.NumericType)
+        is_time = isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType)
+        newest = F.to_date(F.col(f"most{i}")) if is_time else nothing.cast("date")
+        zero = (F.col(f"least{i}") == 0) & (F.col(f"most{i}") == 0) if number else nothing.cast("boolean")
+        if is_time:
+            dates.append(newest)
+        columns.append(
+            F.struct(
+                F.lit(field.name).alias("column"),
+                F.lit(kind.simpleString()).alias("type"),
+                F.col("rows").alias("rows"),
+                (F.col("rows") - F.col(f"n{i}") if field in counted else nothing.cast("bigint")).alias("nulls"),
+                zero.alias("zeros_only"),
+                newest.alias("newest"),
+            )
+        )
+    return facts.select(
+        F.lit(name).alias("table"),
+        (F.array(*dates) if dates else F.array(nothing.cast("date"))).alias("dates"),
+        F.array(*columns).alias("columns"),
+    )
+
+
+def duplicate_ids(table: DataFrame, *, id: str = "id") -> DataFrame:
+    """Ids that occur more than once, with their number of rows."""
     return (
         table.filter(F.col(id).isNotNull())
         .groupBy(F.col(id).alias("id"))

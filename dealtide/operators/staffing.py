@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealtide.functions.dates import as_of_date, from_year, quarter_label
@@ -70,6 +70,7 @@ def _held_requests(
         chosen.join(milestones_per_request(history), "id")
         .filter(held_days >= min_held_days)
         .select(
+            "id",
             "opportunity_id",
             "practice",
             F.col("role").alias("resource_role"),
@@ -83,7 +84,7 @@ def _count_held(held: DataFrame, *keys: str) -> DataFrame:
     return (
         held.groupBy(*keys)
         .agg(
-            F.count("*").alias("num_resources_held_and_opp_lost"),
+            F.count_distinct("id").alias("num_resources_held_and_opp_lost"),
             F.count_distinct("opportunity_id").alias("num_opps_lost_w_resources_held"),
         )
         .orderBy(*[F.asc_nulls_last(key) for key in keys])
@@ -155,8 +156,8 @@ def resource_request_audit(
     moment. A milestone is known from its own moment on, so the day counts are NULL before it.
     Changes without a time come last within their request. ``ordered``: sort the result, a shuffle of its rows.
 
-    Events are numbered over ranges (see `numbered`), so a request with a third of the history, in one hour or at
-    one moment, is spread over many tasks. Numbering runs at once, the rest when the result is read.
+    Events are numbered by sums over days, seconds and events (see `numbered`), so a request with a third of the
+    history, in one hour or at one moment, is spread over many tasks. All runs when the result is read.
     """
     # The names hold every real resource once, so this also drops requests for placeholders.
     lost_requests = (
@@ -169,19 +170,23 @@ def resource_request_audit(
     numbers = numbered(
         events.withColumnRenamed("parent_id", "id").withColumnRenamed("created_date", "at"),
         "id",
-        [F.asc_nulls_last(name) for name in ("at", "field", "old_value", "new_value")],
-        "order_of_events",
+        "at",
+        ["field", "old_value", "new_value"],
+        "event",
     )
-    marks = milestones_per_request(
-        numbers.select(
-            F.col("id").alias("parent_id"),
-            F.col("at").alias("created_date"),
-            "field",
-            "old_value",
-            "new_value",
-        )
+    # A request that is listed several times, or whose deal is, shows each event as often.
+    copies = Window.partitionBy("id")
+    listed = lost_requests.withColumns(
+        {
+            "copies": F.count("*").over(copies),
+            "copy": F.row_number().over(copies.orderBy("close_date", "job_id", "practice", "requested")),
+        }
+    )
+    numbers = numbers.join(listed, "id").withColumn(
+        "order_of_events", (F.col("event") - 1) * F.col("copies") + F.col("copy")
     )
-    known_events = numbers.join(lost_requests.join(marks, "id"), "id")
+    marks = milestones_per_request(events)
+    known_events = numbers.join(marks, "id")
 
     def known(mark: str):
         return F.when(F.col("at") >= F.col(mark), F.col(mark))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealtide.functions.dates import in_year, quarter_label_of_month
-from dealtide.functions.exact import number, ratio_of_row, rounded_ratio
+from dealtide.functions.exact import Number, number, ratio_of_means_sql, ratio_of_row
 from dealtide.functions.labels import CONSULTANT_ROLES, STAFF_PRACTICES, Rules, label_by_rules
 from dealtide.operators.staffing import consultant_names
 
@@ -35,9 +37,7 @@ def _rows(calculation: DataFrame, detail: DataFrame, year: int) -> DataFrame:
         & (F.col("target") > 0)
         & (F.col("adj_target") > 0)
     )
-    effective = ratio_of_row(
-        number(detail, "billable_hours"), number(detail, "calendar_hours"), 100, 1
-    )
+    effective = ratio_of_row(detail, "billable_hours", "calendar_hours", 100, 1)
     return worked.join(months, "calc_id").select(
         "resource_id",
         F.col("role").alias("resource_role"),
@@ -50,16 +50,9 @@ def _rows(calculation: DataFrame, detail: DataFrame, year: int) -> DataFrame:
     )
 
 
-def utilization_rows(
-    calculation: DataFrame,
-    detail: DataFrame,
-    *,
-    year: int,
-    rules: Rules = STAFF_PRACTICES,
-) -> DataFrame:
-    """The rows of the master view without names and order, for the roll-ups; `staff_practice` is the practice unlabelled."""
-    rows = _rows(calculation, detail, year).withColumn("staff_practice", F.col("practice"))
-    return label_by_rules(rows, "practice", rules, "practice")
+def utilization_rows(calculation: DataFrame, detail: DataFrame, *, year: int) -> DataFrame:
+    """The rows of the master view without names, labels and order, for the roll-ups, which label what they have folded."""
+    return _rows(calculation, detail, year)
 
 
 def master_utilization(
@@ -102,39 +95,53 @@ def master_utilization(
     )
 
 
+_REACHED, _TARGET, _PRICE = "effective_utilization", "adjusted_util_target", "resource_price"
+
+
+def _folded(rows: DataFrame, keys: Sequence[str], measures: Sequence[str] = (_REACHED, _TARGET)) -> DataFrame:
+    """Per distinct value of the keys: the limbs of the measures' totals (see `number`), and their counts.
+
+    Label rules have up to 17 patterns; they run on this, not on the rows.
+    """
+    sums = []
+    for name in measures:
+        of_row = number(rows, name)
+        sums += [F.expr(total).alias(f"{name}_{i}") for i, total in enumerate(of_row.sums())]
+        sums.append(F.count(name).alias(f"{name}_n"))
+    return rows.groupBy(*keys).agg(*sums)
+
+
+def _totals(rows: DataFrame, name: str) -> tuple[Number, list[str], str]:
+    """A measure with the SQL of its totals and its count over folded rows."""
+    of_row = number(rows, name)
+    return of_row, [f"sum({name}_{i})" for i in range(len(of_row.limbs))], f"sum({name}_n)"
+
+
 def _averages(rows: DataFrame) -> list[Column]:
-    reached, target = number(rows, "effective_utilization"), number(rows, "adjusted_util_target")
-    if reached.scale is None or target.scale is None:
-        percent = F.expr(
-            f"round(100 * avg(cast({reached.name} AS double))"
-            f" / nullif(avg(cast({target.name} AS double)), 0), 1)"
-        )
-    else:
-        percent = rounded_ratio(
-            f"({100 * 10**target.scale}BD * sum({reached.units}) * count({target.name}))",
-            f"({10**reached.scale}BD * sum({target.units}) * count({reached.name}))",
-            1,
-        )
+    """The means of folded rows; rows: before they were folded."""
+    reached, target = _totals(rows, _REACHED), _totals(rows, _TARGET)
+    percent = ratio_of_means_sql(*reached, *target, 100, 1)
     return [
-        percent.alias("percent_of_util_achieved"),
-        target.mean(1).alias("average_utilization_target"),
-        reached.mean(1).alias("average_utilization"),
+        F.expr(percent).alias("percent_of_util_achieved"),
+        target[0].rounded(*target[1:], 1).alias("average_utilization_target"),
+        reached[0].rounded(*reached[1:], 1).alias("average_utilization"),
     ]
 
 
-def _with_practice(rows: DataFrame) -> DataFrame:
-    """A label is NULL only if the practice is, so the plain column is tested where it is there."""
-    name = "staff_practice" if "staff_practice" in rows.columns else "practice"
-    return rows.filter(F.col(name).isNotNull())
+def _by_practice(rows: DataFrame, rules: Rules | None, *others: str) -> DataFrame:
+    """Folded to practice and others, with practices labelled; a label is NULL only if the practice is."""
+    folded = _folded(rows.filter(F.col("practice").isNotNull()), ["practice", *others])
+    return folded if rules is None else label_by_rules(folded, "practice", rules, "practice")
 
 
-def utilization_by_practice(rows: DataFrame) -> DataFrame:
+def utilization_by_practice(rows: DataFrame, *, rules: Rules | None = None) -> DataFrame:
     """Mean utilization against target by practice; practices without hours are left out.
 
-    rows, here and below: `utilization_rows`, or the master view, which costs the names.
+    rows, here and below: `utilization_rows`, with the rules that label their practices, or the master view, which has the labels and costs
+    the names.
     """
     return (
-        _with_practice(rows)
+        _by_practice(rows, rules)
         .groupBy("practice")
         .agg(*_averages(rows))
         .filter(F.col("average_utilization").isNotNull())
@@ -142,9 +149,9 @@ def utilization_by_practice(rows: DataFrame) -> DataFrame:
     )
 
 
-def utilization_by_practice_quarter(rows: DataFrame) -> DataFrame:
+def utilization_by_practice_quarter(rows: DataFrame, *, rules: Rules | None = None) -> DataFrame:
     return (
-        _with_practice(rows)
+        _by_practice(rows, rules, "month")
         .groupBy("practice", quarter_label_of_month(F.col("month")).alias("quarter"))
         .agg(*_averages(rows))
         .orderBy("practice", F.asc_nulls_last("quarter"))
@@ -153,12 +160,14 @@ def utilization_by_practice_quarter(rows: DataFrame) -> DataFrame:
 
 def utilization_by_role(rows: DataFrame, *, rules: Rules = CONSULTANT_ROLES) -> DataFrame:
     """Mean price and utilization by role; roles without a rule are left out."""
+    folded = _folded(rows, ["resource_role"], (_REACHED, _TARGET, _PRICE))
+    price = _totals(rows, _PRICE)
     return (
-        label_by_rules(rows, "resource_role", rules, name="resource_roles")
+        label_by_rules(folded, "resource_role", rules, name="resource_roles")
         .filter(F.col("resource_roles").isNotNull())
         .groupBy("resource_roles")
         .agg(
-            number(rows, "resource_price").mean(0).alias("average_resource_price_usd"),
+            price[0].rounded(*price[1:], 0).alias("average_resource_price_usd"),
             *_averages(rows),
         )
         .orderBy(F.desc_nulls_last("percent_of_util_achieved"), "resource_roles")
@@ -208,20 +217,82 @@ def utilization_fact_rows(
     *,
     limit: int | None = None,
 ) -> DataFrame:
-    """The rows of that join, or any ``limit`` of them, for a look at the columns side by side."""
-    rows = (
-        calculation.select(
-            F.col("id").alias("calc_id"),
-            "name",
-            "hist_end",
-            "sched_end",
-            *[c for c in ("calc_hist_util", "calc_sched_util") if c in calculation.columns],
+    """The rows of that join: util_calc_id, resource_id, resource_name, then every other column of calculation, detail and
+    summary as calc_*, detail_* and summary_*.
+
+    ``limit``: the first rows in order of calculation, then detail and name, then summary (each in order of its columns, nulls
+    first). The join isn't formed for them: from the counts of each side it is known which calculations, which of
+    their details and which of their summaries the first rows are made of, and only those are read out and joined.
+    """
+    calcs = _prefixed(calculation, "calc", "id", "util_calc_id")
+    details = _prefixed(detail, "detail", "calc_id", "util_calc_id").withColumnRenamed(
+        "detail_resource_id", "resource_id"
+    )
+    summaries = _prefixed(summary, "summary", "calc_id", "util_calc_id")
+    names = actuals.select("resource_id", F.col("name").alias("resource_name"))
+    shown = list(
+        dict.fromkeys(
+            ["util_calc_id", "resource_id", "resource_name", *calcs.columns, *details.columns, *summaries.columns]
         )
-        .join(detail, "calc_id")
-        .join(summary.select("calc_id", F.col("created_date").alias("summary_date")), "calc_id")
-        .join(
-            actuals.select("resource_id", F.col("name").alias("resource_name")), "resource_id"
+    )
+    key = "util_calc_id"
+    if limit is None:
+        rows = details.join(names, "resource_id").join(calcs, key).join(summaries, key)
+        return rows.select(*shown)
+    sizes = utilization_fact_join(calculation, detail, summary, actuals)
+    # At most `limit` calculations have a row among the first, as each has one at least.
+    earlier = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    first = (
+        sizes.orderBy(key)
+        .limit(limit)
+        .withColumn("_before", F.coalesce(F.sum("num_fanout").over(earlier), F.lit(0)))
+        .filter(F.col("_before") < limit)
+        .select(
+            key,
+            F.col("num_summary").alias("_summaries"),
+            F.least("num_fanout", limit - F.col("_before")).cast("bigint").alias("_rows"),
         )
-        .withColumnRenamed("calc_id", "util_calc_id")
     )
-    return rows if limit is None else rows.limit(limit)
+    # Row number of a calculation: place among named details, times summaries, plus place among summaries.
+    of_calc = first.withColumn("_needed", F.expr("(_rows + _summaries - 1) div _summaries"))
+    copies = names.groupBy("resource_id").agg(F.count("*").alias("_copies"))
+    among = Window.partitionBy(key)
+    in_order = among.orderBy(*details.columns)
+    ranked = (
+        details.join(names, "resource_id", "left_semi")
+        .join(of_calc.select(key), key, "left_semi")
+        .withColumn("_place", F.row_number().over(in_order))
+        .filter(F.col("_place") <= limit)
+        .join(of_calc, key)
+        .filter(F.col("_place") <= F.col("_needed"))
+        .join(copies, "resource_id")
+    )
+    passed = among.orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = ranked.withColumn("_from", F.coalesce(F.sum("_copies").over(passed), F.lit(0))).filter(
+        F.col("_from") < F.col("_needed")
+    )
+    wanted = chosen.select("resource_id").distinct()
+    copy = F.row_number().over(Window.partitionBy("resource_id").orderBy("resource_name")) - 1
+    named = (
+        names.join(wanted, "resource_id", "left_semi").withColumn("_copy", copy).filter(F.col("_copy") < limit)
+    )
+    left = chosen.join(named, "resource_id").withColumn("_named", F.col("_from") + F.col("_copy"))
+    place = F.row_number().over(among.orderBy(*summaries.columns)) - 1
+    right = (
+        summaries.join(of_calc.select(key), key, "left_semi")
+        .withColumn("_summary", place)
+        .filter(F.col("_summary") < limit)
+    )
+    rows = left.filter(F.col("_named") < F.col("_needed")).join(right, key)
+    return (
+        rows.filter(F.col("_named") * F.col("_summaries") + F.col("_summary") < F.col("_rows"))
+        .join(calcs, key)
+        .select(*shown)
+    )
+
+
+def _prefixed(df: DataFrame, prefix: str, key: str, name: str) -> DataFrame:
+    """Columns with a prefix, but the key, which gets the name."""
+    return df.select(
+        *[F.col(c).alias(name if c == key else f"{prefix}_{c}") for c in df.columns]
+    )

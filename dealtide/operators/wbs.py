@@ -11,7 +11,11 @@ from dealtide.functions.dates import from_year
 from dealtide.functions.deals import DATA_PRACTICES, created_year, in_practices, won
 from dealtide.functions.exact import number
 from dealtide.plans.changes import of_deals
-from dealtide.plans.hours import newest_batch_per_deal, newest_batch_per_deal_and_role
+from dealtide.plans.hours import (
+    hour_limbs,
+    newest_batch_per_deal,
+    newest_batch_per_deal_and_role,
+)
 
 # Which roles belong to the data practice.
 DATA_ROLE_LIKE = ("%data%",)
@@ -37,8 +41,13 @@ def _role_test(like: Sequence[str], not_like: Sequence[str]) -> Column:
 
 def mean_hours(wbs: DataFrame) -> Column:
     """Mean hours per entry (not per deal) over roll-ups of entries of that plan."""
-    mean = number(wbs, "hours").rounded("sum(hours)", "sum(entries)", 1)
-    return mean.alias("avg_hours_per_opp")
+    totals = [f"sum({limb})" for limb in hour_limbs(wbs)]
+    return number(wbs, "hours").rounded(totals, "sum(entries)", 1).alias("avg_hours_per_opp")
+
+
+def num_deals() -> Column:
+    """Deals by their ids, which a source may repeat: folded to (group, id) before they are counted."""
+    return F.count_distinct("opportunity_id")
 
 
 def wbs_hours_by_practice(opps: DataFrame, wbs: DataFrame, *, min_year: int = 2021) -> DataFrame:
@@ -46,7 +55,7 @@ def wbs_hours_by_practice(opps: DataFrame, wbs: DataFrame, *, min_year: int = 20
         _won_deals(opps, min_year, None)
         .join(newest_batch_per_deal(wbs), "opportunity_id")
         .groupBy("year_opp_created", "practice")
-        .agg(mean_hours(wbs), F.count("*").alias("num_opps"))
+        .agg(mean_hours(wbs), num_deals().alias("num_opps"))
         .orderBy(F.asc_nulls_last("year_opp_created"), F.asc_nulls_last("practice"))
     )
 
@@ -67,7 +76,7 @@ def wbs_hours_for_practice(
     return (
         deals.join(newest, "opportunity_id")
         .groupBy("year_opp_created")
-        .agg(mean_hours(wbs), F.count("*").alias("num_opps"))
+        .agg(mean_hours(wbs), num_deals().alias("num_opps"))
         .orderBy(F.asc_nulls_last("year_opp_created"))
     )
 

@@ -8,7 +8,7 @@ on the deal there is at most one per day. Deals join to one row each.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Lower-case names of the tracked fields.
@@ -51,15 +51,32 @@ _MICROS_OF_DAY = """((hour(created_date) * 60L + minute(created_date)) * 6000000
                      + cast(extract(SECOND FROM created_date) * 1000000 AS bigint))"""
 
 
-def _pick_of_day(fold: str, code: str) -> Column:
-    """Code (0 to 31) of the last (``max``) or first (``min``) change of a day.
+def pick_of_day_sql(fold: str, code: str) -> str:
+    """SQL of the code (0 to 31) of the last (``max``) or first (``min``) change of a day.
 
     Time of day and code share one long. Being a plain number it is folded in a hash
     aggregation before the shuffle, without sorting the history, and is all that is
     shuffled. Changes at the same moment are told apart by code only, so the pick never
     depends on the order of rows. A NULL code is no candidate.
     """
-    return F.expr(f"cast({fold}({_MICROS_OF_DAY} * 32 + ({code})) % 32 AS int)")
+    return f"cast({fold}({_MICROS_OF_DAY} * 32 + ({code})) % 32 AS int)"
+
+
+def stage_code_sql(stage: str) -> str:
+    """One bit per stage pattern that a lower-case value matches."""
+    return " + ".join(
+        f"if({stage} LIKE '{pattern}', {2**i}, 0)" for i, (_, pattern) in enumerate(STAGES)
+    )
+
+
+def stage_measures_sql() -> list[str]:
+    """Over the change days of a deal: changes, and for each stage s: s_changes, s_day_sum."""
+    measures = ["count(*) AS changes"]
+    for i, (name, _) in enumerate(STAGES):
+        hit = f"stages & {2**i} != 0"
+        measures.append(f"count_if({hit}) AS {name}_changes")
+        measures.append(f"sum(if({hit}, unix_date(change_day), NULL)) AS {name}_day_sum")
+    return measures
 
 
 def stage_changes_per_deal(history: DataFrame) -> DataFrame:
@@ -69,22 +86,13 @@ def stage_changes_per_deal(history: DataFrame) -> DataFrame:
     change days as days since 1970), from which the days left to any close date follow.
     Of changes at the same moment the one furthest down the list of stages counts.
     """
-    # One bit per stage pattern that the new value matches.
-    matched = " + ".join(
-        f"if(stage LIKE '{pattern}', {2**i}, 0)" for i, (_, pattern) in enumerate(STAGES)
-    )
     daily = (
         of_field(history, STAGE_FIELD)
         .select("opportunity_id", "created_date", F.lower("new_value").alias("stage"))
         .groupBy("opportunity_id", F.to_date("created_date").alias("change_day"))
-        .agg(_pick_of_day("max", matched).alias("stages"))
+        .agg(F.expr(pick_of_day_sql("max", stage_code_sql("stage"))).alias("stages"))
     )
-    measures = [F.expr("count(*) AS changes")]
-    for i, (name, _) in enumerate(STAGES):
-        hit = f"stages & {2**i} != 0"
-        measures.append(F.expr(f"count_if({hit}) AS {name}_changes"))
-        measures.append(F.expr(f"sum(if({hit}, unix_date(change_day), NULL)) AS {name}_day_sum"))
-    return daily.groupBy("opportunity_id").agg(*measures)
+    return daily.groupBy("opportunity_id").agg(*map(F.expr, stage_measures_sql()))
 
 
 def close_date_moves_per_deal(history: DataFrame, cuts: tuple[int, int, int]) -> DataFrame:
@@ -113,7 +121,7 @@ def close_date_moves_per_deal(history: DataFrame, cuts: tuple[int, int, int]) ->
     )
     buckets = f"{_bucket('lead', cuts)} * 5 + {_bucket('shift', cuts)}"
     daily = dated.groupBy("opportunity_id", "change_day").agg(
-        _pick_of_day("min", f"if(change_day IS NULL, NULL, {buckets})").alias("move")
+        F.expr(pick_of_day_sql("min", f"if(change_day IS NULL, NULL, {buckets})")).alias("move")
     )
     measures = [F.expr("count(move) AS change_days")]
     for i in range(4):

@@ -17,14 +17,21 @@ def trim_outliers(histogram: DataFrame, value: str, weight: str, k: float = 3) -
     Sums are exact integers, so the cut does not depend on the order of partial sums. A single
     observation has no standard deviation and is dropped.
     """
+    trimmed = histogram.selectExpr("*", *moments_sql(value, weight))
+    return trimmed.filter(inside_sql(value, k)).drop("_n", "_s1", "_s2")
+
+
+def moments_sql(value: str, weight: str) -> list[str]:
     v, w = f"cast({value} AS decimal(10,0))", f"cast({weight} AS decimal(18,0))"
-    moments = histogram.selectExpr(
-        "*",
+    return [
         f"sum({w}) OVER () AS _n",
         f"cast(sum({v} * {w}) OVER () AS decimal(28,0)) AS _s1",
         f"sum({v} * {v} * {w}) OVER () AS _s2",
-    )
+    ]
+
+
+def inside_sql(value: str, k: float) -> str:
+    """Within k deviations, given the moments."""
     mean = "double(_s1) / double(_n)"
     deviation = "sqrt(double(_n * _s2 - _s1 * _s1) / nullif(double(_n) * double(_n - 1), 0D))"
-    inside = f"{value} BETWEEN {mean} - {k} * {deviation} AND {mean} + {k} * {deviation}"
-    return moments.filter(inside).drop("_n", "_s1", "_s2")
+    return f"{value} BETWEEN {mean} - {k} * {deviation} AND {mean} + {k} * {deviation}"

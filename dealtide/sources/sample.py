@@ -50,8 +50,13 @@ def _choose(names: tuple[str, ...], index: str) -> str:
     return f"get(array({', '.join(map(repr, names))}), cast({index} AS int))"
 
 
+def _listed_again(rows: DataFrame, test: str) -> DataFrame:
+    """Rows that pass come twice: an export that repeats some ids."""
+    return rows.selectExpr("*", f"explode(if({test}, array(1, 2), array(1))) AS copy")
+
+
 def opportunity(orders: DataFrame) -> DataFrame:
-    return orders.selectExpr(
+    return _listed_again(orders, "o_orderkey % 50 = 0").selectExpr(
         "*",
         "o_orderstatus IN ('F', 'O') AS is_closed",
         "o_orderstatus = 'F' AND o_custkey % 16 <> 11 AS is_won",
@@ -108,7 +113,7 @@ def wbs(items: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def resource_request(orders: DataFrame) -> DataFrame:
-    return orders.selectExpr(
+    return _listed_again(orders, "o_orderkey % 60 = 0").selectExpr(
         "cast(o_orderkey AS string) AS id",
         "cast(o_orderkey AS string) AS opportunity_id",
         "cast(o_custkey AS string) AS resource_id",

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Stands for any numeric type: numbers keep the type of their source.
@@ -166,27 +165,39 @@ def crm_columns(org: str) -> dict[str, dict[str, str]]:
 OPTIONAL = ("calc_hist_util", "calc_sched_util")
 
 
-def conform(
-    df: DataFrame, schema: T.StructType, names: Mapping[str, str] | None = None
-) -> DataFrame:
-    """``df`` with exactly the columns of ``schema``; columns already of the type stay uncast.
+def quoted(name: str) -> str:
+    """An identifier in SQL, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
 
-    Numbers keep the type and precision they have; numbers given as text become doubles.
-    """
+
+def conform_sql(
+    source: T.StructType, schema: T.StructType, names: Mapping[str, str] | None = None
+) -> list[str]:
+    """SQL of the columns of ``schema`` over a source with the given columns; see `conform`."""
     names = names or {}
-    have = {field.name.lower(): field.dataType for field in df.schema.fields}
+    have = {field.name.lower(): field.dataType for field in source.fields}
     columns = []
     for field in schema.fields:
-        source = names.get(field.name, field.name)
-        if field.name in OPTIONAL and source.lower() not in have:
-            columns.append(F.lit(None).cast(field.dataType).alias(field.name))
+        name = names.get(field.name, field.name)
+        wanted = field.dataType.simpleString()
+        if field.name in OPTIONAL and name.lower() not in have:
+            columns.append(f"cast(NULL AS {wanted}) AS {field.name}")
             continue
-        column = F.col(source)
-        kind = have[source.lower()]
+        column, kind = quoted(name), have.get(name.lower())
         if field.dataType == _NUMBER:
-            if not isinstance(kind, T.NumericType):
-                column = column.try_cast(T.DoubleType())
+            if kind is not None and not isinstance(kind, T.NumericType):
+                column = f"try_cast({column} AS double)"
         elif kind != field.dataType:
-            column = column.try_cast(field.dataType)
-        columns.append(column.alias(field.name))
-    return df.select(*columns)
+            column = f"try_cast({column} AS {wanted})"
+        columns.append(f"{column} AS {field.name}")
+    return columns
+
+
+def conform(
+    df: DataFrame, schema: T.StructType, names: Mapping[str, str] | None = None
+) -> DataFrame:
+    """``df`` with exactly the columns of ``schema``; columns already of the type stay uncast.
+
+    Numbers keep the type and precision they have; numbers given as text become doubles.
+    """
+    return df.selectExpr(*conform_sql(df.schema, schema, names))

@@ -61,14 +61,14 @@ def dashboard_views(
             rules=rules,
         )
         rows = utilization.utilization_rows(
-            t.utilization_calculation, t.utilization_detail, year=year, rules=rules
+            t.utilization_calculation, t.utilization_detail, year=year
         )
         views[f"master_utilization_{year}"] = master
         views[f"average_utilization_per_practice_{year}"] = utilization.utilization_by_practice(
-            rows
+            rows, rules=rules
         )
         views[f"average_utilization_per_practice_per_quarter_{year}"] = (
-            utilization.utilization_by_practice_quarter(rows)
+            utilization.utilization_by_practice_quarter(rows, rules=rules)
         )
         views[f"average_utilization_per_resource_{year}"] = utilization.utilization_by_role(rows)
     return views

@@ -51,7 +51,7 @@ BASE = {
                quarter(o_orderdate)::INTEGER AS fiscal_quarter,
                year(o_orderdate)::INTEGER AS fiscal_year,
                (o_custkey % 5)::VARCHAR AS territory
-        FROM orders""",
+        FROM orders, (VALUES (1), (2)) AS copies(copy) WHERE copy = 1 OR o_orderkey % 50 = 0""",
     "change": """
         SELECT l_orderkey::VARCHAR AS deal_id,
                l_shipdate + to_hours((l_partkey % 24)::INTEGER) AS ts,
@@ -76,7 +76,7 @@ BASE = {
         SELECT o_orderkey::VARCHAR AS id, o_orderkey::VARCHAR AS deal_id, o_custkey::VARCHAR AS resource_id,
                {_PRACTICES}[o_custkey % 16 + 1] AS practice, (o_orderkey % 4)::VARCHAR AS role,
                o_orderdate AS requested
-        FROM orders""",
+        FROM orders, (VALUES (1), (2)) AS copies(copy) WHERE copy = 1 OR o_orderkey % 60 = 0""",
     "request_change": """
         SELECT CASE WHEN l_orderkey % 9 = 0 THEN 'none-' ELSE '' END || l_orderkey AS request_id, l_shipdate AS ts,
                CASE l_returnflag WHEN 'R' THEN 'pse__Resource_Held__c' WHEN 'A' THEN 'pse__Staffer_Resource__c'

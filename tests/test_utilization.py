@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from dealtide.functions.labels import staff_practices
+from dealtide.functions.labels import STAFF_PRACTICES, staff_practices
 from dealtide.operators import profiling, utilization
 from tests.frames import at, day, frame
 
@@ -141,7 +141,71 @@ def test_fact_join_is_counted_without_being_formed(spark, actuals):
     formed = utilization.utilization_fact_rows(*tables)
     assert formed.count() == 12
     assert utilization.utilization_fact_rows(*tables, limit=5).count() == 5
-    assert {"util_calc_id", "resource_id", "resource_name", "summary_date"} <= set(formed.columns)
+    assert {
+        "util_calc_id", "resource_id", "resource_name", "calc_name", "calc_hist_end", "detail_price",
+        "detail_role", "summary_created_date",
+    } <= set(formed.columns)
+
+
+def many_to_many(spark):
+    """Calculations with many, one and no details, summaries and names, some rows repeated."""
+    calcs = [calculation(f"c{k}") for k in range(6)]
+    details = [
+        detail(f"c{k % 5}", resource_id=f"r{k % 7}", price=k % 3) for k in range(60) if k % 5 != 3 or k < 10
+    ]
+    summaries = [
+        {"calc_id": f"c{k % 4}", "created_date": at(f"2023-01-{k % 9 + 1:02}T00:00:00")} for k in range(25)
+    ]
+    people = [{"resource_id": f"r{k % 6}", "name": f"n{k % 4}"} for k in range(20)]
+    return (
+        frame(spark, "utilization_calculation", calcs).repartition(3),
+        frame(spark, "utilization_detail", details).repartition(3),
+        frame(spark, "utilization_summary", summaries).repartition(3),
+        frame(spark, "resource_actuals", people).repartition(3),
+    )
+
+
+def test_rows_of_the_fact_join_are_those_of_the_plain_join(spark):
+    calcs, details, summaries, people = many_to_many(spark)
+    rows = utilization.utilization_fact_rows(calcs, details, summaries, people)
+    calcs.createOrReplaceTempView("calcs")
+    details.createOrReplaceTempView("details")
+    summaries.createOrReplaceTempView("summaries")
+    people.createOrReplaceTempView("people")
+    plain = spark.sql(
+        "SELECT c.id, d.resource_id, p.name, c.* EXCEPT (id), d.* EXCEPT (calc_id, resource_id), s.* EXCEPT (calc_id)"
+        " FROM calcs c JOIN details d ON c.id = d.calc_id JOIN summaries s ON c.id = s.calc_id"
+        " JOIN people p ON d.resource_id = p.resource_id"
+    )
+    whole = sorted(map(str, (tuple(r) for r in plain.collect())))
+    assert sorted(map(str, (tuple(r) for r in rows.collect()))) == whole
+    assert rows.columns[:3] == ["util_calc_id", "resource_id", "resource_name"]
+
+    def listed(df, *first):
+        return df.select(*first, *[c for c in df.columns if c not in first]).collect()
+
+    in_order = []
+    for c in sorted(listed(calcs, "id")):
+        for d in sorted(r for r in listed(details, "calc_id") if r.calc_id == c.id):
+            for name in sorted(p.name for p in people.collect() if p.resource_id == d.resource_id):
+                for s in sorted(r for r in listed(summaries, "calc_id") if r.calc_id == c.id):
+                    rest = [d[k] for k in details.columns if k not in ("calc_id", "resource_id")]
+                    in_order.append((c.id, d.resource_id, name, *c[1:], *rest, *s[1:]))
+    assert sorted(map(str, in_order)) == whole
+    for limit in (1, 5, 17, 100, 473, len(whole) - 1, len(whole), 10_000):
+        first = utilization.utilization_fact_rows(calcs, details, summaries, people, limit=limit)
+        got = sorted(str(tuple(r)) for r in first.collect())
+        assert got == sorted(map(str, in_order[:limit])), limit
+
+
+def test_first_rows_are_chosen_before_they_are_joined(spark):
+    text = utilization.utilization_fact_rows(*many_to_many(spark), limit=50)._jdf.queryExecution().executedPlan().toString()
+    # Details and summaries are cut to the first of each calculation before their shuffle, with no row formed.
+    assert text.count("WindowGroupLimit") >= 4
+    lines = text.splitlines()
+    formed = next(i for i, line in enumerate(lines) if "_named" in line and "Join" in line)
+    below = "\n".join(lines[formed:])
+    assert below.count("WindowGroupLimit") >= 4
 
 
 def test_profile_of_columns(spark):
@@ -206,8 +270,8 @@ def test_rollups_read_no_names_and_push_no_label(spark, tmp_path):
         calculations, spark.read.parquet(f"{tmp_path}/detail"), year=2023
     )
     for df in (
-        utilization.utilization_by_practice(rows),
-        utilization.utilization_by_practice_quarter(rows),
+        utilization.utilization_by_practice(rows, rules=STAFF_PRACTICES),
+        utilization.utilization_by_practice_quarter(rows, rules=STAFF_PRACTICES),
     ):
         plan = df._jdf.queryExecution().executedPlan().toString()
         pushed = next(line for line in plan.splitlines() if "FileScan" in line)
@@ -225,6 +289,52 @@ def test_wide_profile_scans_once(spark, tmp_path):
     assert profiling.table_profile(wide, columns=[]).collect() == []
 
 
+def test_profile_tells_values_apart_by_their_type(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        table = spark.sql(
+            "SELECT timestamp_seconds(s) AS instant, -0D * (s - 1004247000) AS `a``b.c`, cast(s AS decimal(38,10)) AS wide,"
+            " '' AS text, if(s > 1004247000, array(1, NULL), NULL) AS listed, map('k', s) AS m,"
+            " named_struct('x', 1) AS part, cast('NaN' AS float) * s AS odd, X'00' AS raw, s > 0 AS flag,"
+            " cast(0.000 AS decimal(9,3)) AS nil, timestamp_ntz '2001-10-28 01:30:00' AS local"
+            " FROM VALUES (1004247000L), (1004250600L) AS t(s)"
+        )
+        rows = profiling.table_profile(table, as_of=dt.date(2001, 10, 29)).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    day = dt.date(2001, 10, 28)
+    assert [tuple(r)[2:] for r in rows] == [
+        (0, None, 2, day, 1),  # the repeated hour
+        (0, 2, 1, None, None),  # -0.0 and 0.0
+        (0, 0, 2, None, None),
+        (0, None, 1, None, None),
+        (1, None, 1, None, None),
+        (0, None, 2, None, None),
+        (0, None, 1, None, None),
+        (0, 0, 1, None, None),
+        (0, None, 1, None, None),
+        (0, None, 1, None, None),
+        (0, 2, 1, None, None),
+        (0, None, 1, day, 1),
+    ]
+
+
+def test_profile_of_many_columns_is_quick_and_shuffles_no_text(spark):
+    import time
+
+    wide = spark.range(10).select(
+        *[(F.col("id") % (k + 1)).cast(["string", "bigint", "double"][k % 3]).alias(f"c{k}") for k in range(200)]
+    )
+    profile = profiling.table_profile(wide)
+    text = profile._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in text and "ObjectHashAggregate" not in text
+    profile.collect()
+    start = time.perf_counter()
+    assert [r.distinct_values for r in profiling.table_profile(wide).collect()] == [min(k + 1, 10) for k in range(200)]
+    assert time.perf_counter() - start < 6
+
+
 def test_duplicate_ids(spark):
     table = spark.createDataFrame([("a",), ("b",), ("a",), (None,), (None,)], "id string")
     assert [tuple(r) for r in profiling.duplicate_ids(table).collect()] == [("a", 2)]
