@@ -20,36 +20,42 @@ def table_preview(
     return (table.orderBy(*order_by) if order_by else table).limit(n)
 
 
-#: Kinds of values, each a field of the unpivoted rows: a long that is the value itself, or a value that is digested.
-_LONG, _DOUBLE, _TEXT, _DATE, _TIME, _LOCAL, _BYTES, _PAIR = (
-    "whole", "real", "words", "day", "instant", "local", "bytes", "pair",
-)
+#: Fields of the unpivoted rows: a long that is the value itself, values that are digested, and digests of others.
+_WHOLE, _REAL, _TEXT, _BYTES, _PAIR = "whole", "real", "words", "bytes", "pair"
 _TYPES = {
-    _LONG: "bigint", _DOUBLE: "double", _TEXT: "string", _DATE: "date", _TIME: "timestamp",
-    _LOCAL: "timestamp_ntz", _BYTES: "binary", _PAIR: "struct<a: bigint, b: bigint, zero: boolean>",
+    _WHOLE: "bigint", _REAL: "double", _TEXT: "string", _BYTES: "binary", _PAIR: "struct<a: bigint, b: bigint>",
 }
+_DAY = 86_400_000_000
 
 
 def _unpivoted(value: Column, kind: T.DataType) -> tuple[str, Column]:
     """The field that holds a column's values, and them as its type."""
     if isinstance(kind, T.IntegralType | T.BooleanType):
-        return _LONG, value.cast("bigint")
+        return _WHOLE, value.cast("bigint")
     if isinstance(kind, T.DecimalType) and kind.precision <= 18:
-        return _LONG, (value * F.expr(f"{10**kind.scale}BD")).cast("bigint")
-    if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
-        return _DOUBLE, value.cast("double")
-    plain = {T.DateType: _DATE, T.TimestampType: _TIME, T.TimestampNTZType: _LOCAL, T.BinaryType: _BYTES}
-    if type(kind) in plain:
-        return plain[type(kind)], value
+        return _WHOLE, (value * F.expr(f"{10**kind.scale}BD")).cast("bigint")
+    if isinstance(kind, T.DateType):
+        return _WHOLE, F.unix_date(value).cast("bigint")
+    if isinstance(kind, T.TimestampType):
+        return _WHOLE, F.unix_micros(value)
+    if isinstance(kind, T.TimestampNTZType):
+        minutes = (F.hour(value) * 60 + F.minute(value)).cast("bigint")
+        micros = (F.extract(F.lit("SECOND"), value) * 1_000_000).cast("bigint")
+        return _WHOLE, F.unix_date(F.to_date(value)) * F.lit(_DAY) + minutes * 60_000_000 + micros
+    if isinstance(kind, T.FloatType | T.DoubleType):
+        return _REAL, value.cast("double")
     if isinstance(kind, T.StringType):
         return _TEXT, value.cast("string")
+    if isinstance(kind, T.BinaryType):
+        return _BYTES, value
     # Wide decimals and nested values are digested as they are; maps, which can't be, by their entries.
     whole = value if not _holds_map(kind) else F.to_json(F.struct(value.alias("v")))
-    zero = value == 0 if isinstance(kind, T.NumericType) else F.lit(None).cast("boolean")
-    pair = F.struct(
-        F.xxhash64(whole).alias("a"), F.xxhash64(F.lit(1), whole).alias("b"), zero.alias("zero")
-    )
-    return _PAIR, F.when(value.isNotNull(), pair)
+    return _PAIR, F.when(value.isNotNull(), F.struct(*_digest(whole)))
+
+
+def _digest(*values: Column) -> tuple[Column, Column]:
+    """128 bits of hash; null values are passed over."""
+    return F.xxhash64(*values).alias("a"), F.xxhash64(F.lit(1), *values).alias("b")
 
 
 def _holds_map(kind: T.DataType) -> bool:
@@ -68,29 +74,38 @@ def _named(table: DataFrame, name: str) -> Column:
 def table_profile(
     table: DataFrame, *, as_of: dt.date | None = None, columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """Per column: rows, nulls, zeros (numbers only), distinct values, newest date and its age.
-
-    One scan whatever the number of columns: every row becomes (column number, value) pairs with a field for each type of value,
-    so values are digested after that, by one expression for all columns. Integers, decimals of up to 18 digits and booleans are their own digest, others get 128
-    bits of hash. Pairs are folded on these three numbers, of fixed width, before they are shuffled, so a value that fills a third of a column moves as
-    one row per task, and no text is shuffled. Values are told apart as their type does: two instants of a repeated hour are two; 0.0
-    and -0.0 are one, and so are all NaN. An empty table gives zeros, no columns an empty frame.
+    """Per column: rows, nulls, zeros (numbers only), distinct values, date of the newest value and its age.
+
+    One scan whatever the number of columns: every row becomes (column number, value) pairs with a field for each kind of value, so values
+    are digested after that, by one expression for all columns. Integers, decimals of up to 18 digits, booleans, dates
+    and times are their own digest, others get 128 bits of hash. Pairs are folded on these three numbers, of fixed width, before they are
+    shuffled, so a value that fills a third of a column moves as one row per task, and no text is shuffled. Values are told apart as their
+    type does: two instants of a repeated hour are two; 0.0 and -0.0 are one, and so are all NaN. An empty table gives
+    zeros, no columns an empty frame.
     """
     fields = [f for f in table.schema.fields if columns is None or f.name in columns]
     names = table.sparkSession.createDataFrame(
-        [(i, f.name, _is_number(f)) for i, f in enumerate(fields)],
-        "at int, column string, number boolean",
+        [(i, f.name, isinstance(f.dataType, T.NumericType), f.dataType.typeName()) for i, f in enumerate(fields)],
+        "at int, column string, number boolean, kind string",
     )
     if fields:
         facts = _facts(table, fields)
     else:
         facts = names.selectExpr(
-            "at", "0L as rows", "0L as nulls", "0L as zeros", "0L as distinct_values", "cast(null as date) as max_date"
+            "at", "0L as rows", "0L as nulls", "0L as zeros", "0L as distinct_values", "0L as most"
         )
     none = F.lit(0).cast("bigint")
+    newest = F.expr(
+        f"""CASE kind WHEN 'date' THEN date_from_unix_date(cast(most AS int))
+                WHEN 'timestamp' THEN to_date(timestamp_micros(most))
+                WHEN 'timestamp_ntz' THEN date_from_unix_date(cast(floor(most / {_DAY}) AS int)) END"""
+    )
     return (
         names.join(facts, "at", "left")
-        .orderBy("at")
+        .withColumn("max_date", newest)
+        # A row per column of the table: one task sorts them without sampling for ranges.
+        .coalesce(1)
+        .sortWithinPartitions("at")
         .select(
             "column",
             F.coalesce("rows", none).alias("rows"),
@@ -104,59 +119,56 @@ def table_profile(
 
 
 def _facts(table: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
+    """at, rows, nulls, zeros (of numbers), distinct_values, most: the greatest of values that are their own digest."""
     placed = [_unpivoted(_named(table, f.name), f.dataType) for f in fields]
     kinds = list(dict.fromkeys(kind for kind, _ in placed))
-    pairs = [
-        F.struct(
-            F.lit(at).alias("at"),
-            *[(v if k == kind else F.lit(None).cast(_TYPES[k])).alias(k) for k in kinds],
-        )
-        for at, (kind, v) in enumerate(placed)
-    ]
-    values = table.select(F.inline(F.array(*pairs)))
-    digested = [k for k in kinds if k not in (_LONG, _PAIR)]
-    first, second, zero = [], [], []
-    if _LONG in kinds:
-        first.append(F.col(_LONG))
-        second.append(F.when(F.col(_LONG).isNotNull(), F.lit(0).cast("bigint")))
-        zero.append(F.col(_LONG) == 0)
+    # A column of each kind that is null throughout stands for the fields that a value doesn't fill.
+    base = table.select(
+        *[v.alias(f"v{at}") for at, (_, v) in enumerate(placed)],
+        *[F.lit(None).cast(_TYPES[k]).alias(f"no_{k}") for k in kinds],
+    )
+    groups = (
+        f"({', '.join(f'v{at}' if k == kind else f'no_{k}' for k in kinds)}) AS `{at}`"
+        for at, (kind, _) in enumerate(placed)
+    )
+    listed = ", ".join(kinds)
+    values = table.sparkSession.sql(
+        f"SELECT cast(at AS int) AS at, {listed} FROM {{base}}"
+        f" UNPIVOT INCLUDE NULLS (({listed}) FOR at IN ({', '.join(groups)}))",
+        base=base,
+    )
+    first, second = [], []
+    if _WHOLE in kinds:
+        first.append(F.col(_WHOLE))
+        second.append(F.when(F.col(_WHOLE).isNotNull(), F.lit(0).cast("bigint")))
     if _PAIR in kinds:
         first.append(F.col("pair.a"))
         second.append(F.col("pair.b"))
-        zero.append(F.col("pair.zero"))
-    if _DOUBLE in kinds:
-        zero.append(F.col(_DOUBLE) == 0)
-    if digested:
-        # Only one of the fields has a value; a hash passes over the others.
+    if digested := [k for k in kinds if k not in (_WHOLE, _PAIR)]:
+        # Only one of the fields has a value.
         some = reduce(Column.__or__, [F.col(k).isNotNull() for k in digested])
-        first.append(F.when(some, F.xxhash64(*digested)))
-        second.append(F.when(some, F.xxhash64(F.lit(1), *digested)))
-    days = [F.to_date(F.col(k)) for k in (_DATE, _TIME, _LOCAL) if k in kinds]
-    unknown = F.lit(None)
-    folded = (
-        values.select(
-            "at",
-            F.coalesce(*first).alias("first"),
-            F.coalesce(*second).alias("second"),
-            (F.coalesce(*zero) if zero else unknown.cast("boolean")).alias("zero"),
-            (F.unix_date(F.coalesce(*days)) if days else unknown.cast("int")).alias("since_1970"),
+        first, second = (
+            [*known, F.when(some, hashed)] for known, hashed in zip((first, second), _digest(*digested), strict=True)
         )
+    folded = (
+        values.select("at", F.coalesce(*first).alias("first"), F.coalesce(*second).alias("second"))
         .groupBy("at", "first", "second")
-        .agg(F.count("*").alias("n"), F.max("zero").alias("zero"), F.max("since_1970").alias("since_1970"))
+        .agg(F.count("*").alias("n"))
     )
+    # What zero looks like, in each type that is hashed too.
+    zeros = [(F.lit(0), F.lit(0)), _digest(F.lit(0.0))]
+    wide = {f.dataType for f in fields if isinstance(f.dataType, T.DecimalType) and f.dataType.precision > 18}
+    zeros += [_digest(F.lit(0).cast(kind)) for kind in wide]
+    is_zero = reduce(Column.__or__, [(F.col("first") == a) & (F.col("second") == b) for a, b in zeros])
     return folded.groupBy("at").agg(
         F.sum("n").alias("rows"),
         F.sum(F.when(F.col("first").isNull(), F.col("n")).otherwise(0)).alias("nulls"),
-        F.sum(F.when(F.col("zero"), F.col("n")).otherwise(0)).alias("zeros"),
+        F.sum(F.when(is_zero, F.col("n")).otherwise(0)).alias("zeros"),
         F.count("first").alias("distinct_values"),
-        F.date_from_unix_date(F.max("since_1970")).alias("max_date"),
+        F.max("first").alias("most"),
     )
 
 
-def _is_number(field: T.StructField) -> bool:
-    return isinstance(field.dataType, T.NumericType)
-
-
 # ------------------------------------------------------------------ a whole catalog
 
 #: Types whose counts, or whose least and greatest values, the readers have from file footers.

@@ -192,7 +192,7 @@ def test_rows_of_the_fact_join_are_those_of_the_plain_join(spark):
                     rest = [d[k] for k in details.columns if k not in ("calc_id", "resource_id")]
                     in_order.append((c.id, d.resource_id, name, *c[1:], *rest, *s[1:]))
     assert sorted(map(str, in_order)) == whole
-    for limit in (1, 5, 17, 100, 473, len(whole) - 1, len(whole), 10_000):
+    for limit in (1, 17, 473, len(whole) - 1, 10_000):
         first = utilization.utilization_fact_rows(calcs, details, summaries, people, limit=limit)
         got = sorted(str(tuple(r)) for r in first.collect())
         assert got == sorted(map(str, in_order[:limit])), limit
