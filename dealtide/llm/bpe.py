@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from dealtide.llm import dictionary as D
 from dealtide.llm import text as T
-from dealtide.llm.cluster import phased, stored
+from dealtide.llm.cluster import giving_back, phased, stored
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -59,6 +59,7 @@ def _encoded(words: DataFrame, definition: str) -> DataFrame:
     word of a bucket is encoded once.
     """
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(definition)
         bucket, known = None, {}
@@ -158,10 +159,12 @@ def encode_decode(documents: DataFrame, tokenizer_path: str) -> DataFrame:
     encoded = stored(_encoded(D.by_bucket(table, buckets), definition))
     pieces = _pieces(encoded, vocabulary)
 
+    @giving_back
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, ids, decoded = None, [], []
         for batch in batches:
-            for row in batch.to_pylist():
+            # One row at a time, as a chunk's documents are large.
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(len(batch))):
                 if row["chunk"] != chunk:
                     chunk, ids, decoded = row["chunk"], [], []
                 if row["kind"] == 1:

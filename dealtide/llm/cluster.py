@@ -4,6 +4,7 @@ used.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -93,6 +94,31 @@ def phased(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the system: workers are used again, by stages to come."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def giving_back(
+    run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: `run`, and before and after it memory that is free goes back."""
+
+    @wraps(run)
+    def over(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        try:
+            yield from run(rows)
+        finally:
+            give_back()
+
+    return over
+
+
 def batches(
     run: Callable[[pa.RecordBatch], pa.RecordBatch | None],
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealtide.llm import text as T
-from dealtide.llm.cluster import stored
+from dealtide.llm.cluster import give_back, giving_back, stored
 
 CHUNK = 16_000_000
 CODED = (
@@ -42,10 +42,19 @@ def _codec() -> pa.Codec:
     return pa.Codec("zstd", compression_level=9)
 
 
+#: Integers that are packed at once, so that packing takes little memory beside them.
+_PACKED = 1 << 18
+
+
 def pack(values: np.ndarray) -> bytes:
     """Unsigned integers, 7 bits a byte, small ones in few bytes, compressed."""
+    pieces = (_packed(values[i : i + _PACKED]) for i in range(0, len(values), _PACKED))
+    return _compressed(b"".join(pieces))
+
+
+def _packed(values: np.ndarray) -> bytes:
     v = np.asarray(values, np.uint64)
-    width = max(1, -(-int(v.max()).bit_length() // 7)) if len(v) else 1
+    width = max(1, -(-int(v.max()).bit_length() // 7))
     raw = np.empty((len(v), width), np.uint8)
     used = np.ones((len(v), width), bool)
     for k in range(width):
@@ -53,7 +62,7 @@ def pack(values: np.ndarray) -> bytes:
         used[:, k] = (v > 0) | (k == 0)
         v = v >> np.uint64(7)
         raw[:, k] |= (v > 0).astype(np.uint8) << 7
-    return _compressed(raw[used].tobytes())
+    return raw[used].tobytes()
 
 
 def unpack(blob: bytes) -> np.ndarray:
@@ -84,6 +93,17 @@ def pack_words(words: list[bytes]) -> bytes:
     return _compressed(b"\n".join(words))
 
 
+def _gathered(data: np.ndarray, start: np.ndarray, end: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The spans of the data one after the other, each followed by `gap` newlines, and where they begin."""
+    size = end - start
+    first = np.concatenate([[0], np.cumsum(size + gap)])
+    out = np.full(first[-1], 10, np.uint8)
+    of_size = np.repeat(np.arange(len(size)), size)
+    within = np.arange(len(of_size)) - np.repeat(np.cumsum(size) - size, size)
+    out[first[of_size] + within] = data[start[of_size] + within]
+    return out, first
+
+
 def unpack_words(blob: bytes) -> list[bytes]:
     return _plain(blob).split(b"\n")
 
@@ -103,6 +123,7 @@ def coded(
     Words are told apart by 64-bit hashes within a chunk.
     """
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
         parts = []
@@ -114,6 +135,7 @@ def coded(
                 if size >= CHUNK:
                     yield from _chunk(chunk, parts, buckets, counted is not None)
                     chunk, parts, size = chunk + 1, [], 0
+                    give_back()
         if parts:
             yield from _chunk(chunk, parts, buckets, counted is not None)
 
@@ -121,20 +143,21 @@ def coded(
 
 
 def _part(part: pa.RecordBatch, split, lower: bool, counted) -> tuple:
-    """Of a slice: ids, words of each document, codes, and by code the hash, the word, its count and
-    the counted ones.
+    """Of a slice: ids, words of each document, codes, and by code the hash, the words' bytes and where
+    they begin, the count and the counted ones.
     """
     w = split(part.column("text"))
     keys, at, inverse, n = np.unique(
         w.hashes(lower), return_index=True, return_inverse=True, return_counts=True
     )
-    data = (T.LOWER[w.data] if lower else w.data).tobytes()
-    words = [data[i:j] for i, j in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]
+    words, first = _gathered(w.data, w.start[at], w.end[at], 0)
+    if lower:
+        words = T.LOWER[words]
     some = n
     if counted is not None:
         chosen = counted(part.column("doc_id"))[w.row]
         some = np.bincount(inverse[chosen], minlength=len(keys))
-    return part.column("doc_id"), w.count, inverse.astype(np.uint32), keys, words, n, some
+    return part.column("doc_id"), w.count, inverse.astype(np.uint32), keys, (words, first), n, some
 
 
 def _chunk(chunk: int, parts: list[tuple], buckets: int, counted: bool) -> Iterator[pa.RecordBatch]:
@@ -147,15 +170,25 @@ def _chunk(chunk: int, parts: list[tuple], buckets: int, counted: bool) -> Itera
     code = np.empty(len(distinct), np.uint32)
     code[order] = np.arange(len(order))
     cut = np.cumsum([0, *map(len, keys)])
-    renamed = [code[inverse[i:j]][c] for i, j, c in zip(cut, cut[1:], codes, strict=False)]
+    renamed = np.concatenate([code[inverse[i:j]][c] for i, j, c in zip(cut, cut[1:], codes, strict=False)])
     yield _rows(
         1,
         chunk=[chunk],
         doc_ids=[pa.concat_arrays(ids).to_pylist()],
         lengths=[pack(np.concatenate(lengths))],
-        codes=[pack(np.concatenate(renamed))],
+        codes=[pack(renamed)],
     )
-    listed = [x for part in words for x in part]
+    del renamed, codes
+    data = np.concatenate([x for x, _ in words])
+    shift = np.cumsum([0, *(len(x) for x, _ in words)])
+    start = np.concatenate([first[:-1] + s for (_, first), s in zip(words, shift, strict=False)])
+    end = np.concatenate([first[1:] + s for (_, first), s in zip(words, shift, strict=False)])
+
+    def listed(group: np.ndarray) -> bytes:
+        """The words of these places in order of frequency."""
+        some = at[order[group]]
+        return _compressed(_gathered(data, start[some], end[some], 1)[0][:-1].tobytes())
+
     bucket = ((distinct >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)[order]
     dealt = np.argsort(bucket, kind="stable")  # codes rise within a bucket
     cut = np.searchsorted(bucket[dealt], np.arange(buckets + 1))
@@ -167,7 +200,7 @@ def _chunk(chunk: int, parts: list[tuple], buckets: int, counted: bool) -> Itera
             chunk=np.full(len(used), chunk),
             bucket=used,
             codes=[pack_rising(g) for g in groups],
-            words=[pack_words([listed[i] for i in at[order[g]].tolist()]) for g in groups],
+            words=[listed(g) for g in groups],
             **({"counts": [pack(seen[order[g]]) for g in groups]} if counted else {}),
         )
 

@@ -18,10 +18,12 @@ from dealtide.llm.cluster import phased, stored
 
 #: Words with a unit of their own, the most frequent ones; the size of vectors; noise classes of a
 #: step, noise units of a token, and tokens of a step.
-CLASSES, SIZE, NOISE, WORD_NOISE, STEP = 2000, 16, 32, 4, 8192
+CLASSES, SIZE, NOISE, WORD_NOISE, STEP = 2000, 16, 64, 4, 8192
 #: Units of the other words, times the square root of the number of distinct words.
 SLOTS = 64
-RATE = 0.1
+#: Training tokens of a group, whatever the layout of the input; rounds after which the models of several groups are joined.
+GROUP, ROUNDS = 8_000_000, 3
+RATE = 0.15
 _SMOOTH = 0.1
 #: Tokens scored together; units whose averages move together.
 _SCORED, _BLOCK = 1 << 16, 512
@@ -36,7 +38,7 @@ def held_out(ids: np.ndarray | list) -> np.ndarray:
 class Model:
     """Units: 0 the end of a text, then words or groups of words from frequent to rare; n, as context
     only, the start. Runs of units of about equal share of the square roots of the counts, about
-    sqrt(n) of them, are classes; `first` has the first unit of each, and n.
+    sqrt(n) / 2 of them, are classes; `first` has the first unit of each, and n.
 
     After the words a, b the context is h = mixing[0] * vectors[b] + mixing[1] * vectors[a]. A class
     scores h . heads[class] + head_bias[class], normalised over all classes; a unit h .
@@ -56,7 +58,7 @@ class Model:
         n = len(counts)
         random = np.random.default_rng(0)
         share = np.cumsum(np.sqrt(np.maximum(counts, _SMOOTH)))
-        cls = np.floor(share / share[-1] * np.ceil(np.sqrt(n)) * (1 - 1e-9))
+        cls = np.floor(share / share[-1] * np.ceil(0.5 * np.sqrt(n)) * (1 - 1e-9))
         first = np.append(np.flatnonzero(np.diff(cls, prepend=-1)), n)
         p = (counts + _SMOOTH) / (counts.sum() + _SMOOTH * n)
         of_class = np.add.reduceat(p, first[:-1])
@@ -80,15 +82,9 @@ class Model:
         return self.vectors[last] * self.mixing[0] + self.vectors[before] * self.mixing[1]
 
 
-def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows, and the sums of the values by row."""
-    place = np.zeros(int(rows.max()) + 1, np.int32)
-    place[rows] = 1
-    found = np.flatnonzero(place)
-    place[found] = np.arange(len(found))
-    at = place[rows]
-    sums = [np.bincount(at, x, len(found)) for x in np.ascontiguousarray(values.T)]
-    return found, np.stack(sums, axis=1).astype(np.float32)
+def _runs(rows: np.ndarray) -> np.ndarray:
+    """Where the runs of equal numbers begin."""
+    return np.flatnonzero(np.diff(rows, prepend=-1))
 
 
 def _pull(real: np.ndarray) -> np.ndarray:
@@ -97,19 +93,21 @@ def _pull(real: np.ndarray) -> np.ndarray:
 
 
 class Trainer:
-    """Noise-contrastive estimation of classes, and of units within the class, with Adagrad; a step's
-    tokens share their noise classes. Gradients are sums over the tokens of a step, so that rare
-    units learn as well.
+    """Noise-contrastive estimation of classes, and of units within the class, with Adagrad. A step's
+    tokens share their noise classes, and a token's noise units are targets of other tokens of the
+    step in its class, which are drawn from the same counts. Gradients are sums over the tokens of
+    a step, so that rare units learn as well.
     """
 
     def __init__(self, model: Model, noise: np.ndarray, seed: int):
         self.model = model.copy()
         first = model.first
         self.class_of = model.class_of()
-        self.class_noise = np.add.reduceat(noise, first[:-1])
-        self.log_class_noise = np.log(NOISE * self.class_noise).astype(np.float32)
-        self.log_noise = np.log(WORD_NOISE * noise / self.class_noise[self.class_of]).astype(np.float32)
-        self.reach = np.append(0, np.cumsum(noise))
+        class_noise = np.add.reduceat(noise, first[:-1])
+        self.log_class_noise = np.log(NOISE * class_noise).astype(np.float32)
+        self.log_noise = np.log(WORD_NOISE * noise / class_noise[self.class_of]).astype(np.float32)
+        self.reach = np.cumsum(class_noise)
+        self.alone = np.diff(first) == 1
         self.random = np.random.default_rng(seed)
         self.squares = {k: np.ones_like(x) for k, x in vars(model).items() if k != "first"}
         n = len(model.bias)
@@ -124,51 +122,60 @@ class Trainer:
 
     def step(self, last: np.ndarray, before: np.ndarray, target: np.ndarray) -> None:
         m, n = self.model, len(target)
-        h = m.context(last, before)
-        cls, classes = self.class_of[target], len(m.heads)
+        # By target, and so by class, whose units are a run.
+        order = np.argsort(target, kind="stable")
+        last, before, target = last[order], before[order], target[order]
+        of_last, of_before = m.vectors[last], m.vectors[before]
+        h = of_last * m.mixing[0] + of_before * m.mixing[1]
+        cls = self.class_of[target]
+        begin = _runs(cls)
         # The class.
-        drawn = self.random.choice(classes, NOISE, p=self.class_noise / self.class_noise.sum())
+        drawn = np.searchsorted(self.reach, self.random.random(NOISE) * self.reach[-1], "right")
+        drawn = np.minimum(drawn, len(m.heads) - 1)
         q, noise = m.heads[cls], m.heads[drawn]
         up = _pull((h * q).sum(1) + m.head_bias[cls] - self.log_class_noise[cls])
         down = -_pull(-(h @ noise.T + (m.head_bias[drawn] - self.log_class_noise[drawn])))
         g_h = up[:, None] * q + down @ noise
-        class_rows, g_heads = _sums(
-            np.append(cls, drawn),
-            np.concatenate([np.c_[up[:, None] * h, up], np.c_[down.T @ h, down.sum(0)]]),
-        )
+        g_heads = np.zeros((len(m.heads), SIZE + 1), np.float32)
+        g_heads[cls[begin], :SIZE] = np.add.reduceat(up[:, None] * h, begin)
+        g_heads[cls[begin], SIZE] = np.add.reduceat(up, begin)
+        np.add.at(g_heads, drawn, np.c_[down.T @ h, down.sum(0)])
         # The unit, where its class has others.
-        some = np.flatnonzero(np.diff(m.first)[cls] > 1)
-        rows = np.empty(0, np.int64)
-        if len(some):
-            t, c, hs = target[some], cls[some], h[some]
-            low, high = self.reach[m.first[c]], self.reach[m.first[c + 1]]
-            u = low[:, None] + self.random.random((len(some), WORD_NOISE)) * (high - low)[:, None]
-            drawn = np.searchsorted(self.reach, u, "right") - 1
-            drawn = np.clip(drawn, m.first[c][:, None], m.first[c + 1][:, None] - 1)
-            q, noise = m.targets[t], m.targets[drawn]
-            up = _pull((hs * q).sum(1) + m.bias[t] - self.log_noise[t])
-            scores = np.einsum("ik,ijk->ij", hs, noise) + m.bias[drawn] - self.log_noise[drawn]
-            down = -_pull(-scores)
-            g_h[some] += up[:, None] * q + np.einsum("ij,ijk->ik", down, noise)
-            pull = np.concatenate([up[:, None], down], axis=1)
-            values = pull[:, :, None] * np.concatenate([hs, np.ones((len(some), 1), np.float32)], axis=1)[:, None]
-            rows, g_units = _sums(
-                np.concatenate([t[:, None], drawn], axis=1).ravel(), values.reshape(-1, SIZE + 1)
-            )
-        contexts, g_vectors = _sums(
-            np.concatenate([last, before]), np.concatenate([g_h * m.mixing[0], g_h * m.mixing[1]])
-        )
-        g_mixing = np.stack([(g_h * m.vectors[last]).sum(0), (g_h * m.vectors[before]).sum(0)])
-        self._move("heads", class_rows, g_heads[:, :SIZE])
-        self._move("head_bias", class_rows, g_heads[:, SIZE])
-        if len(rows):
-            self._move("targets", rows, g_units[:, :SIZE])
-            self._move("bias", rows, g_units[:, SIZE])
-        self._move("vectors", contexts, g_vectors)
+        size = np.diff(begin, append=n)
+        run = np.repeat(np.arange(len(begin)), size)
+        place = np.arange(n) - begin[run]
+        some = (~self.alone[cls] & (size[run] > 1)).astype(np.float32)
+        q, own = m.targets[target], m.bias[target] - self.log_noise[target]
+        up = _pull((h * q).sum(1) + own) * some
+        g_h += up[:, None] * q
+        g_units = np.c_[up[:, None] * h, up]
+        for _ in range(WORD_NOISE):
+            away = 1 + (self.random.random(len(begin)) * (size - 1)).astype(np.int64)
+            other = begin[run] + (place + away[run]) % size[run]
+            of_other = q[other]
+            pull = -_pull(-((h * of_other).sum(1) + own[other])) * some
+            g_h += pull[:, None] * of_other
+            # No two tokens have the same other one.
+            g_units[other, :SIZE] += pull[:, None] * h
+            g_units[other, SIZE] += pull
+        begin = _runs(target)
+        units, g_units = target[begin], np.add.reduceat(g_units, begin)
+        self.events[1, units] += np.diff(begin, append=n)
+        contexts = np.concatenate([last, before])
+        order = np.argsort(contexts, kind="stable")
+        contexts = contexts[order]
+        begin = _runs(contexts)
+        g_vectors = np.concatenate([g_h * m.mixing[0], g_h * m.mixing[1]])[order]
+        g_vectors = np.add.reduceat(g_vectors, begin)
+        self.events[0, contexts[begin]] += np.diff(begin, append=2 * n)
+        g_mixing = np.stack([(g_h * of_last).sum(0), (g_h * of_before).sum(0)])
+        heads = np.flatnonzero(g_heads.any(1))
+        self._move("heads", heads, g_heads[heads, :SIZE])
+        self._move("head_bias", heads, g_heads[heads, SIZE])
+        self._move("targets", units, g_units[:, :SIZE])
+        self._move("bias", units, g_units[:, SIZE])
+        self._move("vectors", contexts[begin], g_vectors)
         self._move("mixing", slice(None), g_mixing)
-        size = self.events.shape[1]
-        self.events[0] += np.bincount(last, minlength=size) + np.bincount(before, minlength=size)
-        self.events[1] += np.bincount(target, minlength=size)
         self.tokens += n
 
 
@@ -344,7 +351,8 @@ def _documents(batches: Iterator[pa.RecordBatch], units: Units) -> Iterator[tupl
     """(doc_id, units, counts) of the documents that `meet` brings after the replies to their chunk."""
     chunk, place, counts = None, _Table(0), _Table(0)
     for batch in batches:
-        for row in batch.to_pylist():
+        for k in range(len(batch)):
+            row = batch.slice(k, 1).to_pylist()[0]
             if row["chunk"] != chunk:
                 chunk, place, counts = row["chunk"], _Table(0), _Table(0)
             if row["kind"] == 1:
@@ -356,6 +364,20 @@ def _documents(batches: Iterator[pa.RecordBatch], units: Units) -> Iterator[tupl
                     yield doc_id, place[codes], counts[codes]
 
 
+def _narrow(values: np.ndarray) -> bytes:
+    """Units in the fewest whole bytes that hold them all, the first byte telling how many."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    raw = values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]
+    return bytes([width]) + raw.tobytes()
+
+
+def _wide(blob: bytes) -> np.ndarray:
+    width, raw = blob[0], np.frombuffer(blob, np.uint8, offset=1)
+    out = np.zeros((len(raw) // width, 4), np.uint8)
+    out[:, :width] = raw.reshape(-1, width)
+    return out.view("<u4").ravel().astype(np.int64)
+
+
 def _contexts(classes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(last, before, target) of each word and of the end."""
     padded = np.concatenate([[start, start], classes])
@@ -364,7 +386,7 @@ def _contexts(classes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray,
 
 @phased
 def score_documents(
-    documents: DataFrame, classes: int = CLASSES
+    documents: DataFrame, classes: int = CLASSES, *, group: int = GROUP, rounds: int = ROUNDS
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text.
 
@@ -483,58 +505,109 @@ def score_documents(
     noise = np.maximum(counts, _SMOOTH) / np.maximum(counts, _SMOOTH).sum()
     model = Model.start(counts)
     replies = totals.where("kind = 1").select("chunk", "kind", "codes", "values", "words")
-    met = D.meet(table, replies, buckets)
-    model = _averaged(met, model, units, noise, buckets)
     divisor, unit_divisor = tokens + _SMOOTH * (kinds + 1), counts + _SMOOTH * members
-    sent = spark.sparkContext.broadcast((model, unit_divisor))
+    shared = spark.sparkContext.broadcast((units, unit_divisor))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, unit_divisor = sent.value
-        scorer = Scorer(model)
+    def as_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, unit_divisor = shared.value
         held: list[tuple] = []
         many = 0
+
+        def rows() -> pa.RecordBatch:
+            ids, own, facts = zip(*held, strict=True)
+            n, known, base, share = zip(*facts, strict=True)
+            return pa.record_batch(
+                [
+                    pa.array(ids, pa.int64()),
+                    pa.array(held_out(ids)),
+                    pa.array(n, pa.int64()),
+                    pa.array(known, pa.int64()),
+                    pa.array(base, pa.float64()),
+                    pa.array(share, pa.float64()),
+                    pa.array(own, pa.binary()),
+                ],
+                ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "share", "units"],
+            )
+
         for doc_id, own, seen in _documents(batches, units):
-            held.append((doc_id, own, np.append(seen, ends)))
-            many += len(own) + 1
+            seen = np.append(seen, ends)
+            facts = (
+                len(seen),
+                int((seen > 0).sum()),
+                float(np.log10((seen + _SMOOTH) / divisor).sum()),
+                float(np.log10((seen + _SMOOTH) / unit_divisor[np.append(own, 0)]).sum()),
+            )
+            held.append((doc_id, _narrow(own), facts))
+            many += len(own)
             if many >= _SCORED:
-                yield rows(scorer, unit_divisor, held)
+                yield rows()
                 held, many = [], 0
         if held:
-            yield rows(scorer, unit_divisor, held)
+            yield rows()
+
+    coded = stored(
+        D.meet(table, replies, buckets).mapInArrow(
+            as_units,
+            "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, share double, "
+            "units binary",
+        )
+    )
+    groups = -(-int(words + ends) // group) or 1
+    learned = coded.where("not held_out").select(
+        F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("group"),
+        F.xxhash64(F.lit(1), "doc_id").alias("place"),
+        "units",
+    )
+    rounds = min(rounds, groups)  # a single group has nothing to join
+    for k in range(rounds):
+        some = learned.where(F.pmod("place", F.lit(rounds)) == k)
+        dealt = some.repartitionById(groups, "group").sortWithinPartitions("group", "place", "units")
+        model = _averaged(dealt, model, noise, buckets)
+    sent = spark.sparkContext.broadcast(model)
 
-    def rows(scorer: Scorer, unit_divisor: np.ndarray, held: list[tuple]) -> pa.RecordBatch:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
+        for batch in batches:
+            sizes = np.cumsum(batch.column("n_tokens").to_numpy())
+            i = 0
+            while i < len(batch):
+                done = sizes[i - 1] if i else 0
+                j = max(i + 1, int(np.searchsorted(sizes, done + _SCORED)))
+                yield rows(scorer, batch.slice(i, j - i))
+                i = j
+
+    def rows(scorer: Scorer, part: pa.RecordBatch) -> pa.RecordBatch:
         last, before, target = (
-            np.concatenate(x) for x in zip(*(_contexts(own, size) for _, own, _ in held), strict=True)
+            np.concatenate(x)
+            for x in zip(*(_contexts(_wide(own.as_py()), size) for own in part.column("units")), strict=True)
         )
-        seen = np.concatenate([x for *_, x in held])
-        first = np.cumsum([0, *(len(x) for *_, x in held)])[:-1]
-        log = scorer(last, before, target) + np.log10((seen + _SMOOTH) / unit_divisor[target])
-        ids = [i for i, *_ in held]
+        first = np.cumsum([0, *part.column("n_tokens").to_pylist()])[:-1]
+        # A text may be longer than what is scored at once.
+        pieces = (slice(i, i + _SCORED) for i in range(0, len(target), _SCORED))
+        log = np.concatenate([scorer(last[p], before[p], target[p]) for p in pieces])
+        log = np.add.reduceat(log, first)
         return pa.record_batch(
             [
-                pa.array(ids, pa.int64()),
-                pa.array(held_out(ids)),
-                pa.array([len(x) for *_, x in held], pa.int64()),
-                pa.array(np.add.reduceat((seen > 0).astype(np.int64), first)),
-                pa.array(np.full(len(ids), tokens)),
-                pa.array(np.add.reduceat(np.log10((seen + _SMOOTH) / divisor), first)),
-                pa.array(np.add.reduceat(log, first)),
+                *[part.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known")],
+                pa.array(np.full(len(part), tokens)),
+                part.column("base_score"),
+                pa.array(log + part.column("share").to_numpy()),
             ],
             ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    return met.mapInArrow(
+    return coded.mapInArrow(
         score,
         "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
         "base_score double, score double",
     )
 
 
-def _averaged(met: DataFrame, model: Model, units: Units, noise: np.ndarray, buckets: int) -> Model:
-    """The model after every partition of `met` trained from it: each vector and bias averaged by its
+def _averaged(texts: DataFrame, model: Model, noise: np.ndarray, buckets: int) -> Model:
+    """The model after every partition of `texts` (units) trained from it: each vector and bias averaged by its
     unit's occurrences, the rest by tokens.
     """
-    spark = met.sparkSession
+    spark = texts.sparkSession
     sent = spark.sparkContext.broadcast((model, noise))
     size = len(model.bias)
     shared = ("heads", "head_bias", "mixing")
@@ -544,9 +617,7 @@ def _averaged(met: DataFrame, model: Model, units: Units, noise: np.ndarray, buc
         trainer = None
         held: list[tuple] = []
         many = 0
-        for doc_id, own, _ in _documents(batches, units):
-            if held_out([doc_id])[0]:
-                continue
+        for own in (_wide(x) for batch in batches for x in batch.column("units").to_pylist()):
             held.append(_contexts(own, size))
             many += len(own) + 1
             if many >= STEP:
@@ -614,7 +685,7 @@ def _averaged(met: DataFrame, model: Model, units: Units, noise: np.ndarray, buc
         if now is not None:
             yield done()
 
-    moves = met.mapInArrow(train, "block bigint, tokens bigint, places binary, weights binary, moved binary")
+    moves = texts.mapInArrow(train, "block bigint, tokens bigint, places binary, weights binary, moved binary")
     averages = moves.repartition(buckets, "block").sortWithinPartitions("block")
     averages = averages.mapInArrow(average, "block bigint, places array<bigint>, values binary")
     out = model.copy()

@@ -290,7 +290,8 @@ def _block(docs: DataFrame, items: list, id_type: K.DataType, top: int) -> DataF
     queries.weight = _weights(_frequencies(vectors, len(queries.terms)), documents)
     lengths = _with_lengths(vectors, queries.weight, documents, total)
     ordered = stored(
-        lengths.repartitionByRange(F.desc("length")).sortWithinPartitions(F.desc("length"))
+        # Copies have the same length; their ids spread them.
+        lengths.repartitionByRange(F.desc("length"), "doc_id").sortWithinPartitions(F.desc("length"))
     )
     schema = _FOUND.format(id=docs.schema["doc_id"].dataType.simpleString())
     floor = np.ones(len(items), np.int64)

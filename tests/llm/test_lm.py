@@ -29,7 +29,7 @@ def test_units_follow_the_vocabulary():
 def test_classes_and_units_are_normalised():
     counts = 1e5 / np.arange(1, 2001)
     model = lm.Model.start(counts)
-    assert 20 < len(model.heads) <= 45
+    assert 10 < len(model.heads) <= 23
     random = np.random.default_rng(2)
     trainer = lm.Trainer(model, counts / counts.sum(), 1)
     for _ in range(5):
@@ -38,3 +38,59 @@ def test_classes_and_units_are_normalised():
     for a, b in ((0, 2000), (7, 1999), (2000, 2000)):
         log = scorer(np.full(2000, a), np.full(2000, b), np.arange(2000))
         assert (10**log).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_scores_equal_a_plain_model():
+    """Two softmax layers, written out for every context, target and class of a small vocabulary."""
+    counts = 1e4 / np.arange(1, 61)
+    random = np.random.default_rng(4)
+    trainer = lm.Trainer(lm.Model.start(counts), counts / counts.sum(), 1)
+    for _ in range(20):
+        trainer.step(*random.integers(0, 60, (3, 400)))
+    m = trainer.model
+    last, before, target = random.integers(0, 60, (3, 500))
+    got = lm.Scorer(m)(last, before, target)
+    for a, b, t, log in zip(last, before, target, got, strict=True):
+        h = [
+            float(m.vectors[a][k] * m.mixing[0][k] + m.vectors[b][k] * m.mixing[1][k]) for k in range(lm.SIZE)
+        ]
+
+        def total(rows, bias):
+            return sum(np.exp(sum(x * float(y) for x, y in zip(h, r, strict=True)) + float(s)) for r, s in zip(rows, bias, strict=True))
+
+        c = int(np.searchsorted(m.first, t, "right")) - 1
+        own = slice(m.first[c], m.first[c + 1])
+        p = total(m.heads[c : c + 1], m.head_bias[c : c + 1]) / total(m.heads, m.head_bias)
+        p *= total(m.targets[t : t + 1], m.bias[t : t + 1]) / total(m.targets[own], m.bias[own])
+        assert log == pytest.approx(np.log10(p), abs=1e-4)
+
+
+def test_steps_count_their_events_and_learn():
+    counts = np.array([50.0, 30.0, 20.0])
+    trainer = lm.Trainer(lm.Model.start(counts), counts / counts.sum(), 1)
+    contexts = np.array([1, 2, 1, 0]), np.array([3, 1, 2, 2])
+    target = np.array([0, 1, 2, 0])
+    trainer.step(*contexts, target)
+    assert trainer.tokens == 4
+    assert trainer.events.tolist() == [[1, 3, 3, 1], [2, 1, 1, 0]]
+    for _ in range(300):
+        trainer.step(*contexts, target)
+    assert (10 ** lm.Scorer(trainer.model)(*contexts, target) > 0.9).all()
+
+
+def test_what_is_learned_does_not_depend_on_the_layout(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    gains = []
+    for partitions in (1, 16, 64):
+        got = lm.score_documents(documents.repartition(partitions)).where("held_out")
+        score, base, tokens = got.selectExpr("sum(score)", "sum(base_score)", "sum(n_tokens)").first()
+        gains.append((score - base) / tokens)
+    assert min(gains) > 0.14
+    assert max(gains) - min(gains) < 1e-6
+
+
+def test_several_groups_and_rounds_learn(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = lm.score_documents(documents, group=100_000, rounds=2).where("held_out")
+    score, base, tokens = got.selectExpr("sum(score)", "sum(base_score)", "sum(n_tokens)").first()
+    assert (score - base) / tokens > 0.03
