@@ -6,6 +6,8 @@ import datetime as dt
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -208,87 +210,95 @@ def catalog_profile(
 
     tables: paths by name, or a folder of tables. Rows, nulls, bounds and newest dates are read from file footers, which hold them
     exactly; only what footers lack is scanned, and of that only the columns in question: newest times, and whether
-    decimals are zero throughout. The verdict is the first of "empty" (the table has no rows), "all null", "zeros only", "stale" (the newest
-    date of the whole table is over ``stale_days`` old), else "data". Nested columns have no null count here; `table_profile` has.
+    decimals are zero throughout. A table whose files have no statistics is scanned. The verdict is the first of "empty" (the table has no
+    rows), "all null", "zeros only", "stale" (the newest date of the whole table is over ``stale_days`` old), else "data". Nested
+    columns have no null count here; `table_profile` has.
 
-    The frame belongs to a session of its own, whose readers take aggregates from footers.
+    The tables are looked at when this is called; the result, a row per column, is a local frame.
     """
+    paths = tables_in(spark, tables) if isinstance(tables, str) else dict(tables)
+    # Its readers take aggregates from footers.
     session = spark.newSession()
     for key, value in _FOOTERS.items():
         session.conf.set(key, value)
-    paths = tables_in(spark, tables) if isinstance(tables, str) else dict(tables)
-    parts = [
-        _column_facts(session.read.format(file_format).load(path), name) for name, path in paths.items()
-    ]
-    if not parts:
-        return session.createDataFrame([], _CATALOG)
-    newest = F.array_max(F.col("dates"))
-    known = reduce(DataFrame.unionByName, parts).withColumn("of_table", newest)
-    flat = known.select("table", "of_table", F.inline("columns"))
-    age = days_between(F.col("newest"), as_of_date(as_of))
-    table_age = days_between(F.col("of_table"), as_of_date(as_of))
+    rows: list[tuple] = []
+    for name, path in paths.items():
+        try:
+            rows += _column_rows(name, session.read.format(file_format).load(path))
+        except (PySparkException, Py4JJavaError):
+            # No statistics in some footer: the same by a scan, which fails if anything else was wrong.
+            rows += _column_rows(name, spark.read.format(file_format).load(path))
+    known = spark.createDataFrame(rows, _CATALOG)
     verdict = (
         F.when(F.col("rows") == 0, "empty")
         .when(F.col("nulls") == F.col("rows"), "all null")
         .when(F.col("zeros_only"), "zeros only")
-        .when(table_age > stale_days, "stale")
+        .when(days_between(F.col("of_table"), as_of_date(as_of)) > stale_days, "stale")
         .otherwise("data")
     )
-    return flat.select(
-        "table", "column", "type", "rows", "nulls", "zeros_only", "newest",
-        age.alias("days_since"), verdict.alias("verdict"),
-    )
+    age = days_between(F.col("newest"), as_of_date(as_of)).alias("days_since")
+    return known.select(*known.columns[:-1], age, verdict.alias("verdict"))
 
 
 _CATALOG = (
     "table string, column string, type string, rows bigint, nulls bigint, zeros_only boolean, newest date,"
-    " days_since int, verdict string"
+    " of_table date"
 )
 
 
-def _column_facts(table: DataFrame, name: str) -> DataFrame:
-    """One row: the facts of each column, and the newest dates of all."""
-    counted = [f for f in table.schema.fields if isinstance(f.dataType, _COUNTED)]
-    footers = [F.count("*").alias("rows")]
-    scanned = []
+def _is_time(kind: T.DataType) -> bool:
+    return isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType)
+
+
+def footer_facts(table: DataFrame) -> DataFrame:
+    """One row of what footers hold: rows, and by the column's number its count n, and least and most where they have bounds."""
+    found = [F.count("*").alias("rows")]
     for i, field in enumerate(table.schema.fields):
-        value = _named(table, field.name)
-        if field in counted:
-            footers.append(F.count(value).alias(f"n{i}"))
+        if isinstance(field.dataType, _COUNTED):
+            found.append(F.count(_named(table, field.name)).alias(f"n{i}"))
         if isinstance(field.dataType, _BOUNDED):
-            footers += [F.min(value).alias(f"least{i}"), F.max(value).alias(f"most{i}")]
-        elif isinstance(field.dataType, T.TimestampType | T.TimestampNTZType):
-            scanned.append(F.max(value).alias(f"most{i}"))
-        elif isinstance(field.dataType, T.DecimalType):
-            scanned += [F.min(value).alias(f"least{i}"), F.max(value).alias(f"most{i}")]
-    facts = table.agg(*footers)
-    if scanned:
-        facts = facts.crossJoin(table.agg(*scanned))  # one row each
-    columns, dates = [], []
-    nothing = F.lit(None)
+            found += _bounds(table, i)
+    return table.agg(*found)
+
+
+def scanned_facts(table: DataFrame) -> DataFrame | None:
+    """One row of the bounds of times and decimals, which footers lack; None if there are none."""
+    found = []
     for i, field in enumerate(table.schema.fields):
-        kind = field.dataType
-        number = isinstance(kind, T.NumericType)
-        is_time = isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType)
-        newest = F.to_date(F.col(f"most{i}")) if is_time else nothing.cast("date")
-        zero = (F.col(f"least{i}") == 0) & (F.col(f"most{i}") == 0) if number else nothing.cast("boolean")
-        if is_time:
-            dates.append(newest)
-        columns.append(
-            F.struct(
-                F.lit(field.name).alias("column"),
-                F.lit(kind.simpleString()).alias("type"),
-                F.col("rows").alias("rows"),
-                (F.col("rows") - F.col(f"n{i}") if field in counted else nothing.cast("bigint")).alias("nulls"),
-                zero.alias("zeros_only"),
-                newest.alias("newest"),
-            )
-        )
-    return facts.select(
-        F.lit(name).alias("table"),
-        (F.array(*dates) if dates else F.array(nothing.cast("date"))).alias("dates"),
-        F.array(*columns).alias("columns"),
-    )
+        if isinstance(field.dataType, T.TimestampType | T.TimestampNTZType | T.DecimalType):
+            found += _bounds(table, i)
+    return table.agg(*found) if found else None
+
+
+def _bounds(table: DataFrame, i: int) -> list[Column]:
+    field = table.schema.fields[i]
+    value = _named(table, field.name)
+    least, most = F.min(value), F.max(value)
+    if _is_time(field.dataType) and not isinstance(field.dataType, T.DateType):
+        least, most = F.to_date(least), F.to_date(most)
+    return [least.alias(f"least{i}"), most.alias(f"most{i}")]
+
+
+def _column_rows(name: str, table: DataFrame) -> list[tuple]:
+    """Rows of a table's columns: as _CATALOG."""
+    facts = footer_facts(table).first().asDict()
+    if (scanned := scanned_facts(table)) is not None:
+        facts |= scanned.first().asDict()
+    fields = table.schema.fields
+    total = facts["rows"] or 0  # files without a row group have no count at all
+    newest = {i: facts[f"most{i}"] for i, f in enumerate(fields) if _is_time(f.dataType)}
+    of_table = max((day for day in newest.values() if day is not None), default=None)
+    out = []
+    for i, field in enumerate(fields):
+        zeros_only = None
+        if isinstance(field.dataType, T.NumericType):
+            least, most = facts[f"least{i}"], facts[f"most{i}"]
+            zeros_only = None if least is None else bool(least == 0 and most == 0)
+        counted = isinstance(field.dataType, _COUNTED)
+        nulls = total - (facts[f"n{i}"] or 0) if counted else None
+        kind = field.dataType.simpleString()
+        out.append((name, field.name, kind, total, nulls, zeros_only, newest.get(i), of_table))
+    return out
 
 
 def duplicate_ids(table: DataFrame, *, id: str = "id") -> DataFrame:

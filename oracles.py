@@ -692,6 +692,29 @@ UTILIZATION = {
     ),
 }
 
+# 'Month' sorts before 'Week', as false before true; texts are never null but the practice, which comes first then.
+_DETAIL_ORDER = (
+    "role, practice NULLS FIRST, target, adj_target, price, billable, calendar, last_modified, weekly, d.is_deleted"
+)
+UTILIZATION["utilization_fact_rows"] = statement(
+    "calc detail summary person",
+    f"""
+    SELECT calc.id AS util_calc_id, d.resource_id, person.name AS resource_name,
+           period_id::VARCHAR AS calc_time_period_id, calc.name AS calc_name, 'Month' AS calc_time_period_type,
+           sched_end AS calc_sched_end, hist_end AS calc_hist_end,
+           calc.name LIKE '%Historical%' AS calc_calc_hist_util, calc.name LIKE '%Scheduled%' AS calc_calc_sched_util,
+           calc.is_deleted AS calc_is_deleted, role AS detail_role, practice AS detail_practice,
+           target / 10000.0::DOUBLE AS detail_target, adj_target / 10000.0::DOUBLE AS detail_adj_target,
+           price / 10000.0::DOUBLE AS detail_price, billable / 10000.0::DOUBLE AS detail_billable_hours,
+           calendar / 10000.0::DOUBLE AS detail_calendar_hours, last_modified AS detail_last_modified,
+           CASE WHEN weekly THEN 'Week' ELSE 'Month' END AS detail_time_period_type, d.is_deleted AS detail_is_deleted,
+           summary.ts AS summary_created_date
+    FROM calc JOIN (SELECT *, row_number() OVER (ORDER BY resource_id) AS row FROM detail) AS d ON d.calc_id = calc.id
+    JOIN summary ON summary.calc_id = calc.id JOIN person ON person.resource_id = d.resource_id
+    ORDER BY calc.id, d.resource_id, {_DETAIL_ORDER}, row, person.name, summary.ts
+    LIMIT 2000""",
+)
+
 # --------------------------------------------------------------- G. profiling
 
 _LINEITEM = {
@@ -716,6 +739,47 @@ PROFILING = {
     "table_profile": "\nUNION ALL\n".join(_facts(c, kind) for c, kind in _LINEITEM.items()),
 }
 
+#: Columns with their types; a number's zeros and a time's newest date are facts.
+_TABLES = {
+    "region": "r_regionkey:int r_name:string",
+    "nation": "n_nationkey:int n_name:string n_regionkey:int",
+    "customer": "c_custkey:bigint c_name:string c_nationkey:int c_acctbal:double c_mktsegment:string",
+    "supplier": "s_suppkey:bigint s_name:string s_nationkey:int s_acctbal:double",
+    "part": "p_partkey:bigint p_name:string p_brand:string p_type:string p_size:int p_retailprice:double",
+    "orders": "o_orderkey:bigint o_custkey:bigint o_orderstatus:string o_totalprice:double"
+    " o_orderdate:timestamp_ntz o_orderpriority:string",
+    "lineitem": "l_orderkey:bigint l_partkey:bigint l_suppkey:bigint l_linenumber:int l_quantity:double"
+    " l_extendedprice:double l_discount:double l_tax:double l_returnflag:string l_linestatus:string"
+    " l_shipdate:timestamp_ntz",
+    "events": "event_id:bigint ts:timestamp_ntz user_id:bigint event_type:string value:double props:string",
+}
+
+
+def _column_facts(table: str, column: str, kind: str, times: list[str]) -> str:
+    number = kind in ("int", "bigint", "double")
+    zeros = f"bool_and({column} = 0)" if number else "NULL::BOOLEAN"
+    newest = f"max({column})::DATE" if column in times else "NULL::DATE"
+    of_table = f"greatest({', '.join(f'max({c})::DATE' for c in times)})" if times else "NULL::DATE"
+    return (
+        f"SELECT '{table}' AS \"table\", '{column}' AS \"column\", '{kind}' AS type, count(*) AS \"rows\","
+        f" count(*) - count({column}) AS nulls, {zeros} AS zeros_only, {newest} AS newest,"
+        f" ({AS_OF} - {newest})::INTEGER AS days_since, CASE WHEN count(*) = 0 THEN 'empty'"
+        f" WHEN count({column}) = 0 THEN 'all null' WHEN {zeros} THEN 'zeros only'"
+        f" WHEN {AS_OF} - {of_table} > 365 THEN 'stale' ELSE 'data' END AS verdict FROM {table}"
+    )
+
+
+def _catalog() -> str:
+    parts = []
+    for table, columns in _TABLES.items():
+        kinds = dict(c.split(":") for c in columns.split())
+        times = [c for c, kind in kinds.items() if kind == "timestamp_ntz"]
+        parts += [_column_facts(table, c, kind, times) for c, kind in kinds.items()]
+    return "\nUNION ALL\n".join(parts)
+
+
+PROFILING["catalog_profile"] = _catalog()
+
 ORACLES: dict[str, str] = (
     FUNNEL | HISTORY | WBS | DASHBOARD | STAFFING | UTILIZATION | PROFILING
 )

@@ -4,7 +4,13 @@ import datetime as dt
 
 import pytest
 
-from dealtide.operators.profiling import catalog_profile, table_profile
+from dealtide.operators.profiling import (
+    _FOOTERS,
+    catalog_profile,
+    footer_facts,
+    scanned_facts,
+    table_profile,
+)
 from dealtide.sources import schemas, views
 from dealtide.sources.lasting import create_views
 from dealtide.sources.sample import sample_tables
@@ -84,7 +90,8 @@ def folder(spark, tmp_path):
     spark.range(20).selectExpr(
         "id", "cast(NULL AS string) AS note", "0 AS held", "cast(0 AS decimal(10,2)) AS cost",
         "date_add(date '1997-06-20', cast(id AS int)) AS `the ``day`",
-        "array(id) AS listed", "if(id < 5, NULL, 0L) AS few", "map('a', id) AS m",
+        "array(id) AS listed", "if(id < 5, NULL, 0L) AS few", "map('a', id) AS m", "cast(NULL AS int) AS none",
+        "cast(NULL AS date) AS never", "cast(NULL AS timestamp) AS nowhen",
     ).repartition(3).write.parquet(f"{tmp_path}/old")
     (tmp_path / "_ignored").mkdir()
     return str(tmp_path)
@@ -103,6 +110,9 @@ def test_catalog_profile(spark, folder):
         "listed": (20, None, None, None, "stale"),
         "few": (20, 5, True, None, "zeros only"),
         "m": (20, None, None, None, "stale"),
+        "none": (20, 20, None, None, "all null"),
+        "never": (20, 20, None, None, "all null"),
+        "nowhen": (20, 20, None, None, "all null"),
     }
     assert {r.verdict for k, r in got.items() if k[0] == "nothing"} == {"empty"}
     # Every count and date is that of a scan.
@@ -114,11 +124,32 @@ def test_catalog_profile(spark, folder):
 
 
 def test_counts_are_read_from_footers(spark, folder):
-    """No data column is read for counts and dates; a time or decimal is read alone."""
-    text = catalog_profile(spark, folder)._jdf.queryExecution().executedPlan().toString()
-    scans = [line for line in text.splitlines() if "BatchScan" in line]
-    pushed = [line for line in scans if "COUNT(*)" in line.split("PushedAggregation:")[1].split("]")[0]]
-    plain = [line for line in scans if line not in pushed]
-    assert len(pushed) == 3
-    read = [line.split("ReadSchema: struct<")[1].split(">")[0] for line in plain]
-    assert sorted(read) == ["cost:decimal(10,2)", "o_orderdate:timestamp_ntz", "o_orderdate:timestamp_ntz"]
+    """No data column is read for counts and dates; times and decimals are read alone."""
+    session = spark.newSession()
+    for key, value in _FOOTERS.items():
+        session.conf.set(key, value)
+    for name, read in (("old", ["cost:decimal(10,2)", "nowhen:timestamp"]), ("orders.parquet", ["o_orderdate:timestamp_ntz"])):
+        table = session.read.parquet(f"{folder}/{name}")
+        [scan] = [x for x in plan(footer_facts(table)).splitlines() if "BatchScan" in x]
+        assert "COUNT(*)" in scan.split("PushedAggregation:")[1].split("]")[0]
+        [scan] = [x for x in plan(scanned_facts(table)).splitlines() if "BatchScan" in x]
+        assert scan.split("ReadSchema: struct<")[1].split(">")[0].split(",") == ",".join(read).split(",")
+    assert scanned_facts(spark.range(3)) is None
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_without_statistics_are_scanned(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    table = pa.table({"a": [0, 0, None], "d": [dt.date(2001, 6, 1), None, None]})
+    (tmp_path / "bare").mkdir()
+    pq.write_table(table, tmp_path / "bare" / "x.parquet", write_statistics=False)
+    rows = catalog_profile(spark, str(tmp_path), as_of=AS_OF).collect()
+    assert [(r.rows, r.nulls, r.zeros_only, r.newest, r.verdict) for r in rows] == [
+        (3, 1, True, None, "zeros only"),
+        (3, 2, None, dt.date(2001, 6, 1), "data"),
+    ]

@@ -11,7 +11,7 @@ ROOT = Path(__file__).resolve().parent.parent
 PROBE = """
 import __spark_entry__ as entry
 assert not entry.LLM_QUERIES and not entry.LLM_ORACLES
-assert set(entry.queries()) == set(entry.oracle_sql()) and len(entry.queries()) == 41
+assert set(entry.queries()) == set(entry.oracle_sql()) and len(entry.queries()) == 43
 """
 
 
