@@ -35,9 +35,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, as in tests, a new temporary one."""
+    """The folder of spark.checkpoint.dir; where it is unset, as in tests in one process, a new temporary one.
+
+    On a cluster a temporary folder is each machine's own, so there it has to be set.
+    """
     context = spark.sparkContext._jsc.sc()
     if not context.getCheckpointDir().isDefined():
+        if not context.isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir().get()
 
