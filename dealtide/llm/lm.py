@@ -187,35 +187,44 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.class_of = model.class_of()
+        self.heads = np.c_[model.heads, model.head_bias]
+        self.targets = np.c_[model.targets, model.bias]
 
     def __call__(self, last: np.ndarray, before: np.ndarray, target: np.ndarray) -> np.ndarray:
         m = self.model
-        h, cls = m.context(last, before), self.class_of[target]
+        # The last column stands for the bias.
+        h = np.ones((len(last), SIZE + 1), np.float32)
+        h[:, :SIZE] = m.context(last, before)
+        cls = self.class_of[target]
         _, at, back = np.unique(last * (len(m.bias) + 1) + before, return_index=True, return_inverse=True)
-        totals = _log_total(h[at], m.heads, m.head_bias)
-        out = (h * m.heads[cls]).sum(1) + m.head_bias[cls] - totals[back]
+        out = np.einsum("ij,ij->i", h, self.heads[cls]) - _log_total(h[at], self.heads)[back]
         order = np.argsort(cls, kind="stable")
         ends = np.searchsorted(cls[order], np.arange(len(m.heads) + 1))
         for c in np.flatnonzero(np.diff(ends)):
             i, j = m.first[c], m.first[c + 1]
             if j - i > 1:
                 own = order[ends[c] : ends[c + 1]]
-                score = (h[own] * m.targets[target[own]]).sum(1) + m.bias[target[own]]
-                out[own] += score - _log_total(h[own], m.targets[i:j], m.bias[i:j])
+                of_own = h[own]
+                score = np.einsum("ij,ij->i", of_own, self.targets[target[own]])
+                out[own] += score - _log_total(of_own, self.targets[i:j])
         return out.astype(np.float64) / np.log(10)
 
 
-def _log_total(h: np.ndarray, targets: np.ndarray, bias: np.ndarray) -> np.ndarray:
+def _log_total(h: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Of each context, the logarithm of the sum of exp(score) over the targets."""
-    out = np.empty(len(h), np.float32)
-    size = max(1, (1 << 20) // len(targets))
-    for i in range(0, len(h), size):
-        scores = h[i : i + size] @ targets.T
-        scores += bias
-        top = scores.max(1)
-        scores -= top[:, None]
-        np.exp(scores, out=scores)
-        out[i : i + size] = top + np.log(scores.sum(1))
+    total = np.empty(len(h), np.float32)
+    size = max(1, (1 << 18) // len(targets))
+    one = np.ones(len(targets), np.float32)
+    with np.errstate(over="ignore", divide="ignore"):
+        for i in range(0, len(h), size):
+            scores = h[i : i + size] @ targets.T
+            np.exp(scores, out=scores)
+            total[i : i + size] = scores @ one
+        out = np.log(total)
+    # Sums beyond what the numbers hold are taken relative to the greatest score.
+    for i in np.flatnonzero(~np.isfinite(out)):
+        scores = targets @ h[i]
+        out[i] = scores.max() + np.log(np.exp(scores - scores.max()).sum())
     return out
 
 

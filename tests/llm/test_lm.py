@@ -94,3 +94,11 @@ def test_several_groups_and_rounds_learn(spark):
     got = lm.score_documents(documents, group=100_000, rounds=2).where("held_out")
     score, base, tokens = got.selectExpr("sum(score)", "sum(base_score)", "sum(n_tokens)").first()
     assert (score - base) / tokens > 0.03
+
+
+def test_scores_of_any_size_are_summed():
+    """Sums that overflow or vanish in single precision."""
+    h = np.array([[1.0, 1.0], [-1.0, 1.0], [0.0, 1.0]], np.float32)
+    targets = np.array([[200.0, 0.0], [198.0, 0.0], [150.0, 1.0]], np.float32)
+    want = [200 + np.log1p(np.exp(-2) + np.exp(-49)), -150 + 1 + np.log1p(np.exp(-49)), np.log(2 + np.e)]
+    assert lm._log_total(h, targets) == pytest.approx(want, rel=1e-5)
