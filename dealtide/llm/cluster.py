@@ -74,6 +74,11 @@ def sent(df: DataFrame, rows: int = 1 << 18) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def tasks(rows: int, each: int) -> int:
+    """To coalesce to: a task for `each` rows, and eight at least."""
+    return max(8, -(-rows // each))
+
+
 @contextmanager
 def releasing(spark: SparkSession) -> Iterator[None]:
     """Frames made inside drop their shuffle files when their action ends, so phases don't pile up on

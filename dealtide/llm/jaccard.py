@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dealtide.llm import text as T
-from dealtide.llm.cluster import batches, fresh, phased, sent, stored
+from dealtide.llm.cluster import batches, fresh, phased, sent, stored, tasks
 from dealtide.llm.components import components
 
 #: A shingle counts as frequent where a slice of texts holds it in so many different sets, and all
@@ -23,6 +23,8 @@ from dealtide.llm.components import components
 LOCAL_FREQUENT, FREQUENT, MOST_FREQUENT = 2, 8, 500_000
 #: Members of a tile above which it is cut into blocks.
 TILE = 2048
+#: Pairs whose documents are sent to the tasks without being counted first; pairs of a task.
+FEW_PAIRS, PAIRS = 1 << 17, 1 << 12
 
 
 def _band(n: np.ndarray, percent: int) -> np.ndarray:
@@ -147,16 +149,14 @@ def _matrix(column: pa.Array, rows: np.ndarray) -> np.ndarray:
 
 
 def _bounded(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that their bitmaps and sizes allow."""
+    """The pairs (a, n_a, b, n_b) that their bitmaps and sizes allow, as (a, b)."""
     of = lambda side: bitmaps.select(
         F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")
     )
     joined = (
-        pairs.join(of("a").select("a", "n_a"), "a")
-        .join(of("b").select("b", "n_b"), "b")
-        .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        .join(of("a").select("a", "bits_a"), "a")
-        .join(of("b").select("b", "bits_b"), "b")
+        pairs.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+        .join(of("a"), ["a", "n_a"])
+        .join(of("b"), ["b", "n_b"])
     )
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,9 +183,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     only.
     """
     pairs = stored(pairs)
+    many = pairs.count()
+    if not many:
+        return pairs
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    wanted = stored(wanted)
-    sets = stored(_sets(texts.join(sent(wanted), "doc_id", "left_semi"), size))
+    wanted = F.broadcast(wanted) if many <= FEW_PAIRS else sent(stored(wanted))
+    sets = stored(_sets(texts.join(wanted, "doc_id", "left_semi"), size))
     of = lambda side: sets.select(F.col("id").alias(side), F.col("keys").alias(f"keys_{side}"))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +202,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             if any(ok):
                 yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a bigint, b bigint")
+    dealt = tasks(many, PAIRS)
+    both = pairs.join(of("a"), "a").coalesce(dealt).join(of("b"), "b").coalesce(dealt)
+    return both.mapInArrow(run, "a bigint, b bigint")
 
 
 def _tiles(members: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
@@ -233,7 +238,7 @@ def _tiles(members: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
             "key", "tile", "least(own, other) as i", "greatest(own, other) as j",
             "id", "component", "n", "low", "own",
         )
-        .join(bitmaps.select("id", "bits"), "id")
+        .join(bitmaps.select("id", "n", "bits"), ["id", "n"])
     )
     dealt = cells.repartition("key", "tile", "i", "j").sortWithinPartitions(
         "key", "tile", "i", "j", "n", "id"
@@ -346,7 +351,9 @@ def similar_documents(documents: DataFrame, size: int = 5, percent: int = 75) ->
     prefixes = _prefixes(
         texts, size, percent, keys[order], frequent["n"].to_numpy(np.int64)[order]
     )
-    classes = stored(docs.where("n > 0").groupBy("n", "key").agg(F.min("doc_id").alias("id")))
+    classes = stored(
+        docs.where("n > 0").groupBy("n", "key", "band").agg(F.min("doc_id").alias("id"))
+    )
     by_key = Window.partitionBy("key")
     shared = (
         prefixes.repartition("key")
@@ -359,32 +366,32 @@ def similar_documents(documents: DataFrame, size: int = 5, percent: int = 75) ->
         )
         .where("low < high")
     )
+    # Keys with the same least member are one tile.
     members = stored(
-        shared.select("key", "set_hash").join(
-            classes.select(F.col("key").alias("set_hash"), "id", "n"), "set_hash"
-        ).select("key", "id", "n")
+        shared.select("key", "set_hash")
+        .join(classes.select(F.col("key").alias("set_hash"), "id", "n", "band"), "set_hash")
+        .select(F.min(F.struct("id", "n")).over(by_key).alias("least"), "id", "n", "band")
+        .select(F.col("least.id").alias("first"), F.col("least.n").alias("first_n"), "id", "n", "band")
+        .distinct()
     )
-    # Keys with the same least member are one tile.
-    least = members.groupBy("key").agg(F.min("id").alias("first"))
-    members = stored(members.join(least, "key").select("first", "id", "n").distinct())
     bitmaps = stored(
-        docs.select("doc_id", "n", "band", "bits")
+        docs.select("doc_id", "n", "bits")
         .join(members.select(F.col("id").alias("doc_id"), "n").distinct(), ["doc_id", "n"], "left_semi")
         .withColumnRenamed("doc_id", "id")
     )
 
-    pairs = members.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    first = stored(_verified(_bounded(pairs.distinct(), bitmaps, percent), texts, size, percent))
+    pairs = members.where("id <> first").select(
+        F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("first").alias("b"), F.col("first_n").alias("n_b")
+    )
+    first = stored(_verified(_bounded(pairs, bitmaps, percent), texts, size, percent))
     component = stored(components(first))
 
-    spread = (
-        members.select("first", "id")
-        .join(component, F.col("id") == F.col("node"), "left")
-        .select("first", "id", F.coalesce("component", "id").alias("component"))
+    open_ = members.join(component, F.col("id") == F.col("node"), "left").select(
+        F.col("first").alias("key"), "id", "n", "band", F.coalesce("component", "id").alias("component")
     )
-    open_ = spread.join(bitmaps.select("id", "n", "band"), "id").withColumnRenamed("first", "key")
     second = stored(_verified(_tiles(open_, bitmaps, percent), texts, size, percent))
-    component = components(first.union(second))
+    if not second.isEmpty():
+        component = components(component.toDF("a", "b").union(second))
     return (
         docs.withColumnRenamed("n", "n_shingles")
         .join(classes.select("key", F.col("n").alias("n_shingles"), "id"), ["key", "n_shingles"], "left")

@@ -13,6 +13,8 @@ from tokenizers import Tokenizer
 from dealtide.llm import (
     bpe,
     classifier,
+    cluster,
+    components,
     decontaminate,
     jaccard,
     licenses,
@@ -42,6 +44,35 @@ def test_tiles_of_a_large_key_are_cut_to_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute.similar(rows)
 
 
+def test_components_stop_at_stars(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "stored", lambda df: written.append(df) or cluster.stored(df))
+    monkeypatch.setattr(components, "LINKS", 10)
+
+    def least(links):
+        written.clear()
+        frame = spark.createDataFrame(links, "a bigint, b bigint")
+        return sorted(tuple(r) for r in components.components(frame).collect())
+
+    # Links that are stars already need no step, whichever end is first; a chain takes a few.
+    assert least([(5, 1), (1, 6), (7, 1), (9, 8), (3, 3), (None, 4)]) == [
+        (1, 1), (5, 1), (6, 1), (7, 1), (8, 8), (9, 8)
+    ]
+    assert len(written) == 1
+    assert least([(k, k + 1) for k in range(200)]) == [(k, 0) for k in range(201)]
+    assert least([(9, 4), (4, 9), (9, 4), (9, 2)]) == [(2, 2), (4, 2), (9, 2)]
+    assert least([]) == []
+
+
+def test_pairs_are_bounded_with_the_sizes_of_their_own_sets(spark):
+    """A repeated id has a bitmap per set; a pair is held against that of its own set."""
+    bitmaps = spark.createDataFrame(
+        [(1, 4, bytes([15] * 8)), (1, 9, bytes(8)), (2, 4, bytes([15] * 8))], "id bigint, n bigint, bits binary"
+    )
+    pairs = spark.createDataFrame([(2, 4, 1, 4), (2, 4, 1, 9)], "a bigint, n_a bigint, b bigint, n_b bigint")
+    assert [tuple(r) for r in jaccard._bounded(pairs, bitmaps, 75).collect()] == [(2, 1)]
+
+
 def test_without_similar_keeps_one_of_each_group(docs, rows):
     left = jaccard.without_similar(docs)
     assert left.columns == docs.columns
