@@ -79,7 +79,12 @@ class Model:
         return np.repeat(np.arange(len(self.heads)), np.diff(self.first))
 
     def context(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
-        return self.vectors[last] * self.mixing[0] + self.vectors[before] * self.mixing[1]
+        h = self.vectors.take(last, 0)
+        h *= self.mixing[0]
+        more = self.vectors.take(before, 0)
+        more *= self.mixing[1]
+        h += more
+        return h
 
 
 def _runs(rows: np.ndarray) -> np.ndarray:
@@ -87,9 +92,25 @@ def _runs(rows: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(rows, prepend=-1))
 
 
+def _order(numbers: np.ndarray) -> np.ndarray:
+    """The stable order of numbers below 2**32, by their halves: numpy sorts 16 bits by radix."""
+    order = np.argsort(numbers.astype(np.uint16), kind="stable")
+    high = (numbers >> 16).astype(np.uint16)
+    return order[np.argsort(high[order], kind="stable")] if high.any() else order
+
+
 def _pull(real: np.ndarray) -> np.ndarray:
-    """1 - sigmoid"""
-    return (1 / (1 + np.exp(np.clip(real, -30, 30)))).astype(np.float32)
+    """1 - sigmoid, in place."""
+    np.clip(real, -30, 30, out=real)
+    np.exp(real, out=real)
+    real += 1
+    return np.reciprocal(real, out=real)
+
+
+def _push(real: np.ndarray) -> np.ndarray:
+    """-sigmoid, in place."""
+    out = _pull(np.negative(real, out=real))
+    return np.negative(out, out=out)
 
 
 class Trainer:
@@ -116,59 +137,72 @@ class Trainer:
         self.tokens = 0
 
     def _move(self, name: str, rows: np.ndarray | slice, g: np.ndarray) -> None:
-        squares = self.squares[name]
-        squares[rows] += g * g
-        getattr(self.model, name)[rows] += RATE * g / np.sqrt(squares[rows])
+        squares = self.squares[name][rows] + g * g
+        self.squares[name][rows] = squares
+        g = RATE * g
+        g /= np.sqrt(squares, out=squares)
+        getattr(self.model, name)[rows] += g
 
     def step(self, last: np.ndarray, before: np.ndarray, target: np.ndarray) -> None:
         m, n = self.model, len(target)
         # By target, and so by class, whose units are a run.
-        order = np.argsort(target, kind="stable")
+        order = _order(target)
         last, before, target = last[order], before[order], target[order]
-        of_last, of_before = m.vectors[last], m.vectors[before]
-        h = of_last * m.mixing[0] + of_before * m.mixing[1]
+        of_last, of_before = m.vectors.take(last, 0), m.vectors.take(before, 0)
+        # The last column of contexts stands for the bias, which is that of their counterparts.
+        h = np.ones((n, SIZE + 1), np.float32)
+        np.multiply(of_last, m.mixing[0], out=h[:, :SIZE])
+        h[:, :SIZE] += of_before * m.mixing[1]
         cls = self.class_of[target]
         begin = _runs(cls)
+        size = np.diff(begin, append=n)
+        run = np.repeat(np.arange(len(begin)), size)
         # The class.
         drawn = np.searchsorted(self.reach, self.random.random(NOISE) * self.reach[-1], "right")
         drawn = np.minimum(drawn, len(m.heads) - 1)
-        q, noise = m.heads[cls], m.heads[drawn]
-        up = _pull((h * q).sum(1) + m.head_bias[cls] - self.log_class_noise[cls])
-        down = -_pull(-(h @ noise.T + (m.head_bias[drawn] - self.log_class_noise[drawn])))
-        g_h = up[:, None] * q + down @ noise
+        heads = np.c_[m.heads, m.head_bias - self.log_class_noise]
+        q, noise = heads[cls[begin]].take(run, 0), heads[drawn]
+        up = _pull(np.einsum("ij,ij->i", h, q))[:, None]
+        down = _push(h @ noise.T)
+        g_h = up * q
+        g_h += down @ noise
         g_heads = np.zeros((len(m.heads), SIZE + 1), np.float32)
-        g_heads[cls[begin], :SIZE] = np.add.reduceat(up[:, None] * h, begin)
-        g_heads[cls[begin], SIZE] = np.add.reduceat(up, begin)
-        np.add.at(g_heads, drawn, np.c_[down.T @ h, down.sum(0)])
+        g_heads[cls[begin]] = np.add.reduceat(up * h, begin)
+        np.add.at(g_heads, drawn, down.T @ h)
         # The unit, where its class has others.
-        size = np.diff(begin, append=n)
-        run = np.repeat(np.arange(len(begin)), size)
         place = np.arange(n) - begin[run]
         some = (~self.alone[cls] & (size[run] > 1)).astype(np.float32)
-        q, own = m.targets[target], m.bias[target] - self.log_noise[target]
-        up = _pull((h * q).sum(1) + own) * some
-        g_h += up[:, None] * q
-        g_units = np.c_[up[:, None] * h, up]
+        first = _runs(target)
+        many = np.diff(first, append=n)
+        units = target[first]
+        q = np.c_[m.targets[units], m.bias[units] - self.log_noise[units]].repeat(many, 0)
+        up = (_pull(np.einsum("ij,ij->i", h, q)) * some)[:, None]
+        g_h += up * q
+        g_units = up * h
         for _ in range(WORD_NOISE):
-            away = 1 + (self.random.random(len(begin)) * (size - 1)).astype(np.int64)
-            other = begin[run] + (place + away[run]) % size[run]
-            of_other = q[other]
-            pull = -_pull(-((h * of_other).sum(1) + own[other])) * some
-            g_h += pull[:, None] * of_other
-            # No two tokens have the same other one.
-            g_units[other, :SIZE] += pull[:, None] * h
-            g_units[other, SIZE] += pull
-        begin = _runs(target)
-        units, g_units = target[begin], np.add.reduceat(g_units, begin)
-        self.events[1, units] += np.diff(begin, append=n)
+            away = (1 + (self.random.random(len(begin)) * (size - 1)).astype(np.int64))[run]
+            other = place + away
+            other -= size[run] * (other >= size[run])
+            other += begin[run]
+            of_other = q.take(other, 0)
+            pull = (_push(np.einsum("ij,ij->i", h, of_other)) * some)[:, None]
+            of_other *= pull
+            g_h += of_other
+            # No two tokens have the same other one, so each is that of one.
+            mine = np.empty(n, np.int64)
+            mine[other] = np.arange(n)
+            g_units += (pull * h).take(mine, 0)
+        g_units = np.add.reduceat(g_units, first)
+        self.events[1, units] += many
         contexts = np.concatenate([last, before])
-        order = np.argsort(contexts, kind="stable")
+        order = _order(contexts)
         contexts = contexts[order]
         begin = _runs(contexts)
-        g_vectors = np.concatenate([g_h * m.mixing[0], g_h * m.mixing[1]])[order]
+        g_h = np.ascontiguousarray(g_h[:, :SIZE])
+        g_vectors = np.concatenate([g_h * m.mixing[0], g_h * m.mixing[1]]).take(order, 0)
         g_vectors = np.add.reduceat(g_vectors, begin)
         self.events[0, contexts[begin]] += np.diff(begin, append=2 * n)
-        g_mixing = np.stack([(g_h * of_last).sum(0), (g_h * of_before).sum(0)])
+        g_mixing = np.stack([np.einsum("ij,ij->j", g_h, of_last), np.einsum("ij,ij->j", g_h, of_before)])
         heads = np.flatnonzero(g_heads.any(1))
         self._move("heads", heads, g_heads[heads, :SIZE])
         self._move("head_bias", heads, g_heads[heads, SIZE])
@@ -192,22 +226,30 @@ class Scorer:
 
     def __call__(self, last: np.ndarray, before: np.ndarray, target: np.ndarray) -> np.ndarray:
         m = self.model
+        # By target, and so by class, whose tokens and units are runs.
+        order = _order(target)
+        last, before, target = last[order], before[order], target[order]
         # The last column stands for the bias.
         h = np.ones((len(last), SIZE + 1), np.float32)
         h[:, :SIZE] = m.context(last, before)
         cls = self.class_of[target]
-        _, at, back = np.unique(last * (len(m.bias) + 1) + before, return_index=True, return_inverse=True)
-        out = np.einsum("ij,ij->i", h, self.heads[cls]) - _log_total(h[at], self.heads)[back]
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(len(m.heads) + 1))
+        same = _order(before)
+        same = same[_order(last[same])]
+        new = (np.diff(last[same], prepend=-1) != 0) | (np.diff(before[same], prepend=-1) != 0)
+        back = np.empty(len(last), np.int64)
+        back[same] = np.cumsum(new) - 1
+        out = np.einsum("ij,ij->i", h, self.heads.take(cls, 0))
+        out -= _log_total(h.take(same[new], 0), self.heads)[back]
+        score = np.einsum("ij,ij->i", h, self.targets.take(target, 0))
+        ends = np.searchsorted(cls, np.arange(len(m.heads) + 1))
         for c in np.flatnonzero(np.diff(ends)):
             i, j = m.first[c], m.first[c + 1]
             if j - i > 1:
-                own = order[ends[c] : ends[c + 1]]
-                of_own = h[own]
-                score = np.einsum("ij,ij->i", of_own, self.targets[target[own]])
-                out[own] += score - _log_total(of_own, self.targets[i:j])
-        return out.astype(np.float64) / np.log(10)
+                own = slice(ends[c], ends[c + 1])
+                out[own] += score[own] - _log_total(h[own], self.targets[i:j])
+        placed = np.empty(len(out))
+        placed[order] = out
+        return placed / np.log(10)
 
 
 def _log_total(h: np.ndarray, targets: np.ndarray) -> np.ndarray:

@@ -102,3 +102,53 @@ def test_scores_of_any_size_are_summed():
     targets = np.array([[200.0, 0.0], [198.0, 0.0], [150.0, 1.0]], np.float32)
     want = [200 + np.log1p(np.exp(-2) + np.exp(-49)), -150 + 1 + np.log1p(np.exp(-49)), np.log(2 + np.e)]
     assert lm._log_total(h, targets) == pytest.approx(want, rel=1e-5)
+
+
+def test_a_step_moves_as_its_definition():
+    """Noise classes are drawn anew and so are noise units: the step is written out with the same draws."""
+    counts = 1e4 / np.arange(1, 121)
+    start, noise = lm.Model.start(counts), counts / counts.sum()
+    random = np.random.default_rng(6)
+    last, before, target = random.integers(0, 120, (3, 300))
+    trainer = lm.Trainer(start, noise, 7)
+    trainer.step(last, before, target)
+    draws = np.random.default_rng(7)
+    order = np.argsort(target, kind="stable")
+    last, before, target = last[order], before[order], target[order]
+    m, cls = start, start.class_of()[target]
+    class_noise = np.add.reduceat(noise, m.first[:-1])
+    pull = lambda x: 1 / (1 + np.exp(x))
+    drawn = np.searchsorted(np.cumsum(class_noise), draws.random(lm.NOISE) * class_noise.sum(), "right")
+    h = m.vectors[last] * m.mixing[0] + m.vectors[before] * m.mixing[1]
+    g_h, g_heads, g_targets = np.zeros_like(h), np.zeros_like(m.heads), np.zeros_like(m.targets)
+    for t in range(300):
+        for c, real in [(cls[t], True), *((c, False) for c in drawn)]:
+            s = h[t] @ m.heads[c] + m.head_bias[c] - np.log(lm.NOISE * class_noise[c])
+            g = pull(s) if real else -pull(-s)
+            g_h[t] += g * m.heads[c]
+            g_heads[c] += g * h[t]
+    runs = np.unique(cls)
+    shifts = [draws.random(len(runs)) for _ in range(lm.WORD_NOISE)]
+    for k, c in enumerate(runs):
+        own = np.flatnonzero(cls == c)
+        if len(own) == 1 or m.first[c + 1] - m.first[c] == 1:
+            continue
+        for p, t in enumerate(own):
+            away = [1 + int(x[k] * (len(own) - 1)) for x in shifts]
+            for u, real in [(target[t], True), *((target[own[(p + x) % len(own)]], False) for x in away)]:
+                s = h[t] @ m.targets[u] + m.bias[u] - np.log(lm.WORD_NOISE * noise[u] / class_noise[c])
+                g = pull(s) if real else -pull(-s)
+                g_h[t] += g * m.targets[u]
+                g_targets[u] += g * h[t]
+    g_vectors = np.zeros_like(m.vectors)
+    np.add.at(g_vectors, last, g_h * m.mixing[0])
+    np.add.at(g_vectors, before, g_h * m.mixing[1])
+    for name, g in (("heads", g_heads), ("targets", g_targets), ("vectors", g_vectors)):
+        want = getattr(m, name) + lm.RATE * g / np.sqrt(1 + g * g)
+        assert getattr(trainer.model, name) == pytest.approx(want, abs=1e-4)
+
+
+def test_orders_by_halves_are_stable():
+    numbers = np.random.default_rng(3).integers(0, 70_000, 5000) // 3 * 3
+    for some in (numbers, numbers << 15, numbers[:0], numbers % 9):
+        assert (lm._order(some) == np.argsort(some, kind="stable")).all()
