@@ -74,6 +74,16 @@ def sent(df: DataFrame, rows: int = 1 << 18) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """Marked so that its join shuffles and sorts, however small Spark takes it to be.
+
+    Spark sizes stored rows as they are compressed and those of an explode or mapInArrow as what goes
+    in, and a broadcast so planned stays where sorting would take more shuffles. For frames that grow
+    with the input.
+    """
+    return df.hint("merge")
+
+
 def tasks(rows: int, each: int) -> int:
     """To coalesce to: a task for `each` rows, and eight at least."""
     return max(8, -(-rows // each))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealtide.llm import text as T
-from dealtide.llm.cluster import batches, phased, stored
+from dealtide.llm.cluster import batches, merged, phased, stored
 from dealtide.llm.lines import spans
 
 #: Usual notices, by SPDX identifier.
@@ -150,6 +150,8 @@ for _id, _name, _version, _date in (
 #: Lines with a word in the longest run that is scored.
 RUN = 32
 _SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() -]*[A-Za-z0-9.+)])")
+#: Licensed directories of more bytes than this aren't sent to the tasks.
+SENT = 1 << 23
 #: Names of files that license their directory, in lower case, without an extension.
 LICENSE_FILES = ("license", "licence", "copying")
 
@@ -341,12 +343,13 @@ def license_scan(
     scanned = stored(rows.mapInArrow(batches(run), "path string, license string, cosine double"))
     scanned = scanned.withColumn("directory", F.expr("regexp_replace(path, '/?[^/]*$', '')"))
     name = "split_part(lower(regexp_extract(path, '([^/]*)$', 1)), '.', 1)"
-    licensed = (
+    licensed = stored(
         scanned.where(f"license is not null and {name} in {LICENSE_FILES}")
         .groupBy("directory")
         .agg(F.min(F.struct(-F.col("cosine"), F.col("license"))).alias("best"))
         .select(F.col("directory").alias("above"), F.col("best.license").alias("inherited"))
     )
+    size = licensed.agg(F.sum(F.octet_length("above") + F.octet_length("inherited") + 64)).first()[0] or 0
     # Directories, not files, are joined with those above them.
     directories = scanned.where("path is not null").select("directory").distinct()
     above = directories.selectExpr(
@@ -356,12 +359,12 @@ def license_scan(
     )
     nearest = (
         above.distinct()
-        .join(licensed, "above")
+        .join(F.broadcast(licensed) if size <= SENT else merged(licensed), "above")
         .groupBy("directory")
         .agg(F.max_by(F.struct("above", "inherited"), F.length("above")).alias("nearest"))
     )
     own = F.col("license").isNotNull()
-    return scanned.join(nearest, "directory", "left").select(
+    return scanned.join(merged(nearest), "directory", "left").select(
         "path",
         F.coalesce("license", "nearest.inherited").alias("license"),
         "cosine",

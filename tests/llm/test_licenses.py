@@ -54,3 +54,21 @@ def test_whole_license_files(found):
 def test_tags(found):
     assert found["tag.c"] == ("MIT", "own")
     assert found["two.c"] == ("MIT OR Zlib", "own")
+
+
+@pytest.mark.parametrize("sent", [1 << 23, 0])
+def test_what_grows_with_the_files_is_not_broadcast(spark, monkeypatch, sent):
+    """Spark takes every table of this size for small; what is sent to all tasks goes by counted bytes."""
+    monkeypatch.setattr(licenses, "SENT", sent, raising=False)
+    files = [("LICENSE", "SPDX-License-Identifier: ISC"), ("a/b/LICENSE.txt", "SPDX-License-Identifier: MIT"), (None, "x")]
+    files += [("c/COPYING", None), ("c/x.py", "x"), ("a/b/c/d.py", "x"), ("a/b/d.py", ""), ("a/e/f/g.py", "x"), ("h.py", None)]
+    frame = spark.createDataFrame(files, "path string, text string").repartition(3)
+    scan = licenses.license_scan(frame)
+    got = {r.path: (r.license, r.origin, r.directory) for r in scan.collect()}
+    assert len(got) == len(files)
+    assert got["a/b/c/d.py"] == got["a/b/d.py"] == ("MIT", "inherited", "a/b")
+    assert got["c/COPYING"] == got["c/x.py"] == got["a/e/f/g.py"] == got["h.py"] == ("ISC", "inherited", "")
+    assert got["LICENSE"] == ("ISC", "own", None) and got[None] == (None, "none", None)
+    initial = scan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert initial.count("SortMergeJoin") == (1 if sent else 2)
+    assert initial.count("BroadcastExchange") == (1 if sent else 0)
