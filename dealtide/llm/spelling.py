@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealtide.llm import text as T
-from dealtide.llm.cluster import phased, stored
+from dealtide.llm.cluster import merged, phased, stored
 
 #: A run is garbled where this divides its checksum.
 GARBLED = 31
@@ -400,7 +400,7 @@ def near_words(words: DataFrame, *, least_size: int = LEAST_SIZE) -> DataFrame:
         & (F.levenshtein("word", "near", 1) == 1)
     )
     probes, index = _probes(words, grams), _index(words, grams, least_size)
-    return probes.join(index, "key").filter(met).select("word", "n", "near", "near_n")
+    return probes.join(merged(index), "key").filter(met).select("word", "n", "near", "near_n")
 
 
 @phased
@@ -437,7 +437,7 @@ def variants(
     )
     formed = -F.col("best.less") >= ratio * F.col("n")
     linked = stored(
-        counted.join(facts, "word", "left").select(
+        counted.join(merged(facts), "word", "left").select(
             "word",
             "n",
             F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"),
@@ -452,9 +452,9 @@ def variants(
     )
     ends = steps.select(F.col("to").alias("first")).distinct().withColumn("root", F.col("first"))
     for _ in range(int(math.log(max(most / least_count, 1), ratio))):
-        ends = ends.join(steps, F.col("root") == F.col("from"), "left").select(
+        ends = ends.join(merged(steps), F.col("root") == F.col("from"), "left").select(
             "first", F.coalesce("to", "root").alias("root")
         )
-    return linked.join(ends, F.col("form") == F.col("first"), "left").select(
+    return linked.join(merged(ends), F.col("form") == F.col("first"), "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"
     )

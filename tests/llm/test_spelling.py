@@ -109,3 +109,21 @@ def test_the_dictionary_holds_the_frequent_grams_only(spark, monkeypatch):
     chosen, _, alone = grams.cut(matrix, 4)
     # "prefix" is everywhere, so its grams have the most letters, but those at a word's end are rare.
     assert (chosen[:, 0] == 4).all() and alone[:, 0].all() and (chosen[:, 6] == 2).all()
+
+
+def test_words_and_their_index_are_not_broadcast(spark, monkeypatch):
+    """Spark takes every table of this size for small; the index has many rows for each of the words."""
+    plans = []
+    stored = spelling.stored
+
+    def noted(df):
+        plans.append(df)
+        return stored(df)
+
+    monkeypatch.setattr(spelling, "stored", noted)
+    counts = {"elephant": 3000, "elephent": 200, "elepent": 9, "giraffes": 40, "giraffs": 3, "zebrahide": 2}
+    rows = [(k, " ".join([w] * n)) for k, (w, n) in enumerate(counts.items())]
+    out = spelling.variants(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert found(out) == plain(plain_words(rows))
+    whole = "".join(df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1] for df in [*plans, out])
+    assert whole.count("SortMergeJoin") > 2 and "BroadcastExchange" not in whole
